@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, ngram_join, sharding
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
 }
 ORACLE_SQL = {
     "op3_sharding": sharding.SQL,
+    "op4_ngram_join": ngram_join.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
 }
