@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, sharding
+from . import exact_dedup, langid, mixing, ngram_join, sharding
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_langid": langid.op5_langid,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
 }
