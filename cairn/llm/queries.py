@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, ngram_join, sharding
+from . import decontaminate, exact_dedup, langid, mixing, ngram_join, sharding
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_sharding": sharding.op3_sharding,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_langid": langid.op5_langid,
