@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, mixing, ngram_join, sharding
+from . import decontaminate, exact_dedup, langid, license_scan, mixing, ngram_join, sharding, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,10 +11,14 @@ QUERIES = {
     "op5_langid": langid.op5_langid,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLE_SQL = {
     "op3_sharding": sharding.SQL,
     "op4_ngram_join": ngram_join.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_mixing": mixing.SQL,
+    "op9_url_filter": url_filter.SQL,
+    "op10_license_scan": license_scan.SQL,
 }
