@@ -28,20 +28,22 @@ def tokens(line: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), i (line from 0), leaf, form (the line's tokens); blank lines are left out."""
-    split = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    # the hash comes first, so that no line's row carries the whole text
+    hashed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
+    split = hashed.select("doc_id", "h", F.posexplode("lines").alias("i", "line"))
     cut = split.select("doc_id", "h", "i", tokens(F.col("line")).alias("t")).where(F.size("t") > 0)
     return cut.select("doc_id", "h", "i", F.xxhash64(F.size("t"), F.slice("t", 1, DEPTH)).alias("leaf"), F.array_join("t", " ").alias("form"))
 
 
 def templates(forms: DataFrame, min_docs: int, similarity: float) -> DataFrame:
-    """f (hash of the form) and template (hash) of every distinct form; forms: leaf, form, n (its lines)."""
-    words = forms.select("leaf", "form", "n", F.posexplode(F.split("form", " ")).alias("p", "token"))
+    """f and template (hash) of every distinct form; forms: leaf, f (hash of the form), form, n (its lines)."""
+    words = forms.select("leaf", "f", "n", F.posexplode(F.split("form", " ")).alias("p", "token"))
     fixed = words.where(F.col("token") != FIELD).groupBy("leaf", "p", "token").agg(F.sum("n").alias("votes")).where(F.col("votes") >= min_docs)
     voted = words.join(fixed.select("leaf", "p", "token", F.lit(True).alias("fixed")), ["leaf", "p", "token"], "left")
     part = F.struct("p", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)).alias("token"))
-    whole = voted.groupBy("leaf", "form").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.avg(F.col("fixed").isNotNull().cast("double")).alias("share"))
+    whole = voted.groupBy("leaf", "f").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.avg(F.col("fixed").isNotNull().cast("double")).alias("share"))
     general = F.array_join(F.transform("parts", lambda x: x["token"]), " ")
-    return whole.select(F.xxhash64("form").alias("f"), F.xxhash64("leaf", F.when(F.col("share") >= similarity, general).otherwise(F.col("form"))).alias("template"))
+    return whole.select("f", F.xxhash64("leaf", F.when(F.col("share") >= similarity, F.xxhash64(general)).otherwise(F.col("f"))).alias("template"))
 
 
 def kept_lines(text: Column, dropped: Column) -> Column:
@@ -68,7 +70,8 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SI
     placed = settle(lines.select("doc_id", "h", "i", "leaf", F.xxhash64("form").alias("f")))  # no text
     leaves = placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     forms = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"))
-    known = settle(templates(settle(forms), min_docs, similarity))
+    forms = settle(forms.withColumn("f", F.xxhash64("form")))
+    known = settle(templates(forms, min_docs, similarity))
     found = settle(placed.select("doc_id", "h", "i", "f").join(known, "f"))
     recurring = found.select("doc_id", "h", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
     gone = found.join(recurring.select("template"), "template", "left_semi")
