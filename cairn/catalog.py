@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from .plans import derive_queries, evaluate_queries, lifecycle_queries, provenance_queries, reconcile_queries, retrieve_queries, scalar_queries, stream_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "dense_topk"
