@@ -87,7 +87,8 @@ def terms(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """The distinct three-character substrings of the lower-cased text; cut into characters first, so linear."""
     c = F.split(F.lower(text), "")
-    grams = F.zip_with(F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), F.concat), F.slice(c, 3, F.greatest(F.size(c), F.lit(1))), F.concat)
+    join = lambda a, b: F.concat(a, b)  # noqa: E731  null where the shorter array ends
+    grams = F.zip_with(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), join), F.slice(c, F.lit(3), F.size(c)), join)
     return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
 
 
