@@ -217,7 +217,8 @@ def test_kneser_ney_is_a_distribution(spark):
     m = langid.kneser_ney(langid.count_grams(docs).toPandas(), ["x", "y"])
     for context in ("ab", " b", "a", "cc"):
         c = langid.codes(context)[:-1]
-        p = [np.exp(m.log_probabilities(np.r_[c, np.uint64(ord(w))])[-1].astype(float)) for w in " abc"]
+        n = min(langid.ORDER, len(c) + 1)
+        p = [np.exp(m.log_probabilities(np.r_[c, np.uint64(ord(w))], np.array([len(c) + 1 - n]), n)[0].astype(float)) for w in " abc"]
         assert all(0.7 < s <= 1.0001 for s in np.sum(p, 0))  # the rest is for unseen characters
 
 
