@@ -1 +1,78 @@
-"""Queries."""
+"""Reconciliation queries: documents against a mutated copy of themselves, orders as commits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import reconcile as R
+from ..registry import query, table
+from .standins import CHUNKS_SQL, FILES_SQL, chunks, files
+
+_MANIFEST = "manifest AS (SELECT path, CASE WHEN doc_id % 11 = 0 THEN sha256('x') ELSE upper(sha256) END AS sha256 FROM files WHERE doc_id % 13 <> 0 UNION ALL SELECT concat(path, '.new'), sha256 FROM files WHERE doc_id % 17 = 0)"
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    own = f.where("doc_id % 13 <> 0").select("path", F.when(F.col("doc_id") % 11 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.upper("sha256")).alias("sha256"))
+    return own.unionByName(f.where("doc_id % 17 = 0").select(F.concat("path", F.lit(".new")).alias("path"), "sha256"))
+
+
+@query("drift_buckets", f"""WITH {FILES_SQL}, {_MANIFEST}, b AS (SELECT coalesce(m.path, f.path) AS path, CASE WHEN m.path IS NULL THEN 'orphaned' WHEN f.path IS NULL THEN 'missing' WHEN status = 'indexing' THEN 'indexing'
+  WHEN lower(m.sha256) <> f.sha256 OR status <> 'indexed' THEN 'stale' END AS bucket FROM manifest m FULL JOIN (SELECT * FROM files WHERE status <> 'deleted') f ON m.path = f.path) SELECT path, bucket FROM b WHERE bucket IS NOT NULL""")
+def drift_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.drift(manifest(spark, sf_dir), files(spark, sf_dir))
+
+
+_COMMITS = "commits AS (SELECT o_custkey % 50 AS project_guid, o_orderkey AS sha, epoch(o_orderdate)::BIGINT AS committed_at FROM orders)"
+SINCE = 800000000
+
+
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("project_guid"), F.col("o_orderkey").alias("sha"), F.unix_timestamp("o_orderdate").alias("committed_at"))
+
+
+@query("history_sync", f"""WITH {_COMMITS}, s AS (SELECT * FROM commits WHERE sha % 5 <> 0), p AS (SELECT * FROM commits WHERE sha % 3 <> 0)
+SELECT project_guid, sha, change FROM (SELECT coalesce(p.project_guid, s.project_guid) AS project_guid, coalesce(p.sha, s.sha) AS sha, CASE WHEN s.sha IS NULL THEN 'indexed' WHEN p.sha IS NOT NULL THEN 'unchanged' WHEN s.committed_at >= {SINCE} THEN 'removed' END AS change
+FROM p FULL JOIN s ON p.project_guid = s.project_guid AND p.sha = s.sha) WHERE change IS NOT NULL""")
+def history_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = commits(spark, sf_dir)
+    return R.history_sync(c.where("sha % 3 <> 0"), c.where("sha % 5 <> 0"), SINCE)
+
+
+@query("history_keep_last", f"WITH {_COMMITS}, r AS (SELECT *, row_number() OVER (PARTITION BY project_guid ORDER BY committed_at DESC, sha DESC) AS rank FROM commits) SELECT project_guid, sha, committed_at, rank FROM r WHERE rank > 20 AND committed_at < {SINCE * 11 // 10}")
+def history_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.keep_last(commits(spark, sf_dir), 20, SINCE * 11 // 10)
+
+
+@query("file_history", f"""WITH {_COMMITS}, t AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem), h AS (SELECT path, sha, committed_at, count(*) OVER (PARTITION BY path) AS total, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, sha DESC) AS rank FROM t JOIN commits USING (sha) WHERE path % 7 = 0)
+SELECT path, sha, committed_at, total, left(sha::VARCHAR, 8) AS short_sha, path % 2 = 0 AS path_indexed FROM h WHERE rank <= 10""")
+def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path")).distinct()
+    paths = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"))
+    return R.file_history(commits(spark, sf_dir).drop("project_guid"), touched.where("path % 7 = 0"), paths.where("path % 2 = 0"), touched.select("path").distinct(), 10)
+
+
+@query("index_equivalence", f"""WITH {CHUNKS_SQL}, a AS (SELECT path, list((start_line, end_line) ORDER BY start_line, end_line) AS s FROM chunks WHERE doc_id % 10 <> 0 GROUP BY path),
+b AS (SELECT path, list((start_line, end_line + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END) ORDER BY start_line, end_line) AS s FROM chunks WHERE doc_id % 8 <> 0 GROUP BY path)
+SELECT path, problem FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'only_a' WHEN a.path IS NULL THEN 'only_b' WHEN a.s <> b.s THEN 'spans' END AS problem FROM a FULL JOIN b ON a.path = b.path) WHERE problem IS NOT NULL""")
+def index_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks(spark, sf_dir)
+    b = c.where("doc_id % 8 <> 0").withColumn("end_line", F.col("end_line") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0))
+    return R.equivalence(c.where("doc_id % 10 <> 0"), b)
+
+
+@query("merge_labels", "WITH i AS (SELECT o_orderkey % 500 AS base_commit, list_sort(list_distinct(list(l_partkey % 3))) AS gold, any_value(o_orderpriority) AS dataset FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) SELECT base_commit, gold, list_sort(list(DISTINCT dataset)) AS datasets, count(*) AS n FROM i GROUP BY base_commit, gold")
+def merge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    i = j.groupBy("o_orderkey").agg(F.collect_list(F.col("l_partkey") % 3).alias("gold"), F.first("o_orderpriority").alias("dataset"))
+    return R.merge_labels(i.select((F.col("o_orderkey") % 500).alias("base_commit"), "gold", "dataset"))
+
+
+@query("skip_decision", f"""WITH {FILES_SQL}, {_MANIFEST}, s AS (SELECT path, sha256, status, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'c1' END AS chunks_version, CASE WHEN doc_id % 5 = 0 THEN 's0' ELSE 's1' END AS symbols_version FROM files)
+SELECT m.path, CASE WHEN status = 'indexing' THEN 'in_flight' WHEN coalesce(lower(m.sha256) = lower(s.sha256) AND chunks_version = 'c1' AND status = 'indexed', false) AND symbols_version = 's1' THEN 'unchanged'
+WHEN coalesce(lower(m.sha256) = lower(s.sha256) AND chunks_version = 'c1' AND status = 'indexed', false) THEN 'symbols_only' WHEN s.sha256 IS NULL THEN 'new' ELSE 'full' END AS decision FROM manifest m LEFT JOIN s USING (path)""")
+def skip_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    s = f.select("path", "sha256", "status", F.when(F.col("doc_id") % 4 != 0, "c1").alias("chunks_version"), F.when(F.col("doc_id") % 5 == 0, "s0").otherwise("s1").alias("symbols_version"))
+    return R.skip_decision(manifest(spark, sf_dir), s, {"chunks_version": "c1", "symbols_version": "s1"})
