@@ -53,8 +53,10 @@ def dense_search_batch(vectors: DataFrame, queries: DataFrame, top_k: int, digit
     for k in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k) if blocks > 1 else queries
         rows = own.collect()
+        if not rows and (k < blocks - 1 or out is not None):
+            continue
         ids = np.array([r.q for r in rows], np.int64)
-        mat = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
+        mat = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), len(rows[0].embedding) if rows else 0)
         mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
 
         def best(batches: Iterator[pa.RecordBatch], ids=ids, mat=mat) -> Iterator[pa.RecordBatch]:

@@ -1 +1,65 @@
-"""Queries."""
+"""Derivation queries over documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import derive as D
+from ..registry import query, table
+
+
+@query("doc_slices", "SELECT doc_id, strlen(text) AS bytes, length(text) AS chars, true AS within FROM documents")
+def doc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows cover every character once and keep the token bound."""
+    s = D.slice_files(table(spark, sf_dir, "documents"))
+    return s.groupBy("doc_id").agg(F.sum(F.octet_length("code")).alias("bytes"), F.sum(F.length("code")).alias("chars"), (F.max("tokens") <= D.MAX_TOKENS).alias("within"))
+
+
+@query("doc_windows")
+def doc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.slice_files(table(spark, sf_dir, "documents")).select("doc_id", "start_line", "end_line", "tokens", F.sha2("code", 256).alias("sha256"))
+
+
+@query("markdown_pack")
+def markdown_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document is a block; every fifth is a heading."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 5 == 0, F.concat(F.substring(F.lit("######"), F.lit(1), i % 6 + 1), F.lit(" "))).otherwise(""), x))
+    return D.pack_markdown(D.markdown_blocks(d.select("doc_id", F.array_join(lines, "\n\n").alias("text"))))
+
+
+@query("doc_symbols", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+m AS (SELECT doc_id, i, CASE WHEN (i + doc_id) % 4 = 0 THEN '  def ' || replace(left(line, 9), ' ', '_') || '():' ELSE line END AS line FROM l)
+SELECT doc_id, regexp_extract(line, '^[ \t]*(?:async )?(def|class) +([A-Za-z_][A-Za-z0-9_]*)', 2) AS name, 'def' AS kind, i::INT AS start_line, 2 AS indent FROM m WHERE regexp_matches(line, '^[ \t]*(?:async )?(def|class) +([A-Za-z_][A-Za-z0-9_]*)')""")
+def doc_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1 + F.col("doc_id")) % 4 == 0, F.concat(F.lit("  def "), F.replace(F.left(x, F.lit(9)), F.lit(" "), F.lit("_")), F.lit("():"))).otherwise(x))
+    return D.symbols(d.select("doc_id", F.array_join(lines, "\n").alias("text")), "python")
+
+
+@query("hash_embeddings", "SELECT doc_id, 64 AS dim, true AS unit FROM documents")
+def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "documents").select("doc_id", D.embed(F.col("text")).alias("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return v.select("doc_id", F.size("v").alias("dim"), (F.abs(length - 1) < 1e-5).alias("unit"))
+
+
+@query("page_sections", r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[^>]*>', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM s GROUP BY ALL""")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(h[1-6])[^>]*>"), 1)).alias("tag"))
+    return s.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PROJ = "unnest(['prose', 'ident', 'ident-intent'])"
+
+
+@query("query_projections", f"WITH p AS (SELECT item_id, text, {_PROJ} AS projection FROM benchmark) SELECT item_id, projection, CASE projection WHEN 'prose' THEN text WHEN 'ident' THEN array_to_string(list_slice(regexp_extract_all(text, '[a-z]{{6,}}'), 1, 12), ' ') ELSE concat('where is ', array_to_string(list_slice(regexp_extract_all(text, '[a-z]{{6,}}'), 1, 3), ' ')) END AS query FROM p")
+def query_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.regexp_extract_all("text", F.lit("[a-z]{6,}"), 0)
+    each = F.array(
+        F.struct(F.lit("prose").alias("projection"), F.col("text").alias("query")),
+        F.struct(F.lit("ident").alias("projection"), F.array_join(F.slice(names, 1, 12), " ").alias("query")),
+        F.struct(F.lit("ident-intent").alias("projection"), F.concat(F.lit("where is "), F.array_join(F.slice(names, 1, 3), " ")).alias("query")),
+    )
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(each).alias("p")).select("item_id", "p.*")

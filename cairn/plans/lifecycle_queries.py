@@ -11,7 +11,7 @@ from .standins import CHUNKS_SQL, FILES_SQL, STATUSES, chunks, files
 
 NOW = 1700030000
 _EV = "CASE event_type WHEN 'signup' THEN 'just_uploaded' WHEN 'view' THEN 'indexing' WHEN 'click' THEN 'indexed' WHEN 'error' THEN 'failed' ELSE 'deleted' END"
-_UPD = f"upd AS (SELECT user_id AS file, event_id AS id, {_EV} AS status, epoch(ts)::BIGINT AS at_s FROM events)"
+_UPD = f"upd AS (SELECT user_id AS file, event_id AS id, {_EV} AS status, floor(epoch(ts))::BIGINT AS at_s FROM events)"
 _MOVES = f"""{_UPD}, o AS (SELECT *, lag(status) OVER w AS old_status, sum((status = 'indexed')::INT) OVER w AS era FROM upd WINDOW w AS (PARTITION BY file ORDER BY id)),
 moves AS (SELECT *, sum((status = 'failed')::INT) OVER (PARTITION BY file, era ORDER BY id) AS retry_count,
   coalesce((old_status IS NULL AND status IN ('just_uploaded', 'indexing')) OR (status IN ('indexing', 'deleted') AND old_status IS NOT NULL) OR (old_status = 'indexing' AND status IN ('indexed', 'cancelled', 'failed')) OR old_status = status, false) AS legal FROM o)"""
@@ -73,10 +73,10 @@ def retry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.retry_candidates(files(spark, sf_dir), NOW, 3600, 7200, 3).select("project_guid", "path")
 
 
-_RUNS = "runs AS (SELECT concat('m', user_id % 3) AS model, event_type AS effort, CASE WHEN event_id % 4 = 0 THEN 'challenge' ELSE 'research' END AS kind, epoch(ts)::BIGINT AS created_at, (value * 1000)::BIGINT AS elapsed_ms FROM events)"
+_RUNS = "runs AS (SELECT concat('m', user_id % 3) AS model, event_type AS effort, CASE WHEN event_id % 4 = 0 THEN 'challenge' ELSE 'research' END AS kind, floor(epoch(ts))::BIGINT AS created_at, (value * 1000)::BIGINT AS elapsed_ms FROM events)"
 
 
-@query("observed_cost", f"""WITH {_RUNS}, p AS (SELECT model, effort, elapsed_ms, count(*) OVER (PARTITION BY model, effort) AS n, row_number() OVER (PARTITION BY model, effort ORDER BY elapsed_ms) AS k FROM runs WHERE kind = 'research' AND created_at >= (SELECT max(epoch(ts)::BIGINT) FROM events) - 2592000)
+@query("observed_cost", f"""WITH {_RUNS}, p AS (SELECT model, effort, elapsed_ms, count(*) OVER (PARTITION BY model, effort) AS n, row_number() OVER (PARTITION BY model, effort ORDER BY elapsed_ms) AS k FROM runs WHERE kind = 'research' AND created_at >= (SELECT max(floor(epoch(ts))::BIGINT) FROM events) - 2592000)
 SELECT model, effort, count(*) AS runs, ceil(max(elapsed_ms) FILTER (k = least(greatest(ceil(n * 0.5), 1), n)) / 1000)::BIGINT AS p50_s, ceil(max(elapsed_ms) FILTER (k = least(greatest(ceil(n * 0.9), 1), n)) / 1000)::BIGINT AS p90_s FROM p GROUP BY model, effort HAVING count(*) >= 3""")
 def observed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -98,7 +98,7 @@ def prune_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gc_phases", f"""WITH {FILES_SQL}, {CHUNKS_SQL}, {_UPD}, gone AS (SELECT path, n FROM chunks WHERE status = 'deleted' AND n % 2 = 0), kept AS (SELECT path FROM chunks ANTI JOIN gone USING (path, n) WHERE n < 2)
 SELECT 1 AS phase, 'chunks' AS name, (SELECT count(*) FROM gone) AS removed UNION ALL SELECT 2, 'files', (SELECT count(*) FROM files WHERE status = 'deleted' AND path NOT IN (SELECT path FROM (SELECT path FROM chunks ANTI JOIN gone USING (path, n))))
-UNION ALL SELECT 3, 'status_log', (SELECT count(*) FROM upd WHERE at_s < (SELECT max(at_s) FROM upd) - 864000) UNION ALL SELECT 4, 'research', (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0 AND epoch(o_orderdate)::BIGINT < (SELECT max(at_s) FROM upd))""")
+UNION ALL SELECT 3, 'status_log', (SELECT count(*) FROM upd WHERE at_s < (SELECT max(at_s) FROM upd) - 864000) UNION ALL SELECT 4, 'research', (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0 AND floor(epoch(o_orderdate))::BIGINT < (SELECT max(at_s) FROM upd))""")
 def gc_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir).withColumn("chunk", F.concat_ws("#", "path", "n"))
     log = updates(spark, sf_dir)

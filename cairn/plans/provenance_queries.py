@@ -118,7 +118,7 @@ def file_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("ord"), F.when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("l_suppkey") % 3, "changed").otherwise("fresh").alias("state"))
 
 
-@query("run_sequences", "WITH o AS (SELECT o_custkey AS project_guid, epoch(o_orderdate)::BIGINT AS created_at, o_orderkey AS id FROM orders), s AS (SELECT project_guid, count(*) AS top FROM o WHERE id % 2 = 0 GROUP BY 1) SELECT o.project_guid, id, coalesce(top, 0) + row_number() OVER (PARTITION BY o.project_guid ORDER BY created_at, id) AS seq, created_at + 604800 AS expires_at FROM o LEFT JOIN s USING (project_guid) WHERE id % 2 = 1")
+@query("run_sequences", "WITH o AS (SELECT o_custkey AS project_guid, floor(epoch(o_orderdate))::BIGINT AS created_at, o_orderkey AS id FROM orders), s AS (SELECT project_guid, count(*) AS top FROM o WHERE id % 2 = 0 GROUP BY 1) SELECT o.project_guid, id, coalesce(top, 0) + row_number() OVER (PARTITION BY o.project_guid ORDER BY created_at, id) AS seq, created_at + 604800 AS expires_at FROM o LEFT JOIN s USING (project_guid) WHERE id % 2 = 1")
 def run_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_guid"), F.unix_timestamp("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("id"))
     stored = o.where("id % 2 = 0").withColumn("seq", F.row_number().over(Window.partitionBy("project_guid").orderBy("id")))

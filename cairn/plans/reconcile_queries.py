@@ -24,7 +24,7 @@ def drift_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.drift(manifest(spark, sf_dir), files(spark, sf_dir))
 
 
-_COMMITS = "commits AS (SELECT o_custkey % 50 AS project_guid, o_orderkey AS sha, epoch(o_orderdate)::BIGINT AS committed_at FROM orders)"
+_COMMITS = "commits AS (SELECT o_custkey % 50 AS project_guid, o_orderkey AS sha, floor(epoch(o_orderdate))::BIGINT AS committed_at FROM orders)"
 SINCE = 800000000
 
 
