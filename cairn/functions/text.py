@@ -119,3 +119,12 @@ def spans_of(text: Column) -> Column:
 def eta(seconds: Column) -> Column:
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
     return F.when(h > 0, F.format_string("%dh%02dm", h, m)).when(m > 0, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def mangled(token: Column, way: Column) -> Column:
+    """A name as a caller might misremember it: 0 snake to camel or back, 1 inner vowels dropped, 2 first two letters swapped."""
+    camel = F.concat(F.substring(token, 1, 1), F.substring(F.replace(F.initcap(F.replace(token, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")), 2, 200))
+    flip = F.when(token.contains("_"), camel).otherwise(F.lower(F.regexp_replace(token, "([a-z0-9])([A-Z])", "$1_$2")))
+    bare = F.concat(F.substring(token, 1, 1), F.regexp_replace(F.substring(token, 2, 200), "[aeiouAEIOU]", ""))
+    swap = F.concat(F.substring(token, 2, 1), F.substring(token, 1, 1), F.substring(token, 3, 200))
+    return F.when(way == 0, flip).when(way == 1, bare).otherwise(swap)

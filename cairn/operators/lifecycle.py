@@ -87,3 +87,43 @@ def collection_health(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     c = chunks.where("status = 'active'").groupBy("project_guid").agg(F.count(F.lit(1)).alias("chunks"))
     v = vectors.groupBy("project_guid").agg(F.count(F.lit(1)).alias("vectors"))
     return c.join(v, "project_guid", "left").withColumn("stale", F.coalesce(F.col("chunks") != F.col("vectors"), F.lit(False)))
+
+
+def apply_action(files: DataFrame, selector: Column, action: str) -> DataFrame:
+    """Files after cancel, delete or requeue of what the selector picks; changed tells which rows moved.
+
+    Cancel ends files in indexing, delete marks any, requeue resets the retries of failed files and keeps their status.
+    """
+    on = {"cancel": selector & (F.col("status") == "indexing"), "delete": selector & (F.col("status") != "deleted"), "requeue": selector & (F.col("status") == "failed")}[action]
+    status = {"cancel": F.lit("cancelled"), "delete": F.lit("deleted"), "requeue": F.col("status")}[action]
+    out = files.withColumn("changed", on)
+    if action == "requeue":
+        return out.withColumn("retry_count", F.when(on, 0).otherwise(F.col("retry_count")))
+    return out.withColumn("status", F.when(on, status).otherwise(F.col("status")))
+
+
+def pin(runs: DataFrame, selector: Column, pinned: bool, retention: int) -> DataFrame:
+    """A pinned run has no expiry; unpinning counts it from its creation."""
+    return runs.withColumn("expires_at", F.when(selector, F.lit(None).cast("long") if pinned else F.col("created_at") + retention).otherwise(F.col("expires_at")))
+
+
+def health(checks: DataFrame, key: str) -> DataFrame:
+    """key, verdict: a failed required check is unhealthy, a failed optional one degraded. checks: required, ok."""
+    grave = F.max(F.when(F.col("ok"), 0).when(F.col("required"), 2).otherwise(1))
+    return checks.groupBy(key).agg(F.element_at(F.array(F.lit("ok"), F.lit("degraded"), F.lit("unhealthy")), grave + 1).alias("verdict"))
+
+
+def probe(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """path, state of the asked paths only: removed, in_flight, changed or fresh. asked: path, sha256."""
+    f = files.where("status <> 'deleted'").select("path", F.col("sha256").alias("_now"), "status")
+    j = asked.join(f, "path", "left")
+    return j.select("path", F.when(F.col("_now").isNull(), "removed").when(F.col("status") == "indexing", "in_flight").when(F.col("_now") != F.col("sha256"), "changed").otherwise("fresh").alias("state"))
+
+
+def load_summary(requests: DataFrame) -> DataFrame:
+    """level, requests, errors, wall_s, per_s and nearest-rank p50/p90/p95/p99 of ms; requests: level, started, ms, ok."""
+    w = Window.partitionBy("level")
+    placed = requests.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("ms")))
+    at = lambda q: F.max(F.when(F.col("k") == F.greatest(F.ceil(F.col("n") * q), F.lit(1)), F.col("ms"))).alias(f"p{round(q * 100)}")
+    out = placed.groupBy("level").agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("errors"), (F.max("started") - F.min("started")).alias("wall_s"), *[at(q) for q in (0.5, 0.9, 0.95, 0.99)])
+    return out.withColumn("per_s", F.round(F.col("requests") / F.greatest("wall_s", F.lit(1)), 6))

@@ -110,3 +110,25 @@ def insert_runs(stored: DataFrame, new: DataFrame, retention: int) -> DataFrame:
     top = stored.groupBy("project_guid").agg(F.max("seq").alias("_top"))
     k = F.row_number().over(Window.partitionBy("project_guid").orderBy("created_at", "id"))
     return new.withColumn("_k", k).join(top, "project_guid", "left").withColumn("seq", F.coalesce("_top", F.lit(0)) + F.col("_k")).withColumn("expires_at", F.col("created_at") + retention).drop("_k", "_top")
+
+
+def excerpts(verified: DataFrame, chunks: DataFrame, cap: int) -> DataFrame:
+    """run, path, start_line, bytes of the active chunks under verified citations, in order, whole, up to ``cap`` bytes a run."""
+    hit = verified.join(chunks.where("status = 'active'"), "path").where(overlaps(F.col("start_line"), F.col("end_line"), F.col("start"), F.col("end")))
+    once = hit.select("run", "path", "start_line", F.octet_length("code").alias("bytes")).distinct()
+    order = Window.partitionBy("run").orderBy("path", "start_line")
+    return once.withColumn("_t", F.sum("bytes").over(order)).where(F.col("_t") <= cap).drop("_t")
+
+
+def standing_challenges(challenges: DataFrame) -> DataFrame:
+    """The newest challenge with a verdict of each run; an inconclusive one never replaces it. challenges: challenged, seq, verdict."""
+    k = F.row_number().over(Window.partitionBy("challenged").orderBy(F.desc("seq")))
+    return challenges.where("verdict is not null").withColumn("k", k).where("k = 1").drop("k")
+
+
+def verification(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """run, matches, spans_available: recorded counters against those of the evidence; both run, verified, path_only, unverified."""
+    r = recomputed.select("run", *[F.col(c).alias(f"_{c}") for c in ("verified", "path_only", "unverified")])
+    j = recorded.join(r, "run", "left")
+    same = (F.col("verified") == F.col("_verified")) & (F.col("path_only") == F.col("_path_only")) & (F.col("unverified") == F.col("_unverified"))
+    return j.select("run", F.coalesce(same, F.lit(False)).alias("matches"), F.col("_verified").isNotNull().alias("spans_available"))

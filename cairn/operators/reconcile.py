@@ -69,3 +69,17 @@ def skip_decision(posted: DataFrame, stored: DataFrame, versions: dict[str, str]
         rest = rest & c
     decision = F.when(F.col("status") == "indexing", "in_flight").when(content & rest & symbols & (F.col("status") == "indexed"), "unchanged").when(content & rest & (F.col("status") == "indexed"), "symbols_only").when(F.col("_sha").isNull(), "new").otherwise("full")
     return j.select("path", decision.alias("decision"))
+
+
+def registry_differences(compiled: DataFrame, stored: DataFrame) -> DataFrame:
+    """id, dim, side of entries that only one registry has; empty when they agree."""
+    only = lambda a, b, side: a.select("id", "dim").exceptAll(b.select("id", "dim")).withColumn("side", F.lit(side))
+    return only(compiled, stored, "compiled").unionByName(only(stored, compiled, "stored"))
+
+
+def requests_in_order(rows: DataFrame) -> DataFrame:
+    """batch, ok, values: answers put back by their asserted index; a missing or repeated index refuses the batch."""
+    g = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("r"))
+    index = F.transform("r", lambda x: x["index"])
+    ok = index == F.sequence(F.lit(0), F.size("r") - 1)
+    return g.select("batch", ok.alias("ok"), F.when(ok, F.transform("r", lambda x: x["value"])).alias("values"))

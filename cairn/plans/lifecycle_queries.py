@@ -113,3 +113,57 @@ SELECT project_guid, chunks, vectors, coalesce(chunks <> vectors, false) AS stal
 def collection_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     return L.collection_health(c, c.where("status = 'active' and project_guid <> 'src3' and (project_guid = 'src1' or n < 5)"))
+
+
+def _action(name: str, changed: str, status: str, retry: str) -> None:
+    @query(f"files_{name}", f"WITH {FILES_SQL} SELECT doc_id, {status} AS status, {retry} AS retry_count, {changed} AS changed FROM files")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = files(spark, sf_dir)
+        return L.apply_action(f, F.col("programming_language") == "fr", name).select("doc_id", "status", "retry_count", "changed")
+
+
+_action("cancel", "programming_language = 'fr' AND status = 'indexing'", "CASE WHEN programming_language = 'fr' AND status = 'indexing' THEN 'cancelled' ELSE status END", "retry_count")
+_action("delete", "programming_language = 'fr' AND status <> 'deleted'", "CASE WHEN programming_language = 'fr' THEN 'deleted' ELSE status END", "retry_count")
+_action("requeue", "programming_language = 'fr' AND status = 'failed'", "status", "CASE WHEN programming_language = 'fr' AND status = 'failed' THEN 0 ELSE retry_count END")
+
+
+@query("pin_runs", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE floor(epoch(o_orderdate))::BIGINT + 86400 END AS expires_at FROM orders")
+def pin_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", F.unix_timestamp("o_orderdate").alias("created_at"))
+    return L.pin(o.withColumn("expires_at", F.col("created_at") + 86400), F.col("o_orderstatus") == "P", True, 86400).select("id", "expires_at")
+
+
+@query("health_fold", "SELECT c_nationkey AS node, CASE max(CASE WHEN c_acctbal > 0 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'ok' END AS verdict FROM customer WHERE c_custkey % 40 < 3 GROUP BY 1")
+def health_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_custkey % 40 < 3")
+    return L.health(c.select(F.col("c_nationkey").alias("node"), (F.col("c_acctbal") > 0).alias("ok"), (F.col("c_mktsegment") == "BUILDING").alias("required")), "node")
+
+
+@query("freshness_probe", f"WITH {FILES_SQL}, a AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE sha256 END AS sha FROM files WHERE doc_id % 3 = 0) SELECT a.path, CASE WHEN f.path IS NULL THEN 'removed' WHEN status = 'indexing' THEN 'in_flight' WHEN f.sha256 <> a.sha THEN 'changed' ELSE 'fresh' END AS state FROM a LEFT JOIN files f ON f.path = a.path AND f.status <> 'deleted'")
+def freshness_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    return L.probe(f.where("doc_id % 3 = 0").select("path", F.when(F.col("doc_id") % 4 == 0, "x").otherwise(F.col("sha256")).alias("sha256")), f)
+
+
+@query("load_summary", "WITH r AS (SELECT user_id % 4 AS level, floor(epoch(ts))::BIGINT AS started, value AS ms, event_type <> 'error' AS ok FROM events), p AS (SELECT *, count(*) OVER (PARTITION BY level) AS n, row_number() OVER (PARTITION BY level ORDER BY ms) AS k FROM r) SELECT level, count(*) AS requests, count(*) FILTER (NOT ok) AS errors, max(started) - min(started) AS wall_s, " + ", ".join(f"max(ms) FILTER (k = greatest(ceil(n * {q}), 1)) AS p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + ", round(count(*) / greatest(max(started) - min(started), 1), 6) AS per_s FROM p GROUP BY level")
+def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return L.load_summary(e.select((F.col("user_id") % 4).alias("level"), F.unix_timestamp("ts").alias("started"), F.col("value").alias("ms"), (F.col("event_type") != "error").alias("ok")))
+
+
+@query("drop_reasons", f"WITH {FILES_SQL} SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN status = 'deleted' THEN 'deleted' WHEN programming_language = 'es' THEN 'language' ELSE 'kept' END AS reason, count(*) AS n, count(DISTINCT sha256) AS contents FROM files GROUP BY 1")
+def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.when(F.col("n_chars") < 200, "short").when(F.col("status") == "deleted", "deleted").when(F.col("programming_language") == "es", "language").otherwise("kept")
+    return files(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sha256").alias("contents"))
+
+
+@query("cumulative_progress", f"WITH {CHUNKS_SQL}, b AS (SELECT path, n, length(code) AS size FROM chunks) SELECT path, n, sum(size) OVER (PARTITION BY path ORDER BY n)::BIGINT AS done FROM b")
+def cumulative_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    return chunks(spark, sf_dir).select("path", "n", F.sum(F.length("code")).over(Window.partitionBy("path").orderBy("n")).alias("done"))
+
+
+@query("longest_chunks", f"WITH {CHUNKS_SQL} SELECT path, n, length(code) AS size FROM chunks ORDER BY size DESC, path, n LIMIT 25")
+def longest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).select("path", "n", F.length("code").alias("size")).orderBy(F.desc("size"), "path", "n").limit(25)

@@ -130,3 +130,30 @@ def challenge_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs(spark, sf_dir)
     c = r.where("kind = 'challenge'").select("run", F.expr("run div 5").alias("challenged"))
     return c.join(r.select(F.col("run").alias("challenged"), F.col("turns").alias("subject_turns")), "challenged", "left").select("run", "challenged", "subject_turns", F.col("subject_turns").isNull().alias("subject_deleted"))
+
+
+@query("standing_challenges", "WITH c AS (SELECT user_id % 300 AS challenged, event_id AS seq, CASE event_type WHEN 'error' THEN 'refuted' WHEN 'view' THEN 'confirmed' WHEN 'click' THEN 'disputed' END AS verdict FROM events) SELECT challenged, seq, verdict FROM (SELECT *, row_number() OVER (PARTITION BY challenged ORDER BY seq DESC) AS k FROM c WHERE verdict IS NOT NULL) WHERE k = 1")
+def standing_challenges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.expr("CASE event_type WHEN 'error' THEN 'refuted' WHEN 'view' THEN 'confirmed' WHEN 'click' THEN 'disputed' END")
+    return P.standing_challenges(table(spark, sf_dir, "events").select((F.col("user_id") % 300).alias("challenged"), F.col("event_id").alias("seq"), v.alias("verdict")))
+
+
+@query("offline_verification", f"WITH {_CIT}, n AS (SELECT run, count(*) FILTER (verdict = 'verified') AS v FROM verdicts GROUP BY run) SELECT run, run % 7 <> 0 AND run % 5 <> 0 AS matches, run % 5 <> 0 AS spans_available FROM n")
+def offline_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = P.citation_counters(verdicts(spark, sf_dir))
+    return P.verification(n.withColumn("verified", F.col("verified") + (F.col("run") % 7 == 0).cast("int")), n.where("run % 5 <> 0"))
+
+
+@query("citation_excerpts", f"""WITH {CHUNKS_SQL}, v AS (SELECT DISTINCT doc_id % 50 AS run, path, 2 AS s, 8 AS e FROM chunks WHERE doc_id % 3 = 0), h AS (SELECT DISTINCT run, c.path, start_line, strlen(code) AS bytes FROM v JOIN chunks c ON c.path = v.path AND start_line <= e AND end_line >= s WHERE status = 'active'),
+t AS (SELECT *, sum(bytes) OVER (PARTITION BY run ORDER BY path, start_line) AS t FROM h) SELECT run, path, start_line, bytes FROM t WHERE t <= 8000""")
+def citation_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunks(spark, sf_dir)
+    v = c.where("doc_id % 3 = 0").select((F.col("doc_id") % 50).alias("run"), "path", F.lit(2).alias("start"), F.lit(8).alias("end")).distinct()
+    return P.excerpts(v, c, 8000)
+
+
+@query("browse_runs", f"WITH RECURSIVE {_VALID} SELECT run, turns FROM runs JOIN valid USING (run) WHERE valid AND run NOT IN (3, 4, 8) ORDER BY run DESC LIMIT 15")
+def browse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = runs(spark, sf_dir)
+    seen = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in (3, 4, 8)])).alias("run"))
+    return r.join(P.validity(r, edges(r)).where("valid"), "run", "left_semi").join(seen, "run", "left_anti").orderBy(F.desc("run")).limit(15).select("run", "turns")

@@ -76,3 +76,21 @@ def skip_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     s = f.select("path", "sha256", "status", F.when(F.col("doc_id") % 4 != 0, "c1").alias("chunks_version"), F.when(F.col("doc_id") % 5 == 0, "s0").otherwise("s1").alias("symbols_version"))
     return R.skip_decision(manifest(spark, sf_dir), s, {"chunks_version": "c1", "symbols_version": "s1"})
+
+
+@query("registry_equality", "WITH c AS (SELECT r_name AS id, r_regionkey * 1024 AS dim FROM region), s AS (SELECT r_name AS id, CASE WHEN r_regionkey = 2 THEN 1 ELSE r_regionkey * 1024 END AS dim FROM region WHERE r_regionkey <> 4) SELECT *, 'compiled' AS side FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM s) UNION ALL SELECT *, 'stored' FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM c)")
+def registry_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "region").select(F.col("r_name").alias("id"), (F.col("r_regionkey") * 1024).alias("dim"), "r_regionkey")
+    s = c.where("r_regionkey <> 4").withColumn("dim", F.when(F.col("r_regionkey") == 2, 1).otherwise(F.col("dim")))
+    return R.registry_differences(c, s)
+
+
+@query("answers_in_order", "WITH r AS (SELECT l_orderkey AS batch, l_linenumber - 1 AS i, l_partkey AS v FROM lineitem), g AS (SELECT batch, list(i ORDER BY i, v) AS i, list(v ORDER BY i, v) AS v FROM r GROUP BY batch) SELECT batch, i = range(len(i)) AS ok, CASE WHEN i = range(len(i)) THEN v END AS values FROM g")
+def answers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.requests_in_order(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch"), (F.col("l_linenumber") - 1).alias("index"), F.col("l_partkey").alias("value")))
+
+
+@query("leg_instances", "SELECT o_orderkey AS q FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_quantity > 40")
+def leg_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instances that every leg of a fusion has."""
+    return table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("q")).intersect(table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_orderkey"))

@@ -155,3 +155,21 @@ def min_doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = names(queries(spark, sf_dir), "q")
     df = names(table(spark, sf_dir, "documents"), "doc_id").join(asked.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("df"))
     return asked.join(df, "name", "left").groupBy("q").agg(F.count("df").alias("present"), F.min("df").alias("ident_df_min"))
+
+
+@query("mangled_names", """WITH t AS (SELECT p_partkey, concat(lower(replace(p_name, ' ', '_')), '_Xy') AS t FROM part) SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN concat(left(t, 1), regexp_replace(substr(t, 2), '[aeiouAEIOU]', '', 'g')) WHEN 2 THEN concat(substr(t, 2, 1), left(t, 1), substr(t, 3))
+ELSE concat(left(t, 1), substr(array_to_string(list_transform(string_split(t, '_'), lambda w: concat(upper(left(w, 1)), lower(substr(w, 2)))), ''), 2)) END AS name FROM t""")
+def mangled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_Xy"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.mangled(t, F.col("p_partkey") % 3).alias("name"))
+
+
+@query("attribute_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license') OR contains(lower(lang), 'license')")
+def attribute_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = lambda c: F.contains(F.lower(c), F.lit("license"))
+    return table(spark, sf_dir, "documents").where(hit("text") | hit("source") | hit("lang")).select("doc_id")
+
+
+@query("round_up_steps", "SELECT p_partkey, ceil(p_retailprice / 0.5 - 1e-12) * 0.5::DOUBLE AS price FROM part")
+def round_up_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.round_up(F.col("p_retailprice"), 0.5).alias("price"))
