@@ -26,6 +26,8 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: Tokens with a digit or an @ may be identifiers.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 ROUNDS, LEAST_SEEDS, GOOD_PATTERN, ACCEPT = 3, 3, 0.5, 0.9
+#: Matches that are gathered at a time.
+PIECE = 256
 SPAN = "struct<k: int, start: int, end: int, value: string, left: string>"
 
 
@@ -33,7 +35,6 @@ def matches(text: Column, k: int, regex: str) -> Column:
     """Array of SPAN for the matches: code points from 0, end exclusive; left: up to 60 characters before."""
     found, parts = F.regexp_extract_all(text, F.lit(regex), 0), F.split(text, regex, -1)
     zipped = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("part"), found.alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["part"])
@@ -41,7 +42,15 @@ def matches(text: Column, k: int, regex: str) -> Column:
         span = F.struct(F.lit(k).alias("k"), start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["part"], F.lit(60)).alias("left"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    def run(acc: Column, piece: Column) -> Column:
+        zero = F.struct(acc["at"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(piece, zero, step, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    # an array that grows is copied each time, so it grows within pieces of bounded size: the work stays near-linear
+    last = F.floor(F.greatest(F.size(found) - 1, F.lit(0)) / PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(zipped, i * PIECE + 1, F.lit(PIECE)))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    return F.aggregate(pieces, zero, run, lambda acc: F.flatten(acc["out"]))
 
 
 def digits(value: Column) -> Column:
