@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import broadcast_if_small, settle, table
 
-FIELD, SPACES = "<*>", r"[\x20\x09-\x0D]+"
+FIELD, SPACES, NOT_SPACE = "<*>", r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 #: Leading tokens that part the lines of one length.
 DEPTH = 2
 #: Documents in which a template recurs; lines of a leaf that make a token fixed; share of a template's fixed tokens.
@@ -22,8 +22,10 @@ MIN_DOCS, SIMILARITY = 10, 0.6
 
 def tokens(line: Column) -> Column:
     """The tokens of a line; those with a digit are fields."""
-    plain = F.filter(F.split(line, SPACES), lambda t: t != "")
-    return F.when(line.rlike("[0-9]"), F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))).otherwise(plain)
+    split = lambda by: F.array_remove(F.split(line, by), "")
+    marked = F.transform(split(SPACES), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    # most lines have neither digits nor white space but blanks: no regular expression splits those
+    return F.when(line.rlike(r"[0-9\x09-\x0D]"), marked).otherwise(split(" "))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -31,15 +33,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     # the hash comes first, so that no line's row carries the whole text
     hashed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
     split = hashed.select("doc_id", "h", F.posexplode("lines").alias("i", "line"))
-    cut = split.select("doc_id", "h", "i", tokens(F.col("line")).alias("t")).where(F.size("t") > 0)
+    cut = split.where(F.col("line").rlike(NOT_SPACE)).select("doc_id", "h", "i", tokens(F.col("line")).alias("t"))
     return cut.select("doc_id", "h", "i", F.xxhash64(F.size("t"), F.slice("t", 1, DEPTH)).alias("leaf"), F.array_join("t", " ").alias("form"))
 
 
 def templates(forms: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """f and template (hash) of every distinct form; forms: leaf, f (hash of the form), form, n (its lines)."""
-    words = forms.select("leaf", "f", "n", F.posexplode(F.split("form", " ")).alias("p", "token"))
-    fixed = words.where(F.col("token") != FIELD).groupBy("leaf", "p", "token").agg(F.sum("n").alias("votes")).where(F.col("votes") >= min_docs)
-    voted = words.join(fixed.select("leaf", "p", "token", F.lit(True).alias("fixed")), ["leaf", "p", "token"], "left")
+    words = forms.select("leaf", "f", "n", F.posexplode(F.split("form", " ")).alias("p", "token")).withColumn("place", F.xxhash64("leaf", "p", "token"))
+    fixed = words.where(F.col("token") != FIELD).groupBy("place").agg(F.sum("n").alias("votes")).where(F.col("votes") >= min_docs)
+    fixed = settle(fixed.select("place", F.lit(True).alias("fixed")))
+    voted = words.join(broadcast_if_small(fixed, fixed.count(), 32), "place", "left")
     part = F.struct("p", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)).alias("token"))
     whole = voted.groupBy("leaf", "f").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.avg(F.col("fixed").isNotNull().cast("double")).alias("share"))
     general = F.array_join(F.transform("parts", lambda x: x["token"]), " ")
@@ -68,8 +71,9 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SI
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = lines_of(docs)
     placed = settle(lines.select("doc_id", "h", "i", "leaf", F.xxhash64("form").alias("f")))  # no text
-    leaves = placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    forms = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"))
+    leaves = settle(placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"))
+    # the lines of rare leaves go before any shuffle where the list of leaves is small
+    forms = lines.join(broadcast_if_small(leaves, leaves.count(), 32), "leaf", "left_semi").groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"))
     forms = settle(forms.withColumn("f", F.xxhash64("form")))
     known = settle(templates(forms, min_docs, similarity))
     found = settle(placed.select("doc_id", "h", "i", "f").join(known, "f"))
