@@ -23,12 +23,9 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 ORDER, DISCOUNT = 4, 0.75
-#: Bound of the training sample: about so many texts per language, drawn by hash, each read whole. It bounds the model.
+#: Bound of the training sample: about so many different texts per language, drawn by hash, each read whole. It bounds
+#: the model.
 TEXTS_PER_LANG = 1500
-#: Languages with fewer training texts than this are not learned unless nothing else is there.
-LEAST_TEXTS = 3
-#: n-grams of a language seen once are dropped from the top order beyond so many in all.
-MOST_GRAMS = 4_000_000
 #: Rejection: this share of held-back training texts must stay, and so many nats are added on top.
 KEEP, SLACK = 0.999, 0.35
 UNKNOWN = "und"
@@ -117,19 +114,19 @@ class Model:
 
 
 def sample(train: DataFrame, per_lang: int) -> DataFrame:
-    """About ``per_lang`` texts of each language, by hash of the text; equal texts fall together, so each counts once.
+    """About ``per_lang`` different texts of each language, all where it has no more, by hash of the text.
 
-    The sizes come from the labels alone; the texts are read once.
+    Equal texts fall together; the share of a language is that of its different texts, so that copies change nothing.
     """
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    each = train.select("lang", F.xxhash64("text").alias("h")).distinct()
+    sizes = {r.lang: r.n for r in each.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     if len(sizes) > 1000:
         raise ValueError("more than 1000 languages are labelled")
-    learned = {k: n for k, n in sizes.items() if n >= LEAST_TEXTS} or sizes
-    if not learned:
+    if not sizes:
         return train.limit(0)
-    share = F.create_map(*[x for k, n in learned.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return train.where(draw < share[F.col("lang")])
+    return train.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"])
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -210,19 +207,17 @@ def kneser_ney(counts: pd.DataFrame, langs: list[str]) -> Model:
 def fit(docs: DataFrame, per_lang: int = TEXTS_PER_LANG, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from labelled rows (null labels and letterless texts are left out); None when there are none.
 
-    Nine tenths of the sample are counted; the rest calibrates the rejection limit.
+    Nine tenths of the sample are counted; the rest calibrates the rejection limit. A language whose few texts would all
+    be held back is counted whole, so every labelled language is learned.
     """
     train = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
-    drawn = settle(sample(train, per_lang).where(F.col("text").rlike(r"\p{L}")).dropDuplicates(["lang", "text"]))
+    drawn = settle(sample(train.where(F.col("text").rlike(r"\p{L}")), per_lang))
     held = F.pmod(F.xxhash64(F.lit("calibrate"), "text"), F.lit(10)) == 0
+    held &= F.col("lang").isin([r.lang for r in drawn.where(~held).select("lang").distinct().collect()])
     # the model's size is bounded by the sample's, not by the corpus
     counts = count_grams(drawn.where(~held)).toPandas()
-    if counts.empty:
-        counts = count_grams(drawn).toPandas()
     if counts.empty:
         return None
-    if (counts.k == ORDER).sum() > MOST_GRAMS:
-        counts = counts[(counts.k < ORDER) | (counts.n > 1)]
     model = kneser_ney(counts, sorted(counts.lang.unique()))
     shared = drawn.sparkSession.sparkContext.broadcast(model)
 

@@ -210,6 +210,21 @@ def test_language_id(spark):
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in got.values())
 
 
+def test_language_sample_counts_different_texts(spark):
+    r = random.Random(11)
+    rows = [(i, "one text of many copies", "en", "a") for i in range(3000)] + [(3000 + i, prose(r, 12), "en", "a") for i in range(60)]
+    rows += [(4000 + i, f"{i} 12 !!", "en", "a") for i in range(3000)] + [(8000 + i, prose(r, 12), "fr", "a") for i in range(400)] + [(9000, "ein einziger deutscher Satz", "de", "a")]
+    train = frame(spark, rows).select("lang", "text").where(F.col("text").rlike(r"\p{L}"))
+    got = Counter(x.lang for x in langid.sample(train, 100).collect())
+    assert got["en"] == 61 and got["de"] == 1 and 60 <= got["fr"] <= 140
+    assert langid.fit(frame(spark, rows), 100).langs == ["de", "en", "fr"]
+
+
+def test_language_of_a_held_back_text_is_learned(spark):
+    docs = frame(spark, [(i, f"satz {chr(97 + i)}", f"l{i}", "a") for i in range(26)])
+    assert langid.fit(docs).langs == sorted(f"l{i}" for i in range(26))
+
+
 def test_kneser_ney_is_a_distribution(spark):
     import numpy as np
 
