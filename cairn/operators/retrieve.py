@@ -118,12 +118,21 @@ def trigram_overlap(docs: DataFrame, queries: DataFrame, top_k: int) -> DataFram
     return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
-def random_ranker(docs: DataFrame, queries: DataFrame, top_k: int, seed: str = "0") -> DataFrame:
-    """Calibration: the first ``top_k`` documents by a seeded hash of query and document. The queries are few."""
+def random_ranker(docs: DataFrame, queries: DataFrame, top_k: int, seed: str = "0", block: int = QUERY_BLOCK) -> DataFrame:
+    """Calibration: the first ``top_k`` documents by a seeded hash of query and document.
+
+    Queries go to the tasks in hashed blocks of about ``block``; a block's rankings are whole.
+    """
+    asked, out = queries.select("q"), None
     h = F.md5(F.concat_ws(":", F.lit(seed), "q", "doc_id").cast("binary"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy("h"))
-    pairs = docs.select("doc_id").join(F.broadcast(queries.select("q").limit(QUERY_BLOCK)))
-    return pairs.withColumn("h", h).withColumn("rank", rank).where(F.col("rank") <= top_k).select("q", "doc_id", "rank")
+    blocks = max(1, -(-asked.count() // block))
+    for k in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k) if blocks > 1 else asked
+        pairs = docs.select("doc_id").crossJoin(F.broadcast(own))
+        part = pairs.withColumn("h", h).withColumn("rank", rank).where(F.col("rank") <= top_k).select("q", "doc_id", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def grep(chunks: DataFrame, pattern: str) -> DataFrame:

@@ -59,6 +59,13 @@ def test_bca_interval_covers_the_mean(spark):
     assert x.lo < x.mean < x.hi and x.hi - x.lo == pytest.approx(2 * 1.96 / math.sqrt(400), rel=0.25)
 
 
+def test_random_ranker_ranks_every_query(spark):
+    n = retrieve.QUERY_BLOCK + 500
+    got = retrieve.random_ranker(spark.createDataFrame([(1,), (2,), (3,)], "doc_id long"), spark.range(n).withColumnRenamed("id", "q"), 2).collect()
+    want = {(q, d, k + 1) for q in range(n) for k, d in enumerate(sorted((1, 2, 3), key=lambda d: hashlib.md5(f"0:{q}:{d}".encode()).hexdigest())[:2])}
+    assert len(got) == 2 * n and {tuple(x) for x in got} == want
+
+
 def test_dense_batch_matches_single(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
