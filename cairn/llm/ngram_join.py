@@ -86,11 +86,14 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, key: str, blocks) -> DataFrame:
-    """Deal the members of each key to ``blocks`` blocks; every pair of blocks meets in one group g, sorted together."""
+    """Deal the members of each key to ``blocks`` blocks; every pair of blocks meets in one group g, sorted together.
+
+    within tells the group of a block with itself, whichever blocks turn out empty.
+    """
     own = F.pmod(F.xxhash64("cid"), F.col("_nb"))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("lo"), F.greatest(j, F.col("_own")).alias("hi")))
     dealt = members.withColumn("_nb", blocks.cast("long")).withColumn("_own", own).withColumn("_meet", F.explode(meet))
-    dealt = dealt.withColumn("g", F.xxhash64(key, "_meet.lo", "_meet.hi")).withColumn("own", F.col("_own").cast("int"))
+    dealt = dealt.withColumn("g", F.xxhash64(key, "_meet.lo", "_meet.hi")).withColumn("own", F.col("_own").cast("int")).withColumn("within", F.col("_meet.lo") == F.col("_meet.hi"))
     return dealt.drop("_nb", "_own", "_meet", key).repartition("g").sortWithinPartitions("g")
 
 
@@ -134,9 +137,9 @@ def candidate_edges(met: DataFrame, steps) -> DataFrame:
     return met.mapInArrow(link, "a long, b long")
 
 
-def surviving_pairs(sig: np.ndarray, own: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a group that pruning leaves: across its two blocks, or within its only one."""
-    if own.min() == own.max():
+def surviving_pairs(sig: np.ndarray, own: np.ndarray, within: bool, steps) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a group that pruning leaves: within its block, or across its two, none where one of them is empty."""
+    if within:
         i, j = np.triu_indices(len(own), 1)
     else:
         x, y = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
@@ -183,7 +186,7 @@ def verified_links(met: DataFrame, steps, threshold: float) -> DataFrame:
             n = len(cid)
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(n, -1)
             sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-            i, j = surviving_pairs(sig, own, steps)
+            i, j = surviving_pairs(sig, own, group.column("within")[0].as_py(), steps)
             size = np.array([len(s) for s in sets], np.int64)
             inter = intersections(sets, i, j)
             on = inter * t.denominator >= t.numerator * (size[i] + size[j] - inter)
@@ -247,7 +250,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     cand = settle(cand)
     full = cand.join(with_sets(docs, cand, width), "cls").drop("cls", "rep")
     blocks = F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_n") / BLOCK_SHINGLES))
-    links = settle(verified_links(in_blocks(full, "comp", blocks).select("g", "cid", "own", "copies", "sig", "shingles"), steps, threshold))
+    links = settle(verified_links(in_blocks(full, "comp", blocks).select("g", "cid", "own", "within", "copies", "sig", "shingles"), steps, threshold))
     count = links.groupBy(F.col("a").alias("cid")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     group = components(links.select("a", "b"))
     group = group.join(reps.select(F.col("cid").alias("id"), "rep"), "id")

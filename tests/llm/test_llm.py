@@ -144,6 +144,13 @@ def test_ngram_join(spark, monkeypatch, block):
     assert got == brute_jaccard(rows)
 
 
+def test_ngram_join_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 60)
+    rows = near_copies(random.Random(12), 8, 10)
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.ngram_join(frame(spark, rows)).collect()}
+    assert got == brute_jaccard(rows)
+
+
 def test_pruning_bound():
     need = ngram_join.least_matches(140, 0.8, 1e-6)
     assert 80 < need < 112 and ngram_join.least_matches(20, 0.8, 1e-6) < 16
