@@ -266,6 +266,17 @@ def test_pii_base_and_bootstrap(spark):
             assert x.spans == f"phone:{text.index('555')}:{text.index(',')}"
 
 
+def test_pii_learns_from_what_it_found(spark):
+    texts = [f"please call me at +1 (555) 010-12{i:02d} now" for i in range(40)] + [f"please call me at 555-867-53{i:02d}, thanks" for i in range(4)]
+    texts += [f"hotline reachable under 555-867-53{i:02d} always" for i in range(4)] + ["hotline reachable under 555-111-2222 always", "please call me at 555 867 5309. 20 people did"]
+    texts += [f"tel. 2: +1 555 010 33{i:02d}" for i in range(40)] + ["tel. 2: 555-222-3333", "unrelated words stand before 555-444-5555"]
+    got = {x.doc_id: x for x in pii.find_pii(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for i, value in [(44, "555-867-5300"), (48, "555-111-2222"), (49, "555 867 5309"), (90, "555-222-3333")]:
+        at = texts[i].index(value)
+        assert got[i].spans == f"phone:{at}:{at + len(value)}" and got[i].n_found == 1, texts[i]
+    assert got[91].n_found == 0
+
+
 def test_mixing_water_fill(spark):
     sizes = {"a": 1000, "b": 10, "c": 500, "d": 30, None: 200}
     rows, n = [], 0
