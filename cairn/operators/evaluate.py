@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,20 +101,36 @@ def normal_ppf(p: float) -> float:
 
 
 def bca_intervals(deltas: DataFrame, rounds: int = 2000, alpha: float = 0.05, seed: int = 7) -> DataFrame:
-    """stratum, n, mean, lo, hi: BCa bootstrap intervals. Resampling is spread over tasks: each gets (stratum, slice).
+    """stratum, n, mean, lo, hi: BCa bootstrap intervals. Each round weighs each query (q) by a Poisson(1) count.
 
-    A task holds one stratum's paired differences, one number per query of an evaluation set.
+    The counts come from a seeded hash of query and round. Tasks sum them by stratum and round, so that only a row per
+    round and stratum is shuffled. A round that takes no query has no mean and is left out.
     """
-    slices = 8
-    spread = deltas.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-
-    def resample(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort(frame["delta"].to_numpy())
-        r = np.random.default_rng([seed, int(key[1])])
-        means = [d[r.integers(0, len(d), len(d))].mean() for _ in range(rounds // slices)]
-        return pd.DataFrame({"stratum": key[0], "mean": means})
-
-    boot = spread.groupBy("stratum", "slice").applyInPandas(resample, "stratum string, mean double")
+    upto = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+        return x ^ (x >> np.uint64(33))
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str | None, np.ndarray] = {}
+        key = mix(np.arange(rounds, dtype=np.uint64) + (np.uint64(seed) << np.uint64(32)))
+        for b in batches:
+            names, h, d = b.column(0).to_pylist(), np.asarray(b.column(1)).view(np.uint64), np.asarray(b.column(2))
+            for name in set(names):
+                at = np.flatnonzero([x == name for x in names])
+                total = sums.setdefault(name, np.zeros((2, rounds)))
+                for lo in range(0, len(at), 512):
+                    part = at[lo : lo + 512]
+                    u = (mix(h[part, None] ^ key) >> np.uint64(11)) * 2.0**-53
+                    w = np.searchsorted(upto, u, side="right").astype(np.float64)
+                    total += d[part] @ w, w.sum(0)
+        for name, (s, n) in sums.items():
+            yield pa.record_batch([pa.array([name] * rounds, pa.string()), pa.array(np.arange(rounds, dtype=np.int32)), pa.array(s), pa.array(n)], ["stratum", "b", "s", "w"])
+
+    drawn = deltas.select("stratum", F.xxhash64("q").alias("h"), F.col("delta").cast("double")).mapInArrow(resample, "stratum string, b int, s double, w double")
+    boot = drawn.groupBy("stratum", "b").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean")).where("mean is not null").select("stratum", "mean")
     jack = deltas.join(deltas.groupBy("stratum").agg(F.sum("delta").alias("t"), F.count(F.lit(1)).alias("n")), "stratum").withColumn("j", (F.col("t") - F.col("delta")) / F.greatest(F.col("n") - 1, F.lit(1)))
     acc = jack.join(jack.groupBy("stratum").agg(F.avg("j").alias("jm")), "stratum").groupBy("stratum", "n", "t").agg(F.sum(F.pow(F.col("jm") - F.col("j"), 3)).alias("c"), F.sum(F.pow(F.col("jm") - F.col("j"), 2)).alias("s"))
 

@@ -66,6 +66,17 @@ def test_random_ranker_ranks_every_query(spark):
     assert len(got) == 2 * n and {tuple(x) for x in got} == want
 
 
+def test_bca_gathers_no_stratum(spark):
+    r = random.Random(2)
+    deltas = spark.createDataFrame([(i, "st"[i % 2], r.gauss(i % 2, 1)) for i in range(2000)], "q long, stratum string, delta double")
+    got = {p: {x.stratum: x for x in evaluate.bca_intervals(deltas.repartition(p), 300).collect()} for p in (1, 7)}
+    for s, x in got[1].items():
+        assert x.n == 1000 and x.lo < x.mean < x.hi and x.hi - x.lo == pytest.approx(2 * 1.96 / math.sqrt(1000), rel=0.25)
+        assert (x.lo, x.hi) == pytest.approx((got[7][s].lo, got[7][s].hi))
+    plan = evaluate.bca_intervals(deltas, 300)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
 def test_dense_batch_matches_single(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
