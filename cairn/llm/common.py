@@ -15,16 +15,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests, local mode)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where none is set, in local mode only."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="cairn-checkpoint-")
+    if named and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named)
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table by the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -37,9 +43,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """Hint a broadcast only when the counted rows fit ``limit``; otherwise Spark's shuffle joins do the work."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+#: Bytes of a counted table up to which a broadcast is hinted.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Hint a broadcast only when the counted rows fit BROADCAST_BYTES; otherwise Spark's shuffle joins do the work."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

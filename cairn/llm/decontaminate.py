@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .shingles import windows, words
+from .shingles import windows, word_hashes
 
 #: Words of the shortest tile, and the share of an item's words that tiles must cover.
 MIN_TILE, COVERAGE = 5, 0.5
 #: Characters of benchmark text that go to the tasks at once.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
 #: Above so many seed hits of one pair, its diagonals are swept instead of listing the hits.
 MOST_HITS = 4_000_000
 TILES = "array<struct<item_id: long, coverage: double, tiles: int, words: int, longest: int>>"
@@ -35,57 +35,67 @@ TILES = "array<struct<item_id: long, coverage: double, tiles: int, words: int, l
 
 @dataclass
 class Items:
-    """A block of the benchmark: word numbers, and its seeds sorted by hash."""
+    """A block of the benchmark: word numbers, and for each tile width the seeds of that width sorted by hash."""
 
-    ids: list[int]
+    ids: list[int | None]
     tokens: list[np.ndarray]
-    vocabulary: dict[str, int]
-    seed: np.ndarray
-    item: np.ndarray
-    pos: np.ndarray
-    min_tile: int
+    #: Sorted hashes of the items' words; a word's number is its place in it, from 1.
+    vocabulary: np.ndarray
+    #: By width: seed hashes, items and places. Items of fewer words than a tile have their own width.
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], min_tile: int) -> Items:
-        vocabulary: dict[str, int] = {}
-        ids, tokens, seeds, item, pos = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for item_id, text in rows:
-            t = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], np.uint64)
-            if item_id is None or len(t) < min_tile:
-                continue
-            seeds.append(windows(t, min_tile))
-            item.append(np.full(len(seeds[-1]), len(ids)))
-            pos.append(np.arange(len(seeds[-1])))
-            ids.append(item_id), tokens.append(t)
-        seed, item, pos = np.concatenate(seeds), np.concatenate(item), np.concatenate(pos)
-        order = np.argsort(seed, kind="stable")
-        return cls(ids, tokens, vocabulary, seed[order], item[order], pos[order], min_tile)
-
-    def leaks(self, text: str | None, coverage: float) -> list[tuple[int, float, int, int, int]]:
+    def of(cls, rows: list[tuple[int | None, str]], min_tile: int) -> Items:
+        hashed = [(item_id, h) for item_id, text in rows if len(h := word_hashes(text))]
+        vocabulary = np.unique(np.concatenate([h for _, h in hashed])) if hashed else np.empty(0, np.uint64)
+        tokens = [numbered(h, vocabulary) for _, h in hashed]
+        by: dict[int, list[int]] = {}
+        for k, t in enumerate(tokens):
+            by.setdefault(min(min_tile, len(t)), []).append(k)
+        seeds = {}
+        for width, own in by.items():
+            w = [windows(tokens[k].astype(np.uint64), width) for k in own]
+            seed = np.concatenate(w)
+            order = np.argsort(seed, kind="stable")
+            item = np.repeat(np.array(own, np.int32), [len(x) for x in w])
+            pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in w])
+            seeds[width] = (seed[order], item[order], pos[order])
+        return cls([i for i, _ in hashed], tokens, vocabulary, seeds)
+
+    def leaks(self, text: str | None, coverage: float) -> list[tuple[int | None, float, int, int, int]]:
         """(item_id, coverage, tiles, words covered, longest tile) of every item covered enough."""
-        get, out = self.vocabulary.get, []
-        d = np.array([get(w, 0) for w in words(text)], np.uint64)  # 0: no item has the word
-        if len(d) < self.min_tile or not len(self.seed):
-            return out
-        w = windows(d, self.min_tile)
-        w = np.unique(w[runs_of(d != 0, self.min_tile)])
-        lo, hi = np.searchsorted(self.seed, w, "left"), np.searchsorted(self.seed, w, "right")
-        lo, n = lo[hi > lo], (hi - lo)[hi > lo]
-        if not len(lo):
-            return out
-        hit = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        item, pos = self.item[hit], self.pos[hit]
-        for k in np.unique(item):
-            t = self.tokens[k]
-            could = np.zeros(len(t) + 1, np.int64)
-            np.add.at(could, pos[item == k], 1), np.add.at(could, pos[item == k] + self.min_tile, -1)
-            if (np.cumsum(could)[:-1] > 0).sum() < coverage * len(t):
+        out = []
+        d = numbered(word_hashes(text), self.vocabulary)
+        for width, (seed, items, places) in self.seeds.items():
+            if len(d) < width:
+                continue
+            w = windows(d.astype(np.uint64), width)[runs_of(d != 0, width)]
+            w = np.unique(w)
+            lo, hi = np.searchsorted(seed, w, "left"), np.searchsorted(seed, w, "right")
+            lo, n = lo[hi > lo], (hi - lo)[hi > lo]
+            if not len(lo):
                 continue
-            tiles = greedy_tiles(d, t, self.min_tile)
-            covered = sum(x[2] for x in tiles)
-            if covered >= coverage * len(t):
-                out.append((self.ids[k], covered / len(t), len(tiles), covered, max(x[2] for x in tiles)))
-        return sorted(out)
+            hit = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            item, pos = items[hit], places[hit]
+            for k in np.unique(item):
+                t = self.tokens[k]
+                could = np.zeros(len(t) + 1, np.int64)
+                np.add.at(could, pos[item == k], 1), np.add.at(could, pos[item == k] + width, -1)
+                if (np.cumsum(could)[:-1] > 0).sum() < coverage * len(t):
+                    continue
+                tiles = greedy_tiles(d.astype(np.uint64), t.astype(np.uint64), width)
+                covered = sum(x[2] for x in tiles)
+                if covered >= coverage * len(t):
+                    out.append((self.ids[k], covered / len(t), len(tiles), covered, max(x[2] for x in tiles)))
+        return sorted(out, key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
+
+
+def numbered(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """The number of each word in the vocabulary; 0: no item has the word."""
+    if not len(vocabulary):
+        return np.zeros(len(hashes), np.uint32)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at + 1, 0).astype(np.uint32)
 
 
 def runs_of(on: np.ndarray, width: int) -> np.ndarray:
@@ -184,9 +194,10 @@ def leaks_column(items: Items, spark: SparkSession, coverage: float, text_col: s
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_tile: int = MIN_TILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The leaking pairs: doc_id, item_id, coverage, tiles, words, longest.
 
-    Words are lower-cased. Null and empty texts leak nothing; items without an id or of fewer than ``min_tile`` words
-    cannot be tiled and never leak. Repeated documents each get their rows; items that repeat an id each get theirs.
-    Only doc_id, item_id and the texts are read. An empty table on either side gives an empty result.
+    Words are lower-cased and compared by 64-bit hash. Null and empty texts, and items without words, leak nothing. An
+    item of fewer than ``min_tile`` words is one tile: it leaks where all its words stand in a row. An item without an
+    id leaks with a null item_id. Repeated documents each get their rows; items that repeat an id each get theirs.
+    Documents are read as (doc_id, text), items as (item_id, text); other columns are ignored. An empty table on either side gives an empty result.
     """
     out = None
     for items in blocks(benchmark, min_tile, block_chars):
@@ -196,7 +207,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_tile: int = MIN_TILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` into which no item leaks, all columns as they are."""
+    """The rows of ``docs`` into which no item leaks, all columns as they are, whatever their names.
+
+    Rows with null or empty texts stay, repeated rows share their verdict, an empty benchmark drops nothing, and an
+    empty table stays empty.
+    """
     for items in blocks(benchmark, min_tile, block_chars):
         docs = docs.where(F.size(leaks_column(items, docs.sparkSession, coverage)) == 0)
     return docs

@@ -8,23 +8,39 @@ from pyspark.sql import functions as F
 from .common import settle
 
 
+#: Nodes with over 1 / SHARE of all edges are looked up in a broadcast table; as edges have two ends, there are at most
+#: 2 * SHARE of them.
+SHARE = 200
+
+
+def beside(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """``edges`` (a, b) with m of their a; ``least``: a, m, n (edges of a). The edges of a hub stay where they are."""
+    hub = F.col("n") * SHARE > n_edges
+    hubs = F.broadcast(least.where(hub).select("a", "m"))
+    others = edges.join(F.broadcast(least.where(hub).select("a")), "a", "left_anti").join(least.where(~hub).select("a", "m"), "a")
+    return edges.join(hubs, "a").unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every id in ``edges`` (a, b: long); comp is the component's smallest id.
 
     Alternates large-star and small-star steps until the edge set is a forest of stars. Each step only takes minima per
-    node and rewires edges, so the largest component costs joins in proportion to its edges.
+    node, combined within tasks, and rewires edges, so the largest component costs joins in proportion to its edges.
     """
     up = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e, seen = settle(up(edges)), None
+    e = settle(up(edges))
+    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    seen = state(e)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        e = settle(up(small))
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = beside(both.where("b > a"), least, seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # every edge of large leads down, to the minimum of a neighbourhood: the smallest is the node's new parent
+        large = settle(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = beside(large, least, large.count()).select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = settle(up(small.unionByName(least.select("a", F.col("m").alias("b")))))
+        now = state(e)
         if now == seen:
             break
         seen = now

@@ -65,8 +65,8 @@ def water_fill(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return sources.withColumn("target", F.when(share > cap, cap.cast("double")).otherwise(share))
 
 
-def mix(docs: DataFrame, weights: DataFrame | Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, reps, taken.
+def mix(docs: DataFrame, weights: DataFrame | Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, reps, taken, and the columns ``carry``.
 
     ``weights`` is a table (source, weight) or numbers dealt to the sources in turn. A null source is a source. Null
     and empty texts have size 0 and are taken as often as their source's whole epochs; they add no words. The last
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: DataFrame | Sequence[int] = WEIGHTS, epochs: i
     if not isinstance(weights, DataFrame) and not (weights and all(w > 0 for w in weights)):
         raise ValueError("weights must be positive")
     h = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), h.alias("h"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), h.alias("h"), *carry)
     # the texts are read once; what follows works on this narrow table
     sized = settle(sized.withColumn("range", F.conv(F.substring("h", 1, RANGES_HEX), 16, 10).cast("int")))
     ranges = settle(sized.groupBy("source", "range").agg(F.sum("size").alias("words")))
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: DataFrame | Sequence[int] = WEIGHTS, epochs: i
     crossing = crossing.withColumn("more", F.col("_end") - F.col("size") + F.col("size") / 2 <= F.col("part")).drop("_end")
     clear = rows.where(~at_mark).withColumn("more", (F.col("part") > 0) & F.coalesce(F.col("range") < F.col("mark"), F.lit(True)))
     out = crossing.unionByName(clear).withColumn("reps", F.col("whole") + F.col("more").cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "reps", (F.col("reps") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "reps", (F.col("reps") * F.col("size")).alias("taken"), *carry)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

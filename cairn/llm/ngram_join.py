@@ -33,8 +33,8 @@ BANDS, ROWS = 28, 5
 TOLERANCE = 1e-6
 #: MinHash values compared at a time.
 STEP = 20
-#: Members and shingles of a block.
-BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: Members of a block of signatures; members and shingles of a block that is verified.
+SIGNATURES, BLOCK, BLOCK_SHINGLES = 4096, 1024, 1_000_000
 
 
 def hash_family(n: int = BANDS * ROWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ def candidate_edges(met: DataFrame, steps) -> DataFrame:
             cid = np.asarray(t.column("cid"))
             if len(cid) < 2:
                 continue
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(cid), -1)
+            sig = values(t.column("sig"), np.uint16).reshape(len(cid), -1)
             left = np.arange(len(cid))
             while len(left) > 1:  # grow one tree at a time; whoever joins leaves the rest
                 root, todo, left = left[0], [left[0]], left[1:]
@@ -155,22 +155,32 @@ def surviving_pairs(sig: np.ndarray, own: np.ndarray, within: bool, steps) -> tu
     return i, j
 
 
-def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact sizes of the intersections of the pairs."""
-    if len(i) <= 8 * len(sets):
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
-    size = [len(s) for s in sets]
-    row = np.repeat(np.arange(len(sets)), size)
-    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    on = count[col] > 1  # a shingle of one member is in no intersection
-    row, col = row[on], np.unique(col[on], return_inverse=True)[1]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+def values(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The bytes of a binary column as one array of numbers, in order."""
+    parts = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.empty(0, np.uint8))
+    return (parts[0] if len(parts) == 1 else np.concatenate(parts)).copy().view(kind)
+
+
+def intersections(shingles: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of the pairs; the sets lie one after the other in ``shingles``."""
+    start, n = np.r_[0, np.cumsum(size)[:-1]], len(size)
+    if len(i) <= 8 * n:
+        part = lambda x: shingles[start[x] : start[x] + size[x]]
+        return np.array([len(np.intersect1d(part(x), part(y), assume_unique=True)) for x, y in zip(i, j)], np.int64)
+    order = np.argsort(shingles, kind="stable")
+    row = np.repeat(np.arange(n, dtype=np.int32), size)[order]
+    key = shingles[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    more = ~(new & np.r_[new[1:], True])  # a shingle of one member is in no intersection
+    row, col = row[more], np.cumsum(new[more]) - 1
+    both = np.zeros((n, n), np.float32)
     last = int(col[-1]) + 1 if len(col) else 0
-    for lo in range(0, last, 4096):
-        at, to = np.searchsorted(col, [lo, lo + 4096])
-        has = np.zeros((len(sets), min(4096, last - lo)), np.float32)
+    for lo in range(0, last, 2048):
+        at, to = np.searchsorted(col, [lo, lo + 2048])
+        has = np.zeros((n, min(2048, last - lo)), np.float32)
         has[row[at:to], col[at:to] - lo] = 1
         both += has @ has.T
     return both[i, j].astype(np.int64)
@@ -184,11 +194,10 @@ def verified_links(met: DataFrame, steps, threshold: float) -> DataFrame:
         for group in runs(batches, "g"):
             cid, own, copies = (np.asarray(group.column(c)) for c in ("cid", "own", "copies"))
             n = len(cid)
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(n, -1)
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            sig = values(group.column("sig"), np.uint16).reshape(n, -1)
+            size = np.asarray(group.column("n")).astype(np.int64)
             i, j = surviving_pairs(sig, own, group.column("within")[0].as_py(), steps)
-            size = np.array([len(s) for s in sets], np.int64)
-            inter = intersections(sets, i, j)
+            inter = intersections(values(group.column("shingles"), np.uint64), size, i, j)
             on = inter * t.denominator >= t.numerator * (size[i] + size[j] - inter)
             i, j = i[on], j[on]
             texts, docs = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -242,15 +251,15 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.sum(print_of).alias("sum")).where("n > 1")
     buckets = buckets.groupBy("n", "lo", "hi", "sum").agg(F.min("key").alias("key"))
     members = settle(keyed.join(buckets.select("key", F.col("n").alias("_size")), "key"))
-    met = in_blocks(members.join(reps.select("cid", "sig"), "cid"), "key", F.ceil(F.col("_size") / BLOCK)).select("g", "cid", "sig")
+    met = in_blocks(members.join(reps.select("cid", "sig"), "cid"), "key", F.ceil(F.col("_size") / SIGNATURES)).select("g", "cid", "sig")
     near = settle(components(candidate_edges(met, steps)))
 
     size = near.join(reps.select(F.col("cid").alias("id"), "n"), "id").groupBy("comp").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n"))
-    cand = near.join(size, "comp").select(F.col("id").alias("cid"), "comp", "_m", "_n").join(reps.select("cid", "cls", "rep", "copies", "sig"), "cid")
+    cand = near.join(size, "comp").select(F.col("id").alias("cid"), "comp", "_m", "_n").join(reps.select("cid", "cls", "rep", "copies", "n", "sig"), "cid")
     cand = settle(cand)
     full = cand.join(with_sets(docs, cand, width), "cls").drop("cls", "rep")
     blocks = F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_n") / BLOCK_SHINGLES))
-    links = settle(verified_links(in_blocks(full, "comp", blocks).select("g", "cid", "own", "within", "copies", "sig", "shingles"), steps, threshold))
+    links = settle(verified_links(in_blocks(full, "comp", blocks).select("g", "cid", "own", "within", "copies", "n", "sig", "shingles"), steps, threshold))
     count = links.groupBy(F.col("a").alias("cid")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     group = components(links.select("a", "b"))
     group = group.join(reps.select(F.col("cid").alias("id"), "rep"), "id")

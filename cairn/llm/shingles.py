@@ -7,29 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
-from .common import WORD
+from .common import NOT_WORD
 
-_WORD = re.compile(WORD)
+_GAP = re.compile(NOT_WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[str, int] = {}
-
-
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def word_hashes(tokens: list[str]) -> np.ndarray:
-    if len(_words) > 1_000_000:  # a cache, not a vocabulary
-        _words.clear()
-    get, out = _words.get, []
-    for w in tokens:
-        h = get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+#: Characters of a text that are cut into words at a time.
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,6 +22,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about PIECE characters, cut between words."""
+    at = 0
+    while len(text) - at > PIECE:
+        gap = _GAP.search(text, at + PIECE)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:] if at else text
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash for each word, in order: the mixed sum of a value for every letter at its place in the word."""
+    out = []
+    for piece in pieces((text or "").lower()):
+        c = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
+        is_word = ((c >= 48) & (c <= 57)) | ((c >= 97) & (c <= 122)) | (c >= 128)
+        where = np.flatnonzero(is_word)
+        if not len(where):
+            continue
+        first = np.flatnonzero(np.r_[True, where[1:] != where[:-1] + 1])
+        size = np.diff(np.r_[first, len(where)])
+        place = where - np.repeat(where[first], size)
+        letters = mix(c[where].astype(np.uint64) * _MIX + place.astype(np.uint64))
+        out.append(mix(np.add.reduceat(letters, first) + size.astype(np.uint64)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash for each window of ``width`` words, in order."""
     n = len(hashes) - width + 1
@@ -51,17 +64,21 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text of fewer words is one shingle, a text without words none."""
-    h = word_hashes(words(text))
-    return np.unique(windows(h, min(width, len(h)))) if len(h) else np.empty(0, np.uint64)
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    w = np.sort(windows(h, min(width, len(h))))
+    return w[np.r_[True, w[1:] != w[:-1]]]
 
 
 def minhash(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """The minima of 32-bit multiply-shift hashes of a shingle set; long sets go in slices."""
-    low = np.full(len(mul), 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        x = shingles[at : at + 2048, None] * mul + add
-        np.minimum(low, (x >> np.uint64(32)).min(0), out=low)
-    return low
+    """The leading 32 bits of the minima of multiply-add hashes of a shingle set; slices of it stay in the cache."""
+    low = np.full(len(mul), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(shingles), 256):
+        x = shingles[None, at : at + 256] * mul[:, None]
+        x += add[:, None]
+        np.minimum(low, x.min(1), out=low)
+    return low >> np.uint64(32)
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
