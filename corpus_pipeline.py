@@ -8,40 +8,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, langid, mixing, ngram_join, sharding
-from cairn.llm.common import checkpoint_dir, table
+from cairn.llm.common import checkpoint_dir, remove, settle, table
 
 
-def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``keep`` (doc_id), all columns as they are."""
-    keep = keep.select(F.col("doc_id").alias("_cairn_keep"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_cairn_keep"]), "left_semi")
+ROW = "_cairn_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, by place. Stages read written tables, so every reading numbers alike."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models reject go (no letter, or unlike all languages). No shuffle of texts."""
+    """Documents whose language the models reject go: null texts, texts without a letter, texts unlike all languages.
+
+    Each row is judged by its text alone, so repeated rows share their verdict; null ids, labels and sources reject
+    nothing. Without any labelled text all rows go. An empty table stays empty. No shuffle of texts.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
     return docs.where(~langid.identify(docs, model)["rejected"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by five-word shingles at 0.8 or more, the document of the smallest id stays."""
-    return only(docs, ngram_join.ngram_join(docs).where("kept"))
+    """Of every group linked by five-word shingles at 0.8 or more, exactly one row stays: that of the smallest id.
+
+    Null ids come after all others; of rows that repeat the smallest id the first by place stays. Texts without words
+    link to nothing and stay, each row. An empty table stays empty.
+    """
+    docs = numbered(docs)
+    group = ngram_join.ngram_join(docs, id_col=ROW).select(F.col("doc_id").alias(ROW), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("first")
+    # rows that link to nothing are their own class; only the others are looked up
+    own = group.where(F.col(ROW) == F.col("class_id")).select(ROW)
+    linked = settle(group.join(group.where(F.col(ROW) != F.col("class_id")).select("class_id").distinct(), "class_id", "left_semi"))
+    best = docs.select("doc_id", ROW).join(linked, ROW).groupBy("class_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
+    keep = own.join(linked.select(ROW), ROW, "left_anti").unionByName(best)
+    return docs.join(keep, ROW, "left_semi").drop(ROW)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaks go."""
+    """Documents into which a benchmark item leaks go, each row by its text alone.
+
+    Null and empty texts stay, whatever their id; repeated rows share their verdict; an empty benchmark drops nothing,
+    and an empty table stays empty.
+    """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: repeated rows for more than one epoch, none for no epoch."""
-    taken = mixing.mix(docs).where("reps > 0").groupBy(F.col("doc_id").alias("_cairn_id")).agg(F.max("reps").alias("_cairn_reps"))
-    often = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_cairn_id")))
-    return often.withColumn("_cairn_id", F.explode(F.sequence(F.lit(1), F.col("_cairn_reps").cast("int")))).drop("_cairn_id", "_cairn_reps")
+    """Every row as often as the mix takes it: repeated rows for more than one epoch, none for no epoch.
+
+    A null source is a source of its own. Null and empty texts have no words and are taken as often as their source's
+    whole epochs. Rows that repeat an id are taken row by row, so their sum meets the target. An empty table stays
+    empty.
+    """
+    docs = numbered(docs)
+    taken = mixing.mix(docs, carry=[ROW]).where("reps > 0").select(ROW, F.col("reps").cast("int").alias("_cairn_reps"))
+    return docs.join(taken, ROW).withColumn(ROW, F.explode(F.sequence(F.lit(1), F.col("_cairn_reps")))).drop(ROW, "_cairn_reps")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the columns slot and shard."""
+    """The documents with the columns slot and shard; columns of these names are replaced.
+
+    Equal ids share a shard; null ids go where the empty key goes. Every row stays; an empty table stays empty.
+    """
     return sharding.place(docs)
 
 
@@ -57,10 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; the stages' outputs lie in the shared checkpoint folder."""
-    docs, base = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the table documents, through tables in the shared checkpoint folder; only the last one's stays."""
+    docs, base, before = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
