@@ -388,11 +388,39 @@ def test_propagation_against_brute_force(spark):
 def test_license_scan(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this SOFTWARE and documentation files"
     texts = ["The MIT  License! and Apache-License, mit license", mit, "some\nlines\n" + "all rights are reserved", None, "", "cc byte by-cc\nCC\nBY", "mitlicense MİT license"]
+    texts += ["\n# ".join(mit.split()), "all of us " + "word " * 20 + "have rights and " + "word " * 20 + "seats are reserved", "ALL RIGHTS, reserved " * 500]
     got = {x.doc_id: x for x in license_scan.scan(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
     assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels) == (8, 3, 1, 6, "apache,mit")
     assert (got[1].n_base, got[1].labels, got[1].first_word) == (0, "mit", None) and 0.8 <= got[1].score < 1
-    assert got[2].labels == "reserved" and got[3].labels == "" and got[4].n_words == 0
+    assert got[2].labels == "" and got[3].labels == "" and got[4].n_words == 0  # a block of three words is three words long
     assert got[5].base_labels == "cc-by" and got[6].n_base == 0
+    assert got[7].labels == "mit" and got[8].labels == "" and (got[9].labels, got[9].score) == ("reserved", 1.0)
+
+
+def brute_templates(text, templates, t=0.8):
+    w, out = license_scan.word_list(text or ""), {}
+    for label, template in templates:
+        all_words = license_scan.word_list(template)
+        want, size = set(all_words), int(len(all_words) / t + 1e-9)
+        o = max((len(want & set(w[i : i + size])) for i in range(len(w))), default=0)
+        if o >= t * len(want) - 1e-9:
+            out[label] = max(out.get(label, 0), o / len(want))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_license_join_against_brute_force(spark, threshold):
+    r = random.Random(17)
+    vocab = [f"v{i}" for i in range(14)]
+    templates = [(f"t{i % 7}", " ".join(r.choice(vocab) for _ in range(r.choice([1, 3, 6, 9])))) for i in range(12)]
+    texts = [" ".join(r.choice([*vocab, "x", "the"]) for _ in range(r.randrange(40))) for _ in range(150)] + [templates[3][1], None, ""]
+    docs = frame(spark, [(i % 140, t, "en", "a") for i, t in enumerate(texts)])
+    got = sorted((x.labels, round(x.score, 9)) for x in license_scan.scan(docs, templates, threshold).collect())
+    want = [brute_templates(t, templates, threshold) for t in texts]
+    assert got == sorted((",".join(sorted(w)), round(max(w.values(), default=0), 9)) for w in want)
+    assert license_scan.scan(docs, []).where("labels <> ''").count() == 0
+    with pytest.raises(ValueError):
+        license_scan.scan(docs, [("x", "...")])
 
 
 def test_line_dedup(spark):
