@@ -3,7 +3,7 @@
 The tree has a fixed depth: lines part by their number of tokens, then by their leading tokens. In a leaf, tokens with
 digits are variable fields at once; any other token stays fixed where enough of the leaf's lines have it at the same
 place, and becomes a field elsewhere. A line whose fixed tokens are too few is its own template. Templates that occur
-in enough documents are dropped from all of them.
+in enough documents are dropped from all of them. Lines, forms, leaves and templates are compared by 128-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -28,25 +28,30 @@ def tokens(line: Column) -> Column:
     return F.when(line.rlike(r"[0-9\x09-\x0D]"), marked).otherwise(split(" "))
 
 
+def print_of(*columns: Column) -> Column:
+    """A 128-bit fingerprint: two hashes of different seeds, so that unrelated lines do not meet among all lines."""
+    return F.struct(F.xxhash64(*columns).alias("x"), F.xxhash64(F.lit("other seed"), *columns).alias("y"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), i (line from 0), leaf, form (the line's tokens); blank lines are left out."""
     # the hash comes first, so that no line's row carries the whole text
     hashed = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
     split = hashed.select("doc_id", "h", F.posexplode("lines").alias("i", "line"))
     cut = split.where(F.col("line").rlike(NOT_SPACE)).select("doc_id", "h", "i", tokens(F.col("line")).alias("t"))
-    return cut.select("doc_id", "h", "i", F.xxhash64(F.size("t"), F.slice("t", 1, DEPTH)).alias("leaf"), F.array_join("t", " ").alias("form"))
+    return cut.select("doc_id", "h", "i", print_of(F.size("t"), F.slice("t", 1, DEPTH)).alias("leaf"), F.array_join("t", " ").alias("form"))
 
 
 def templates(forms: DataFrame, min_docs: int, similarity: float) -> DataFrame:
     """f and template (hash) of every distinct form; forms: leaf, f (hash of the form), form, n (its lines)."""
-    words = forms.select("leaf", "f", "n", F.posexplode(F.split("form", " ")).alias("p", "token")).withColumn("place", F.xxhash64("leaf", "p", "token"))
+    words = forms.select("leaf", "f", "n", F.posexplode(F.split("form", " ")).alias("p", "token")).withColumn("place", print_of("leaf", "p", "token"))
     fixed = words.where(F.col("token") != FIELD).groupBy("place").agg(F.sum("n").alias("votes")).where(F.col("votes") >= min_docs)
     fixed = settle(fixed.select("place", F.lit(True).alias("fixed")))
-    voted = words.join(broadcast_if_small(fixed, fixed.count(), 32), "place", "left")
+    voted = words.join(broadcast_if_small(fixed, fixed.count(), 40), "place", "left")
     part = F.struct("p", F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD)).alias("token"))
     whole = voted.groupBy("leaf", "f").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.avg(F.col("fixed").isNotNull().cast("double")).alias("share"))
     general = F.array_join(F.transform("parts", lambda x: x["token"]), " ")
-    return whole.select("f", F.xxhash64("leaf", F.when(F.col("share") >= similarity, F.xxhash64(general)).otherwise(F.col("f"))).alias("template"))
+    return whole.select("f", print_of("leaf", F.when(F.col("share") >= similarity, print_of(general)).otherwise(F.col("f"))).alias("template"))
 
 
 def kept_lines(text: Column, dropped: Column) -> Column:
@@ -70,15 +75,17 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SI
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = lines_of(docs)
-    placed = settle(lines.select("doc_id", "h", "i", "leaf", F.xxhash64("form").alias("f")))  # no text
+    placed = settle(lines.select("doc_id", "h", "i", "leaf", print_of("form").alias("f")))  # no text
     leaves = settle(placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"))
     # the lines of rare leaves go before any shuffle where the list of leaves is small
-    forms = lines.join(broadcast_if_small(leaves, leaves.count(), 32), "leaf", "left_semi").groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"))
-    forms = settle(forms.withColumn("f", F.xxhash64("form")))
+    forms = lines.join(broadcast_if_small(leaves, leaves.count(), 40), "leaf", "left_semi").groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"))
+    forms = settle(forms.withColumn("f", print_of("form")))
     known = settle(templates(forms, min_docs, similarity))
     found = settle(placed.select("doc_id", "h", "i", "f").join(known, "f"))
+    # counted within tasks before the shuffle; the join below is of two written tables, so that a hot template is split
     recurring = found.select("doc_id", "h", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
-    gone = found.join(recurring.select("template"), "template", "left_semi")
+    recurring = settle(recurring.select("template"))
+    gone = found.join(broadcast_if_small(recurring, recurring.count(), 40), "template", "left_semi")
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_set("i")).alias("gone"))
     both = docs.withColumn("h", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     return both.select(
