@@ -19,7 +19,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DAMPING, ROUNDS, BLOCK_AT = 0.85, 10, 0.5
 #: Rules are literals of the plan.
 MOST_RULES = 2000
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
+#: A tag ends at the next angle bracket of either kind, so that tags without an end cost linear time.
+HREF = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -65,13 +66,13 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     mass = {r.kind: r.s for r in own.groupBy("kind").agg(F.sum("seed").alias("s")).collect()}
     all_mass = F.when(F.col("kind") == "trust", F.lit(float(mass.get("trust") or 0))).otherwise(F.lit(float(mass.get("distrust") or 0)))
     rank = own.select("kind", "host", F.col("seed").alias("rank"))
-    for k in range(rounds):
+    for _ in range(rounds):
         got = flow.join(rank.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
         moved = got.groupBy("kind").agg(F.sum("got").alias("moved"))  # two rows
         step = own.join(got, ["kind", "host"], "left").join(F.broadcast(moved), "kind", "left")
         back = F.when(all_mass > 0, 1 - damping * F.coalesce("moved", F.lit(0.0)) / all_mass).otherwise(0.0)
         rank = step.select("kind", "host", (F.col("seed") * back + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        rank = settle(rank) if k % 2 or k == rounds - 1 else rank
+        rank = settle(rank)  # two written tables join, so that Spark splits the links of a hub
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(pick("trust"), pick("distrust"))
 
@@ -114,7 +115,7 @@ u AS (SELECT page_id, html, coalesce(url, '') AS url, {host("coalesce(url, '')")
 n AS (SELECT *, regexp_extract(substr(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, length(host) + 1), '^[^?#]*') AS path FROM u),
 f AS (SELECT page_id, host, path, html, (SELECT max((length(h || p), h || p, verdict)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS fit FROM n),
 seeds AS (SELECT host, avg(CASE WHEN fit[3] = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good, avg(CASE WHEN fit[3] = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad FROM f WHERE host <> '' GROUP BY host),
-l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM f),
+l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^<>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM f),
 l2 AS (SELECT src, CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END AS href FROM l),
 e AS (SELECT src, {host("href")} AS dst, count(*) AS weight FROM l2 GROUP BY ALL HAVING src <> '' AND dst <> '' AND src <> dst),
 k AS (SELECT 'trust' AS kind, src AS a, dst AS b, weight FROM e UNION ALL SELECT 'distrust', dst, src, weight FROM e),
