@@ -36,19 +36,29 @@ SPAN = "struct<k: int, start: int, end: int, value: string, left: string>"
 
 
 def matches(text: Column, k: int, regex: str) -> Column:
-    """Array of SPAN for the matches: code points from 0, end exclusive; left: up to 60 characters before.
+    """Array of SPAN for the matches: code points from 0, end exclusive; left: what stands before, two whole words at least.
 
-    They are those of the text, whatever else matches in them.
+    They are those of the text, whatever else matches in them. A word beyond 200 characters is told by its hash.
     """
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+
+    def context(tail: Column, part: Column) -> Column:
+        end, whole = F.right(part, F.lit(60)), F.concat(tail, part)
+        last = F.regexp_extract(end, rf"{space}({word}+{space}*)$", 1)
+        rest = F.left(whole, F.length(whole) - F.length(last))
+        brief = F.when(F.length(whole) <= 200, whole).otherwise(F.concat(F.lit("#"), F.hex(F.xxhash64(rest)), F.lit(" "), last))
+        return F.when(end.rlike(rf"{space}{word}+{space}+{word}+{space}*$"), end).otherwise(brief)
+
     found, parts = F.regexp_extract_all(text, F.lit(regex), 0), F.split(text, regex, -1)
     zipped = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("part"), found.alias("hit"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["part"])
         end = start + F.length(x["hit"])
-        left = F.right(F.concat(acc["tail"], F.right(x["part"], F.lit(60))), F.lit(60))
+        left = context(acc["tail"], x["part"])
         span = F.struct(F.lit(k).alias("k"), start.alias("start"), end.alias("end"), x["hit"].alias("value"), left.alias("left"))
-        tail = F.right(F.concat(left, F.right(x["hit"], F.lit(60))), F.lit(60))
+        hit = F.when(F.length(x["hit"]) <= 60, x["hit"]).otherwise(F.concat(F.lit("#"), F.hex(F.xxhash64(x["hit"]))))
+        tail = F.concat(left, hit)
         return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     def run(acc: Column, piece: Column) -> Column:
@@ -151,7 +161,7 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, least_seeds: int = L
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans.
 
     The counts and base_sha256 are those of the fixed patterns; spans has these and what the contexts add (n_found of
     them; of those within one another the longest), as kind:start:end by kind, then start. Null and empty texts have none (empty string). Repeated rows get equal
@@ -176,7 +186,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
     return both.select(
         "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(told(base).cast("binary"), 256).alias("base_sha256"),
-        told(F.array_sort(F.concat(base, found))).alias("spans"), F.size(found).cast("long").alias("n_found"),
+        told(F.array_sort(F.concat(base, found))).alias("spans"), F.size(found).cast("long").alias("n_found"), (F.size(base) + F.size(found)).cast("long").alias("n_spans"),
     )
 
 

@@ -494,3 +494,137 @@ def test_pipeline_leaves_one_table(spark, tmp_path):
     before = set(glob.glob(f"{base}/pipeline-*/*"))
     assert pipeline.run(spark, str(tmp_path)).count() > 0
     assert [x.split("-")[-1] for x in set(glob.glob(f"{base}/pipeline-*/*")) - before] == ["sharding"]
+
+
+def test_pii_contexts_are_whole_words(spark):
+    a, b = "x" * 140 + "y", "z" + "x" * 140
+    texts = [f"{a} +1 (555) 010-12{i:02d} now" for i in range(8)] + [f"{b} 555-867-5309 now", f"{a} 555-867-5308 now", "w" * 150 + " is +1 (555) 010-9999", "q" * 300 + " is 555-111-2222"]
+    got = {x.doc_id: x for x in pii.find_pii(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i].n_found for i in (8, 9, 11)] == [0, 1, 0] and got[9].n_spans == 1 and got[0].n_spans == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bootstrap_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    values, patterns = range(60), range(100, 112)
+    is_seed = {v: r.random() < 0.4 for v in values}
+    occ = [(r.randrange(2), v, is_seed[v], [r.choice([*patterns, None]), r.choice(patterns)]) for v in (r.choice(values) for _ in range(260))]
+    edges = {(k, p, v) for k, v, _, ctx in occ for p in ctx if p is not None}
+    score = {}
+    for _ in range(pii.ROUNDS):
+        p_of = {}
+        for k, p in {(k, p) for k, p, _ in edges}:
+            own = {v for k2, p2, v in edges if (k2, p2) == (k, p)}
+            seeds, unknown = {v for v in own if is_seed[v]}, {v for v in own if not is_seed[v]}
+            good = sum(score.get((k, v), 0) >= pii.ACCEPT for v in unknown)
+            if unknown and len(seeds) + good >= pii.LEAST_SEEDS and len(own) >= pii.LEAST_SEEDS:
+                p_of[k, p] = (len(seeds) + sum(score.get((k, v), 0) for v in unknown)) / len(own)
+        new = {}
+        for k, p, v in edges:
+            if not is_seed[v] and p_of.get((k, p), 0) >= pii.GOOD_PATTERN:
+                new[k, v] = new.get((k, v), 1.0) * max(1 - p_of[k, p], 1e-12)
+        score = {x: 1 - miss for x, miss in new.items()}
+    got = pii.bootstrap(spark.createDataFrame(occ, "k int, value long, seed boolean, ctx array<long>"))
+    assert {(x.k, x.value) for x in got.collect()} == {x for x, s in score.items() if s >= pii.ACCEPT}
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_shuffled_branches_agree(spark, limit, monkeypatch):
+    from cairn.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    test_line_dedup(spark)
+    test_exact_dedup(spark)
+
+
+def brute_line_dedup(rows, min_docs, similarity):
+    lines, drop = {}, defaultdict(set)
+    for doc in {(i, t) for i, t, *_ in rows if t is not None}:
+        for k, line in enumerate(doc[1].split("\n")):
+            t = tuple("<*>" if re.search("[0-9]", w) else w for w in re.split(r"[\x20\x09-\x0D]+", line) if w)
+            if t:
+                lines[(*doc, k)] = t
+    count = Counter()
+    for i, text, *_ in rows:  # lines of rows that repeat count as often
+        for k in range(len((text or "").split("\n"))):
+            if (i, text, k) in lines:
+                count[lines[i, text, k]] += 1
+    leaf = lambda t: (len(t), t[: line_dedup.DEPTH])
+    size, votes = Counter(), Counter()
+    for t, n in count.items():
+        size[leaf(t)] += n
+        for j, w in enumerate(t):
+            votes[leaf(t), j, w] += n
+    docs_of = defaultdict(set)
+    template = {}
+    for key, t in lines.items():
+        if size[leaf(t)] >= min_docs:
+            fixed = [w != "<*>" and votes[leaf(t), j, w] >= min_docs for j, w in enumerate(t)]
+            template[key] = (leaf(t), tuple(w if f else "<*>" for w, f in zip(t, fixed)) if sum(fixed) / len(t) >= similarity else ("own", t))
+            docs_of[template[key]].add(key[:2])
+    for key, m in template.items():
+        if len(docs_of[m]) >= min_docs:
+            drop[key[:2]].add(key[2])
+    return sorted(((i, 0 if t is None else len(t.split("\n")), len(drop[i, t]), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[i, t])) for i, t, *_ in rows), key=repr)
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = random.Random(23)
+    words = ["user", "login", "from", "site", "12", "x9", "a", "b", "c"]
+    line = lambda: r.choice([" ", ""]) + "  ".join(r.choice(words) for _ in range(r.choice([0, 1, 3, 3, 4])))
+    rows = [(r.choice([i, i, None]), r.choice([None, "", *["\n".join(line() for _ in range(r.randrange(1, 7)))] * 9]), "en", "a") for i in range(120)]
+    rows += rows[:10]
+    for docs, share in ((3, 0.6), (2, 0.3)):
+        assert rows_of(line_dedup.line_dedup(frame(spark, rows), docs, share)) == brute_line_dedup(rows, docs, share)
+
+
+def test_lookup_table_against_brute_force():
+    for names, slots in ((["a", "b", "c"], 11), ([f"s{i}" for i in range(7)], 101), (["one"], 2)):
+        prefer = {s: [(sharding._draw(s, "offset") % slots + j * ((sharding._draw(s, "skip") % (slots - 1)) + 1 if slots > 2 else j)) % slots for j in range(slots)] for s in names}
+        assert all(sorted(p) == list(range(slots)) for p in prefer.values())  # a prime table: every skip visits every slot
+        owner = {}
+        while len(owner) < slots:
+            for s in names:
+                if len(owner) < slots:
+                    owner[next(x for x in prefer[s] if x not in owner)] = s
+        assert sharding.lookup_table(names, slots) == [owner[k] for k in range(slots)]
+
+
+def test_kneser_ney_against_brute_force(spark):
+    """Probabilities of every n-gram by the recursive definition, from texts in two languages."""
+    import numpy as np
+
+    texts = [("x", "abba cab"), ("x", "bca ab ba"), ("y", "ccab bc"), ("y", "cab")]
+    m = langid.kneser_ney(langid.count_grams(spark.createDataFrame(texts, "lang string, text string")).toPandas(), ["x", "y"])
+    alphabet = {c for _, t in texts for c in f" {t} "}
+    order, d = langid.ORDER, langid.DISCOUNT
+
+    def counts(lang):
+        grams = [Counter() for _ in range(order + 1)]
+        for lg, t in texts:
+            s = f" {t} "
+            for k in range(1, order + 1) if lg == lang else ():
+                grams[k].update(s[i : i + k] for i in range(len(s) - k + 1))
+        return grams
+
+    for col, lang in enumerate(m.langs):
+        grams = counts(lang)
+        a = [Counter() for _ in range(order + 1)]
+        a[order] = grams[order]
+        for k in range(1, order):  # distinct letters to the left; one at least where the n-gram begins a text
+            left = Counter(g[1:] for g in grams[k + 1])
+            a[k] = Counter({g: max(left[g], 1) for g in grams[k]})
+
+        def p(gram):
+            if not gram:
+                return 1 / (len(alphabet) + 1)
+            ctx = [g for g in a[len(gram)] if g[:-1] == gram[:-1]]
+            total = sum(a[len(gram)][g] for g in ctx)
+            if not total:
+                return p(gram[1:])
+            return max(a[len(gram)][gram] - d, 0) / total + d * len(ctx) / total * p(gram[1:])
+
+        for gram in {g for k in range(1, order + 1) for g in grams[k]} | {"zab", "abz", "cabb", " cc", "bb b"}:
+            c = np.array([ord(x) for x in gram], np.uint64)
+            got = m.log_probabilities(c, np.array([0]), len(gram))[0][col]
+            assert got == pytest.approx(np.log(p(gram)), abs=1e-4), (lang, gram)
