@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LANGUAGES = {
     "rs": "rust", "py": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript",
     "tsx": "tsx", "go": "go", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "java": "java", "cs": "csharp", "rb": "ruby", "php": "php", "phtml": "php",
-    "sh": "bash", "bash": "bash", "html": "html", "htm": "html", "xhtml": "html", "css": "css", "json": "json", "scala": "scala", "sc": "scala", "hs": "haskell", "lhs": "haskell", "ml": "ocaml", "zig": "zig",
+    "sh": "bash", "bash": "bash", "html": "html", "htm": "html", "xhtml": "html", "css": "css", "json": "json", "scala": "scala", "sc": "scala", "hs": "haskell", "lhs": "haskell", "ml": "ocaml", "mli": "ocaml", "zig": "zig",
     "sql": "sql", "toml": "toml", "yaml": "yaml", "yml": "yaml", "md": "markdown", "markdown": "markdown",
 }
 #: Words that have the shape of a name and mean nothing as one.
@@ -18,6 +18,7 @@ that this with from have will been they there their which would could should whe
 before other some such than then into over under between during without within your yours does done make made only also
 just like more most much many even here does very
 """.split()
+#: Fixed value: the shape of a dotted name.
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 
 
@@ -73,10 +74,45 @@ def normalize_guid(guid: Column) -> Column:
     return F.when(plain.rlike("^[0-9a-f]{32}$"), plain)
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def split_message(message: Column) -> tuple[Column, Column]:
-    """Subject (the first paragraph on one line) and body."""
-    parts = F.split(F.trim(message), r"\n[ \t]*\n", 2)
-    return F.trim(F.regexp_replace(F.get(parts, F.lit(0)), r"[ \t]*\n[ \t]*", " ")), F.coalesce(F.trim(F.get(parts, F.lit(1))), F.lit(""))
+    """Subject (the first paragraph on one line) and body, both without white space at their ends."""
+    lines = F.split(F.regexp_replace(message, r"^\n+", ""), r"\r?\n")
+    blank = F.array_position(F.transform(lines, lambda x: stripped(x) == ""), True).cast("int")
+    head = F.when(blank > 0, blank - 1).otherwise(F.size(lines))
+    body = F.when(blank > 0, F.array_join(F.slice(lines, blank + 1, F.size(lines)), "\n")).otherwise("")
+    return stripped(F.array_join(F.transform(F.slice(lines, F.lit(1), head), stripped), " ")), stripped(body)
+
+
+def truncated(subject: Column, body: Column, most: int, marker: str) -> Column:
+    """The body cut so that subject, body and marker fit ``most`` UTF-8 bytes; whole where the message fits without one.
+
+    The subject is never cut, and no character is split.
+    """
+    room = F.greatest(F.lit(most) - F.octet_length(subject) - len(marker.encode()), F.lit(0))
+    raw = body.cast("binary")
+    # a continuation byte at the cut belongs to a character that began up to three bytes before
+    back = F.coalesce(*[F.when(~F.hex(F.substring(raw, room + 1 - k, F.lit(1))).rlike("^[89AB]"), k) for k in range(4)], F.lit(0))
+    cut = F.substring(raw, F.lit(1), room - back).cast("string")
+    return F.when(F.octet_length(subject) + F.octet_length(body) > most, F.concat(F.when(room >= F.octet_length(body), body).otherwise(cut), F.lit(marker))).otherwise(body)
+
+
+def title_line(text: Column) -> Column:
+    """The first line that is not blank, without white space at its ends; empty without any."""
+    return F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\r?\n"), stripped), lambda x: x != ""), F.lit(0)), F.lit(""))
+
+
+def shortened(query: Column, least: int = 40, most: int = 200) -> Column:
+    """The longest run of whole sentences of ``least`` to ``most`` characters from the start; the query where it is no
+    longer than that; else null."""
+    ends = F.regexp_extract_all(F.left(query, F.lit(most + 120)), F.lit(r"(?s).*?[.?!](?=\s|$)"), 0)
+    at = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda k: F.length(F.array_join(F.slice(ends, F.lit(1), k), "")))
+    best = F.array_max(F.filter(F.when(F.size(ends) > 0, at), lambda n: (n >= least) & (n <= most)))
+    return F.when(best.isNotNull(), stripped(F.left(query, best))).when(F.length(query) <= most, stripped(query))
 
 
 def line_column(text: Column, at: Column) -> tuple[Column, Column]:
@@ -99,8 +135,18 @@ def leakage(query: Column, gold: Column) -> Column:
     return F.when(F.exists(gold, lambda p: query.contains(p)), "path").when(F.exists(gold, lambda p: query.contains(base(p))), "basename").otherwise("none")
 
 
+def leakage_stratum(path: Column, basename: Column) -> Column:
+    """The stratum of a query by its flags: that it names a gold path, else a gold file's name, else neither."""
+    return F.when(path, "path").when(basename, "basename").otherwise("none")
+
+
+def gold_size(n: Column) -> Column:
+    return F.when(n <= 1, "1").when(n == 2, "2").when(n <= 4, "3-4").otherwise("5+")
+
+
 def valid_path(path: Column) -> Column:
-    return (path != "") & ~path.startswith("/") & ~path.contains("//") & ~path.contains("\\")
+    """Relative, not empty, without empty parts, backslashes and ``..``."""
+    return (path != "") & ~path.startswith("/") & ~path.contains("//") & ~path.contains("\\") & ~F.array_contains(F.split(path, "/"), "..")
 
 
 def round_up(value: Column, step: float) -> Column:
@@ -121,10 +167,43 @@ def eta(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%dh%02dm", h, m)).when(m > 0, F.format_string("%dm%02ds", m, s)).otherwise(F.format_string("%ds", s))
 
 
-def mangled(token: Column, way: Column) -> Column:
-    """A name as a caller might misremember it: 0 snake to camel or back, 1 inner vowels dropped, 2 first two letters swapped."""
-    camel = F.concat(F.substring(token, 1, 1), F.substring(F.replace(F.initcap(F.replace(token, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")), 2, 200))
-    flip = F.when(token.contains("_"), camel).otherwise(F.lower(F.regexp_replace(token, "([a-z0-9])([A-Z])", "$1_$2")))
-    bare = F.concat(F.substring(token, 1, 1), F.regexp_replace(F.substring(token, 2, 200), "[aeiouAEIOU]", ""))
-    swap = F.concat(F.substring(token, 2, 1), F.substring(token, 1, 1), F.substring(token, 3, 200))
-    return F.when(way == 0, flip).when(way == 1, bare).otherwise(swap)
+def age(seconds: Column) -> Column:
+    """The largest unit only: 45s, 12m, 3h, 9d."""
+    return F.when(seconds < 60, F.format_string("%ds", seconds)).when(seconds < 3600, F.format_string("%dm", F.floor(seconds / 60))).when(seconds < 86400, F.format_string("%dh", F.floor(seconds / 3600))).otherwise(F.format_string("%dd", F.floor(seconds / 86400)))
+
+
+def significant(value: Column, digits: int) -> Column:
+    """Rounded to so many significant digits."""
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(value))))
+    return F.when(value == 0, value).otherwise(F.round(value * scale) / scale)
+
+
+def flipped(token: Column) -> Column:
+    """snake_case as camelCase, camelCase as snake_case, anything else as it is."""
+    parts = F.split(token, "_")
+    camel = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))), ""))
+    snake = F.when(token.rlike("[a-z0-9][A-Z]"), F.lower(F.regexp_replace(token, "([a-z0-9])([A-Z])", "$1_$2"))).otherwise(token)
+    return F.when(token.contains("_"), camel).otherwise(snake)
+
+
+def without_vowels(token: Column) -> Column:
+    """Vowels after the first letter dropped, unless under three letters would be left."""
+    bare = F.concat(F.left(token, F.lit(1)), F.regexp_replace(F.substr(token, F.lit(2)), "[aeiouAEIOU]", ""))
+    return F.when(F.length(bare) >= 3, bare).otherwise(token)
+
+
+def transposed(token: Column, draw: Column) -> Column:
+    """Two neighbours inside the name swapped, at a place taken from ``draw``; names under four letters stay."""
+    i = draw % F.greatest(F.length(token) - 3, F.lit(1)) + 1
+    at = lambda k: F.substr(token, k, F.lit(1))
+    return F.when(F.length(token) < 4, token).otherwise(F.concat(F.left(token, i), at(i + 2), at(i + 1), F.substr(token, i + 3)))
+
+
+def mangled(token: Column, way: Column, draw: Column | None = None) -> Column:
+    """A name as a caller might misremember it: the first of three rules, from number ``way`` on, that changes it.
+
+    0: snake to camel or back, 1: inner vowels dropped, 2: two neighbours swapped, by the integer ``draw``.
+    """
+    rules = F.array(flipped(token), without_vowels(token), transposed(token, (F.lit(0) if draw is None else draw).cast("int")))
+    in_turn = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get(rules, ((way + k) % 3).cast("int")))
+    return F.coalesce(F.get(F.filter(in_turn, lambda x: x != token), F.lit(0)), token)

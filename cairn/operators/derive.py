@@ -1,4 +1,4 @@
-"""Chunks, symbols and vectors from source text.
+"""Windows, packings and vectors of source text; `slicing` follows its structure.
 
 A line's size in tokens is known to Spark; cutting a file into windows depends on what came before, so one small
 function does it for a file at a time, inside ``mapInPandas`` over the files of a partition.
@@ -118,34 +118,6 @@ def pack_markdown(blocks: DataFrame, cap: int = MARKDOWN_CAP) -> DataFrame:
     return blocks.select("doc_id", "tokens", "levels").mapInPandas(packed, "doc_id long, chunk int, first int, last int, tokens int")
 
 
-def markdown_blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, tokens, levels: paragraphs parted by blank lines, with their token counts and heading levels."""
-    paragraphs = F.filter(F.split("text", r"\n[ \t]*\n"), lambda p: F.trim(p) != "")
-    level = lambda p: F.length(F.regexp_extract(p, r"^(#{1,6}) ", 1))
-    size = lambda p: F.size(F.regexp_extract_all(p, F.lit(r"(?U)\w+|[^\w\s]"), 0))
-    return docs.select("doc_id", F.transform(paragraphs, size).alias("tokens"), F.transform(paragraphs, level).alias("levels"))
-
-
-#: One pattern per language: a definition's kind and name at the start of a line.
-DEFINITIONS = {
-    "python": r"^[ \t]*(?:async )?(def|class) +([A-Za-z_]\w*)",
-    "rust": r"^[ \t]*(?:pub(?:\([a-z]+\))? )?(?:async )?(fn|struct|enum|trait|impl|mod|type|const) +([A-Za-z_]\w*)",
-    "go": r"^(func|type|var|const) +(?:\([^)]*\) *)?([A-Za-z_]\w*)",
-    "javascript": r"^[ \t]*(?:export )?(?:async )?(function|class|const|let) +([A-Za-z_$][\w$]*)",
-    "sql": r"(?i)^[ \t]*create (table|view|function|index) +(?:if not exists +)?([A-Za-z_]\w*)",
-    "markdown": r"^(#{1,6}) +(.+)$",
-}
-
-
-def symbols(files: DataFrame, language: str) -> DataFrame:
-    """doc_id, name, kind, start_line, indent of the definitions in files (doc_id, text) of one language."""
-    regex = DEFINITIONS[language]
-    lines = files.select("doc_id", F.posexplode(F.split("text", "\n")).alias("_i", "_line"))
-    kind, name = F.regexp_extract("_line", regex, 1), F.regexp_extract("_line", regex, 2)
-    hit = lines.where(F.col("_line").rlike(regex))
-    return hit.select("doc_id", F.trim(name).alias("name"), F.lower(kind).alias("kind"), (F.col("_i") + 1).alias("start_line"), F.length(F.regexp_extract("_line", "^([ \t]*)", 1)).alias("indent"))
-
-
 def hash_vector(text: str, dim: int) -> np.ndarray:
     """A unit Gaussian vector seeded by the text: equal texts have equal vectors."""
     v = np.random.default_rng(xxhash.xxh64_intdigest(text)).standard_normal(dim)

@@ -75,6 +75,56 @@ def noise_floor(runs: DataFrame, digits: int = 6) -> DataFrame:
     return mean.join(moved, "corpus")
 
 
+def noise_report(runs: DataFrame, alpha: float = 0.05, power: float = 0.8, target: float = 0.02, floor: float = 0.01, multiple: float = 2.0, step: float = 0.005, digits: int = 6) -> DataFrame:
+    """One row over repeated runs (run, corpus, q, value), of the queries that every run has.
+
+    macro_sd: of the runs' means over corpora; pooled_sd: root mean square of the corpora's SDs; delta: the smallest
+    difference to believe, a multiple of it rounded up; sigma_d: of the differences between every two runs; ceiling:
+    the root of two times the SD between queries' means; needed, needed_ceiling: queries that show ``target``.
+    """
+    n_runs = runs.select("run").distinct().count()
+    by = runs.groupBy("corpus", "run").agg(F.avg("value").alias("m"))
+    pooled = by.groupBy("corpus").agg(F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("sd")).agg(F.sqrt(F.avg(F.col("sd") ** 2)).alias("pooled_sd"))
+    macro = by.groupBy("run").agg(F.avg("m").alias("m")).agg(F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("macro_sd"))
+    # a difference of every two runs has mean 0 over ordered pairs; its square sums to n * sum of squares - square of sum,
+    # so the pairs themselves need not be made; the signed mean of the unordered pairs is a weighted sum by run order
+    k = F.dense_rank().over(Window.orderBy("run"))
+    order = runs.select("run").distinct().withColumn("_k", k)  # a row per run
+    per = runs.join(F.broadcast(order), "run").groupBy("corpus", "q").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("ss"), F.sum(F.col("value") * (F.lit(n_runs + 1) - 2 * F.col("_k"))).alias("d"), (F.count_distinct(F.round("value", 9)) > 1).cast("int").alias("moved"), F.avg("value").alias("m")
+    )
+    per = per.where(F.col("n") == n_runs)
+    pairs = F.lit(n_runs * (n_runs - 1) / 2.0)
+    sums = per.agg(F.count(F.lit(1)).alias("queries"), F.sum("moved").alias("unstable"), F.sum(F.col("n") * F.col("ss") - F.col("s") ** 2).alias("sq"), F.sum("d").alias("d"), F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("sq_sd"))
+    total = F.col("queries") * pairs
+    var = (F.col("sq") - F.col("d") ** 2 / total) / (total - 1)
+    sums = sums.withColumn("sigma_d", F.when(total > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0)).withColumn("ceiling", F.lit(math.sqrt(2)) * F.col("sq_sd"))
+    z = normal_ppf(1 - alpha / 2) + normal_ppf(power)
+    need = lambda c: F.when(F.col(c) > 0, F.ceil((F.lit(z) * F.col(c) / target) ** 2))
+    one = sums.withColumn("_one", F.lit(1)).join(pooled.withColumn("_one", F.lit(1)), "_one").join(macro.withColumn("_one", F.lit(1)), "_one")  # one row each
+    delta = F.greatest(F.lit(floor), F.ceil(F.col("pooled_sd") * multiple / step - 1e-9) * step)
+    r = lambda c, name: F.round(c, digits).alias(name)
+    return one.select("queries", "unstable", r(F.col("macro_sd"), "macro_sd"), r(F.col("pooled_sd"), "pooled_sd"), r(delta, "delta"), r(F.col("sigma_d"), "sigma_d"), r(F.col("ceiling"), "ceiling"), need("sigma_d").alias("needed"), need("ceiling").alias("needed_ceiling"))
+
+
+def non_inferior(intervals: DataFrame, margin: float) -> DataFrame:
+    """Intervals (lo) with margin and non_inferior: the whole interval clears minus the margin."""
+    return intervals.withColumn("margin", F.lit(margin)).withColumn("non_inferior", F.col("lo") > -margin)
+
+
+def best_weights(scores: DataFrame, train: str, test: str) -> DataFrame:
+    """The weights with the best mean on one corpus, and their mean on another. scores: corpus, weights, value.
+
+    Choosing and reporting on the same corpus is refused. Ties go to the first weights in order.
+    """
+    if train == test:
+        raise ValueError("weights are chosen on one corpus and reported on another")
+    mean = scores.where(F.col("corpus").isin(train, test)).groupBy("corpus", "weights").agg(F.avg("value").alias("m"))
+    order = F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("m"), "weights"))
+    chosen = mean.where(F.col("corpus") == train).withColumn("_k", order).where("_k = 1").select("weights", F.col("m").alias("train"))
+    return chosen.join(mean.where(F.col("corpus") == test).select("weights", F.col("m").alias("test")), "weights", "left")
+
+
 def paired_spread(runs: DataFrame, digits: int = 6) -> DataFrame:
     """a, b, sigma: the SD of the per-query differences of every two runs. Runs are few; the join is on the query."""
     x, y = runs.select("q", F.col("run").alias("a"), F.col("value").alias("va")), runs.select("q", F.col("run").alias("b"), F.col("value").alias("vb"))

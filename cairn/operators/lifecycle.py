@@ -9,9 +9,10 @@ STATUSES = ("just_uploaded", "indexing", "indexed", "failed", "cancelled", "dele
 
 
 def legal(old: Column, new: Column) -> Column:
-    """Files begin as just_uploaded or indexing; anything may be indexed again or deleted; indexing ends in three ways."""
+    """Files begin as just_uploaded or indexing; anything may be indexed again or deleted; indexing ends in three ways.
+    A file stays in its status only as indexing or deleted."""
     start = old.isNull() & new.isin("just_uploaded", "indexing")
-    return F.coalesce(start | new.isin("indexing", "deleted") & old.isNotNull() | (old == "indexing") & new.isin("indexed", "cancelled", "failed") | (old == new), F.lit(False))
+    return F.coalesce(start | new.isin("indexing", "deleted") & old.isNotNull() | (old == "indexing") & new.isin("indexed", "cancelled", "failed"), F.lit(False))
 
 
 def transitions(updates: DataFrame, key: str = "file", order: str = "id") -> DataFrame:
@@ -49,16 +50,36 @@ def language_inventory(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def observed_cost(runs: DataFrame, now: int, window_s: int, least_runs: int) -> DataFrame:
     """model, effort, runs, p50_s, p90_s: nearest-rank quantiles of elapsed_ms in the window, seconds rounded up."""
-    w = Window.partitionBy("model", "effort")
     recent = runs.where((F.col("kind") == "research") & (F.col("created_at") >= now - window_s))
-    placed = recent.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("elapsed_ms")))
-    pick = lambda q: F.ceil(F.max(F.when(F.col("k") == F.least(F.greatest(F.ceil(F.col("n") * q), F.lit(1)), F.col("n")), F.col("elapsed_ms"))) / 1000).cast("long")
-    return placed.groupBy("model", "effort").agg(F.count(F.lit(1)).alias("runs"), pick(0.5).alias("p50_s"), pick(0.9).alias("p90_s")).where(F.col("runs") >= least_runs)
+    pick = lambda q: F.ceil(F.get("p", F.lit(q)) / 1000).cast("long")
+    return nearest_rank(recent, ["model", "effort"], "elapsed_ms", [0.5, 0.9], "runs").where(F.col("runs") >= least_runs).select("model", "effort", "runs", pick(0).alias("p50_s"), pick(1).alias("p90_s"))
+
+
+def nearest_rank(values: DataFrame, keys: list[str], column: str, shares: list[float], n: str = "n") -> DataFrame:
+    """The keys, the rows and p, an array of nearest-rank quantiles: the least values that ``shares`` of the rows reach.
+
+    Equal values are counted before they are shuffled, and a key's counts are its row: one per distinct value, not per
+    row. The mark of a share is 1 at least.
+    """
+    counted = values.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    run = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(column))).withColumn("_n", F.sum("_c").over(w))
+    at = [F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.col("_n") * s), F.lit(1)), F.col(column))) for s in shares]
+    return run.groupBy(*keys).agg(F.sum("_c").alias(n), F.array(*at).alias("p"))
+
+
+def linear_histogram(values: DataFrame, column: str, start: float, width: float, n: int) -> DataFrame:
+    """le, count: cumulative buckets of equal width; the last one has no bound."""
+    return _histogram(values, column, [start + width * i for i in range(n)])
 
 
 def histogram(values: DataFrame, column: str, start: float, factor: float, n: int) -> DataFrame:
     """le, count: cumulative exponential buckets; the last one has no bound."""
-    bounds = [start * factor**i for i in range(n)]
+    return _histogram(values, column, [start * factor**i for i in range(n)])
+
+
+def _histogram(values: DataFrame, column: str, bounds: list[float]) -> DataFrame:
+    n = len(bounds)
     edges = F.array(*[F.lit(b) for b in bounds])
     first = F.size(F.filter(edges, lambda b: b < F.col(column)))
     counts = values.where(F.col(column).isNotNull()).groupBy(first.alias("i")).agg(F.count(F.lit(1)).alias("n"))
@@ -122,8 +143,67 @@ def probe(asked: DataFrame, files: DataFrame) -> DataFrame:
 
 def load_summary(requests: DataFrame) -> DataFrame:
     """level, requests, errors, wall_s, per_s and nearest-rank p50/p90/p95/p99 of ms; requests: level, started, ms, ok."""
-    w = Window.partitionBy("level")
-    placed = requests.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("ms")))
-    at = lambda q: F.max(F.when(F.col("k") == F.greatest(F.ceil(F.col("n") * q), F.lit(1)), F.col("ms"))).alias(f"p{round(q * 100)}")
-    out = placed.groupBy("level").agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("errors"), (F.max("started") - F.min("started")).alias("wall_s"), *[at(q) for q in (0.5, 0.9, 0.95, 0.99)])
+    shares = [0.5, 0.9, 0.95, 0.99]
+    out = requests.groupBy("level").agg(F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("ok")).alias("errors"), (F.max("started") - F.min("started")).alias("wall_s"))
+    out = out.join(nearest_rank(requests, ["level"], "ms", shares).drop("n"), "level", "left")
+    out = out.select("level", "requests", "errors", "wall_s", *[F.get("p", F.lit(i)).alias(f"p{round(q * 100)}") for i, q in enumerate(shares)])
     return out.withColumn("per_s", F.round(F.col("requests") / F.greatest("wall_s", F.lit(1)), 6))
+
+
+def confirm_writes(files: DataFrame, done: DataFrame, model: str, now: int) -> DataFrame:
+    """Files after terminal writes for ``done`` (project_guid, path), and applied: only files still in indexing end.
+
+    What was cancelled or deleted meanwhile keeps its state; applied is null for files that ``done`` does not name.
+    """
+    asked = done.select("project_guid", "path", F.lit(True).alias("_asked")).distinct()
+    j = files.join(asked, ["project_guid", "path"], "left")
+    on = F.coalesce("_asked", F.lit(False)) & (F.col("status") == "indexing")
+    out = j.withColumn("applied", F.when(F.col("_asked"), on))
+    new = {"embedded_model_id": F.lit(model), "retry_count": F.lit(0), "status_updated_at": F.lit(now), "status": F.lit("indexed")}
+    for name, value in new.items():
+        old = F.col(name) if name in files.columns else F.lit(None)
+        out = out.withColumn(name, F.when(F.coalesce("applied", F.lit(False)), value).otherwise(old))
+    return out.drop("_asked")
+
+
+def global_counts(files: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
+    """name, n: projects, status_log, runs, pinned_runs (no expiry) and stale_runs (stale) of the whole database."""
+    named = lambda df, name, n: df.agg(n.alias("n")).select(F.lit(name).alias("name"), "n")
+    each = [
+        named(files, "projects", F.count_distinct("project_guid")), named(log, "status_log", F.count(F.lit(1))),
+        runs.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("expires_at").isNull()).alias("pinned_runs"), F.count_if("stale").alias("stale_runs")).unpivot([], ["runs", "pinned_runs", "stale_runs"], "name", "n"),
+    ]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def runtime_status(files: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row: claims held, files in indexing, and the files of each status as a map."""
+    by = files.where("status is not null").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    both = by.unionByName(claims.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("status"), "n"))  # a row per status
+    told = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("status").isNotNull(), F.struct("status", "n"))))).alias("files")
+    one = both.agg(F.max(F.when(F.col("status").isNull(), F.col("n"))).alias("claims"), told)
+    return one.select("claims", F.coalesce(F.col("files")["indexing"], F.lit(0)).alias("indexing"), "files")
+
+
+def active_runs(runs: DataFrame, now: int) -> DataFrame:
+    """Runs that have not ended, the oldest first: id, age_s."""
+    return runs.where("ended_at is null").select("id", (F.lit(now) - F.col("started_at")).alias("age_s")).orderBy(F.desc("age_s"), "id")
+
+
+def response_map(chunks: DataFrame, request: str) -> DataFrame:
+    """files: language to path to number of chunks, one row per ``request``; a request names a bounded list of files."""
+    per = chunks.groupBy(request, "programming_language", "path").agg(F.count("chunk").alias("n"))
+    paths = per.groupBy(request, "programming_language").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "n")))).alias("paths"))
+    return paths.groupBy(request).agg(F.map_from_entries(F.collect_list(F.struct("programming_language", "paths"))).alias("files"))
+
+
+def tally(responses: DataFrame, request: str) -> DataFrame:
+    """chunks and too_short (files without any) of each response map."""
+    counts = F.flatten(F.transform(F.map_values("files"), F.map_values))
+    return responses.select(request, F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n).alias("chunks"), F.size(F.filter(counts, lambda n: n == 0)).cast("long").alias("too_short"))
+
+
+def drop_reasons(records: DataFrame, rules: dict[str, Column], content: str) -> DataFrame:
+    """reason, n, contents: the first rule that holds drops a record; what none drops is kept. One row per reason."""
+    reason = F.coalesce(*[F.when(on, name) for name, on in rules.items()], F.lit("kept"))
+    return records.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(content).alias("contents"))

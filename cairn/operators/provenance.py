@@ -11,10 +11,13 @@ SEVERITY = ("unchallenged", "confirmed", "disputed", "refuted")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """A reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one where none is set, in local mode."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-"))
     return df.checkpoint(eager=True)
 
 
@@ -56,9 +59,22 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 
 def validity(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """run, valid, invalid_reason; runs: run, stale. Own staleness comes first, then deleted, then stale ancestors."""
-    state = runs.select(F.col("run").alias("ancestor"), "stale")
-    seen = ancestors(edges).join(state, "ancestor", "left").groupBy("run").agg(F.max(F.col("stale").isNull()).alias("_gone"), F.max(F.coalesce("stale", F.lit(False))).alias("_bad"))
+    """run, valid, invalid_reason; runs: run, stale. Own staleness comes first, then deleted, then stale ancestors.
+
+    Two flags per run travel along the edges until no run gains one; the closure itself is never built. A round moves
+    only what the round before found.
+    """
+    e = settle(edges.select("run", "parent").distinct())
+    flags = lambda gone, bad: (F.max(gone).alias("_gone"), F.max(bad).alias("_bad"))
+    state = runs.select(F.col("run").alias("parent"), "stale")
+    new = settle(e.join(state, "parent", "left").groupBy("run").agg(*flags(F.col("stale").isNull(), F.coalesce("stale", F.lit(False)))).where("_gone or _bad"))
+    seen = new
+    while not new.isEmpty():
+        up = e.join(new.withColumnRenamed("run", "parent"), "parent").groupBy("run").agg(*flags("_gone", "_bad"))
+        old = seen.select("run", F.col("_gone").alias("_g"), F.col("_bad").alias("_b"))
+        more = (F.col("_gone") & ~F.coalesce("_g", F.lit(False))) | (F.col("_bad") & ~F.coalesce("_b", F.lit(False)))
+        new = settle(up.join(old, "run", "left").where(more).select("run", "_gone", "_bad"))
+        seen = settle(seen.unionByName(new).groupBy("run").agg(*flags("_gone", "_bad")))
     j = runs.join(seen, "run", "left")
     reason = F.when(F.col("stale"), "stale").when(F.col("_gone"), "context_deleted").when(F.col("_bad"), "context_invalid")
     return j.select("run", reason.isNull().alias("valid"), reason.alias("invalid_reason"))
@@ -132,3 +148,31 @@ def verification(recorded: DataFrame, recomputed: DataFrame) -> DataFrame:
     j = recorded.join(r, "run", "left")
     same = (F.col("verified") == F.col("_verified")) & (F.col("path_only") == F.col("_path_only")) & (F.col("unverified") == F.col("_unverified"))
     return j.select("run", F.coalesce(same, F.lit(False)).alias("matches"), F.col("_verified").isNotNull().alias("spans_available"))
+
+
+def run_journal(stored: dict[str, DataFrame], new: dict[str, DataFrame], retention: int) -> dict[str, DataFrame]:
+    """What is to be appended to the run table and to its four child tables, and what a new challenge replaces.
+
+    new: runs (project_guid, created_at, id, challenged: null unless it is a challenge, verdict) and the children
+    citations, evidence, turns and context, each with the id of its run. Children of unknown runs are refused. replaced
+    has the ids of older challenges of the same run: a new one with a verdict stands in their place.
+    """
+    runs = insert_runs(stored["runs"], new["runs"], retention)
+    children = {k: new[k] for k in ("citations", "evidence", "turns", "context")}
+    for name, rows in children.items():
+        if not rows.join(new["runs"].select("id"), "id", "left_anti").isEmpty():
+            raise ValueError(f"{name} of a run that is not inserted with them")
+    judged = new["runs"].where("challenged is not null and verdict is not null").select("challenged").distinct()
+    old = stored["runs"].where("challenged is not null").join(judged, "challenged", "left_semi").select("id")
+    return {"runs": runs, **children, "replaced": old}
+
+
+def run_summaries(runs: DataFrame) -> DataFrame:
+    """What a list of runs shows: everything but the report, which the scan then never reads."""
+    return runs.drop("report")
+
+
+def run_detail(runs: DataFrame, run: Column, most: int, marker: str = "[truncated]") -> DataFrame:
+    """The run with its report, cut to ``most`` characters with a marker, and whether it was cut."""
+    cut = F.length("report") > most
+    return runs.where(run).withColumn("report", F.when(cut, F.concat(F.left("report", F.lit(most)), F.lit(marker))).otherwise(F.col("report"))).withColumn("truncated", F.coalesce(cut, F.lit(False)))

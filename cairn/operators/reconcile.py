@@ -6,15 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of ``a`` without an equal one in ``b`` (same columns); nulls match no row."""
+    return a.join(b, a.columns, "left_anti")
+
+
 def drift(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """path, bucket: stale, missing, orphaned or indexing; files that agree are left out."""
-    m, f = manifest.select("path", F.lower("sha256").alias("_new")), files.where("status <> 'deleted'").select("path", F.lower("sha256").alias("_old"), "status")
+    """path, bucket: files that agree are left out.
+
+    indexing: in flight, whatever the tree has. orphaned: indexed, absent from the tree. missing: in the tree, not
+    indexed (never, failed, cancelled or deleted). stale: indexed with another hash.
+    """
+    m, f = manifest.select("path", F.lower("sha256").alias("_new")), files.select("path", F.lower("sha256").alias("_old"), "status")
     both = m.join(f, "path", "full_outer")
+    indexed = F.coalesce(F.col("status") == "indexed", F.lit(False))
     bucket = (
-        F.when(F.col("_new").isNull(), "orphaned")
-        .when(F.col("_old").isNull(), "missing")
-        .when(F.col("status") == "indexing", "indexing")
-        .when((F.col("_old") != F.col("_new")) | (F.col("status") != "indexed"), "stale")
+        F.when(F.col("status") == "indexing", "indexing")
+        .when(F.col("_new").isNull(), F.when(indexed, "orphaned"))
+        .when(~indexed, "missing")
+        .when(~F.col("_old").eqNullSafe(F.col("_new")), "stale")
     )
     return both.select("path", bucket.alias("bucket")).where("bucket is not null")
 

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+import re
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .provenance import settle
+
 #: Words that BM25 queries leave out.
 STOP = """
 the and for are but not you all can her was one our out day get has him his how its may new now old see two way who boy
 did use with this that from they will would there their what when which into than them then these those some such only
 also been have more most other over
 """.split()
+#: Fixed value: the shape of a term.
 TERM = "[A-Za-z_][A-Za-z0-9_]+"
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Query vectors that go to the tasks at once.
-QUERY_BLOCK = 4096
+#: Queries that go to the tasks at once, and those of them that are scored at once.
+QUERY_BLOCK, SCORED = 4096, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,42 +49,74 @@ def dense_search(vectors: DataFrame, query: Sequence[float], top_k: int, candida
     return scored.orderBy(F.desc("score"), "vec_id").limit(top_k)
 
 
+def query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
+    """The rows of a stated query set in hashed blocks of about ``block``, one on the driver at a time."""
+    n = max(1, -(-queries.count() // block))
+    for k in range(n):
+        rows = (queries.where(F.pmod(F.xxhash64("q"), F.lit(n)) == k) if n > 1 else queries).collect()
+        if rows:
+            yield rows
+
+
+class Best:
+    """The ``top_k`` best documents of every query that a task has seen: by score, then by id."""
+
+    def __init__(self, n: int, top_k: int) -> None:
+        self.k = top_k
+        self.score, self.doc = [np.empty(0)] * n, [np.empty(0, np.int64)] * n
+
+    def add(self, q: int, score: np.ndarray, doc: np.ndarray) -> None:
+        if len(score) > self.k:  # ties with the last one stay until ids decide
+            on = score >= np.partition(score, -self.k)[-self.k]
+            score, doc = score[on], doc[on]
+        score, doc = np.r_[self.score[q], score], np.r_[self.doc[q], doc]
+        take = np.lexsort((doc, -score))[: self.k]
+        self.score[q], self.doc[q] = score[take], doc[take]
+
+    def rows(self, ids: np.ndarray, name: str) -> pa.RecordBatch:
+        q = np.repeat(ids, [len(x) for x in self.doc])
+        return pa.record_batch([pa.array(q), pa.array(np.concatenate([*self.doc, np.empty(0, np.int64)])), pa.array(np.concatenate([*self.score, np.empty(0)]))], ["q", name, "score"])
+
+
+def ranked(parts: list[DataFrame], schema: DataFrame, top_k: int, by: str) -> DataFrame:
+    """The final ranking of what the tasks kept; ``schema`` stands in where there was no query."""
+    out = schema.limit(0) if not parts else parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), by))
+    return out.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
 def dense_search_batch(vectors: DataFrame, queries: DataFrame, top_k: int, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """(q, vec_id, score, rank) for many queries (q, embedding); a query does not find itself.
 
-    Queries go to the tasks in blocks of bounded size; each Arrow batch of vectors is scored by one matrix product and
-    keeps its own best ``top_k``, so little is shuffled to the final ranking.
+    Queries go to the tasks in blocks of bounded size. Each Arrow batch of vectors is scored by matrix products of SCORED
+    queries, and a task keeps its best ``top_k`` of each query over all its batches, so little is shuffled.
     """
-    n, out = queries.count(), None
-    blocks = max(1, -(-n // block))
-    for k in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k) if blocks > 1 else queries
-        rows = own.collect()
-        if not rows and (k < blocks - 1 or out is not None):
-            continue
+    parts = []
+    for rows in query_blocks(queries.select("q", "embedding"), block):
         ids = np.array([r.q for r in rows], np.int64)
-        mat = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), len(rows[0].embedding) if rows else 0)
+        mat = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
         mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
 
         def best(batches: Iterator[pa.RecordBatch], ids=ids, mat=mat) -> Iterator[pa.RecordBatch]:
+            top = Best(len(ids), top_k)
             for b in batches:
-                if not b.num_rows or not len(ids):
+                if not b.num_rows:
                     continue
                 vec = np.asarray(b.column(0))
                 x = np.asarray(b.column(1).flatten(), np.float64).reshape(len(vec), -1)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = np.round(mat @ x.T, digits)
-                score[ids[:, None] == vec[None, :]] = -np.inf
-                order = np.argsort(vec, kind="stable")
-                take = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :top_k]]
-                got = np.take_along_axis(score, take, 1)
-                on = np.isfinite(got)
-                yield pa.record_batch([pa.array(np.repeat(ids, take.shape[1])[on.ravel()]), pa.array(vec[take][on]), pa.array(got[on])], ["q", "vec_id", "score"])
-
-        part = vectors.select("vec_id", "embedding").mapInArrow(best, "q long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= top_k)
+                for lo in range(0, len(ids), SCORED):
+                    score = np.round(mat[lo : lo + SCORED] @ x.T, digits)
+                    for i, row in enumerate(score, lo):
+                        other = vec != ids[i]
+                        top.add(i, row[other], vec[other])
+            yield top.rows(ids, "vec_id")
+
+        parts.append(vectors.select("vec_id", "embedding").mapInArrow(best, "q long, vec_id long, score double"))
+    empty = vectors.select(F.col("vec_id").cast("long").alias("q"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
+    return ranked(parts, empty, top_k, "vec_id")
 
 
 def terms(text: Column) -> Column:
@@ -86,53 +125,120 @@ def terms(text: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(STOP))
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct three-character substrings of the lower-cased text; cut into characters first, so linear."""
-    c = F.split(F.lower(text), "")
-    join = lambda a, b: F.concat(a, b)  # noqa: E731  null where the shorter array ends
-    grams = F.zip_with(F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), join), F.slice(c, F.lit(3), F.size(c)), join)
-    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, top_k: int, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
-    """(q, doc_id, score, rank): Robertson BM25 of the queries' OR-ed distinct terms. docs: doc_id, text; queries: q, text."""
-    asked = queries.select("q", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    cut = docs.select("doc_id", terms(F.col("text")).alias("t"))
-    size = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")).first()
-    posted = cut.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    tf = posted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(float(size.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(size.avgdl or 1))))
-    scored = asked.join(tf, "term").join(df, "term").groupBy("q", "doc_id").agg(F.round(F.sum(weight), digits).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
-
+def postings(docs: DataFrame, asked: Sequence[str], substrings: bool) -> DataFrame:
+    """doc_id, dl, terms (places in ``asked``), tfs: what of the asked terms each document has; every document has a row.
 
-def trigram_overlap(docs: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
-    """(q, doc_id, hits, rank): documents by the number of the query's distinct trigrams they have."""
-    asked = queries.select("q", F.explode(trigrams(F.col("text"))).alias("gram"))
-    held = docs.select("doc_id", F.explode(trigrams(F.col("text"))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    scored = asked.join(held, "gram").groupBy("q", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("hits"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    Words: dl counts the document's terms. Substrings, as an index of trigrams finds them: a term counts wherever its
+    characters stand, also within words and over itself, and dl counts the document's trigrams.
+    """
+    stop, place = frozenset(STOP), {t: i for i, t in enumerate(asked)}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(TERM)
+        finder = ahocorasick.Automaton()
+        if substrings and place:
+            for t, i in place.items():
+                finder.add_word(t, i)
+            finder.make_automaton()
+        for b in batches:
+            dl, found = [], []
+            for text in b.column(1).to_pylist():
+                text, tf = (text or "").lower(), {}
+                if substrings:
+                    dl.append(max(len(text) - 2, 0))
+                    hits = [i for _, i in finder.iter(text)] if place else []
+                else:
+                    own = [w for w in word.findall(text) if len(w) > 2 and w not in stop]
+                    dl.append(len(own))
+                    hits = [place[w] for w in own if w in place]
+                for i in hits:
+                    tf[i] = tf.get(i, 0) + 1
+                found.append(tf)
+            yield pa.record_batch([b.column(0), pa.array(dl, pa.int32()), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "dl", "terms", "tfs"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, dl int, terms array<int>, tfs array<int>")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, top_k: int, k1: float = K1, b: float = B, digits: int = 6, substrings: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """(q, doc_id, score, rank): Robertson BM25 of the queries' OR-ed distinct terms. docs: doc_id, text; queries: q, text.
+
+    Each document is read once for a block of queries and keeps only the terms that are asked; their document
+    frequencies are counted; then each task scores its documents and keeps its best ``top_k`` of each query.
+    ``substrings``: terms match anywhere, as in a trigram index.
+    """
+    parts = []
+    for rows in query_blocks(queries.select("q", F.array_distinct(terms(F.col("text"))).alias("t")), block):
+        ids, asked = np.array([r.q for r in rows], np.int64), sorted({t for r in rows for t in r.t})
+        place = {t: i for i, t in enumerate(asked)}
+        posted = settle(postings(docs, asked, substrings))
+        size = posted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        df = np.zeros(len(asked))
+        for r in posted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # a row per asked term
+            df[r.t] = r.df
+        idf = np.log(1 + (size.n - df + 0.5) / (df + 0.5))
+        of = [[] for _ in asked]  # the queries of each term
+        for i, r in enumerate(rows):
+            for t in r.t:
+                of[place[t]].append(i)
+        many = np.array([len(x) for x in of], np.int64)
+        first, who = np.r_[0, np.cumsum(many)[:-1]] if len(many) else many, np.array([i for x in of for i in x], np.int64)
+
+        def best(batches: Iterator[pa.RecordBatch], ids=ids, idf=idf, many=many, first=first, who=who, avgdl=float(size.avgdl or 1)) -> Iterator[pa.RecordBatch]:
+            top = Best(len(ids), top_k)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, SCORED):
+                    part = batch.slice(lo, SCORED)
+                    doc, dl = np.asarray(part.column(0)), np.asarray(part.column(1)).astype(float)
+                    term, tf = np.asarray(part.column(2).flatten()), np.asarray(part.column(3).flatten()).astype(float)
+                    at = np.repeat(np.arange(len(doc)), np.asarray(part.column(2).value_lengths()))
+                    w = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl))
+                    n = many[term]  # a posting counts for every query that asks its term
+                    q = who[np.repeat(first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(n) else np.empty(0, np.int64)
+                    cell, inverse = np.unique(q * len(doc) + np.repeat(at, n), return_inverse=True)
+                    score = np.round(np.bincount(inverse, np.repeat(w, n), len(cell)), digits)
+                    cut = np.searchsorted(cell, np.arange(len(ids) + 1) * len(doc))
+                    for i in np.flatnonzero(cut[1:] > cut[:-1]):
+                        own = slice(cut[i], cut[i + 1])
+                        top.add(int(i), score[own], doc[cell[own] - i * len(doc)])
+            yield top.rows(ids, "doc_id")
+
+        parts.append(posted.mapInArrow(best, "q long, doc_id long, score double"))
+    empty = docs.select(F.col("doc_id").cast("long").alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
+    return ranked(parts, empty, top_k, "doc_id")
 
 
 def random_ranker(docs: DataFrame, queries: DataFrame, top_k: int, seed: str = "0", block: int = QUERY_BLOCK) -> DataFrame:
-    """Calibration: the first ``top_k`` documents by a seeded hash of query and document.
+    """Calibration: (q, doc_id, rank), the first ``top_k`` documents by a seeded hash of query and document.
 
-    Queries go to the tasks in hashed blocks of about ``block``; a block's rankings are whole.
+    Queries go to the tasks in blocks; a task keeps its first ``top_k`` of each query.
     """
-    asked, out = queries.select("q"), None
-    h = F.md5(F.concat_ws(":", F.lit(seed), "q", "doc_id").cast("binary"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("h"))
-    blocks = max(1, -(-asked.count() // block))
-    for k in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k) if blocks > 1 else asked
-        pairs = docs.select("doc_id").crossJoin(F.broadcast(own))
-        part = pairs.withColumn("h", h).withColumn("rank", rank).where(F.col("rank") <= top_k).select("q", "doc_id", "rank")
+    out = None
+    for rows in query_blocks(queries.select("q"), block):
+        ids = [r.q for r in rows]
+
+        def draw(batches: Iterator[pa.RecordBatch], ids=ids) -> Iterator[pa.RecordBatch]:
+            top: list[list[tuple[str, int]]] = [[] for _ in ids]
+            for b in batches:
+                docs_ = b.column(0).to_pylist()
+                for i, q in enumerate(ids):
+                    top[i] = heapq.nsmallest(top_k, [*top[i], *((hashlib.md5(f"{seed}:{q}:{d}".encode()).hexdigest(), d) for d in docs_)])
+            flat = [(q, d, h) for q, own in zip(ids, top) for h, d in own]
+            yield pa.record_batch([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["q", "doc_id", "h"])
+
+        part = docs.select(F.col("doc_id").cast("long")).mapInArrow(draw, "q long, doc_id long, h string")
         out = part if out is None else out.unionByName(part)
-    return out
+    if out is None:
+        out = docs.select(F.col("doc_id").cast("long").alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("h")).limit(0)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("h", "doc_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= top_k).select("q", "doc_id", "rank")
+
+
+def candidate_ids(*lists: DataFrame) -> DataFrame:
+    """The ids (vec_id) that any of the include lists has, each once."""
+    out = lists[0].select("vec_id")
+    for more in lists[1:]:
+        out = out.unionByName(more.select("vec_id"))
+    return out.distinct()
 
 
 def grep(chunks: DataFrame, pattern: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import derive as D
+from ..operators import slicing as S
 from ..registry import query, table
 
 
@@ -26,16 +27,23 @@ def markdown_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document is a block; every fifth is a heading."""
     d = table(spark, sf_dir, "documents")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 5 == 0, F.concat(F.substring(F.lit("######"), F.lit(1), i % 6 + 1), F.lit(" "))).otherwise(""), x))
-    return D.pack_markdown(D.markdown_blocks(d.select("doc_id", F.array_join(lines, "\n\n").alias("text"))))
+    return D.pack_markdown(S.markdown_blocks(d.select("doc_id", F.array_join(lines, "\n\n").alias("text"))).groupBy("doc_id").agg(*_arrays()))
+
+
+def _arrays() -> list:
+    """A document's blocks in order, as arrays."""
+    own = F.array_sort(F.collect_list(F.struct("k", "tokens", "level")))
+    return [F.transform(own, lambda b: b["tokens"]).alias("tokens"), F.transform(own, lambda b: b["level"]).alias("levels")]
 
 
 @query("doc_symbols", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 m AS (SELECT doc_id, i, CASE WHEN (i + doc_id) % 4 = 0 THEN '  def ' || replace(left(line, 9), ' ', '_') || '():' ELSE line END AS line FROM l)
-SELECT doc_id, regexp_extract(line, '^[ \t]*(?:async )?(def|class) +([A-Za-z_][A-Za-z0-9_]*)', 2) AS name, 'def' AS kind, i::INT AS start_line, 2 AS indent FROM m WHERE regexp_matches(line, '^[ \t]*(?:async )?(def|class) +([A-Za-z_][A-Za-z0-9_]*)')""")
+SELECT doc_id, regexp_extract(line, '^[ \t]*(?:async )?(def|class) +([A-Za-z_][A-Za-z0-9_]*)', 2) AS name, 'def' AS kind, i::INT AS start_line FROM m WHERE regexp_matches(line, '^[ \t]*(?:async )?(def|class) +([A-Za-z_][A-Za-z0-9_]*)')""")
 def doc_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that do not parse, so the lines that begin a definition are told."""
     d = table(spark, sf_dir, "documents")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1 + F.col("doc_id")) % 4 == 0, F.concat(F.lit("  def "), F.replace(F.left(x, F.lit(9)), F.lit(" "), F.lit("_")), F.lit("():"))).otherwise(x))
-    return D.symbols(d.select("doc_id", F.array_join(lines, "\n").alias("text")), "python")
+    return S.symbols(d.select("doc_id", F.array_join(F.array_append(lines, F.lit("1 not Python")), "\n").alias("text")), "python").select("doc_id", "name", "kind", "start_line")
 
 
 @query("hash_embeddings", "SELECT doc_id, 64 AS dim, true AS unit FROM documents")

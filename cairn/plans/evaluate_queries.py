@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import evaluate as E
 from ..registry import query, table
 
@@ -35,15 +36,11 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.per_query(E.ranked_files(results(spark, sf_dir)), gold(spark, sf_dir))
 
 
-def gold_size_bucket(n) -> F.Column:
-    return F.when(n <= 1, "1").when(n == 2, "2").when(n <= 4, "3-4").otherwise("5+")
-
-
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     leak = F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey") % 2 == 0)
     o = o.select(F.col("o_orderkey").alias("q"), (F.col("o_custkey") % 5).alias("corpus"), F.col("o_orderstatus").alias("language"), F.col("o_orderpriority").alias("category"), leak.alias("leak"))
-    return metrics(spark, sf_dir).join(o, "q").withColumn("gold_size", gold_size_bucket(F.col("n_gold")))
+    return metrics(spark, sf_dir).join(o, "q").withColumn("gold_size", T.gold_size(F.col("n_gold")))
 
 
 @query("chunk_to_file_rank", f"WITH {_RANKED} SELECT q, path, rank FROM ranked")
@@ -111,6 +108,22 @@ def paired_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.paired_spread(_runs(spark, sf_dir))
 
 
+@query("noise_report", f"""WITH {_RUNS}, m AS (SELECT corpus, run, avg(value) AS m FROM runs GROUP BY ALL), sd AS (SELECT corpus, stddev_samp(m) AS sd FROM m GROUP BY corpus), po AS (SELECT sqrt(avg(sd * sd)) AS pooled_sd FROM sd),
+ma AS (SELECT stddev_samp(m) AS macro_sd FROM (SELECT run, avg(m) AS m FROM m GROUP BY run)), di AS (SELECT stddev_samp(x.value - y.value) AS sigma_d FROM runs x JOIN runs y ON x.q = y.q AND x.run < y.run),
+pe AS (SELECT q, avg(value) AS m, (count(DISTINCT round(value, 9)) > 1)::INT AS moved FROM runs GROUP BY q), ce AS (SELECT count(*) AS queries, sum(moved)::BIGINT AS unstable, sqrt(2) * stddev_samp(m) AS ceiling FROM pe), z AS (SELECT 1.959963984540054::DOUBLE + 0.8416212335729143 AS z)
+SELECT queries, unstable, round(macro_sd, 6) AS macro_sd, round(pooled_sd, 6) AS pooled_sd, round(greatest(0.01, ceil(pooled_sd * 2 / 0.005 - 1e-9) * 0.005), 6)::DOUBLE AS delta, round(sigma_d, 6) AS sigma_d, round(ceiling, 6) AS ceiling,
+  ceil(pow(z * sigma_d / 0.02, 2))::BIGINT AS needed, ceil(pow(z * ceiling / 0.02, 2))::BIGINT AS needed_ceiling FROM po, ma, di, ce, z""")
+def noise_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.noise_report(_runs(spark, sf_dir))
+
+
+@query("weight_choice", """WITH s AS (SELECT o_custkey % 2 AS corpus, o_orderkey % 6 AS weights, o_totalprice::DOUBLE AS value FROM orders), m AS (SELECT corpus, weights, avg(value) AS m FROM s GROUP BY ALL), b AS (SELECT weights, m FROM m WHERE corpus = 0 ORDER BY m DESC, weights LIMIT 1)
+SELECT b.weights, round(b.m, 4) AS train, round(m.m, 4) AS test FROM b LEFT JOIN m ON m.weights = b.weights AND m.corpus = 1""")
+def weight_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 2).cast("string").alias("corpus"), (F.col("o_orderkey") % 6).alias("weights"), F.col("o_totalprice").cast("double").alias("value"))
+    return E.best_weights(s, "0", "1").select("weights", F.round("train", 4).alias("train"), F.round("test", 4).alias("test"))
+
+
 _DELTA = f"{_ROWS}, deltas AS (SELECT q, language AS stratum, ndcg10 - recall5 AS delta FROM rows_)"
 
 
@@ -123,6 +136,11 @@ def permutation_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.permutation_p(_deltas(spark, sf_dir), 64)
 
 
+@query("non_inferiority", "SELECT s_suppkey AS id, s_acctbal::DOUBLE AS lo, 100.0::DOUBLE AS margin, s_acctbal > -100 AS non_inferior FROM supplier")
+def non_inferiority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.non_inferior(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("double").alias("lo")), 100.0)
+
+
 @query("bca_bootstrap")
 def bca_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.bca_intervals(_deltas(spark, sf_dir), 800)

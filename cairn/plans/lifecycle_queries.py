@@ -14,7 +14,7 @@ _EV = "CASE event_type WHEN 'signup' THEN 'just_uploaded' WHEN 'view' THEN 'inde
 _UPD = f"upd AS (SELECT user_id AS file, event_id AS id, {_EV} AS status, floor(epoch(ts))::BIGINT AS at_s FROM events)"
 _MOVES = f"""{_UPD}, o AS (SELECT *, lag(status) OVER w AS old_status, sum((status = 'indexed')::INT) OVER w AS era FROM upd WINDOW w AS (PARTITION BY file ORDER BY id)),
 moves AS (SELECT *, sum((status = 'failed')::INT) OVER (PARTITION BY file, era ORDER BY id) AS retry_count,
-  coalesce((old_status IS NULL AND status IN ('just_uploaded', 'indexing')) OR (status IN ('indexing', 'deleted') AND old_status IS NOT NULL) OR (old_status = 'indexing' AND status IN ('indexed', 'cancelled', 'failed')) OR old_status = status, false) AS legal FROM o)"""
+  coalesce((old_status IS NULL AND status IN ('just_uploaded', 'indexing')) OR (status IN ('indexing', 'deleted') AND old_status IS NOT NULL) OR (old_status = 'indexing' AND status IN ('indexed', 'cancelled', 'failed')), false) AS legal FROM o)"""
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +153,7 @@ def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("drop_reasons", f"WITH {FILES_SQL} SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN status = 'deleted' THEN 'deleted' WHEN programming_language = 'es' THEN 'language' ELSE 'kept' END AS reason, count(*) AS n, count(DISTINCT sha256) AS contents FROM files GROUP BY 1")
 def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(F.col("n_chars") < 200, "short").when(F.col("status") == "deleted", "deleted").when(F.col("programming_language") == "es", "language").otherwise("kept")
-    return files(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sha256").alias("contents"))
+    return L.drop_reasons(files(spark, sf_dir), {"short": F.col("n_chars") < 200, "deleted": F.col("status") == "deleted", "language": F.col("programming_language") == "es"}, "sha256")
 
 
 @query("cumulative_progress", f"WITH {CHUNKS_SQL}, b AS (SELECT path, n, length(code) AS size FROM chunks) SELECT path, n, sum(size) OVER (PARTITION BY path ORDER BY n)::BIGINT AS done FROM b")

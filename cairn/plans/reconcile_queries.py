@@ -18,8 +18,8 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(f.where("doc_id % 17 = 0").select(F.concat("path", F.lit(".new")).alias("path"), "sha256"))
 
 
-@query("drift_buckets", f"""WITH {FILES_SQL}, {_MANIFEST}, b AS (SELECT coalesce(m.path, f.path) AS path, CASE WHEN m.path IS NULL THEN 'orphaned' WHEN f.path IS NULL THEN 'missing' WHEN status = 'indexing' THEN 'indexing'
-  WHEN lower(m.sha256) <> f.sha256 OR status <> 'indexed' THEN 'stale' END AS bucket FROM manifest m FULL JOIN (SELECT * FROM files WHERE status <> 'deleted') f ON m.path = f.path) SELECT path, bucket FROM b WHERE bucket IS NOT NULL""")
+@query("drift_buckets", f"""WITH {FILES_SQL}, {_MANIFEST}, b AS (SELECT coalesce(m.path, f.path) AS path, CASE WHEN status = 'indexing' THEN 'indexing' WHEN status = 'indexed' AND m.path IS NULL THEN 'orphaned'
+  WHEN status = 'indexed' AND lower(m.sha256) <> f.sha256 THEN 'stale' WHEN m.path IS NOT NULL AND coalesce(status, '') <> 'indexed' THEN 'missing' END AS bucket FROM manifest m FULL JOIN files f ON m.path = f.path) SELECT path, bucket FROM b WHERE bucket IS NOT NULL""")
 def drift_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.drift(manifest(spark, sf_dir), files(spark, sf_dir))
 

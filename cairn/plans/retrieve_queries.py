@@ -12,7 +12,6 @@ from .standins import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, chunks, files, queries
 _COS = "round(list_dot_product(a::DOUBLE[], b::DOUBLE[]) / (sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_dot_product(b::DOUBLE[], b::DOUBLE[]))), 6)"
 _STOP = ", ".join(f"'{w}'" for w in R.STOP)
 _TERMS = f"list_filter(regexp_extract_all(lower(text), '{R.TERM}'), lambda t: length(t) > 2 AND NOT list_contains([{_STOP}], t))"
-_GRAMS = "list_distinct(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(lower(text), i, 3)))"
 
 
 @query("dense_topk", f"""
@@ -50,14 +49,18 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(table(spark, sf_dir, "documents"), queries(spark, sf_dir), 100)
 
 
-_TRI_SQL = f"""{QUERIES_SQL}, a3 AS (SELECT q, unnest({_GRAMS}) AS gram FROM queries), d3 AS (SELECT doc_id, unnest({_GRAMS}) AS gram FROM documents),
-t3 AS (SELECT q, doc_id, count(*) AS hits FROM a3 JOIN d3 USING (gram) GROUP BY ALL),
-tri AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hits DESC, doc_id) AS rank FROM t3) WHERE rank <= 20)"""
+_TRI_SQL = f"""{QUERIES_SQL}, a3 AS (SELECT DISTINCT q, unnest({_TERMS}) AS term FROM queries), t3 AS (SELECT DISTINCT term, substr(term, 1, 3) AS g FROM a3),
+c3 AS (SELECT doc_id, lower(text) AS text, greatest(length(lower(text)) - 2, 0) AS dl FROM documents), st3 AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM c3),
+p3 AS (SELECT doc_id, dl, unnest(range(1, dl + 1)) AS i, text FROM c3), g3 AS (SELECT doc_id, dl, i, text, substr(text, i, 3) AS g FROM p3),
+tf3 AS (SELECT term, doc_id, dl, count(*) AS tf FROM g3 JOIN t3 USING (g) WHERE substr(text, i, length(term)) = term GROUP BY ALL), df3 AS (SELECT term, count(*) AS df FROM tf3 GROUP BY term),
+s3 AS (SELECT q, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {R.K1 + 1} / (tf + {R.K1} * (1 - {R.B} + {R.B} * dl / avgdl))), 6) AS score
+  FROM a3 JOIN tf3 USING (term) JOIN df3 USING (term), st3 GROUP BY q, doc_id),
+tri AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s3) WHERE rank <= 20)"""
 
 
-@query("trigram_topk", f"WITH {_TRI_SQL} SELECT q, doc_id, hits, rank FROM tri")
+@query("trigram_topk", f"WITH {_TRI_SQL} SELECT q, doc_id, score, rank FROM tri")
 def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.trigram_overlap(table(spark, sf_dir, "documents"), queries(spark, sf_dir), 20)
+    return R.bm25(table(spark, sf_dir, "documents"), queries(spark, sf_dir), 20, substrings=True)
 
 
 @query("random_ranker", f"""WITH {QUERIES_SQL}, p AS (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY md5(concat_ws(':', '0', q, doc_id))) AS rank FROM queries, documents)
@@ -80,12 +83,12 @@ def grep_miss_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEGS_SQL = f"""{_BM25_SQL}, {_TRI_SQL.replace(QUERIES_SQL + ', ', '')},
-runs AS (SELECT 'bm25' AS leg, q, doc_id, score, rank FROM bm25 UNION ALL SELECT 'trigram', q, doc_id, hits::DOUBLE, rank FROM tri)"""
+runs AS (SELECT 'bm25' AS leg, q, doc_id, score, rank FROM bm25 UNION ALL SELECT 'trigram', q, doc_id, score, rank FROM tri)"""
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = bm25_topk(spark, sf_dir).select(F.lit("bm25").alias("leg"), "q", "doc_id", "score", "rank")
-    b = trigram_topk(spark, sf_dir).select(F.lit("trigram").alias("leg"), "q", "doc_id", F.col("hits").cast("double").alias("score"), "rank")
+    b = trigram_topk(spark, sf_dir).select(F.lit("trigram").alias("leg"), "q", "doc_id", "score", "rank")
     return a.unionByName(b)
 
 

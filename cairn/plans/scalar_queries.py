@@ -11,12 +11,15 @@ from ..registry import query, table
 from .standins import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, chunks, files, queries
 
 _NOT = ", ".join(f"'{w}'" for w in T.NOT_NAMES)
-_LANGS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items())
+#: Languages and their extensions.
+_LANGS = """WHEN ext = 'rs' THEN 'rust' WHEN ext IN ('py', 'pyw') THEN 'python' WHEN ext IN ('js', 'mjs', 'cjs', 'jsx') THEN 'javascript' WHEN ext IN ('ts', 'mts', 'cts') THEN 'typescript' WHEN ext IN ('c', 'h') THEN 'c'
+WHEN ext IN ('cpp', 'cc', 'cxx', 'hpp', 'hxx', 'hh') THEN 'cpp' WHEN ext = 'cs' THEN 'csharp' WHEN ext = 'rb' THEN 'ruby' WHEN ext IN ('php', 'phtml') THEN 'php' WHEN ext IN ('sh', 'bash') THEN 'bash' WHEN ext IN ('html', 'htm', 'xhtml') THEN 'html'
+WHEN ext IN ('scala', 'sc') THEN 'scala' WHEN ext IN ('hs', 'lhs') THEN 'haskell' WHEN ext IN ('ml', 'mli') THEN 'ocaml' WHEN ext IN ('yaml', 'yml') THEN 'yaml' WHEN ext IN ('md', 'markdown') THEN 'markdown' WHEN ext IN ('tsx', 'go', 'java', 'css', 'json', 'zig', 'sql', 'toml') THEN ext"""
 _EXTS = ", ".join(f"'{x}'" for x in [*T.LANGUAGES, "exe", "tar.gz", ""])
 _MARKED = "concat('`', split_part(text, ' ', 2), '` and ', replace(text, ' th', '_th'), ' fooBar x.y ', chr(10), '```py', chr(10), 'some_name plain', chr(10), '```')"
 
 
-@query("language_detect", f"WITH f AS (SELECT doc_id, concat('a.b/f', doc_id, CASE WHEN e = '' THEN '' ELSE '.' || e END) AS path FROM (SELECT doc_id, ([{_EXTS}])[1 + doc_id % {len(T.LANGUAGES) + 3}] AS e FROM documents)) SELECT doc_id, path, CASE regexp_extract(path, '[^/]\\.([^./]+)$', 1) {_LANGS} END AS language FROM f")
+@query("language_detect", f"WITH f AS (SELECT doc_id, concat('a.b/f', doc_id, CASE WHEN e = '' THEN '' ELSE '.' || e END) AS path FROM (SELECT doc_id, ([{_EXTS}])[1 + doc_id % {len(T.LANGUAGES) + 3}] AS e FROM documents)) SELECT doc_id, path, CASE {_LANGS} END AS language FROM (SELECT *, regexp_extract(path, '[^/]\\.([^./]+)$', 1) AS ext FROM f)")
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     exts = F.array(*[F.lit(x) for x in [*T.LANGUAGES, "exe", "tar.gz", ""]])
     d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(exts, (F.col("doc_id") % (len(T.LANGUAGES) + 3) + 1).cast("int")).alias("e"))
@@ -61,11 +64,11 @@ def collection_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.collection_class(F.expr(_NAMES), ["qwen", "bge"], "qwen", "v3").alias("class"))
 
 
-@query("path_scope", f"WITH {FILES_SQL} SELECT path, regexp_matches(path, '^src/[^/]*/src1/') AND NOT regexp_matches(path, '5\\.md$') AS in_scope, regexp_matches(path, '^src/(en|fr)/[^/]*/[^/]*\\.md$') AS plain, true AS whole FROM files")
+@query("path_scope", f"WITH {FILES_SQL} SELECT path, regexp_matches(path, '^src/[^/]*/src1/') AND NOT regexp_matches(path, '5\\.md$') AS in_scope, regexp_matches(path, '^src/(en|fr)/[^/]*/[^/]*\\.md$') AS plain, regexp_matches(path, '^src/([^/]+/)*[^/]*[02468]\\.md$') AS whole FROM files")
 def path_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
     plain = p.rlike(G.plain_glob("src/en/*/*.md")) | p.rlike(G.plain_glob("src/fr/*/*.md"))
-    return files(spark, sf_dir).select("path", G.in_scope(p, ["src/*/src1/**"], ["**/*5.md"]).alias("in_scope"), plain.alias("plain"), p.rlike(G.path_glob("**/*.md")).alias("whole"))
+    return files(spark, sf_dir).select("path", G.in_scope(p, ["src/*/src1/**"], ["**/*5.md"]).alias("in_scope"), plain.alias("plain"), p.rlike(G.path_glob("src/**/*[02468].md")).alias("whole"))
 
 
 @query("normalize_guid", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE md5(text) END AS guid FROM documents")
@@ -157,8 +160,9 @@ def min_doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(df, "name", "left").groupBy("q").agg(F.count("df").alias("present"), F.min("df").alias("ident_df_min"))
 
 
-@query("mangled_names", """WITH t AS (SELECT p_partkey, concat(lower(replace(p_name, ' ', '_')), '_Xy') AS t FROM part) SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN concat(left(t, 1), regexp_replace(substr(t, 2), '[aeiouAEIOU]', '', 'g')) WHEN 2 THEN concat(substr(t, 2, 1), left(t, 1), substr(t, 3))
-ELSE concat(left(t, 1), substr(array_to_string(list_transform(string_split(t, '_'), lambda w: concat(upper(left(w, 1)), lower(substr(w, 2)))), ''), 2)) END AS name FROM t""")
+@query("mangled_names", """WITH t AS (SELECT p_partkey, concat(lower(replace(p_name, ' ', '_')), '_Xy') AS t FROM part), r AS (SELECT p_partkey, t, concat(string_split(t, '_')[1], array_to_string(list_transform(string_split(t, '_')[2:], lambda w: concat(upper(left(w, 1)), substr(w, 2))), '')) AS flip,
+concat(left(t, 1), regexp_replace(substr(t, 2), '[aeiouAEIOU]', '', 'g')) AS bare, concat(left(t, 1), substr(t, 3, 1), substr(t, 2, 1), substr(t, 4)) AS swap FROM t)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 AND bare <> t AND length(bare) >= 3 THEN bare WHEN p_partkey % 3 >= 1 AND swap <> t THEN swap ELSE flip END AS name FROM r""")
 def mangled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_Xy"))
     return table(spark, sf_dir, "part").select("p_partkey", T.mangled(t, F.col("p_partkey") % 3).alias("name"))

@@ -30,7 +30,9 @@ def last_per_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.last_per_flush(S.classify(raw(spark, sf_dir)))
 
 
-@query("debounce")
+@query("debounce", f"""WITH RECURSIVE {_CLASSIFIED}, o AS (SELECT path, min(ts) AS open FROM ev GROUP BY path UNION ALL SELECT o.path, min(e.ts) FROM o JOIN ev e ON e.path = o.path AND e.ts >= o.open + 3600 GROUP BY o.path, o.open),
+k AS (SELECT e.path, o.open::DOUBLE AS open, e.ts::DOUBLE AS ts, e.seq, e.op, row_number() OVER (PARTITION BY o.path, o.open ORDER BY e.ts DESC, e.seq DESC, e.op DESC) AS k FROM o JOIN ev e ON e.path = o.path AND e.ts >= o.open AND e.ts < o.open + 3600)
+SELECT path, open, ts, seq, op FROM k WHERE k = 1""")
 def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.debounced(S.classify(raw(spark, sf_dir)), 3600.0)
 

@@ -5,12 +5,13 @@ Schemas are explicit; malformed input fails or is routed aside, it is never gues
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.globs import in_scope
+from ..functions.globs import in_scope, project_glob
 from ..functions.text import language_of, split_message
 
 MAX_FILE_BYTES = 16 << 20
@@ -19,20 +20,82 @@ category string, leaks_gold_path boolean, leaks_gold_basename boolean, lexical_o
 results array<struct<path: string, score: double, start_line: int, end_line: int>>, n_results int, refusal string, search_ms double"""
 
 
+def tree_listing(spark: SparkSession, root: str, includes: Sequence[str] = (), excludes: Sequence[str] = (), languages: Sequence[str] = (), most: int = MAX_FILE_BYTES) -> DataFrame:
+    """path (relative), at (absolute), length, programming_language, skip of the files in scope; no contents are read.
+
+    skip: unknown (no known language, or one not asked for), too_large, or null for files that are to be read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("at"), "length")
+    base = re.escape(root.rstrip("/").rpartition(":")[2].lstrip("/"))
+    path = F.regexp_replace("at", f"^(?:[a-z0-9]+:)?/*(?:[^/]+(?=/{base}/))?/*{base}/", "")
+    named = files.select(path.alias("path"), "at", "length").withColumn("programming_language", language_of(F.col("path")))
+    known = F.col("programming_language").isin(list(languages)) if languages else F.col("programming_language").isNotNull()
+    return named.where(in_scope(F.col("path"), includes, excludes)).withColumn("skip", F.when(~F.coalesce(known, F.lit(False)), "unknown").when(F.col("length") > most, "too_large"))
+
+
 def scan_tree(spark: SparkSession, root: str, includes: Sequence[str] = (), excludes: Sequence[str] = (), languages: Sequence[str] = (), most: int = MAX_FILE_BYTES) -> DataFrame:
     """path (relative), text, sha256, programming_language of the files in scope, whose language is known, up to a size.
 
-    The size and scope filters come before the contents are read.
+    Scope, language and size are decided on the listing, and only what is left is opened. The listing's paths pass the
+    driver, where Spark's own file index holds them anyway.
+    """
+    kept = tree_listing(spark, root, includes, excludes, languages, most).where("skip is null").select("path", "at", "programming_language")
+    paths = [r.at for r in kept.select("at").toLocalIterator()]
+    if not paths:
+        return kept.select("path", F.lit("").alias("text"), F.lit("").alias("sha256"), "programming_language").limit(0)
+    read = spark.read.format("binaryFile").load([re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in paths]).select(F.col("path").alias("at"), "content")
+    return read.join(kept, "at").select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"), "programming_language")
+
+
+def scan_report(listing: DataFrame) -> DataFrame:
+    """files, skipped_unknown, skipped_too_large of a listing: one row."""
+    return listing.agg(F.count_if(F.col("skip").isNull()).alias("files"), F.count_if(F.col("skip") == "unknown").alias("skipped_unknown"), F.count_if(F.col("skip") == "too_large").alias("skipped_too_large"))
+
+
+def refs_of(branches: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """name of the refs that patterns pick, in the patterns' order, then by name, each once. branches: name.
+
+    HEAD is itself; a blank pattern picks nothing; a pattern picks branches by whole segments, as Git does.
+    """
+    asked = [(k, p.strip()) for k, p in enumerate(patterns) if p.strip()]
+    out = branches.sparkSession.createDataFrame([(k, p) for k, p in asked if p == "HEAD"], "k int, name string")
+    for k, p in asked:
+        if p != "HEAD":
+            hit = F.col("name").rlike(project_glob(p)) | F.col("name").startswith(p.rstrip("/") + "/")
+            out = out.unionByName(branches.where(hit).select(F.lit(k).alias("k"), "name"))
+    return out.groupBy("name").agg(F.min("k").alias("k")).orderBy("k", "name").select("name")
+
+
+def gitignore_globs(folder: str, text: str) -> tuple[list[str], list[str]]:
+    """(globs of what a .gitignore excludes, notes on lines that have no glob), when a plan is made.
+
+    Patterns are relative to ``folder``; one without an inner slash fits at any depth, one that ends in a slash only
+    folders. Globs have no negation: a ``!`` line disarms the globs before it that could cover what it brings back.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most)
-    base = root.rstrip("/").rpartition(":")[2].lstrip("/")
-    path = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*(?:[^/]*" + r"(?=\x00))?", "")
-    path = F.regexp_replace(path, "^/?" + "".join(f"\\x{ord(c):02x}" if ord(c) < 128 and not c.isalnum() else c for c in base) + "/", "")
-    named = files.select(path.alias("path"), "content").withColumn("programming_language", language_of(F.col("path")))
-    kept = named.where(in_scope(F.col("path"), includes, excludes) & F.col("programming_language").isNotNull())
-    if languages:
-        kept = kept.where(F.col("programming_language").isin(list(languages)))
-    return kept.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"), "programming_language")
+    globs: list[str] = []
+    notes: list[str] = []
+    base = f"{folder}/" if folder else ""
+    for line in (raw.rstrip() for raw in text.splitlines()):
+        pattern = line.removeprefix("!")
+        if not line or line.startswith("#"):
+            continue
+        if "\\" in pattern or re.search(r"\[(?![^\]]+\])", pattern):
+            notes.append(f"{line}: not translated")
+            continue
+        name, folders_only = pattern.rstrip("/"), pattern.endswith("/")
+        anchored = "/" in name
+        at = base + name.lstrip("/") if anchored else f"{base}**/{name}"
+        own = [f"{at}/**"] if folders_only else [at, f"{at}/**"]
+        if not line.startswith("!"):
+            globs += own
+            continue
+        back = (base + name.lstrip("/")) if anchored else f"{base}x/{name}"
+        fits = lambda g, path: re.search(project_glob(g).replace(r"\z", "$"), path)
+        covers = lambda g: fits(g, back.replace("*", "x")) or fits(g, back.replace("*", "x") + "/x") or g.rpartition("/")[2] == name
+        gone = [g for g in globs if covers(g)]
+        globs = [g for g in globs if g not in gone]
+        notes.append(f"{line}: switched off {', '.join(gone) or 'nothing'}")
+    return list(dict.fromkeys(globs)), notes
 
 
 def index_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -83,6 +146,16 @@ def kept_commits(commits: DataFrame, now: int, days: int, least_bytes: int, incl
     return commits.withColumn("drop", drop)
 
 
+def newest_commits(kept: DataFrame, most: int) -> DataFrame:
+    """Of the commits without a drop reason, the newest ``most``."""
+    return kept.where("drop is null").orderBy(F.desc("committed_at"), "sha").limit(most)
+
+
+def drop_counts(kept: DataFrame) -> DataFrame:
+    """drop, n: what each rule dropped; null is what is left."""
+    return kept.groupBy("drop").agg(F.count(F.lit(1)).alias("n"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
     """One object per line; blank lines are skipped, broken ones fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -2,57 +2,127 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.provenance import insert_runs, run_journal, settle
+
+
+#: Folders into which the rows of a project fall by the hash of their key; a change rewrites only those it touches.
+BUCKETS = 64
+
 
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table at ``path``, empty if it isn't there yet."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    return spark.read.schema(like.schema).parquet(path) if there else like.limit(0)
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int"))
 
 
 def _rewrite(df: DataFrame, path: str, partition: str) -> None:
-    """Replace the partitions that ``df`` has rows of. The rows are materialised first, as they come from the same files."""
-    from ..operators.provenance import settle
+    """Replace the folders that ``df`` has rows of. The rows are materialised first, as they come from the same files."""
+    settle(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, "_bucket").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The stored vectors, in the columns of ``like``; empty where there is no table."""
+    schema = like.withColumn("_bucket", F.lit(0))
+    return _stored(spark, path, schema).select(like.columns)
 
-    settle(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+def count_vectors(spark: SparkSession, path: str, like: DataFrame, partition: str = "project_guid") -> DataFrame:
+    """Vectors of each project; its rows are the list of projects."""
+    return read_vectors(spark, path, like).groupBy(partition).agg(F.count(F.lit(1)).alias("vectors"))
 
 
 def upsert_vectors(new: DataFrame, path: str, key: str = "chunk_guid", partition: str = "project_guid") -> None:
-    """Insert or replace by key; running it twice changes nothing."""
-    old = _stored(new.sparkSession, path, new).join(new.select(partition).distinct(), partition, "left_semi")
-    _rewrite(old.join(new.select(key), key, "left_anti").unionByName(new), path, partition)
+    """Insert or replace by project and key; running it twice changes nothing. Of rows that repeat a key one is stored."""
+    new = settle(_bucketed(new.dropDuplicates([partition, key]), key))
+    old = _stored(new.sparkSession, path, new).join(new.select(partition, "_bucket").distinct(), [partition, "_bucket"], "left_semi")
+    _rewrite(old.join(new.select(partition, key), [partition, key], "left_anti").unionByName(new), path, partition)
 
 
 def delete_vectors(gone: DataFrame, path: str, like: DataFrame, key: str = "chunk_guid", partition: str = "project_guid") -> int:
     """Remove keys (project_guid, key) and return how many rows were there; a missing table counts as success.
 
-    A partition that loses all its rows keeps a marker-free empty state: its folder is dropped.
+    A folder that loses all its rows is dropped.
     """
-    spark = gone.sparkSession
-    old = _stored(spark, path, like)
-    touched = old.join(gone.select(partition).distinct(), partition, "left_semi")
-    hit = touched.join(gone.select(key), key, "left_semi").count()
-    left = touched.join(gone.select(key), key, "left_anti")
-    emptied = [r[0] for r in touched.select(partition).distinct().join(left.select(partition).distinct(), partition, "left_anti").collect()]
-    _rewrite(left, path, partition)
-    for p in emptied:
-        drop_project(spark, path, p, partition)
+    spark, gone = gone.sparkSession, settle(_bucketed(gone.select(partition, key).distinct(), key))
+    old = _stored(spark, path, like.withColumn("_bucket", F.lit(0)))
+    touched = settle(old.join(gone.select(partition, "_bucket").distinct(), [partition, "_bucket"], "left_semi"))
+    left = settle(touched.join(gone.select(partition, key), [partition, key], "left_anti"))
+    hit = touched.count() - left.count()
+    if hit:
+        _rewrite(left, path, partition)
+        folder = lambda df: df.select(partition, "_bucket").distinct()
+        for r in folder(touched).join(folder(left), [partition, "_bucket"], "left_anti").collect():  # folders, not rows
+            _remove(spark, f"{path}/{partition}={r[0]}/_bucket={r[1]}")
     return hit
 
 
 def drop_project(spark: SparkSession, path: str, project: str, partition: str = "project_guid") -> None:
-    """Drop one partition; dropping what is not there is fine."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={project}")
+    """Drop one project; dropping what is not there is fine."""
+    _remove(spark, f"{path}/{partition}={project}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Spark has no call that deletes a folder, so the file system that holds it is asked."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def embed_and_upsert(chunks: DataFrame, path: str, embed: Callable[[Column], Column], progress: Callable[[int, int], None] = lambda done, total: None, batches: int = 1, key: str = "chunk_guid", partition: str = "project_guid") -> int:
+    """Embed chunks (key, project, code) and upsert their vectors in hashed batches; return the rows stored.
+
+    Each batch is checked: as many rows with a vector as chunks. A batch that fails leaves the ones before it stored, and
+    running the whole again changes nothing. ``progress`` hears the cumulative rows and the total.
+    """
+    chunks = settle(chunks.select(partition, key, "code").dropDuplicates([partition, key]))
+    total, done = chunks.count(), 0
+    for k in range(batches):
+        own = chunks.where(F.pmod(F.xxhash64(F.lit("batch"), F.col(key).cast("string")), F.lit(batches)) == k) if batches > 1 else chunks
+        vectors = settle(own.select(partition, key, embed(F.col("code")).alias("embedding")))
+        n, whole = own.count(), vectors.where("embedding is not null").count()
+        if n != whole:
+            raise ValueError(f"batch {k}: {whole} vectors for {n} chunks")
+        if n:
+            upsert_vectors(vectors, path, key, partition)
+            done += n
+            progress(done, total)
+    return done
+
+
+def write_journal(stored: Callable[[str], DataFrame], new: dict[str, DataFrame], path: str, retention: int) -> None:
+    """Append runs and their children to one folder per table; the replaced challenges' ids to ``superseded``.
+
+    The children come first and the runs last: a run that can be read has all its rows.
+    """
+    out = run_journal({"runs": stored("runs")}, new, retention)
+    for name in ("citations", "evidence", "turns", "context"):
+        out[name].write.mode("append").parquet(f"{path}/{name}")
+    out["replaced"].write.mode("append").parquet(f"{path}/superseded")
+    settle(out["runs"]).write.mode("append").parquet(f"{path}/runs")
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """One line of the text exposition format per sample (name, labels: map, value), replacing what was there."""
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
+    line = F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string"))
+    metrics.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)  # a row per sample
+
+
 def append_journal(runs: DataFrame, path: str, retention: int) -> None:
     """Append new runs (project_guid, created_at, id) with the next numbers of their projects."""
-    from ..operators.provenance import insert_runs, settle
-
     like = runs.withColumn("seq", F.lit(0).cast("long")).withColumn("expires_at", F.lit(0).cast("long"))
     numbered = insert_runs(_stored(runs.sparkSession, path, like), runs, retention)
     settle(numbered.select(*[F.col(c).cast(t) for c, t in like.dtypes])).write.mode("append").parquet(path)

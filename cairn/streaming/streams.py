@@ -18,24 +18,29 @@ def classify(events: DataFrame) -> DataFrame:
 
 
 def debounced(events: DataFrame, seconds: float) -> DataFrame:
-    """Batch form: a window opens at a key's first event and does not slide; the last event in it wins.
+    """Batch form: path, open, ts, seq, op. A window opens at a key's first event and does not slide; its last event wins.
 
-    An event opens the next window when it lies ``seconds`` or more after the opening one. That depends on the opening
-    before it, so each key's times are folded in order: keyed arrays, bounded by a key's events in one flush.
+    An event opens the next window when it lies ``seconds`` or more after the opening one. Each key's events pass in
+    order through one task, which holds no more than the open window's last event.
     """
-    each = F.array_sort(F.collect_list(F.struct("ts", "seq", "op")))
-    by = events.groupBy("path").agg(each.alias("e"))
-    zero = F.struct(F.lit(None).cast("double").alias("open"), F.array().cast("array<struct<open: double, ts: double, seq: bigint, op: string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc["open"].isNull() | (x["ts"] - acc["open"] >= seconds)
-        opened = F.when(fresh, x["ts"]).otherwise(acc["open"])
-        row = F.array(F.struct(opened.alias("open"), x["ts"].alias("ts"), x["seq"].alias("seq"), x["op"].alias("op")))
-        kept = F.when(fresh, acc["out"]).otherwise(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))))
-        return F.struct(opened.alias("open"), F.concat(kept, row).alias("out"))
-
-    folded = by.select("path", F.explode(F.aggregate("e", zero, step, lambda a: a["out"])).alias("w"))
-    return folded.select("path", "w.*")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # path, open, ts, seq, op
+        for frame in frames:
+            rows = []
+            for path, ts, seq, op in zip(frame["path"], frame["ts"], frame["seq"], frame["op"]):
+                if held and held[0] == path and ts - held[1] < seconds:
+                    held = (path, held[1], ts, seq, op)
+                    continue
+                if held:
+                    rows.append(held)
+                held = (path, ts, ts, seq, op)
+            yield pd.DataFrame(rows, columns=["path", "open", "ts", "seq", "op"])
+        if held:
+            yield pd.DataFrame([held], columns=["path", "open", "ts", "seq", "op"])
+
+    ordered = events.select("path", F.col("ts").cast("double"), F.col("seq").cast("long"), "op").repartition("path").sortWithinPartitions("path", "ts", "seq", "op")
+    return ordered.mapInPandas(fold, "path string, open double, ts double, seq long, op string")
 
 
 class Debounce(StatefulProcessor):
