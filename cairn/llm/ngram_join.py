@@ -93,7 +93,7 @@ def in_blocks(members: DataFrame, key: str, blocks) -> DataFrame:
     own = F.pmod(F.xxhash64("cid"), F.col("_nb"))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("lo"), F.greatest(j, F.col("_own")).alias("hi")))
     dealt = members.withColumn("_nb", blocks.cast("long")).withColumn("_own", own).withColumn("_meet", F.explode(meet))
-    dealt = dealt.withColumn("g", F.xxhash64(key, "_meet.lo", "_meet.hi")).withColumn("own", F.col("_own").cast("int")).withColumn("within", F.col("_meet.lo") == F.col("_meet.hi"))
+    dealt = dealt.withColumn("g", F.xxhash64(key, "_meet.lo", "_meet.hi")).withColumn("own", F.col("_own").cast("int")).withColumn("within", F.col("_meet.lo") == F.col("_meet.hi")).withColumn("whole", F.col("_nb") == 1)
     return dealt.drop("_nb", "_own", "_meet", key).repartition("g").sortWithinPartitions("g")
 
 
@@ -187,7 +187,8 @@ def intersections(shingles: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.n
 
 
 def verified_links(met: DataFrame, steps, threshold: float) -> DataFrame:
-    """A row for each member of each group: a (its cid), b (the root of its tree of links), texts and docs linked."""
+    """A row for each member of each group: a (its cid), b (the root of its tree of links), texts and docs linked, and
+    whole: the group is a component of its own, so that the trees are final."""
     t = Fraction(str(threshold))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +211,9 @@ def verified_links(met: DataFrame, steps, threshold: float) -> DataFrame:
                 root = root[root]
                 if (root == old).all():
                     break
-            yield pa.record_batch([pa.array(cid), pa.array(cid[root]), pa.array(texts), pa.array(docs)], ["a", "b", "texts", "docs"])
+            yield pa.record_batch([pa.array(cid), pa.array(cid[root]), pa.array(texts), pa.array(docs), group.column("whole").combine_chunks()], ["a", "b", "texts", "docs", "whole"])
 
-    return met.mapInArrow(verify, "a long, b long, texts long, docs long")
+    return met.mapInArrow(verify, "a long, b long, texts long, docs long, whole boolean")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -259,9 +260,10 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     cand = settle(cand)
     full = cand.join(with_sets(docs, cand, width), "cls").drop("cls", "rep")
     blocks = F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_n") / BLOCK_SHINGLES))
-    links = settle(verified_links(in_blocks(full, "comp", blocks).select("g", "cid", "own", "within", "copies", "n", "sig", "shingles"), steps, threshold))
+    links = settle(verified_links(in_blocks(full, "comp", blocks).select("g", "cid", "own", "within", "whole", "copies", "n", "sig", "shingles"), steps, threshold))
     count = links.groupBy(F.col("a").alias("cid")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    group = components(links.select("a", "b"))
+    # trees of components that several blocks shared are joined up; the others are final
+    group = components(links.where("not whole").select("a", "b")).unionByName(links.where("whole and texts > 0").select(F.col("a").alias("id"), F.col("b").alias("comp")))
     group = group.join(reps.select(F.col("cid").alias("id"), "rep"), "id")
     group = group.join(group.groupBy("comp").agg(F.min("rep").alias("class_id")), "comp").select(F.col("id").alias("cid"), "class_id")
     # classes of one document without links need no row here
