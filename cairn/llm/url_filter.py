@@ -3,7 +3,9 @@
 Rules decide the pages they fit; the longest fitting rule wins. The other pages get the verdict of their host:
 personalised PageRank carries trust from hosts with allowed pages along links, and distrust from hosts with blocked
 pages against them (who links to bad hosts is suspect). Seeds weigh by the share of a host's pages that rules allow or
-block. A host is blocked when its distrust reaches BLOCK_AT and exceeds its trust.
+block. Both are told as shares of the PageRank that the host has when every host is a seed, so they do not shrink with
+the number of a host's links, and a host without links keeps its own share. A host is blocked when its distrust reaches
+BLOCK_AT and exceeds its trust.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, settle, table
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, BLOCK_AT = 0.85, 10, 0.5
+#: After so many rounds a rank is within DAMPING**ROUNDS = 4 % of its limit.
+DAMPING, ROUNDS, BLOCK_AT = 0.85, 20, 0.4
 #: Rules are literals of the plan.
 MOST_RULES = 2000
 #: A tag ends at the next angle bracket of either kind, so that tags without an end cost linear time.
@@ -49,31 +52,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust after ``rounds`` of personalised PageRank; seeds: host, good, bad.
+    """host, trust, distrust (shares from 0 to 1) after ``rounds`` of personalised PageRank; seeds: host, good, bad.
 
-    Mass of hosts without links goes back to the seeds, so the sums of trust and of distrust stay those of the seeds.
+    rank = (1 - damping) * seed + damping * (what links bring), with the seeds and with 1 for every host side by side;
+    the share is the one over the other.
     """
     edges = settle(edges)
-    if edges.isEmpty():  # nothing flows, every seed keeps its mass
+    if edges.isEmpty():  # nothing flows, every seed keeps its share
         return seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     kinds = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "weight")
     kinds = kinds.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
     out = kinds.groupBy("kind", "a").agg(F.sum("weight").alias("total"))
-    flow = settle(kinds.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("part")))
+    flow = settle(kinds.join(settle(out), ["kind", "a"]).select("kind", "a", "b", (F.col("weight") / F.col("total")).alias("part")))
     nodes = flow.select("kind", F.col("a").alias("host")).union(flow.select("kind", F.col("b").alias("host")))
     own = seeds.select(F.lit("trust").alias("kind"), "host", F.col("good").alias("seed")).union(seeds.select(F.lit("distrust"), "host", "bad"))
     own = settle(nodes.select("kind", "host", F.lit(0.0).alias("seed")).union(own).groupBy("kind", "host").agg(F.sum("seed").alias("seed")))
-    mass = {r.kind: r.s for r in own.groupBy("kind").agg(F.sum("seed").alias("s")).collect()}
-    all_mass = F.when(F.col("kind") == "trust", F.lit(float(mass.get("trust") or 0))).otherwise(F.lit(float(mass.get("distrust") or 0)))
-    rank = own.select("kind", "host", F.col("seed").alias("rank"))
+    rank = own.select("kind", "host", F.col("seed").alias("rank"), F.lit(1.0).alias("whole"))
+    brings = lambda c: F.sum(F.col(c) * F.col("part"))
+    step = lambda seed, got: (1 - damping) * seed + damping * F.coalesce(got, F.lit(0.0))
     for _ in range(rounds):
-        got = flow.join(rank.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        moved = got.groupBy("kind").agg(F.sum("got").alias("moved"))  # two rows
-        step = own.join(got, ["kind", "host"], "left").join(F.broadcast(moved), "kind", "left")
-        back = F.when(all_mass > 0, 1 - damping * F.coalesce("moved", F.lit(0.0)) / all_mass).otherwise(0.0)
-        rank = step.select("kind", "host", (F.col("seed") * back + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        rank = settle(rank)  # two written tables join, so that Spark splits the links of a hub
-    pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
+        got = flow.join(rank.withColumnRenamed("host", "a"), ["kind", "a"]).groupBy("kind", F.col("b").alias("host")).agg(brings("rank").alias("r"), brings("whole").alias("w"))
+        moved = own.join(got, ["kind", "host"], "left")
+        # written in every round: two written tables join, so that Spark splits the links of a hub
+        rank = settle(moved.select("kind", "host", step(F.col("seed"), "r").alias("rank"), step(F.lit(1.0), "w").alias("whole")))
+    pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank") / F.col("whole")).otherwise(0.0)).alias(kind)
     return rank.groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
@@ -104,9 +106,8 @@ def _sql() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     rounds = "".join(
         f""",
-got{k} AS MATERIALIZED (SELECT kind, b AS host, sum(rank * part) AS got FROM flow JOIN rank{k} USING (kind, a) GROUP BY ALL),
-rank{k + 1} AS MATERIALIZED (SELECT own.kind, own.host AS a, own.seed * CASE WHEN m.mass > 0 THEN 1 - {DAMPING} * coalesce((SELECT sum(got) FROM got{k} g WHERE g.kind = own.kind), 0) / m.mass ELSE 0 END
-  + {DAMPING} * coalesce(got, 0) AS rank FROM own JOIN mass m USING (kind) LEFT JOIN got{k} USING (kind, host))"""
+got{k} AS MATERIALIZED (SELECT kind, b AS host, sum(rank * part) AS r, sum(whole * part) AS w FROM flow JOIN rank{k} USING (kind, a) GROUP BY ALL),
+rank{k + 1} AS MATERIALIZED (SELECT own.kind, own.host AS a, {1 - DAMPING} * own.seed + {DAMPING} * coalesce(r, 0) AS rank, {1 - DAMPING} + {DAMPING} * coalesce(w, 0) AS whole FROM own LEFT JOIN got{k} USING (kind, host))"""
         for k in range(ROUNDS)
     )
     return rf"""
@@ -123,9 +124,8 @@ flow AS MATERIALIZED (SELECT kind, a, b, weight / sum(weight) OVER (PARTITION BY
 own AS MATERIALIZED (SELECT kind, host, sum(seed) AS seed FROM (
   SELECT 'trust' AS kind, host, good AS seed FROM seeds UNION ALL SELECT 'distrust', host, bad FROM seeds
   UNION ALL SELECT kind, a, 0 FROM flow UNION ALL SELECT kind, b, 0 FROM flow) GROUP BY ALL),
-mass AS (SELECT kind, sum(seed) AS mass FROM own GROUP BY kind),
-rank0 AS (SELECT kind, host AS a, seed AS rank FROM own){rounds},
-bad AS (SELECT a AS host FROM rank{ROUNDS} GROUP BY a HAVING sum(rank) FILTER (kind = 'distrust') >= {BLOCK_AT} AND sum(rank) FILTER (kind = 'distrust') > sum(rank) FILTER (kind = 'trust'))
+rank0 AS (SELECT kind, host AS a, seed AS rank, 1.0::DOUBLE AS whole FROM own){rounds},
+bad AS (SELECT a AS host FROM rank{ROUNDS} GROUP BY a HAVING sum(rank / whole) FILTER (kind = 'distrust') >= {BLOCK_AT} AND sum(rank / whole) FILTER (kind = 'distrust') > sum(rank / whole) FILTER (kind = 'trust'))
 SELECT page_id, host, path, fit[2] AS rule, coalesce(fit[3], CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM f
 """
 

@@ -357,6 +357,10 @@ def test_url_rules_and_propagation(spark):
     assert got[6][2:] == ("org/", "allow") and got[7][2:] == (None, "allow")
     assert got[8][2:] == ("com/de/", "block") and got[9][2:] == (None, "block") and got[11][2:] == (None, "block")
     assert got[12] == ("z.com", "", None, "allow")
+    # at the production threshold: a bad host stays bad however many link to it; who links to a wholly bad one alone is bad, too
+    pages += [(13, "http://worse.com/de/a", ""), (14, "http://pal.net/", link("worse.com"))] + [(100 + i, f"http://fan{i}.net/", link("bad.com", "other.net", "z.com")) for i in range(20)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[11] == got[14] == "block" and got[7] == got[9] == got[10] == got[12] == got[100] == "allow"
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -372,14 +376,18 @@ def test_propagation_against_brute_force(spark):
         total = Counter()
         for (a, _), w in flow.items():
             total[a] += w
-        mass, rank = sum(s[kind] for s in seeds.values()), {h: seeds[h][kind] for h in hosts}
-        for _ in range(10):
-            new = Counter()
-            for (a, b), w in flow.items():
-                new[b] += rank[a] * w / total[a]
-            back = 1 - 0.85 * sum(new.values()) / mass
-            rank = {h: seeds[h][kind] * back + 0.85 * new[h] for h in hosts}
-        want[kind] = rank
+
+        def ranks(own, flow=flow, total=total):
+            rank = dict(own)
+            for _ in range(url_filter.ROUNDS):
+                new = Counter()
+                for (a, b), w in flow.items():
+                    new[b] += rank[a] * w / total[a]
+                rank = {h: 0.15 * own[h] + 0.85 * new[h] for h in hosts}
+            return rank
+
+        rank, whole = ranks({h: seeds[h][kind] for h in hosts}), ranks(dict.fromkeys(hosts, 1.0))
+        want[kind] = {h: rank[h] / whole[h] for h in hosts}
     got = url_filter.propagate(spark.createDataFrame([(h, float(a), float(b)) for h, (a, b) in seeds.items()], "host string, good double, bad double"), spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, weight long")).collect()
     for x in got:
         assert x.trust == pytest.approx(want[0][x.host]) and x.distrust == pytest.approx(want[1][x.host])
@@ -628,3 +636,99 @@ def test_kneser_ney_against_brute_force(spark):
             c = np.array([ord(x) for x in gram], np.uint64)
             got = m.log_probabilities(c, np.array([0]), len(gram))[0][col]
             assert got == pytest.approx(np.log(p(gram)), abs=1e-4), (lang, gram)
+
+
+TEXT = "some text of a row without any id"
+
+
+def by_row(df, docs, *columns):
+    """The named columns of an operator's rows, by (id, first letters of the text): equal rows must agree."""
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.doc_id, []).append(tuple(r[c] for c in columns))
+    assert {k: len(v) for k, v in out.items()} == Counter(r.doc_id for r in docs.collect())
+    assert all(len(set(v)) == 1 for v in out.values())
+    return {k: v[0] for k, v in out.items()}
+
+
+def test_odd_values_line_dedup(spark):
+    docs = odd(spark)
+    got = by_row(line_dedup.line_dedup(docs, min_docs=2), docs, "n_lines", "n_dropped", "text")
+    assert got[1] == (0, 0, None) and got[2] == (1, 0, "") and got[6] == (3, 0, " \n\n ") and got[7] == (1, 0, "…!?") and got[8] == (1, 0, "a" * 200_000)
+    assert got[None] == got[5] == got[3] == got[4] == (1, 1, "")
+
+
+def test_odd_values_sharding(spark):
+    docs = odd(spark)
+    got = by_row(sharding.place(docs), docs, "slot", "shard")
+    slot = lambda key: int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % sharding.SLOTS
+    owner = sharding.lookup_table(sharding.SHARDS)
+    assert got == {k: (slot("" if k is None else str(k)), owner[slot("" if k is None else str(k))]) for k in got}
+
+
+def test_odd_values_ngram_join(spark):
+    docs = odd(spark)
+    got = by_row(ngram_join.ngram_join(docs), docs, "class_id", "copy_id", "links", "kept")
+    assert got == {k: (k, k, 0, True) for k in (1, 2, 6, 7, 8)} | {3: (3, 3, 1, True), 4: (3, 3, 1, False), 5: (5, 5, 2, True), None: (5, 5, 2, False)}
+    none = frame(spark, [(None, TEXT, "en", "a"), (None, TEXT + " more", "en", "a")])
+    assert [r.kept for r in ngram_join.ngram_join(none).collect()] == [True, True]  # a group of null ids keeps all
+
+
+def test_odd_values_langid(spark):
+    docs = odd(spark)
+    got = by_row(langid.identify_languages(docs), docs, "lang_pred", "score", "rejected")
+    assert all(got[k] == ("und", 0.0, True) for k in (1, 2, 6, 7)) and got[5] == got[None] and got[3] == got[4]
+    one = frame(spark, [(i, prose(random.Random(i), 20), "en", "a") for i in range(9)] + [(9, None, "fr", "a")])
+    assert {r.lang_pred: r.score for r in langid.identify_languages(one).where("doc_id < 9").collect()} == {"en": 1.0}
+    bare = one.withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.lang_pred, r.rejected) for r in langid.identify_languages(bare).collect()} == {("und", True)}
+
+
+def test_language_id_rejects_junk_and_keeps_the_rest(spark):
+    r = random.Random(16)
+    sylls = {"en": ["the", "ing", "er", "an", "sh"], "fr": ["eau", "les", "ou", "ré", "ç"]}
+    rows = [(i, " ".join("".join(r.choice(sylls[lang]) for _ in range(r.randrange(1, 4))) for _ in range(40)), lang, "a") for i, lang in enumerate(r.choice(list(sylls)) for _ in range(400))]
+    junk = [(1000 + i, " ".join("".join(r.choice("bcdfghjklmnpqvwxz") for _ in range(6)) for _ in range(30)), None, "a") for i in range(40)]
+    got = {x.doc_id: x.rejected for x in langid.identify_languages(frame(spark, rows + junk)).collect()}
+    assert not any(got[i] for i in range(400)) and all(got[1000 + i] for i in range(40))
+
+
+def test_odd_values_exact_dedup(spark):
+    docs = odd(spark)
+    got = by_row(exact_dedup.exact_dedup(docs), docs, "keep_id", "group_size", "kept")
+    assert got == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 2, True), 4: (3, 2, False), 5: (5, 3, True), None: (5, 3, False), 6: (6, 1, True), 7: (7, 1, True), 8: (8, 1, True)}
+
+
+def test_odd_values_pii(spark):
+    docs = odd(spark)
+    got = by_row(pii.find_pii(docs), docs, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found", "n_spans")
+    assert set(got.values()) == {(0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0, 0)}
+
+
+def test_odd_values_mixing(spark):
+    docs = odd(spark)
+    rows = mixing.mix(docs).collect()
+    size = {(r.doc_id, r.size, r.source_size, r.target) for r in rows}
+    assert size == {(1, 0, 10, 30.0), (None, 8, 10, 30.0), (7, 1, 10, 30.0), (8, 1, 10, 30.0), (2, 0, 0, 0.0), (3, 30_000, 60_000, 59_948.0), (4, 30_000, 60_000, 59_948.0), (5, 8, 16, 48.0), (6, 0, 16, 48.0)}
+    assert Counter(r.target for r in rows for _ in range(r.taken)) == {30.0: 30, 59_948.0: 60_000, 48.0: 48}  # whole documents only
+    empty = mixing.mix(frame(spark, [(1, None, "en", "a"), (2, "", "en", None)])).collect()
+    assert {(r.size, r.source_size, r.target, r.taken) for r in empty} == {(0, 0, 0.0, 0)}
+
+
+def test_odd_values_license_scan(spark):
+    docs = odd(spark)
+    got = by_row(license_scan.scan(docs), docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert got == {k: (n, 0, None, None, "", "", 0.0) for k, n in {1: 0, 2: 0, None: 8, 3: 30_000, 4: 30_000, 5: 8, 6: 0, 7: 1, 8: 1}.items()}
+
+
+def test_odd_values_url_filter(spark):
+    import time
+
+    rows = [(1, None, None), (1, None, None), (2, "", ""), (None, "http://Bad.com/de/x", "<a " * 200_000), (None, "http://Bad.com/de/x", "<a " * 200_000), (3, "http://bad.com/en", "<a href='http://bad.com/de/'>" * 20_000), (4, "://", "x"), (5, "x://h?://y/", None), (6, "http://other.org", "<A\nclass=q HREF = HTTP://bad.com/de/x>")]
+    pages = spark.createDataFrame([(*r, "clash", "clash", 0.5) for r in rows], "page_id long, url string, html string, host string, verdict string, rank double")
+    began = time.time()
+    got = url_filter.judge(pages).collect()
+    assert time.time() - began < 120 and len(got) == len(rows)
+    assert {tuple(r) for r in got} == {
+        (1, "", "", None, "allow"), (2, "", "", None, "allow"), (None, "bad.com", "/de/x", "com/de/", "block"), (3, "bad.com", "/en", None, "block"), (4, "", "", None, "allow"), (5, "h", "", None, "allow"), (6, "other.org", "", None, "allow"),
+    }
