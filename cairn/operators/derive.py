@@ -7,6 +7,7 @@ function does it for a file at a time, inside ``mapInPandas`` over the files of
 from __future__ import annotations
 
 import re
+import time
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -124,14 +125,35 @@ def hash_vector(text: str, dim: int) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
-def embed(text: Column, dim: int = 64, model: Callable[[list[str]], np.ndarray] | None = None) -> Column:
-    """Vectors of texts, a batch at a time; every row of the model's answer must have ``dim`` numbers."""
+class Busy(Exception):
+    """What a model raises when it may be asked again."""
+
+
+def patient(model: Callable[[list[str]], np.ndarray], texts: list[str], tries: int, wait_s: float, budget_s: float) -> np.ndarray:
+    """The model's answer; a busy one is asked again after ever longer waits, within the tries and the seconds given."""
+    began = time.monotonic()
+    for k in range(tries):
+        try:
+            return model(texts)
+        except Busy:
+            pause = wait_s * 2**k
+            if k + 1 == tries or time.monotonic() - began + pause > budget_s:
+                raise
+            time.sleep(pause)
+    raise ValueError("tries must be positive")
+
+
+def embed(text: Column, dim: int = 64, model: Callable[[list[str]], np.ndarray] | None = None, tries: int = 4, wait_s: float = 0.5, budget_s: float = 60.0) -> Column:
+    """Vectors of texts, a batch at a time; every row of the model's answer must have ``dim`` numbers.
+
+    A model that raises Busy is asked again, ``tries`` times at most and for ``budget_s`` seconds of a batch.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             rows = [t or "" for t in texts]
-            got = model(rows) if model else np.array([hash_vector(t, dim) for t in rows]).reshape(len(rows), dim)
+            got = patient(model, rows, tries, wait_s, budget_s) if model else np.array([hash_vector(t, dim) for t in rows]).reshape(len(rows), dim)
             if got.shape != (len(rows), dim):
                 raise ValueError(f"the model returned {got.shape}, not {(len(rows), dim)}")
             yield pd.Series(list(got.astype(np.float32)), dtype=object)

@@ -75,6 +75,18 @@ def noise_floor(runs: DataFrame, digits: int = 6) -> DataFrame:
     return mean.join(moved, "corpus")
 
 
+def accuracy_at(ranked: DataFrame, gold: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """q and acc<k>: whether all gold files stand in the first k; an empty ranking has none."""
+    n = gold.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    hits = ranked.join(gold, ["q", "path"], "left_semi").groupBy("q").agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks])
+    return n.join(hits, "q", "left").select("q", *[(F.coalesce(F.col(f"h{k}"), F.lit(0)) == F.col("n")).cast("int").alias(f"acc{k}") for k in ks])
+
+
+def refusals(results: DataFrame) -> DataFrame:
+    """corpus, refusal, n: why results were refused; those that were not are left out. results: corpus, refusal."""
+    return results.where("refusal is not null").groupBy("corpus", "refusal").agg(F.count(F.lit(1)).alias("n"))
+
+
 def noise_report(runs: DataFrame, alpha: float = 0.05, power: float = 0.8, target: float = 0.02, floor: float = 0.01, multiple: float = 2.0, step: float = 0.005, digits: int = 6) -> DataFrame:
     """One row over repeated runs (run, corpus, q, value), of the queries that every run has.
 

@@ -207,3 +207,55 @@ def drop_reasons(records: DataFrame, rules: dict[str, Column], content: str) ->
     """reason, n, contents: the first rule that holds drops a record; what none drops is kept. One row per reason."""
     reason = F.coalesce(*[F.when(on, name) for name, on in rules.items()], F.lit("kept"))
     return records.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(content).alias("contents"))
+
+
+def counts_by(rows: DataFrame, *keys: str, name: str = "n") -> DataFrame:
+    """Rows of each combination of keys, counted within tasks first: files by status, symbols by project, and so on."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+
+def file_listing(files: DataFrame, chunks: DataFrame, statuses: list[str], language: str | None = None) -> DataFrame:
+    """path, status, chunk_count of the files in some statuses, of one language if one is asked; files without chunks count 0."""
+    f = files.where(F.col("status").isin(statuses))
+    f = f if language is None else f.where(F.col("programming_language") == language)
+    c = chunks.where("status = 'active'").groupBy("path").agg(F.count(F.lit(1)).alias("chunk_count"))
+    return f.join(c, "path", "left").select("path", "status", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+
+
+def list_paths(files: DataFrame, on: Column, limit: int) -> DataFrame:
+    """The first ``limit`` paths for which ``on`` holds, and how many there are."""
+    hit = files.where(on).select("path")
+    total = hit.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return hit.orderBy("path").limit(limit).withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def granted(rows: DataFrame, projects: list[str], column: str = "project_guid") -> DataFrame:
+    """Rows of the granted projects; dashes and case are ignored on both sides."""
+    plain = [p.replace("-", "").lower() for p in projects]
+    return rows.where(F.replace(F.lower(column), F.lit("-"), F.lit("")).isin(plain))
+
+
+def attribute_search(rows: DataFrame, needle: str, columns: list[str]) -> DataFrame:
+    """Rows of which any of the columns has ``needle``, whatever the case."""
+    on = F.lit(False)
+    for c in columns:
+        on = on | F.coalesce(F.contains(F.lower(c), F.lit(needle.lower())), F.lit(False))
+    return rows.where(on)
+
+
+def artifact_manifest(files: DataFrame, key: str) -> DataFrame:
+    """instances, chars, contents and the first hash of each group of artifacts."""
+    return files.groupBy(key).agg(F.count(F.lit(1)).alias("instances"), F.sum("n_chars").alias("chars"), F.count_distinct("sha256").alias("contents"), F.min("sha256").alias("first_sha"))
+
+
+def collection_report(chunks: DataFrame, vectors: DataFrame, collections: DataFrame, classed: Column) -> DataFrame:
+    """kind, n: stale projects (their counts differ), orphaned collections (of no known project) and those of another model.
+
+    collections: name, project_guid; ``classed`` tells a collection's class from its name. A project that the store does
+    not know is not stale.
+    """
+    stale = collection_health(chunks, vectors).agg(F.count_if("stale").alias("stale"))
+    known = chunks.select("project_guid", F.lit(True).alias("_k")).distinct()
+    c = collections.withColumn("_class", classed).join(known, "project_guid", "left")
+    other = c.agg(F.count_if(F.col("_k").isNull() | (F.col("_class") == "foreign")).alias("orphaned"), F.count_if(F.col("_k").isNotNull() & (F.col("_class") == "other_model")).alias("other_model"))
+    return stale.unpivot([], ["stale"], "kind", "n").unionByName(other.unpivot([], ["orphaned", "other_model"], "kind", "n"))

@@ -168,8 +168,50 @@ def run_journal(stored: dict[str, DataFrame], new: dict[str, DataFrame], retenti
 
 
 def run_summaries(runs: DataFrame) -> DataFrame:
-    """What a list of runs shows: everything but the report, which the scan then never reads."""
-    return runs.drop("report")
+    """What a list of runs shows: everything but the report, which the scan then never reads, and pinned and partial."""
+    return runs.drop("report").withColumn("pinned", F.col("expires_at").isNull()).withColumn("partial", F.col("done") != "finalized")
+
+
+def filtered_runs(runs: DataFrame, limit: int, before: int | None = None, **wanted: bool | str | int | None) -> DataFrame:
+    """The newest ``limit`` runs below ``before`` with all wanted attributes; the filters come before the limit.
+
+    wanted: stale, pinned, valid, partial (booleans), kind, challenged; None asks for nothing. runs: seq and these.
+    """
+    unknown = set(wanted) - {"stale", "pinned", "valid", "partial", "kind", "challenged"}
+    if unknown:
+        raise ValueError(f"no such filter: {', '.join(sorted(unknown))}")
+    out = runs if before is None else runs.where(F.col("seq") < before)
+    for name, value in wanted.items():
+        out = out if value is None else out.where(F.col(name) == F.lit(value))
+    return out.orderBy(F.desc("seq")).limit(limit)
+
+
+def file_states(cited: DataFrame, files: DataFrame) -> DataFrame:
+    """cited (with path, sha256) and state: fresh, changed or removed against files (path, sha256)."""
+    j = cited.join(files.select("path", F.col("sha256").alias("_now")), "path", "left")
+    return j.withColumn("state", F.when(F.col("_now").isNull(), "removed").when(F.col("_now") != F.col("sha256"), "changed").otherwise("fresh")).drop("_now")
+
+
+def stale_runs(cited: DataFrame, files: DataFrame) -> DataFrame:
+    """The runs (run) of whose cited files one at least is not fresh."""
+    return file_states(cited, files).where("state <> 'fresh'").select("run").distinct()
+
+
+def citation_report(verdicts: DataFrame, states: DataFrame) -> DataFrame:
+    """The counters of each run's citations, and beside them stale: those whose file is not fresh. Repeats count.
+
+    verdicts: run, ord, verdict; states: run, ord, state.
+    """
+    j = verdicts.join(states.select("run", "ord", "state"), ["run", "ord"], "left")
+    v = F.col("verdict")
+    return j.groupBy("run").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(v == x).alias(x) for x in ("verified", "path_only", "unverified")], F.count_if(F.col("state") != "fresh").alias("stale"))
+
+
+def challenge_subjects(runs: DataFrame, columns: list[str]) -> DataFrame:
+    """Challenges (run, challenged) with ``columns`` of their subject, and whether it is gone."""
+    subject = runs.select(F.col("run").alias("challenged"), *[F.col(c).alias(f"subject_{c}") for c in columns], F.lit(True).alias("_there"))
+    c = runs.where("challenged is not null").select("run", "challenged")
+    return c.join(subject, "challenged", "left").withColumn("subject_deleted", F.col("_there").isNull()).drop("_there")
 
 
 def run_detail(runs: DataFrame, run: Column, most: int, marker: str = "[truncated]") -> DataFrame:

@@ -81,6 +81,13 @@ def skip_decision(posted: DataFrame, stored: DataFrame, versions: dict[str, str]
     return j.select("path", decision.alias("decision"))
 
 
+def skip_reason(decision: Column, status: Column, symbols_only: bool = False) -> Column:
+    """Why a file is skipped: unchanged, in_flight, cancelled, or needs_full_reindex where only symbols were asked and more
+    has changed; null where it is worked on."""
+    full = decision.isin("full", "new") if symbols_only else F.lit(False)
+    return F.when(status == "cancelled", "cancelled").when(decision.isin("unchanged", "in_flight"), decision).when(full, "needs_full_reindex")
+
+
 def registry_differences(compiled: DataFrame, stored: DataFrame) -> DataFrame:
     """id, dim, side of entries that only one registry has; empty when they agree."""
     only = lambda a, b, side: a.select("id", "dim").exceptAll(b.select("id", "dim")).withColumn("side", F.lit(side))

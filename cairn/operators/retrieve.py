@@ -285,6 +285,20 @@ def fuse(runs: DataFrame, method: str, weights: dict[str, float] | None = None,
     return fused.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
+def best_per_chunk(runs: DataFrame) -> DataFrame:
+    """One row per (leg, q, path, start_line, end_line): the best score, ranked anew within each leg and query."""
+    key = ["path", "start_line", "end_line"]
+    best = runs.groupBy("leg", "q", *key).agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("leg", "q").orderBy(F.desc("score"), *key)))
+
+
+def definition_counts(symbols: DataFrame, name: str, scope: Column, kind: str | None = None) -> DataFrame:
+    """One row: total and out_of_scope of the definitions of exactly this name (and kind)."""
+    found = symbols.where(F.col("name") == name)
+    found = found if kind is None else found.where(F.col("kind") == kind)
+    return found.agg(F.count_if(scope).alias("total"), F.count_if(~scope).alias("out_of_scope"))
+
+
 def rerank(runs: DataFrame, depth: int, new_score: Column) -> DataFrame:
     """The first ``depth`` of each ranking by a new score; the rest keeps its order behind them. runs: q, doc_id, rank."""
     head = F.col("rank") <= depth

@@ -23,7 +23,7 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("files_by_status", f"WITH {FILES_SQL} SELECT project_guid, status, count(*) AS n FROM files GROUP BY ALL")
 def files_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).groupBy("project_guid", "status").agg(F.count(F.lit(1)).alias("n"))
+    return L.counts_by(files(spark, sf_dir), "project_guid", "status")
 
 
 @query("status_pivot", f"WITH {FILES_SQL} SELECT project_guid, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in STATUSES) + " FROM files GROUP BY project_guid")
@@ -53,9 +53,7 @@ def active_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("file_listing", f"""WITH {FILES_SQL}, {CHUNKS_SQL}, c AS (SELECT path, count(*) AS n FROM chunks WHERE status = 'active' GROUP BY path)
 SELECT f.path, f.status, coalesce(c.n, 0) AS chunk_count FROM files f LEFT JOIN c USING (path) WHERE status IN ('indexed', 'failed') AND programming_language = 'fr'""")
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir).where("status in ('indexed', 'failed') and programming_language = 'fr'")
-    c = chunks(spark, sf_dir).where("status = 'active'").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    return f.join(c, "path", "left").select("path", "status", F.coalesce("n", F.lit(0)).alias("chunk_count"))
+    return L.file_listing(files(spark, sf_dir), chunks(spark, sf_dir), ["indexed", "failed"], "fr")
 
 
 @query("status_log", f"WITH {_MOVES}, l AS (SELECT *, lag(retry_count) OVER (PARTITION BY file ORDER BY id) AS b FROM moves) SELECT file, id, old_status, status AS new_status, retry_count::BIGINT AS retry_count FROM l WHERE old_status IS NULL OR old_status <> status OR b <> retry_count")

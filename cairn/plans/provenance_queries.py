@@ -108,14 +108,18 @@ def read_chunks_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_partkey").alias("path"), (F.col("l_suppkey") % 3).alias("sha"))
     f = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("path"), (F.col("p_size") % 3).alias("now"))
-    return b.join(f, "path", "left").where("now is null or now <> sha").select("run").distinct()
+    return P.stale_runs(b.withColumnRenamed("sha", "sha256"), f.withColumnRenamed("now", "sha256"))
 
 
 @query("file_freshness", "WITH f AS (SELECT p_partkey AS path, p_size % 3 AS sha FROM part WHERE p_partkey % 10 <> 0) SELECT l_orderkey AS run, l_linenumber AS ord, CASE WHEN f.path IS NULL THEN 'removed' WHEN f.sha <> l_suppkey % 3 THEN 'changed' ELSE 'fresh' END AS state FROM lineitem LEFT JOIN f ON f.path = l_partkey")
 def file_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 3).alias("now"))
-    j = table(spark, sf_dir, "lineitem").join(f, "l_partkey", "left")
-    return j.select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("ord"), F.when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("l_suppkey") % 3, "changed").otherwise("fresh").alias("state"))
+    return _states(spark, sf_dir).select("run", "ord", "state")
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = table(spark, sf_dir, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("path"), (F.col("p_size") % 3).alias("sha256"))
+    cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("path"), (F.col("l_suppkey") % 3).alias("sha256"))
+    return P.file_states(cited, f)
 
 
 @query("run_sequences", "WITH o AS (SELECT o_custkey AS project_guid, floor(epoch(o_orderdate))::BIGINT AS created_at, o_orderkey AS id FROM orders), s AS (SELECT project_guid, count(*) AS top FROM o WHERE id % 2 = 0 GROUP BY 1) SELECT o.project_guid, id, coalesce(top, 0) + row_number() OVER (PARTITION BY o.project_guid ORDER BY created_at, id) AS seq, created_at + 604800 AS expires_at FROM o LEFT JOIN s USING (project_guid) WHERE id % 2 = 1")
@@ -128,8 +132,8 @@ def run_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("challenge_subjects", f"WITH {_RUNS} SELECT c.run, c.run // 5 AS challenged, s.turns AS subject_turns, s.run IS NULL AS subject_deleted FROM runs c LEFT JOIN runs s ON s.run = c.run // 5 WHERE c.kind = 'challenge'")
 def challenge_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = runs(spark, sf_dir)
-    c = r.where("kind = 'challenge'").select("run", F.expr("run div 5").alias("challenged"))
-    return c.join(r.select(F.col("run").alias("challenged"), F.col("turns").alias("subject_turns")), "challenged", "left").select("run", "challenged", "subject_turns", F.col("subject_turns").isNull().alias("subject_deleted"))
+    r = r.withColumn("challenged", F.when(F.col("kind") == "challenge", F.expr("run div 5")))
+    return P.challenge_subjects(r, ["turns"])
 
 
 @query("standing_challenges", "WITH c AS (SELECT user_id % 300 AS challenged, event_id AS seq, CASE event_type WHEN 'error' THEN 'refuted' WHEN 'view' THEN 'confirmed' WHEN 'click' THEN 'disputed' END AS verdict FROM events) SELECT challenged, seq, verdict FROM (SELECT *, row_number() OVER (PARTITION BY challenged ORDER BY seq DESC) AS k FROM c WHERE verdict IS NOT NULL) WHERE k = 1")

@@ -194,8 +194,9 @@ def selector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.globs import sqlite_glob
 
-    hit = files(spark, sf_dir).where(F.col("path").rlike(sqlite_glob("src/en/*"))).select("path")
-    return hit.orderBy("path").limit(50).join(F.broadcast(hit.agg(F.count(F.lit(1)).alias("total"))))
+    from ..operators.lifecycle import list_paths
+
+    return list_paths(files(spark, sf_dir), F.col("path").rlike(sqlite_glob("src/en/*")), 50)
 
 
 @query("prefix_overfetch", f"""WITH {_BM25_SQL}, f AS (SELECT q, doc_id, rank FROM bm25 JOIN documents USING (doc_id) WHERE source LIKE 'src1%' AND rank <= 40)

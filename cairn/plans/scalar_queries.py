@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import globs as G
 from ..functions import text as T
+from ..operators import lifecycle as L
 from ..registry import query, table
 from .standins import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, chunks, files, queries
 
@@ -129,7 +130,7 @@ def eta_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("artifact_manifest", f"WITH {FILES_SQL} SELECT programming_language, count(*) AS instances, sum(n_chars)::BIGINT AS chars, count(DISTINCT sha256) AS contents, min(sha256) AS first_sha FROM files GROUP BY 1")
 def artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).groupBy("programming_language").agg(F.count(F.lit(1)).alias("instances"), F.sum("n_chars").alias("chars"), F.count_distinct("sha256").alias("contents"), F.min("sha256").alias("first_sha"))
+    return L.artifact_manifest(files(spark, sf_dir), "programming_language")
 
 
 @query("response_maps", f"WITH {CHUNKS_SQL} SELECT programming_language, count(DISTINCT path) AS files, count(*) AS chunks FROM chunks WHERE status = 'active' GROUP BY 1")
@@ -147,8 +148,7 @@ def event_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("row_access", f"WITH {FILES_SQL} SELECT doc_id, path FROM files WHERE project_guid IN ('src1', 'src4')")
 def row_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row-level scope: the granted projects, dashes and case ignored."""
-    granted = [g.replace("-", "").lower() for g in ("SRC-1", "src4")]
-    return files(spark, sf_dir).where(F.replace(F.lower("project_guid"), F.lit("-"), F.lit("")).isin(granted)).select("doc_id", "path")
+    return L.granted(files(spark, sf_dir), ["SRC-1", "src4"]).select("doc_id", "path")
 
 
 @query("min_doc_frequency", f"""WITH {QUERIES_SQL}, n AS (SELECT DISTINCT q, unnest(regexp_extract_all(lower(text), '[a-z]{{7,}}')) AS name FROM queries), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{7,}}')) AS name FROM documents),
@@ -170,8 +170,7 @@ def mangled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("attribute_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license') OR contains(lower(lang), 'license')")
 def attribute_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = lambda c: F.contains(F.lower(c), F.lit("license"))
-    return table(spark, sf_dir, "documents").where(hit("text") | hit("source") | hit("lang")).select("doc_id")
+    return L.attribute_search(table(spark, sf_dir, "documents"), "License", ["text", "source", "lang"]).select("doc_id")
 
 
 @query("round_up_steps", "SELECT p_partkey, ceil(p_retailprice / 0.5 - 1e-12) * 0.5::DOUBLE AS price FROM part")

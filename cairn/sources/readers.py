@@ -6,7 +6,7 @@ Schemas are explicit; malformed input fails or is routed aside, it is never gues
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -168,20 +168,33 @@ def csv_results(spark: SparkSession, path: str, numbers: Sequence[str]) -> DataF
     return df.dropDuplicates([c for c in df.columns if c != "source_file"])
 
 
+def with_ratios(df: DataFrame, ratios: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with a column for each name: the one column over the other, null where that is 0."""
+    return df.withColumns({name: F.col(a) / F.nullif(F.col(b), F.lit(0)) for name, (a, b) in ratios.items()})
+
+
+def config_signature(columns: Sequence[str]) -> Column:
+    """``name=value`` of the columns that a configuration is told by, in their order; nulls stand as such."""
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NA"))) for c in columns])
+
+
 def rst_sections(docs: DataFrame) -> DataFrame:
-    """doc_id, n, level, title, body: sections by underlined titles; a document's underline characters rank by first use."""
+    """doc_id, n, level, title, body, context: sections by underlined titles, from level 0; a document's underline
+    characters rank by first use. context: the last module that a directive set before the section's end."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     w = Window.partitionBy("doc_id").orderBy("i")
     under = F.lead("line").over(w)
     is_title = (F.trim("line") != "") & under.rlike(r"^([=\-~^\"'#*+`:.])\1{2,}\s*$") & (F.length(F.rtrim(under)) >= F.length(F.rtrim("line")))
     marked = lines.withColumn("mark", F.when(is_title, F.substring(under, 1, 1)))
-    marked = marked.withColumn("n", F.count("mark").over(w)).where("n > 0")
+    module = F.nullif(F.regexp_extract("line", r"^\s*\.\.[ ]+(?:py:)?(?:current)?module::[ ]*(\S+)", 1), F.lit(""))
+    marked = marked.withColumn("n", F.count("mark").over(w)).withColumn("_context", F.last(module, ignorenulls=True).over(w)).where("n > 0")
+    context = marked.groupBy("doc_id", "n").agg(F.max_by("_context", "i").alias("context"))
     order = marked.where("mark is not null").groupBy("doc_id", "mark").agg(F.min("i").alias("first"))
-    order = order.withColumn("level", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")))
+    order = order.withColumn("level", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1)
     heads = marked.where("mark is not null").join(order, ["doc_id", "mark"]).select("doc_id", "n", "level", F.trim("line").alias("title"), F.col("i").alias("_at"))
     body = marked.join(heads.select("doc_id", "n", "_at"), ["doc_id", "n"]).where(F.col("i") > F.col("_at") + 1)
     text = body.groupBy("doc_id", "n").agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n"), r"^\s+|\s+$", "").alias("body"))
-    return heads.join(text, ["doc_id", "n"], "left").select("doc_id", "n", "level", "title", F.coalesce("body", F.lit("")).alias("body"))
+    return heads.join(text, ["doc_id", "n"], "left").join(context, ["doc_id", "n"]).select("doc_id", "n", "level", "title", F.coalesce("body", F.lit("")).alias("body"), "context")
 
 
 def diff_paths(patches: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.text import language_of
+
 
 def classify(events: DataFrame) -> DataFrame:
     """Raw file events (kind, path, to) as upserts and deletes: a rename is a delete and an upsert."""
@@ -17,6 +19,11 @@ def classify(events: DataFrame) -> DataFrame:
     return events.withColumn("_e", F.explode(each)).select("seq", "ts", "_e.*")
 
 
+def pending(events: DataFrame) -> DataFrame:
+    """Classified events that matter to an index: upserts of files without a known language go, deletes all stay."""
+    return classify(events).where((F.col("op") == "delete") | language_of(F.col("path")).isNotNull())
+
+
 def debounced(events: DataFrame, seconds: float) -> DataFrame:
     """Batch form: path, open, ts, seq, op. A window opens at a key's first event and does not slide; its last event wins.
 
@@ -115,6 +122,28 @@ def fold_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("run", "language").agg(n("indexed").alias("indexed"), n("skipped").alias("skipped"), F.coalesce(F.sum(F.when(F.col("event") == "indexed", F.col("chunks"))), F.lit(0)).alias("chunks"), n("error").alias("errors"))
 
 
+def progress_faults(events: DataFrame, terminal: Sequence[str] = ("done", "failed")) -> DataFrame:
+    """run, fault of runs whose events (run, seq, event) do not begin with started, or do not end with the only terminal one."""
+    ends = F.col("event").isin(*terminal)
+    by = events.groupBy("run").agg(F.min_by("event", "seq").alias("_first"), F.max_by(ends, "seq").alias("_ended"), F.count_if(ends).alias("_ends"))
+    fault = F.when(F.col("_first") != "started", "not_started").when(F.col("_ends") == 0, "no_end").when(F.col("_ends") > 1, "several_ends").when(~F.col("_ended"), "events_after_end")
+    return by.select("run", fault.alias("fault")).where("fault is not null")
+
+
+def bucket_quantile(buckets: DataFrame, q: float, key: str = "key") -> DataFrame:
+    """key, value: a quantile from cumulative buckets (key, le, count; le null: no bound), linear within a bucket.
+
+    In the last bucket it is the bound below; without any count it is null.
+    """
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("le"))
+    b = buckets.withColumn("_total", F.max("count").over(Window.partitionBy(key)))
+    b = b.withColumn("_low", F.coalesce(F.lag("le").over(w), F.lit(0.0))).withColumn("_before", F.coalesce(F.lag("count").over(w), F.lit(0)))
+    rank = F.col("_total") * q
+    hit = b.where((F.col("count") >= rank) & (F.col("_before") < rank))
+    value = F.when(F.col("le").isNull(), F.col("_low")).otherwise(F.col("_low") + (F.col("le") - F.col("_low")) * (rank - F.col("_before")) / (F.col("count") - F.col("_before")))
+    return buckets.select(key).distinct().join(hit.select(key, value.alias("value")), key, "left")
+
+
 def watermarked(events: DataFrame, late: str | None) -> DataFrame:
     """Watermarks need a timestamp with a time zone."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events

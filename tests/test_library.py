@@ -135,6 +135,35 @@ def test_embedder(spark):
         spark.createDataFrame([("a",)], "t string").select(derive.embed(F.col("t"), 8, lambda rows: np.zeros((1, 3)))).collect()
 
 
+def test_busy_models_are_asked_again():
+    import numpy as np
+
+    asked = []
+
+    def model(rows, busy=2):
+        asked.append(len(rows))
+        if len(asked) <= busy:
+            raise derive.Busy
+        return np.ones((len(rows), 2))
+
+    assert derive.patient(model, ["a"], 4, 0.01, 5).shape == (1, 2) and asked == [1, 1, 1]
+    for tries, budget in ((2, 5), (9, 0.005)):
+        asked.clear()
+        with pytest.raises(derive.Busy):
+            derive.patient(lambda rows: model(rows, 99), ["a"], tries, 0.01, budget)
+        assert len(asked) <= 2
+
+
+def test_ratios_and_signature(spark):
+    df = readers.with_ratios(spark.createDataFrame([(6, 3, "x"), (1, 0, None)], "a int, b int, c string"), {"r": ("a", "b")}).withColumn("s", readers.config_signature(["c", "a"]))
+    assert [(x.r, x.s) for x in df.collect()] == [(2.0, "c=x a=6"), (None, "c=NA a=1")]
+
+
+def test_unknown_run_filters_are_errors(spark):
+    with pytest.raises(ValueError, match="no such filter"):
+        provenance.filtered_runs(spark.createDataFrame([(1,)], "seq long"), 1, colour=True)
+
+
 def test_validity_reasons(spark):
     runs = spark.createDataFrame([(1, False), (2, True), (3, False), (4, False), (5, False)], "run long, stale boolean")
     edges = spark.createDataFrame([(3, 2), (4, 3), (5, 99), (2, 1)], "run long, parent long")
@@ -220,7 +249,10 @@ def test_git_log(spark, tmp_path):
 def test_rst_and_diff(spark):
     t = "Title\n=====\nintro\n\nPart\n----\nbody a\nbody b\n\nNext\n====\n"
     got = readers.rst_sections(spark.createDataFrame([(1, t)], "doc_id long, text string")).orderBy("n").collect()
-    assert [(r.level, r.title, r.body) for r in got] == [(1, "Title", "intro"), (2, "Part", "body a\nbody b"), (1, "Next", "")]
+    assert [(r.level, r.title, r.body) for r in got] == [(0, "Title", "intro"), (1, "Part", "body a\nbody b"), (0, "Next", "")]
+    t = "A\n===\n.. currentmodule:: m.a\n\nB\n---\nx\n\nC\n---\n.. py:module:: m.c\nD\n===\ny\n"
+    got = readers.rst_sections(spark.createDataFrame([(1, t), (2, "E\n==\n"), (3, "Lone\n====\n")], "doc_id long, text string")).orderBy("doc_id", "n").collect()
+    assert [(r.title, r.context) for r in got] == [("A", "m.a"), ("B", "m.a"), ("C", "m.c"), ("D", "m.c"), ("Lone", None)]
     p = "--- a/x.py\n+++ b/x.py\n@@\n--- /dev/null\n+++ b/new.py\n"
     assert {(r.path, r.existed) for r in readers.diff_paths(spark.createDataFrame([(1, p)], "id long, patch string")).collect()} == {("x.py", True), ("new.py", False)}
 
