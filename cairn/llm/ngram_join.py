@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import broadcast_if_small, settle, table
 from .graph import components
 from .shingles import minhash, mix, runs, shingle_set
 
@@ -256,7 +256,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     near = settle(components(candidate_edges(met, steps)))
 
     size = near.join(reps.select(F.col("cid").alias("id"), "n"), "id").groupBy("comp").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_n"))
-    cand = near.join(size, "comp").select(F.col("id").alias("cid"), "comp", "_m", "_n").join(reps.select("cid", "cls", "rep", "copies", "n", "sig"), "cid")
+    cand = near.join(looked_up(size, 40), "comp").select(F.col("id").alias("cid"), "comp", "_m", "_n").join(reps.select("cid", "cls", "rep", "copies", "n", "sig"), "cid")
     cand = settle(cand)
     full = cand.join(with_sets(docs, cand, width), "cls").drop("cls", "rep")
     blocks = F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_n") / BLOCK_SHINGLES))
@@ -265,7 +265,8 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     # trees of components that several blocks shared are joined up; the others are final
     group = components(links.where("not whole").select("a", "b")).unionByName(links.where("whole and texts > 0").select(F.col("a").alias("id"), F.col("b").alias("comp")))
     group = group.join(reps.select(F.col("cid").alias("id"), "rep"), "id")
-    group = group.join(group.groupBy("comp").agg(F.min("rep").alias("class_id")), "comp").select(F.col("id").alias("cid"), "class_id")
+    group = settle(group)
+    group = group.join(looked_up(group.groupBy("comp").agg(F.min("rep").alias("class_id")), 32), "comp").select(F.col("id").alias("cid"), "class_id")
     # classes of one document without links need no row here
     told = reps.select("cid", "cls", "rep", "copies").join(group, "cid", "left").join(count, "cid", "left").where("copies > 1 or class_id is not null or texts > 0")
     told = told.select("cls", "rep", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("links_texts"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("links"))
@@ -278,6 +279,12 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     )
 
 
+def looked_up(table_: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, so that a join with a hot key of it can be split, or a broadcast if it is small."""
+    table_ = settle(table_)
+    return broadcast_if_small(table_, table_.count(), row_bytes)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).drop("links_texts")
 
