@@ -119,6 +119,52 @@ def dense_search_batch(vectors: DataFrame, queries: DataFrame, top_k: int, digit
     return ranked(parts, empty, top_k, "vec_id")
 
 
+def fit_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Centres of ``cells`` cells, by k-means over about ``sample`` unit vectors drawn by hash of their id.
+
+    Only the fit sees a sample; every vector is indexed. The centres are what is kept on the driver: cells x dimension.
+    """
+    n = vectors.count()
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / max(n, 1)))
+    x = np.array([r.embedding for r in drawn.orderBy("vec_id").select("embedding").collect()], np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        own = np.argmax(x @ centres.T, axis=1)
+        for c in range(len(centres)):
+            if (own == c).any():
+                centres[c] = x[own == c].sum(0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+    return centres
+
+
+def in_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """vec_id, embedding, cell: the cell of the nearest centre. Written with partitionBy("cell"), a search reads few folders."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(np.argmax(x @ centres.T, axis=1).astype(np.int32))], ["vec_id", "embedding", "cell"])
+
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(assign, "vec_id long, embedding array<float>, cell int")
+
+
+def choose_probes(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, top_k: int, least: float = 0.9) -> int:
+    """The fewest cells to probe so that the exact answers of a stated set of queries (q, embedding) are found to a share ``least``."""
+    best = dense_search_batch(indexed, queries, top_k).join(indexed.select("vec_id", "cell"), "vec_id").select("q", "cell").collect()  # top_k rows a query
+    place = {r.q: np.argsort(np.argsort(-(centres @ np.asarray(r.embedding, np.float64)), kind="stable")) for r in queries.collect()}
+    needed = np.sort([place[r.q][r.cell] + 1 for r in best])
+    return int(needed[min(int(np.ceil(least * len(needed))), len(needed)) - 1]) if len(needed) else len(centres)
+
+
+def approximate_search(indexed: DataFrame, centres: np.ndarray, query: Sequence[float], top_k: int, probes: int, digits: int = 6) -> DataFrame:
+    """The ``top_k`` of the ``probes`` cells nearest to a query, by exact cosine: vec_id, score."""
+    q = np.asarray(query, np.float64)
+    nearest = np.argsort(-(centres @ q), kind="stable")[:probes]
+    return dense_search(indexed.where(F.col("cell").isin([int(c) for c in nearest])), query, top_k, digits=digits)
+
+
 def terms(text: Column) -> Column:
     """The lower-cased terms of three characters or more that are no stop words, repeats kept."""
     found = F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)

@@ -478,3 +478,34 @@ def test_dense_batch_ties(spark):
     q = v.where("vec_id in (0, 1)").select(F.col("vec_id").alias("q"), "embedding")
     got = {(x.q, x.vec_id, x.rank) for x in retrieve.dense_search_batch(v, q, 4).collect()}
     assert got == {(0, d, k + 1) for k, d in enumerate((3, 6, 9, 12))} | {(1, d, k + 1) for k, d in enumerate((4, 7, 10, 13))}
+
+
+def test_metered_model(spark):
+    import numpy as np
+
+    m = derive.Metered(spark, lambda rows: np.ones((len(rows), 2)))
+    df = spark.createDataFrame([(str(i),) for i in range(25)], "t string").repartition(3)
+    assert len(df.select(derive.embed(F.col("t"), 2, m).alias("v")).collect()) == 25
+    assert m.texts.value == 25 and m.calls.value >= 1 and m.failures.value == 0
+
+
+def test_approximate_search_finds_nearly_all(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    centres = retrieve.fit_cells(e, 16)
+    indexed = retrieve.in_cells(e, centres).cache()
+    assert indexed.count() == e.count() and indexed.where("cell is null").count() == 0
+    queries = e.where("vec_id % 25 = 1").select(F.col("vec_id").alias("q"), "embedding")
+    probes = retrieve.choose_probes(indexed, centres, queries, 10, 0.95)
+    assert 1 <= probes <= 16
+    hit = total = 0
+    for r in e.where("vec_id % 25 = 0").collect():
+        want = {x.vec_id for x in retrieve.dense_search(e, r.embedding, 10).collect()}
+        hit += len(want & {x.vec_id for x in retrieve.approximate_search(indexed, centres, r.embedding, 10, probes).collect()})
+        total += len(want)
+    assert hit >= 0.9 * total
+    assert {x.vec_id for x in retrieve.approximate_search(indexed, centres, r.embedding, 10, 16).collect()} == want  # all cells: exact
+
+
+def test_candidate_ids(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "vec_id long"), spark.createDataFrame([(2,), (3,), (3,)], "vec_id long")
+    assert sorted(r.vec_id for r in retrieve.candidate_ids(a, b).collect()) == [1, 2, 3]
