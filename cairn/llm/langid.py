@@ -26,6 +26,8 @@ ORDER, DISCOUNT = 4, 0.75
 #: Bound of the training sample: about so many different texts per language, drawn by hash, each read whole. It bounds
 #: the model.
 TEXTS_PER_LANG = 1500
+#: Languages of one model: it holds a row of numbers per n-gram and language. More are refused, none is left out.
+MOST_LANGS = 1000
 #: Rejection: this share of held-back training texts must stay, and so many nats are added on top.
 KEEP, SLACK = 0.999, 0.35
 UNKNOWN = "und"
@@ -119,9 +121,9 @@ def sample(train: DataFrame, per_lang: int) -> DataFrame:
     Equal texts fall together; the share of a language is that of its different texts, so that copies change nothing.
     """
     each = train.select("lang", F.xxhash64("text").alias("h")).distinct()
-    sizes = {r.lang: r.n for r in each.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
-    if len(sizes) > 1000:
-        raise ValueError("more than 1000 languages are labelled")
+    sizes = {r.lang: r.n for r in each.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}  # a row per language
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages are labelled")
     if not sizes:
         return train.limit(0)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])

@@ -732,3 +732,29 @@ def test_odd_values_url_filter(spark):
     assert {tuple(r) for r in got} == {
         (1, "", "", None, "allow"), (2, "", "", None, "allow"), (None, "bad.com", "/de/x", "com/de/", "block"), (3, "bad.com", "/en", None, "block"), (4, "", "", None, "allow"), (5, "h", "", None, "allow"), (6, "other.org", "", None, "allow"),
     }
+
+
+def test_leaks_against_brute_force(spark):
+    r = random.Random(41)
+    vocab = [f"v{i}" for i in range(9)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([1, 3, 8, 14])))) for i in range(10)]
+    docs = []
+    for i in range(60):
+        parts = [" ".join(r.choice([*vocab, "other"]) for _ in range(r.randrange(12)))]
+        for _ in range(r.randrange(3)):
+            w = r.choice(items)[1].split()
+            cut = r.randrange(len(w))
+            parts += [" ".join(w[cut:]), "stop", " ".join(w[:cut])]
+        docs.append((i, " ".join(parts), "en", "a"))
+    want = {}
+    for i, text, *_ in docs:
+        for k, item in items:
+            d, t = text.split(), item.split()
+            covered = brute_tiles(d, t, min(decontaminate.MIN_TILE, len(t)))
+            if covered >= decontaminate.COVERAGE * len(t):
+                want[i, k] = covered / len(t)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.coverage for x in decontaminate.find_leaks(frame(spark, docs), bench).collect()}
+    assert got == want and len(want) > 20
+    kept = {x.doc_id for x in decontaminate.without_leaks(frame(spark, docs), bench, block_chars=50).collect()}
+    assert kept == {i for i, *_ in docs} - {i for i, _ in want}
