@@ -22,6 +22,16 @@ def doc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.slice_files(table(spark, sf_dir, "documents")).select("doc_id", "start_line", "end_line", "tokens", F.sha2("code", 256).alias("sha256"))
 
 
+@query("line_windows", r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[^a-z \n]', '', 'g'), chr(10)), lambda x: left(trim(x), 300)), lambda x: x <> '') AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d), c AS (SELECT doc_id, i, sum(len(regexp_extract_all(x, '[a-z]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM e),
+w AS (SELECT doc_id, 1 AS a, max(i) AS b, 0::HUGEINT AS s FROM c WHERE s <= 512 GROUP BY doc_id UNION ALL SELECT w.doc_id, w.b + 1, max(c.i), any_value(p.s) FROM w JOIN c p ON p.doc_id = w.doc_id AND p.i = w.b JOIN c ON c.doc_id = w.doc_id AND c.i > w.b AND c.s <= p.s + 512 GROUP BY w.doc_id, w.b)
+SELECT w.doc_id, a::INT AS start_line, b::INT AS end_line, (c.s - w.s)::INT AS tokens FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.b""")
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over lines of plain words, none blank and none above the bound: as many whole lines as fit."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", r"[^a-z \n]", ""), "\n"), lambda x: F.left(F.trim(x), F.lit(300))), lambda x: x != "")
+    return D.slice_files(table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))).drop("code")
+
+
 @query("markdown_pack")
 def markdown_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document is a block; every fifth is a heading."""

@@ -100,7 +100,7 @@ def citation_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "ord", "c.*")
 
 
-@query("leakage_flags", f"WITH {FILES_SQL} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'basename' ELSE 'none' END AS leakage FROM files")
+@query("leakage_flags", f"WITH {FILES_SQL} SELECT doc_id, CASE WHEN contains(q, path) THEN 'path' WHEN contains(q, regexp_extract(path, '[^/]*$')) THEN 'basename' ELSE 'none' END AS leakage FROM (SELECT doc_id, path, CASE doc_id % 3 WHEN 0 THEN 'in ' || path WHEN 1 THEN 'in ' || doc_id || '.md' ELSE 'nothing' END AS q FROM files)")
 def leakage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.concat("doc_id", F.lit(".md"))
     q = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("in "), "path")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("in "), base)).otherwise("nothing")
