@@ -86,6 +86,14 @@ class Selector:
         return on & F.col(language).isin(list(self.languages)) if self.languages else on
 
 
+def management_scope(include: Selector | None, exclude: Selector | None) -> Column:
+    """What a destructive call acts on: the include, or everything without one, less the exclude; one of both must be given."""
+    if include is None and exclude is None:
+        raise ValueError("name what to include or what to exclude")
+    on = include.column() if include else F.lit(True)
+    return on & ~exclude.column() if exclude else on
+
+
 def in_scope(path: Column, includes: Sequence[str], excludes: Sequence[str]) -> Column:
     """Excludes come first; without includes everything else is in scope."""
     out = F.lit(True)

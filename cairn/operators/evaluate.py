@@ -143,6 +143,14 @@ def paired_spread(runs: DataFrame, digits: int = 6) -> DataFrame:
     return x.join(y, "q").where("a < b").groupBy("a", "b").agg(F.round(F.stddev_samp(F.col("va") - F.col("vb")), digits).alias("sigma"), F.count(F.lit(1)).alias("n"))
 
 
+def paired_deltas(*legs: DataFrame) -> DataFrame:
+    """q and d1, d2, ...: each later leg's value less the first one's, for the queries that every leg has. legs: q, value."""
+    out = legs[0].select("q", F.col("value").alias("_v0"))
+    for k, leg in enumerate(legs[1:], 1):
+        out = out.join(leg.select("q", F.col("value").alias(f"_v{k}")), "q")
+    return out.select("q", *[(F.col(f"_v{k}") - F.col("_v0")).alias(f"d{k}") for k in range(1, len(legs))])
+
+
 def permutation_p(deltas: DataFrame, rounds: int, digits: int = 6, seed: str = "p") -> DataFrame:
     """stratum, n, mean, p: two-sided sign permutation test with add-one; signs come from a hash of query and round.
 

@@ -363,6 +363,18 @@ def weight_grid(legs: int, step: float) -> list[tuple[float, ...]]:
     return [tuple(x / parts for x in w) for w in fill(parts, legs)]
 
 
+def outline(asked: DataFrame, files: DataFrame, symbols: DataFrame, scope: Column) -> DataFrame:
+    """Definitions of the asked paths in source order, with the file's language, indexed, in_scope and the total.
+
+    A path without definitions, or that is not indexed, keeps one row, so that its flags survive.
+    """
+    f = files.select("path", "programming_language", F.lit(True).alias("_f"))
+    j = asked.select("path").distinct().join(f, "path", "left").join(symbols.select("path", "name", "start_line"), "path", "left")
+    w = Window.partitionBy("path")
+    j = j.withColumn("total", F.count("name").over(w)).withColumn("ord", F.row_number().over(w.orderBy("start_line", "name")))
+    return j.select("path", "ord", "name", "start_line", "programming_language", F.coalesce("_f", F.lit(False)).alias("indexed"), scope.alias("in_scope"), "total")
+
+
 def rank_files_by_symbols(asked: DataFrame, symbols: DataFrame, top_k: int = 100) -> DataFrame:
     """(q, path, idents, definitions, rank): files by distinct asked names defined, then definitions, then path."""
     hit = asked.join(symbols, "name").groupBy("q", "path").agg(F.countDistinct("name").alias("idents"), F.count(F.lit(1)).alias("definitions"))

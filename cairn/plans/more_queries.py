@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import corpus as C
 from ..operators import evaluate as E
 from ..operators import lifecycle as L
 from ..operators import provenance as P
@@ -124,3 +125,39 @@ def bucket_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(b).alias("le"), (F.col("value") <= b).cast("long").alias("n")) for b in bounds], F.struct(F.lit(None).cast("double").alias("le"), F.lit(1).cast("long").alias("n")))
     b = e.where("value is not null").select(F.col("event_type").alias("key"), F.explode(rows).alias("b")).groupBy("key", "b.le").agg(F.sum("b.n").alias("count"))
     return S.bucket_quantile(b, 0.9).withColumn("value", F.round("value", 6))
+
+
+@query("outline_scope", f"""WITH {FILES_SQL}, s AS (SELECT path, 'n' || (doc_id % 3) AS name, doc_id % 7 AS start_line FROM files WHERE doc_id % 2 = 0 UNION ALL SELECT path, 'm', 3 FROM files WHERE doc_id % 6 = 0), a AS (SELECT path FROM files WHERE doc_id % 5 = 0 UNION ALL SELECT 'none/' || doc_id FROM files WHERE doc_id % 50 = 0)
+SELECT a.path, row_number() OVER (PARTITION BY a.path ORDER BY start_line, name) AS ord, name, start_line, programming_language, f.path IS NOT NULL AS indexed, a.path LIKE 'src/en/%' AS in_scope, count(name) OVER (PARTITION BY a.path) AS total FROM a LEFT JOIN files f ON f.path = a.path LEFT JOIN s ON s.path = a.path""")
+def outline_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, d = files(spark, sf_dir), F.col("doc_id")
+    s = f.where("doc_id % 2 = 0").select("path", F.concat(F.lit("n"), (d % 3).cast("string")).alias("name"), (d % 7).alias("start_line"))
+    s = s.unionByName(f.where("doc_id % 6 = 0").select("path", F.lit("m").alias("name"), F.lit(3).cast("long").alias("start_line")))
+    asked = f.where("doc_id % 5 = 0").select("path").unionByName(f.where("doc_id % 50 = 0").select(F.concat(F.lit("none/"), d.cast("string")).alias("path")))
+    return V.outline(asked, f, s, F.col("path").startswith("src/en/"))
+
+
+@query("paired_deltas", """WITH o AS (SELECT o_orderkey AS q, o_totalprice::DOUBLE AS v FROM orders) SELECT a.q, round(b.v * 2 - a.v, 4) AS d1, round(c.v - 1 - a.v, 4) AS d2 FROM o a JOIN o b ON b.q = a.q AND b.q % 2 = 0 JOIN o c ON c.q = a.q AND c.q % 3 = 0""")
+def paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), F.col("o_totalprice").cast("double").alias("value"))
+    d = E.paired_deltas(o, o.where("q % 2 = 0").withColumn("value", F.col("value") * 2), o.where("q % 3 = 0").withColumn("value", F.col("value") - 1))
+    return d.select("q", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
+
+
+@query("names_in_gold", """WITH p AS (SELECT p_partkey AS k, 'f' || p_partkey AS path, replace(p_name, ' ', '_') || ' ' || split_part(p_name, ' ', 1) AS text FROM part), a AS (SELECT k AS q, unnest([split_part(split_part(text, ' ', 1), '_', 1), split_part(text, ' ', 1), 'missing']) AS name, unnest([path, path, path]) AS gold FROM p WHERE k % 9 = 0),
+w AS (SELECT DISTINCT path, unnest(string_split(text, ' ')) AS name FROM p), d AS (SELECT name, count(*) AS df FROM w GROUP BY name), g AS (SELECT DISTINCT a.q FROM a JOIN w ON w.name = a.name AND w.path = 'f' || (a.q + a.q % 2))
+SELECT a.q, a.q IN (SELECT q FROM g) AS in_gold, count(df) AS present, min(df) AS df_min FROM a LEFT JOIN d USING (name) GROUP BY a.q""")
+def names_in_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    whole, first = F.replace("p_name", F.lit(" "), F.lit("_")), F.split_part("p_name", F.lit(" "), F.lit(1))
+    p = table(spark, sf_dir, "part").select(k, F.concat(F.lit("f"), k.cast("string")).alias("path"), F.concat(whole, F.lit(" "), first).alias("text"), F.array(first, whole, F.lit("missing")).alias("names"))
+    asked = p.where("p_partkey % 9 = 0").select(k.alias("q"), "names", F.array(F.concat(F.lit("f"), (k + k % 2).cast("string"))).alias("gold"))
+    return C.names_in_gold(asked, p)
+
+
+@query("dataset_drops", """WITH r AS (SELECT o_orderkey AS k, o_custkey % 40 AS commit, o_orderpriority AS dataset, CASE WHEN o_orderkey % 5 = 0 THEN 'no_patch' WHEN o_orderkey % 7 = 0 THEN 'short_query' END AS reason FROM orders), kept AS (SELECT commit, count(*) AS c, count(DISTINCT dataset) AS d FROM r WHERE reason IS NULL GROUP BY commit)
+SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'kept', count(*) FROM kept UNION ALL SELECT 'kept_by_dataset', sum(d)::BIGINT FROM kept UNION ALL SELECT 'merged', (sum(c) - count(*))::BIGINT FROM kept""")
+def dataset_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    r = table(spark, sf_dir, "orders").select(k, (F.col("o_custkey") % 40).alias("commit"), F.col("o_orderpriority").alias("dataset"))
+    return C.drops(r, {"no_patch": k % 5 == 0, "short_query": k % 7 == 0}, ["commit"])

@@ -509,3 +509,18 @@ def test_approximate_search_finds_nearly_all(spark):
 def test_candidate_ids(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "vec_id long"), spark.createDataFrame([(2,), (3,), (3,)], "vec_id long")
     assert sorted(r.vec_id for r in retrieve.candidate_ids(a, b).collect()) == [1, 2, 3]
+
+
+def test_management_scope(spark):
+    df = spark.createDataFrame([("a/x.py", "python"), ("a/y.rs", "rust"), ("b/z.py", "python")], "path string, programming_language string")
+    hit = lambda i, e: {r.path for r in df.where(globs.management_scope(i, e)).collect()}
+    assert hit(globs.Selector(paths=["a/*"]), globs.Selector(languages=["rust"])) == {"a/x.py"} and hit(None, globs.Selector(paths=["a/*"])) == {"b/z.py"}
+    with pytest.raises(ValueError):
+        globs.management_scope(None, None)
+
+
+def test_normal_quantiles():
+    for p in (1e-6, 0.025, 0.2, 0.5, 0.8, 0.975, 1 - 1e-6):
+        x = evaluate.normal_ppf(p)
+        assert 0.5 * (1 + math.erf(x / math.sqrt(2))) == pytest.approx(p, rel=1e-9)
+    assert evaluate.normal_ppf(0.975) == pytest.approx(1.959963985, abs=1e-8)
