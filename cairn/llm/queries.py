@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, license_scan, line_dedup, mixing, ngram_join, pii, sharding, url_filter
+from . import decontaminate, exact_dedup, fill_middle, langid, license_scan, line_dedup, mixing, ngram_join, pii, secret_scan, sharding, url_filter, vector_codes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.SQL,
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op8_mixing": mixing.SQL,
     "op9_url_filter": url_filter.SQL,
     "op10_license_scan": license_scan.SQL,
+    "op12_fill_middle": fill_middle.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
