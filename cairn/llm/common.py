@@ -39,6 +39,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of ``frames`` has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    return next(name for k in range(len(taken) + 1) if (name := f"{stem}{k or ''}").lower() not in taken)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

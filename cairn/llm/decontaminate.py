@@ -5,23 +5,25 @@ neither in the item nor in the document; the longest unmarked run is marked firs
 sentences were reordered are still covered. Runs are found with Karp-Rabin hashes of falling lengths. Only pairs that
 share a seed (a run of MIN_TILE words) are tiled, and only if their seeds alone could cover enough.
 
-The benchmark is a stated query set: it goes to the tasks in blocks of bounded size, each block against all documents,
-in one map without a shuffle.
+The benchmark is a stated query set: it goes to the tasks in blocks of bounded size, one after the other, each block
+against all documents in a map without a shuffle.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settle, table
 from .shingles import windows, word_hashes
 
 #: Words of the shortest tile, and the share of an item's words that tiles must cover.
@@ -170,18 +172,33 @@ def greedy_tiles(d: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, in
         s = max(least, s // 2)
 
 
-def blocks(benchmark: DataFrame, min_tile: int, block_chars: int, item_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_chars``, one on the driver at a time."""
+def blocks(benchmark: DataFrame, min_tile: int, block_chars: int, item_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[Items, bool]]:
+    """The benchmark in blocks of about ``block_chars``, one on the driver at a time, and whether it is the last."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     n = max(1, math.ceil(total / block_chars))
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield Items.of([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], min_tile)
+        yield Items.of([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], min_tile), k == n - 1
 
 
-def leaks_column(items: Items, spark: SparkSession, coverage: float, text_col: str = "text") -> Column:
-    shared = spark.sparkContext.broadcast(items)
+def in_blocks(benchmark: DataFrame, min_tile: int, block_chars: int) -> Iterator[tuple[Broadcast, Callable[[DataFrame], DataFrame]]]:
+    """Each block as it goes to the tasks, and a function for what was made with it: that is written, and the block
+    destroyed before the next one goes out, so a task holds one block however large the benchmark is. The last block's
+    is left as it is."""
+    for items, last in blocks(benchmark, min_tile, block_chars):
+        shared = benchmark.sparkSession.sparkContext.broadcast(items)
+
+        def done(made: DataFrame, shared: Broadcast = shared, last: bool = last) -> DataFrame:
+            if not last:
+                made = settle(made)
+                shared.destroy()
+            return made
+
+        yield shared, done
+
+
+def leaks_column(shared: Broadcast, coverage: float, text_col: str = "text") -> Column:
 
     @F.pandas_udf(TILES)
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -195,15 +212,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     """The leaking pairs: doc_id, item_id, coverage, tiles, words, longest.
 
     Words are lower-cased and compared by 64-bit hash. Null and empty texts, and items without words, leak nothing. An
-    item of fewer than ``min_tile`` words is one tile: it leaks where all its words stand in a row. An item without an
+    item of fewer than ``min_tile`` words is one tile: it leaks where all its words stand in a row. Texts of any length are
+    read whole. An item without an
     id leaks with a null item_id. Repeated documents each get their rows; items that repeat an id each get theirs.
     Documents are read as (doc_id, text), items as (item_id, text); other columns are ignored. An empty table on either side gives an empty result.
     """
-    out = None
-    for items in blocks(benchmark, min_tile, block_chars):
-        part = docs.select("doc_id", F.explode(leaks_column(items, docs.sparkSession, coverage)).alias("_l")).select("doc_id", "_l.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = [done(docs.select("doc_id", F.explode(leaks_column(shared, coverage)).alias("_l")).select("doc_id", "_l.*")) for shared, done in in_blocks(benchmark, min_tile, block_chars)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_tile: int = MIN_TILE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -212,8 +227,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     Rows with null or empty texts stay, repeated rows share their verdict, an empty benchmark drops nothing, and an
     empty table stays empty.
     """
-    for items in blocks(benchmark, min_tile, block_chars):
-        docs = docs.where(F.size(leaks_column(items, docs.sparkSession, coverage)) == 0)
+    for shared, done in in_blocks(benchmark, min_tile, block_chars):
+        docs = done(docs.where(F.size(leaks_column(shared, coverage)) == 0))
     return docs
 
 

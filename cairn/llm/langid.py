@@ -4,19 +4,20 @@ One model per language, of character n-grams up to ORDER. Spark counts the n-gra
 texts; the counts become probabilities P(last char | the others), interpolated down to a uniform distribution. All
 models share sorted arrays of n-gram hashes, one per order, with a row of log-probabilities (seen) and back-off weights
 per language. A text gets the language of least cross-entropy per character. It is rejected when even that is above
-what training texts of its length showed, or when it has no letter.
+what training texts of its length showed, or when it has no letter. Where few texts show it, the limit leans towards the
+cross-entropy of uniformly drawn letters, which no text of a learned language reaches; so it holds from one text on.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,17 @@ ORDER, DISCOUNT = 4, 0.75
 #: Bound of the training sample: about so many different texts per language, drawn by hash, each read whole. It bounds
 #: the model.
 TEXTS_PER_LANG = 1500
+#: And about so many characters of them, where texts are very long.
+CHARS_PER_LANG = 32 << 20
 #: Languages of one model: it holds a row of numbers per n-gram and language. More are refused, none is left out.
 MOST_LANGS = 1000
 #: Rejection: this share of held-back training texts must stay, and so many nats are added on top.
 KEEP, SLACK = 0.999, 0.35
+#: The uniform distribution weighs as much in the limit as so many held-back texts.
+PRIOR_TEXTS = 20
 UNKNOWN = "und"
-_SQUEEZE = re.compile(r"[\W\d_]+")
+#: Marks belong to their letter, as in Indic and Thai words.
+_SQUEEZE = regex.compile(r"[^\p{L}\p{M}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,17 +122,19 @@ class Model:
 
 
 def sample(train: DataFrame, per_lang: int) -> DataFrame:
-    """About ``per_lang`` different texts of each language, all where it has no more, by hash of the text.
+    """About ``per_lang`` different texts of each language and CHARS_PER_LANG characters, all where it has no more, by
+    hash of the text.
 
     Equal texts fall together; the share of a language is that of its different texts, so that copies change nothing.
     """
-    each = train.select("lang", F.xxhash64("text").alias("h")).distinct()
-    sizes = {r.lang: r.n for r in each.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}  # a row per language
+    each = train.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("chars")).distinct()
+    by = each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).limit(MOST_LANGS + 1)
+    sizes = {r.lang: min(1.0, per_lang / r.n, CHARS_PER_LANG / max(r.chars, 1)) for r in by.collect()}  # a row per language
     if len(sizes) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages are labelled")
     if not sizes:
         return train.limit(0)
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
+    share = F.create_map(*[x for k, part in sizes.items() for x in (F.lit(k), F.lit(part))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return train.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "text"])
 
@@ -209,7 +217,7 @@ def kneser_ney(counts: pd.DataFrame, langs: list[str]) -> Model:
 def fit(docs: DataFrame, per_lang: int = TEXTS_PER_LANG, text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from labelled rows (null labels and letterless texts are left out); None when there are none.
 
-    Nine tenths of the sample are counted; the rest calibrates the rejection limit. A language whose few texts would all
+    Nine tenths of the sample are counted; the rest calibrates the rejection limit, at any size of it. A language whose few texts would all
     be held back is counted whole, so every labelled language is learned.
     """
     train = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null")
@@ -228,13 +236,23 @@ def fit(docs: DataFrame, per_lang: int = TEXTS_PER_LANG, text_col: str = "text",
         return pd.DataFrame({"h": [shared.value.entropies(t).min() for t in texts], "n": [len(t) for t in texts]})
 
     got = drawn.where(held).select(measure("text").alias("m")).select("m.*").where("h is not null").toPandas()
-    if len(got) >= 20:
-        slope = float(got["h"].std() * math.sqrt(got["n"].median()))
-        base = float(np.quantile(got["h"] - slope / np.sqrt(got["n"]), KEEP)) + SLACK
-        model.limit = (base, slope)
+    model.limit = rejection_limit(got["h"].to_numpy(float), got["n"].to_numpy(float), -model.floor)
     return model
 
 
+def rejection_limit(h: np.ndarray, n: np.ndarray, uniform: float) -> tuple[float, float]:
+    """Base and slope (by 1 / sqrt(length)) from the cross-entropies ``h`` of held-back texts of ``n`` characters.
+
+    They are weighed against the cross-entropy of uniform letters, so the limit is finite whatever their number.
+    """
+    if not len(h):
+        return uniform, 0.0
+    weight = len(h) / (len(h) + PRIOR_TEXTS)
+    slope = float(h.std() * math.sqrt(np.median(n)))
+    base = float(np.quantile(h - slope / np.sqrt(n), KEEP)) + SLACK
+    return weight * base + (1 - weight) * uniform, weight * slope
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
     """A struct lang_pred, score, cross_entropy, rejected for each text of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -257,7 +275,7 @@ def identify_languages(docs: DataFrame, per_lang: int = TEXTS_PER_LANG) -> DataF
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, cross_entropy, rejected.
 
     Null and letterless texts are ``und`` and rejected, with score 0; so is every text when nothing is labelled. Ties
-    go to the language that sorts first. Equal texts get equal rows. Training reads text and lang only; an extra column
+    go to the language that sorts first. Equal texts get equal rows. Very long texts are read whole, in slices. Training reads text and lang only; an extra column
     of any name is ignored.
     """
     model = fit(docs.where(~held_out()))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 #: A prime well above a hundred slots per shard: shares differ by under one per cent.
@@ -55,12 +55,15 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 def place(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS, shard_col: str = "shard") -> DataFrame:
     """``df`` with the columns slot and shard appended (columns of these names are replaced). No shuffle.
 
-    Rows with equal keys share a shard; null keys all go where the empty key goes. An empty input stays empty.
+    Rows with equal keys share a shard; null keys all go where the empty key goes. Only the key is looked at, so texts
+    of any length pass as they are, and all other columns stay, whatever their names. An empty input stays empty.
     """
     spark, owners = df.sparkSession, lookup_table(shards, slots)
-    owner = spark.range(1).select(F.posexplode(F.split(F.lit("\n".join(owners)), "\n")).alias("_slot", "_shard"))
-    keyed = df.drop("slot", shard_col).withColumn("slot", slot(df[key], slots))
-    return keyed.join(F.broadcast(owner), keyed["slot"] == owner["_slot"]).drop("_slot").withColumnRenamed("_shard", shard_col)
+    at, name = free_name("_at", df), free_name("_owner", df)
+    owner = spark.range(1).select(F.posexplode(F.split(F.lit("\n".join(owners)), "\n")).alias(at, name))
+    rest = [f"`{c}`" for c in df.columns if c.lower() not in ("slot", shard_col.lower())]
+    keyed = df.select(*rest, slot(F.col(f"`{key}`"), slots).alias("slot"))
+    return keyed.join(F.broadcast(owner), F.col("slot") == F.col(at)).select(*rest, "slot", F.col(name).alias(shard_col))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> None:

@@ -22,8 +22,9 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 DAMPING, ROUNDS, BLOCK_AT = 0.85, 20, 0.4
 #: Rules are literals of the plan.
 MOST_RULES = 2000
-#: A tag ends at the next angle bracket of either kind, so that tags without an end cost linear time.
-HREF = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?([^"'\s>]+)"""
+#: A tag ends at the next angle bracket of either kind, so that tags without an end cost linear time. White space stands
+#: before the attribute: data-href and the like link nowhere.
+HREF = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -84,7 +85,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, block
 
     Rules are (verdict, host, path) and fit the host and its subdomains where the path starts so. Pages with an empty
     host (null urls, urls without ``://``) fit no rule and are allowed, as is every host that neither seeds nor links
-    reach. Null html has no links. Repeated rows are judged alike. Only page_id, url and html are read.
+    reach. Null html has no links; very long html is read whole. Repeated rows are judged alike. Only page_id, url and html are read.
     """
     host, path = host_path(F.col("url"))
     named = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -116,7 +117,7 @@ u AS (SELECT page_id, html, coalesce(url, '') AS url, {host("coalesce(url, '')")
 n AS (SELECT *, regexp_extract(substr(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, length(host) + 1), '^[^?#]*') AS path FROM u),
 f AS (SELECT page_id, host, path, html, (SELECT max((length(h || p), h || p, verdict)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS fit FROM n),
 seeds AS (SELECT host, avg(CASE WHEN fit[3] = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good, avg(CASE WHEN fit[3] = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad FROM f WHERE host <> '' GROUP BY host),
-l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^<>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM f),
+l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM f),
 l2 AS (SELECT src, CASE WHEN starts_with(href, '//') THEN 'http:' || href ELSE href END AS href FROM l),
 e AS (SELECT src, {host("href")} AS dst, count(*) AS weight FROM l2 GROUP BY ALL HAVING src <> '' AND dst <> '' AND src <> dst),
 k AS (SELECT 'trust' AS kind, src AS a, dst AS b, weight FROM e UNION ALL SELECT 'distrust', dst, src, weight FROM e),
