@@ -8,22 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, langid, mixing, ngram_join, sharding
-from cairn.llm.common import checkpoint_dir, remove, settle, table
+from cairn.llm.common import checkpoint_dir, free_name, remove, settle, table
 
 
-ROW = "_cairn_row"
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row, by place. Stages read written tables, so every reading numbers alike."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, by place, and that column's name, which no other column has. Stages read
+    written tables, so every reading numbers alike."""
+    row = free_name("_row", docs)
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models reject go: null texts, texts without a letter, texts unlike all languages.
 
     Each row is judged by its text alone, so repeated rows share their verdict; null ids, labels and sources reject
-    nothing. Without any labelled text all rows go. An empty table stays empty. No shuffle of texts.
+    nothing. Without any labelled text all rows go. Very long texts are read whole; all columns stay, whatever their
+    names. An empty table stays empty. No shuffle of texts.
     """
     model = langid.fit(docs.where(~langid.held_out()))
     return docs.where(~langid.identify(docs, model)["rejected"])
@@ -33,24 +33,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of every group linked by five-word shingles at 0.8 or more, exactly one row stays: that of the smallest id.
 
     Null ids come after all others; of rows that repeat the smallest id the first by place stays. Texts without words
-    link to nothing and stay, each row. An empty table stays empty.
+    link to nothing and stay, each row. Very long texts are compared whole; all columns stay, whatever their names. An
+    empty table stays empty.
     """
-    docs = numbered(docs)
-    group = ngram_join.ngram_join(docs, id_col=ROW).select(F.col("doc_id").alias(ROW), "class_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("first")
+    docs, row = numbered(docs)
+    group = ngram_join.ngram_join(docs, id_col=row).select(F.col("doc_id").alias(row), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)).alias("first")
     # rows that link to nothing are their own class; only the others are looked up
-    own = group.where(F.col(ROW) == F.col("class_id")).select(ROW)
-    linked = settle(group.join(group.where(F.col(ROW) != F.col("class_id")).select("class_id").distinct(), "class_id", "left_semi"))
-    best = docs.select("doc_id", ROW).join(linked, ROW).groupBy("class_id").agg(first).select(F.col(f"first.{ROW}").alias(ROW))
-    keep = own.join(linked.select(ROW), ROW, "left_anti").unionByName(best)
-    return docs.join(keep, ROW, "left_semi").drop(ROW)
+    own = group.where(F.col(row) == F.col("class_id")).select(row)
+    linked = settle(group.join(group.where(F.col(row) != F.col("class_id")).select("class_id").distinct(), "class_id", "left_semi"))
+    best = docs.select("doc_id", row).join(linked, row).groupBy("class_id").agg(first).select(F.col(f"first.{row}").alias(row))
+    keep = own.join(linked.select(row), row, "left_anti").unionByName(best)
+    return docs.join(keep, row, "left_semi").drop(row)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which a benchmark item leaks go, each row by its text alone.
 
-    Null and empty texts stay, whatever their id; repeated rows share their verdict; an empty benchmark drops nothing,
-    and an empty table stays empty.
+    Null and empty texts stay, whatever their id; repeated rows share their verdict; very long texts are read whole; all
+    columns stay, whatever their names; an empty benchmark drops nothing, and an empty table stays empty.
     """
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
@@ -59,12 +60,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it: repeated rows for more than one epoch, none for no epoch.
 
     A null source is a source of its own. Null and empty texts have no words and are taken as often as their source's
-    whole epochs. Rows that repeat an id are taken row by row, so their sum meets the target. An empty table stays
-    empty.
+    whole epochs. Rows that repeat an id are taken row by row, so their sum meets the target. Very long texts are
+    counted whole; all columns stay, whatever their names. An empty table stays empty.
     """
-    docs = numbered(docs)
-    taken = mixing.mix(docs, carry=[ROW]).where("reps > 0").select(ROW, F.col("reps").cast("int").alias("_cairn_reps"))
-    return docs.join(taken, ROW).withColumn(ROW, F.explode(F.sequence(F.lit(1), F.col("_cairn_reps")))).drop(ROW, "_cairn_reps")
+    docs, row = numbered(docs)
+    reps = free_name("_reps", docs)
+    taken = mixing.mix(docs, carry=[row]).where("reps > 0").select(row, F.col("reps").cast("int").alias(reps))
+    return docs.join(taken, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(reps)))).drop(row, reps)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
