@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .provenance import settle
 
@@ -394,10 +395,28 @@ def lookup_symbols(symbols: DataFrame, name: str, anchor: str, limit: int) -> Da
 def nearest_container(spans: DataFrame, key: str = "path") -> DataFrame:
     """Each definition with the innermost one that strictly contains it (null: none). spans: key, name, kind, start, end.
 
-    An equi-join on the file bounds the work by a file's definitions; the innermost is a minimum, so nothing is sorted.
+    One sweep: a file's spans pass in the order of their starts, the longest first, beside a stack of those still open.
+    What is taken off the stack cannot contain anything that follows: it ends before the span that replaced it, which
+    starts later. Spans of equal places do not contain one another; of those the first by name is told. Spans sort on
+    disk where they must, and a task holds no more than a file's open ones.
     """
-    inner, outer = spans.alias("i"), spans.alias("o")
-    on = (F.col(f"i.{key}") == F.col(f"o.{key}")) & (F.col("o.start") <= F.col("i.start")) & (F.col("o.end") >= F.col("i.end")) & ((F.col("o.start") < F.col("i.start")) | (F.col("o.end") > F.col("i.end")))
-    best = F.min_by(F.struct(F.col("o.name").alias("name"), F.col("o.kind").alias("kind")), F.struct(-F.col("o.start"), F.col("o.end"), F.col("o.name")))
-    joined = inner.join(outer, on, "left").groupBy(F.col(f"i.{key}").alias(key), F.col("i.name").alias("name"), F.col("i.kind").alias("kind"), F.col("i.start").alias("start"), F.col("i.end").alias("end")).agg(best.alias("p"))
-    return joined.select(key, "name", "kind", "start", "end", F.col("p.name").alias("parent_name"), F.col("p.kind").alias("parent_kind"))
+    rows = spans.select(key, "name", "kind", "start", "end")
+    schema = T.StructType([*rows.schema.fields, T.StructField("parent_name", rows.schema["name"].dataType), T.StructField("parent_kind", rows.schema["kind"].dataType)])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ = None, []
+        for batch in batches:
+            names: list = []
+            kinds: list = []
+            for f, name, kind, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                if (f,) != file:
+                    file, open_ = (f,), []
+                while open_ and (open_[-1][1] < end or open_[-1][:2] == (start, end)):
+                    open_.pop()
+                names.append(open_[-1][2] if open_ else None)
+                kinds.append(open_[-1][3] if open_ else None)
+                open_.append((start, end, name, kind))
+            types = [f.type for f in batch.schema]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, types[1]), pa.array(kinds, types[2])], schema.names)
+
+    return rows.repartition(key).sortWithinPartitions(key, "start", F.desc("end"), F.desc("name")).mapInArrow(sweep, schema)

@@ -1,4 +1,4 @@
-"""Chunks that follow structure: statements of Python files, blocks of Markdown documents, definitions of many languages.
+"""Chunks that follow structure: statements and definitions of many languages, blocks of Markdown documents.
 
 A file's structure depends on all of it, so one small function reads a file at a time, in batches within the tasks.
 """
@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import nesting
 from .derive import CHUNK, CHUNK_COST, HEADING_COST, MARKDOWN_CAP, MAX_TOKENS, MIN_GAP, MIN_TOKENS, Tokenizer, token_starts, windows
 
 #: Weight of the semantic term of a packing.
@@ -68,33 +69,65 @@ def statements(text: str) -> list[Unit]:
         return []
 
 
-def chosen(lines: Lines, units: list[Unit], least: int, most: int) -> list[tuple[int, int]]:
-    """Line spans of the topmost statements of ``least`` to ``most`` tokens, from top to bottom, none within another.
+def nested_units(lines: Lines, language: str) -> tuple[list[Unit], set[int]]:
+    """The units of a text by lines, as a tree, and the lines that hold only comments and attributes."""
+    found, notes = nesting.scan(lines.text, language)
+    row = lambda at: bisect_right(lines.bounds, at) - 1
+    top: list[Unit] = []
+    todo = [(found, top)]
+    while todo:
+        units, out = todo.pop()
+        for u in units:
+            first, last = row(u.start), row(max(u.end - 1, u.start)) + 1
+            if not out or first >= out[-1].last:  # units that share a line count with the first of them
+                out.append(Unit(first, last))
+                todo.append((u.inner, out[-1].inner))
+    return top, nesting.noted_lines(lines.text, notes)
 
-    Smaller ones are left, larger ones are entered. A span takes in the comment lines right above it, without a blank
+
+def chosen(lines: Lines, units: list[Unit], least: int, most: int, is_note: Callable[[int], bool] | None = None) -> list[tuple[int, int]]:
+    """Line spans of the topmost units of ``least`` to ``most`` tokens, from top to bottom, none within another.
+
+    Smaller ones are left, larger ones are entered. A span takes in the lines of notes right above it, without a blank
     line between, as far as the bound and the span before allow.
     """
+    is_note = is_note or (lambda k: lines.line(k).lstrip(" \t").startswith("#"))
     out: list[tuple[int, int]] = []
-
-    def walk(some: list[Unit]) -> None:
-        for u in some:
-            size = lines.tokens(u.first, u.last)
-            if size > most:
-                walk(u.inner)
-            elif size >= least:
-                first, floor = u.first, out[-1][1] if out else 0
-                while first > floor and lines.line(first - 1).lstrip(" \t").startswith("#") and lines.tokens(first - 1, u.last) <= most:
-                    first -= 1
+    todo = units[::-1]
+    while todo:
+        u = todo.pop()
+        size = lines.tokens(u.first, u.last)
+        if size > most:
+            todo += u.inner[::-1]
+        elif size >= least:
+            first, floor = u.first, out[-1][1] if out else 0
+            while first > floor and is_note(first - 1) and lines.tokens(first - 1, u.last) <= most:
+                first -= 1
+            if u.first >= floor:
                 out.append((first, u.last))
-
-    walk(units)
     return out
 
 
 def python_spans(text: str, tokenizer: Tokenizer = token_starts, least: int = MIN_TOKENS, most: int = MAX_TOKENS, fill_gaps: bool = True) -> list[tuple[int, int]]:
     """Character spans of a Python file's chunks, in order; with ``fill_gaps`` the lines between go in windows."""
     lines = Lines(text, tokenizer)
-    out, at, spans = [], 0, chosen(lines, statements(text), least, most)
+    return filled(lines, chosen(lines, statements(text), least, most), tokenizer, most, fill_gaps)
+
+
+def code_spans(text: str, language: str | None, tokenizer: Tokenizer = token_starts, least: int = MIN_TOKENS, most: int = MAX_TOKENS, fill_gaps: bool = True) -> list[tuple[int, int]]:
+    """Character spans of a file's chunks in any language: by syntax tree, blocks or nesting; else windows of lines."""
+    if language == "python":
+        return python_spans(text, tokenizer, least, most, fill_gaps)
+    if language == "markdown":
+        return markdown_spans(text, tokenizer)
+    lines = Lines(text, tokenizer)
+    units, notes = nested_units(lines, language) if language in nesting.SYNTAX else ([], set())
+    return filled(lines, chosen(lines, units, least, most, notes.__contains__), tokenizer, most, fill_gaps)
+
+
+def filled(lines: Lines, spans: list[tuple[int, int]], tokenizer: Tokenizer, most: int, fill_gaps: bool) -> list[tuple[int, int]]:
+    """Character spans of the chosen lines, in order; with ``fill_gaps`` the lines between go in windows."""
+    out, at, text = [], 0, lines.text
     for first, last in [*spans, (lines.n, lines.n)]:
         if fill_gaps and lines.tokens(at, first) >= MIN_GAP:
             base = lines.bounds[at]
@@ -106,23 +139,33 @@ def python_spans(text: str, tokenizer: Tokenizer = token_starts, least: int = MI
 
 
 def _sliced(files: DataFrame, spans, tokenizer: Tokenizer) -> DataFrame:
+    named = "programming_language" in files.columns
+
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
+            for doc, text, *language in zip(*(frame[c] for c in frame.columns)):
                 text = text or ""
-                for a, b in spans(text):
+                for a, b in spans(text, *language):
                     code = text[a:b]
                     line = text.count("\n", 0, a) + 1
                     rows.append((doc, line, line + code.rstrip("\n").count("\n"), len(tokenizer(code)), code))
             yield pd.DataFrame(rows, columns=["doc_id", "start_line", "end_line", "tokens", "code"])
 
-    return files.select("doc_id", "text").mapInPandas(cut, CHUNK)
+    return files.select("doc_id", "text", *["programming_language"] * named).mapInPandas(cut, CHUNK)
 
 
 def slice_python(files: DataFrame, tokenizer: Tokenizer = token_starts, least: int = MIN_TOKENS, most: int = MAX_TOKENS, fill_gaps: bool = True) -> DataFrame:
     """doc_id, start_line, end_line, tokens, code of the chunks of Python files (doc_id, text)."""
-    return _sliced(files, lambda text: python_spans(text, tokenizer, least, most, fill_gaps), tokenizer)
+    return _sliced(files.select("doc_id", "text"), lambda text: python_spans(text, tokenizer, least, most, fill_gaps), tokenizer)
+
+
+def slice_code(files: DataFrame, tokenizer: Tokenizer = token_starts, least: int = MIN_TOKENS, most: int = MAX_TOKENS, fill_gaps: bool = True) -> DataFrame:
+    """doc_id, start_line, end_line, tokens, code of the chunks of files (doc_id, text, programming_language).
+
+    Each file is cut by its own language; one of an unknown or null language goes in windows of lines.
+    """
+    return _sliced(files.select("doc_id", "text", "programming_language"), lambda text, language: code_spans(text, language, tokenizer, least, most, fill_gaps), tokenizer)
 
 
 #: Kinds of Markdown blocks by the start of a line; what fits none is a paragraph.
@@ -271,7 +314,7 @@ def markdown_spans(text: str, tokenizer: Tokenizer = token_starts, cap: int = MA
 
 def slice_markdown(files: DataFrame, tokenizer: Tokenizer = token_starts, cap: int = MARKDOWN_CAP, embed=None) -> DataFrame:
     """doc_id, start_line, end_line, tokens, code of the chunks of Markdown documents (doc_id, text)."""
-    return _sliced(files, lambda text: markdown_spans(text, tokenizer, cap, embed), tokenizer)
+    return _sliced(files.select("doc_id", "text"), lambda text: markdown_spans(text, tokenizer, cap, embed), tokenizer)
 
 
 def markdown_blocks(files: DataFrame, tokenizer: Tokenizer = token_starts) -> DataFrame:
@@ -289,7 +332,7 @@ def markdown_blocks(files: DataFrame, tokenizer: Tokenizer = token_starts) -> Da
     return files.select("doc_id", "text").mapInPandas(cut, "doc_id long, k int, kind string, level int, start_line int, end_line int, tokens int")
 
 
-#: A definition's kind and name at the start of a line. Only Python is parsed; these find what stands on one line.
+#: A definition's kind and name at the start of a line.
 _JS = r"^[ \t]*(?:export[ ]+)?(?:default[ ]+)?(?:async[ ]+)?(function\*?|class|const|let)[ ]+([A-Za-z_$][\w$]*)"
 _TS = r"^[ \t]*(?:export[ ]+)?(?:default[ ]+)?(?:declare[ ]+)?(?:abstract[ ]+)?(?:async[ ]+)?(function\*?|class|interface|type|enum|namespace|const|let)[ ]+([A-Za-z_$][\w$]*)"
 _TYPED = r"(?:[\w:<>,\[\]*&~]+[ ]+[*&]?)+"
@@ -342,14 +385,67 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "text").mapInPandas(read, SYMBOL)
 
 
+DEFINITION = "doc_id long, name string, kind string, start_line int, end_line int, start_column int, end_column int, parent_name string, parent_kind string"
+
+
+def python_definitions(text: str) -> list[tuple[str, str, int, int, str | None, str | None]]:
+    """(name, kind, start, end, parent name, parent kind) of the classes and functions of a Python text, by place."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    # places in the syntax tree are lines and bytes
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    at = lambda line, column: starts[line - 1] + len(text[starts[line - 1] :].split("\n", 1)[0].encode()[:column].decode("utf-8", "ignore"))
+    out, todo = [], [(node, None) for node in reversed(tree.body)]
+    while todo:
+        node, parent = todo.pop()
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            own = (node.name, "class" if isinstance(node, ast.ClassDef) else "function")
+            out.append((*own, at(node.lineno, node.col_offset), at(node.end_lineno, node.end_col_offset), *(parent or (None, None))))
+            parent = own
+        todo += [(c, parent) for c in reversed(list(ast.iter_child_nodes(node)))]
+    return out
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """The definitions in files (doc_id, text, programming_language), with true ends and the innermost one around each.
+
+    doc_id, name, kind, start_line, end_line (from 1), start_column, end_column (bytes from 0, the end exclusive),
+    parent_name, parent_kind. Python's come from its syntax tree, those of the languages of ``nesting`` from a scan of
+    brackets; a function within a class is a method there. Files of other languages have none.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc, text, language in zip(frame["doc_id"], frame["text"], frame["programming_language"]):
+                text = text or ""
+                bounds = [0, *(m.end() for m in re.finditer("\n", text))]
+                for name, kind, start, end, *parent in python_definitions(text) if language == "python" else nesting.definitions(text, language) if language in nesting.SYNTAX else ():
+                    a, b = bisect_right(bounds, start) - 1, bisect_right(bounds, max(end - 1, start)) - 1
+                    rows.append((doc, name, kind, a + 1, b + 1, len(text[bounds[a] : start].encode()), len(text[bounds[b] : end].encode()), *parent))
+            yield pd.DataFrame(rows, columns=["doc_id", "name", "kind", "start_line", "end_line", "start_column", "end_column", "parent_name", "parent_kind"])
+
+    return files.select("doc_id", "text", "programming_language").mapInPandas(read, DEFINITION)
+
+
 def symbols(files: DataFrame, language: str) -> DataFrame:
     """doc_id, name, kind, start_line, end_line of the definitions in files (doc_id, text) of one language.
 
-    Python's come from its syntax tree. Those of the other languages come from one pattern per line, so end_line is
-    start_line, and a definition over several lines is found by its first. Other languages have none.
+    Python's come from its syntax tree, with module constants. Those of the languages that ``nesting`` knows have their
+    true ends; OCaml's come from one pattern per line. Other languages have none.
     """
     if language == "python":
         return python_symbols(files)
+    if language in nesting.DEFINES:
+        return definitions(files.withColumn("programming_language", F.lit(language))).select("doc_id", "name", "kind", "start_line", "end_line")
+    return line_symbols(files, language)
+
+
+def line_symbols(files: DataFrame, language: str) -> DataFrame:
+    """The same from one pattern per line, for files that are broken or partial: end_line is start_line, the kind is the
+    word that defines, and a definition over several lines is found by its first."""
     if language not in DEFINITIONS:
         return files.select("doc_id", F.lit("").alias("name"), F.lit("").alias("kind"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line")).limit(0)
     regex = DEFINITIONS[language]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import slicing as S
+from ..operators.retrieve import nearest_container
 from ..registry import query, table
 from .standins import CHUNKS_SQL, chunks
 
@@ -34,6 +35,52 @@ def python_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.symbols(python_files(spark, sf_dir), "python")
 
 
+#: By language: a container's head, kind, tokens of head and end, end; a method's head, kind, tokens with its end.
+_BRACED = (
+    ("rust", "mod C{k} {", "module", 4, "}", "  fn m{j}(a: u8) {", "function", 9), ("javascript", "class C{k} {", "class", 4, "}", "  m{j}(a) {", "method", 6),
+    ("typescript", "export class C{k} {", "class", 5, "}", "  public m{j}(a: number): void {", "method", 11), ("java", "public class C{k} {", "class", 5, "}", "  public void m{j}(int a) {", "method", 9),
+    ("csharp", "public class C{k} {", "class", 5, "}", "  public void m{j}(int a) {", "method", 9), ("cpp", "class C{k} {", "class", 5, "};", "  void m{j}(int a) {", "method", 8),
+    ("php", "class C{k} {", "class", 4, "}", "  public function m{j}($a) {", "method", 9), ("scala", "object C{k} {", "object", 4, "}", "  def m{j}(a: Int) = {", "method", 10),
+)
+_G = "g(i, language, kind, t, e, mkind, mt) AS (VALUES " + ", ".join(f"({i}, '{lang}', '{kind}', {t}, {len(end)}, '{mkind}', {mt})" for i, (lang, _, kind, t, end, _, mkind, mt) in enumerate(_BRACED)) + ")"
+#: A container with k % 5 + 1 methods; method j has (3 k + 11 j) % 50 + 1 statements of seven tokens.
+_BODIES = f"{_G}, m AS (SELECT p_partkey AS k, unnest(range(p_partkey % 5 + 1)) AS j FROM part), n AS (SELECT k, j, (3 * k + 11 * j) % 50 + 1 AS n FROM m), l AS (SELECT k, j, n, 3 + coalesce(sum(n + 2) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM n)"
+
+
+def braced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources in eight languages, with brackets in strings and comments that are none."""
+    k = F.col("p_partkey")
+    pick = lambda at: F.element_at(F.array(*[F.lit(g[at]) for g in _BRACED]), (k % len(_BRACED) + 1).cast("int"))
+    put = lambda c, name, v: F.replace(c, F.lit(name), v.cast("string"))
+    method = lambda j: F.concat(put(pick(5), "{j}", j), F.lit("\n"), F.repeat(F.lit('    x("}");\n'), ((k * 3 + j * 11) % 50 + 1).cast("int")), F.lit("  }\n"))
+    text = F.concat(F.lit("// part "), k.cast("string"), F.lit(" {\n"), put(pick(1), "{k}", k), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(0), (k % 5).cast("int")), method), ""), pick(4), F.lit("\n"))
+    return table(spark, sf_dir, "part").select(k.alias("doc_id"), pick(0).alias("programming_language"), text.alias("text"))
+
+
+@query("code_definitions", f"""WITH {_BODIES}, c AS (SELECT k, 3 + sum(n + 2) AS last FROM n GROUP BY k)
+SELECT k AS doc_id, 'C' || k AS name, kind, 2::INT AS start_line, last::INT AS end_line, 0::INT AS start_column, e::INT AS end_column, NULL::VARCHAR AS parent_name, NULL::VARCHAR AS parent_kind FROM c JOIN g ON i = k % 8
+UNION ALL SELECT k, 'm' || j, mkind, pos::INT, (pos + n + 1)::INT, 2, 3, 'C' || k, kind FROM l JOIN g ON i = k % 8""")
+def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.definitions(braced_files(spark, sf_dir))
+
+
+@query("code_chunks", f"""WITH {_BODIES}, c AS (SELECT k, any_value(mt) AS mt, any_value(t) + sum(mt + 7 * n) AS t, 3 + sum(n + 2) AS last FROM n JOIN g ON i = k % 8 GROUP BY k)
+SELECT k AS doc_id, (CASE WHEN t + 5 <= 240 THEN 1 ELSE 2 END)::INT AS start_line, last::INT AS end_line, (t + CASE WHEN t + 5 <= 240 THEN 5 ELSE 0 END)::INT AS tokens FROM c WHERE t BETWEEN 40 AND 240
+UNION ALL SELECT k, pos::INT, (pos + n + 1)::INT, (mt + 7 * n)::INT FROM l JOIN c USING (k) WHERE t > 240 AND mt + 7 * n BETWEEN 40 AND 240""")
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole containers with their comment where they fit, else the methods that do."""
+    return S.slice_code(braced_files(spark, sf_dir), least=40, most=240, fill_gaps=False).select("doc_id", "start_line", "end_line", "tokens")
+
+
+@query("symbol_parents", f"""WITH {_BODIES}, c AS (SELECT k, 3 + sum(n + 2) AS last FROM n GROUP BY k)
+SELECT k AS path, 'C' || k AS name, kind, 2::INT AS "start", last::INT AS "end", NULL::VARCHAR AS parent_name, NULL::VARCHAR AS parent_kind FROM c JOIN g ON i = k % 8
+UNION ALL SELECT k, 'm' || j, mkind, pos::INT, (pos + n + 1)::INT, 'C' || k, kind FROM l JOIN g ON i = k % 8""")
+def symbol_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep over the spans of scanned definitions finds the parents that the scan itself tells."""
+    d = S.definitions(braced_files(spark, sf_dir))
+    return nearest_container(d.select(F.col("doc_id").alias("path"), "name", "kind", F.col("start_line").alias("start"), F.col("end_line").alias("end")))
+
+
 _LANGS = ("rust", "go", "javascript", "typescript", "java", "csharp", "cpp", "c", "ruby", "php", "ocaml", "scala")
 #: A line that defines, by language, and its kind; each is followed by one that does not.
 _DEFS = {
@@ -49,7 +96,7 @@ def line_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     for lang, (line, _) in _DEFS.items():
         before, after = line.replace("{{", "{").split("{n}")
         text = F.concat(F.lit("  // called(x);\n" + before), F.lit("n"), F.col("p_partkey").cast("string"), F.lit(after + "\n    return called(x);\n"))
-        own = S.symbols(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")), lang).withColumn("language", F.lit(lang))
+        own = S.line_symbols(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")), lang).withColumn("language", F.lit(lang))
         out = own if out is None else out.unionByName(own)
     return out
 
