@@ -30,13 +30,23 @@ def last_per_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.last_per_flush(S.classify(raw(spark, sf_dir)))
 
 
-@query("debounce", f"""WITH RECURSIVE {_CLASSIFIED}, o AS (SELECT path, min(ts) AS open FROM ev GROUP BY path UNION ALL SELECT o.path, min(e.ts) FROM o JOIN ev e ON e.path = o.path AND e.ts >= o.open + 3600 GROUP BY o.path, o.open),
-k AS (SELECT e.path, o.open::DOUBLE AS open, e.ts::DOUBLE AS ts, e.seq, e.op, row_number() OVER (PARTITION BY o.path, o.open ORDER BY e.ts DESC, e.seq DESC, e.op DESC) AS k FROM o JOIN ev e ON e.path = o.path AND e.ts >= o.open AND e.ts < o.open + 3600)
+@query("debounce", f"""WITH RECURSIVE {_CLASSIFIED}, o AS (SELECT min(ts) AS open FROM ev UNION ALL SELECT (SELECT min(ts) FROM ev WHERE ts >= o.open + 3600) FROM o WHERE o.open IS NOT NULL),
+k AS (SELECT e.path, o.open::DOUBLE AS open, e.ts::DOUBLE AS ts, e.seq, e.op, row_number() OVER (PARTITION BY e.path, o.open ORDER BY e.ts DESC, e.seq DESC, e.op DESC) AS k FROM o JOIN ev e ON e.ts >= o.open AND e.ts < o.open + 3600)
 SELECT path, open, ts, seq, op FROM k WHERE k = 1""")
 def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One window for all paths."""
     return S.debounced(S.classify(raw(spark, sf_dir)), 3600.0)
 
 
+_PROBES = "p AS (SELECT user_id % 20 AS run, event_id % 7 AS path, event_id AS seq, CASE event_type WHEN 'error' THEN 'changed' WHEN 'signup' THEN CASE WHEN event_id % 11 = 0 THEN 'removed' END WHEN 'purchase' THEN 'in_flight' ELSE 'fresh' END AS state FROM events)"
+
+
+@query("sticky_probes", f"WITH {_PROBES} SELECT run, path, seq, coalesce(bool_or(state = 'changed') OVER w, false) AS changed, coalesce(bool_or(state = 'removed') OVER w, false) AS removed, coalesce(last_value(state IGNORE NULLS) OVER w = 'in_flight', false) AS in_flight FROM p WINDOW w AS (PARTITION BY run, path ORDER BY seq ROWS UNBOUNDED PRECEDING)")
+def sticky_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.expr("CASE event_type WHEN 'error' THEN 'changed' WHEN 'signup' THEN CASE WHEN event_id % 11 = 0 THEN 'removed' END WHEN 'purchase' THEN 'in_flight' ELSE 'fresh' END")
+    return S.sticky_probes(table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), (F.col("event_id") % 7).alias("path"), F.col("event_id").alias("seq"), state.alias("state")))
+
+
 @query("tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.tumbling(table(spark, sf_dir, "events"), "1 hour").withColumn("total", F.round("total", 4))
