@@ -106,10 +106,11 @@ def title_line(text: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\r?\n"), stripped), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
-def shortened(query: Column, least: int = 40, most: int = 200) -> Column:
-    """The longest run of whole sentences of ``least`` to ``most`` characters from the start; the query where it is no
-    longer than that; else null."""
-    ends = F.regexp_extract_all(F.left(query, F.lit(most + 120)), F.lit(r"(?s).*?[.?!](?=\s|$)"), 0)
+def shortened(query: Column, least: int = 25, most: int = 200) -> Column:
+    """The longest run of whole sentences of ``least`` to ``most`` characters from the start, with the white space that
+    ends it; the query where it is no longer than that; else null. A sentence ends after a small letter, a digit or a
+    closing bracket."""
+    ends = F.regexp_extract_all(F.left(query, F.lit(most + 120)), F.lit(r"(?s).*?(?<=[a-z0-9)\]])[.!?](?:\s|$)"), 0)
     at = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda k: F.length(F.array_join(F.slice(ends, F.lit(1), k), "")))
     best = F.array_max(F.filter(F.when(F.size(ends) > 0, at), lambda n: (n >= least) & (n <= most)))
     return F.when(best.isNotNull(), stripped(F.left(query, best))).when(F.length(query) <= most, stripped(query))

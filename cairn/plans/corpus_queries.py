@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
@@ -192,6 +192,35 @@ def covered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A package of one module per nation: it defines F<nation>, Shared<region> and a class C<nation> with a method go.
+#: A document with p_partkey % 5 sections; section j is underlined by one of three characters, some by one that is too short.
+_RST = """m AS (SELECT p_partkey AS k, p_name AS words, unnest(range(p_partkey % 5)) AS j FROM part),
+s AS (SELECT k, j, substr('=-~', (k + j) % 3 + 1, 1) AS mark, 'S' || j || '-' || k AS title, words, (k + j) % 4 > 0 AS head, (k + 2 * j) % 6 = 0 AS module FROM m),
+n AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY k ORDER BY j) AS n, last_value(CASE WHEN module THEN 'mod' || j END IGNORE NULLS) OVER (PARTITION BY k ORDER BY j) AS context FROM s)"""
+
+
+def rst_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+
+    def section(j: Column) -> Column:
+        title = F.concat(F.lit("S"), j.cast("string"), F.lit("-"), k.cast("string"))
+        # one character too few: no title, but body of the section before
+        under = F.repeat(F.substring(F.lit("=-~"), (k + j) % 3 + 1, F.lit(1)), (F.length(title) - F.when((k + j) % 4 == 0, 1).otherwise(0)).cast("int"))
+        module = F.when((k + 2 * j) % 6 == 0, F.concat(F.lit("  .. module:: mod"), j.cast("string"), F.lit(" \n"))).otherwise("")
+        return F.concat(title, F.lit("\n"), under, F.lit("\n  indented\n========\n"), module, F.col("p_name"), F.lit("\n\n"))
+
+    text = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda j: j < k % 5), section), "")
+    return table(spark, sf_dir, "part").select(k.alias("doc_id"), F.concat(F.lit("no title\n\n"), text).alias("text"))
+
+
+@query("rst_sections", f"""WITH {_RST}, o AS (SELECT k, mark, row_number() OVER (PARTITION BY k ORDER BY min(j)) - 1 AS level FROM n WHERE head GROUP BY k, mark),
+b AS (SELECT k, n, arg_min(title, j) AS title, arg_min(mark, j) AS mark, arg_max(context, j) AS context, max(j) AS last, string_agg(CASE WHEN head THEN '' ELSE title || chr(10) || repeat(mark, (length(title) - 1)::INT) || chr(10) END || '  indented' || chr(10) || '========' || chr(10) || CASE WHEN module THEN '  .. module:: mod' || j || ' ' || chr(10) ELSE '' END || words || chr(10) || chr(10), '' ORDER BY j) AS body FROM n WHERE n > 0 GROUP BY k, n)
+SELECT b.k AS doc_id, n::INT AS n, level::INT AS level, title, regexp_replace(regexp_replace(body, '^\\s+', ''), '\\s+$', '') AS body, context FROM b JOIN o USING (k, mark)""")
+def rst_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import rst_sections
+
+    return rst_sections(rst_files(spark, sf_dir)).withColumn("n", F.col("n").cast("int"))
+
+
 _EXPECT = """CASE n % 7 WHEN 0 THEN ['pkg/r' || r || '/n' || n || '.py', 'symbol'] WHEN 1 THEN ['pkg/r' || r || '/n' || n || '.py', 'symbol'] WHEN 2 THEN ['pkg/r' || r || '/n' || n || '.py', 'symbol'] WHEN 3 THEN ['pkg/r' || r || '/n' || n || '.py', 'module']
  WHEN 4 THEN [NULL, 'unknown_module'] WHEN 5 THEN [NULL, 'empty_module'] ELSE [NULL, 'ambiguous'] END"""
 
@@ -214,13 +243,13 @@ def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resolve(refs, modules, names).select("ref", "path", "outcome")
 
 
-@query("documentation_queries", """WITH k AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation), q AS (SELECT n, r, 'About F' || n || '. The text that a reader of part ' || n || ' sees has many plain words, so that it is long enough to ask. go' AS query FROM k WHERE n % 3 <> 0)
+@query("documentation_queries", """WITH k AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation), q AS (SELECT n, r, 'About F' || n || '. The text that a reader of part ' || n || ' sees has many plain words, and a few more of them, so that it is long enough to ask. go' AS query FROM k WHERE n % 3 <> 0 AND n % 5 <> 1)
 SELECT n AS section, query, ['pkg/r' || r || '/n' || n || '.py'] AS gold, false AS leaks_path, false AS leaks_basename FROM q""")
 def documentation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     modules, names = C.python_index(package(spark, sf_dir))
     n, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
     mod = F.concat(F.lit("pkg.r"), r, F.lit(".n"), n)
-    body = F.concat(F.lit(".. class:: "), mod, F.lit(".C"), n, F.lit("\n\n   hidden words\n\nThe *text* that a reader of part "), n, F.lit(" sees::\n\n    code hidden\n\nhas many plain words, so that it is long enough to ask.\n>>> hidden\n:meth:`~"), mod, F.lit(".C"), n, F.lit(".go`"))
+    body = F.concat(F.lit(".. class:: "), mod, F.lit(".C"), n, F.lit("\n\n   hidden words\n\nThe *text* that a reader of part "), n, F.lit(" sees::\n\n    code hidden\n\nhas many plain words, "), F.when(F.col("n_nationkey") % 5 == 1, "").otherwise("and a few more of them, "), F.lit("so that it is long enough to ask.\n>>> hidden\n:meth:`~"), mod, F.lit(".C"), n, F.lit(".go`"))
     none = F.concat(F.lit("No reference at all stands in this section of many words, number "), n, F.lit(", so that no file can be its answer."))
     s = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("section"), F.concat(F.lit("About F"), n).alias("title"), F.when(F.col("n_nationkey") % 3 == 0, none).otherwise(body).alias("body"), F.lit(None).cast("string").alias("context"))
     return C.documentation_queries(s, modules, names)[0].select("section", "query", "gold", "leaks_path", "leaks_basename")

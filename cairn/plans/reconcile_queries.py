@@ -45,6 +45,41 @@ def history_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keep_last(commits(spark, sf_dir), 20, SINCE * 11 // 10)
 
 
+#: An order is a commit: by its number a subject, a body, parents and paths.
+_WALK = f"""w AS (SELECT o_orderkey AS sha, floor(epoch(o_orderdate))::BIGINT AS ts, 1 + (o_orderkey % 4 = 0)::INT AS parents,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Merge branch b' WHEN 1 THEN 'Merge the two parsers' WHEN 2 THEN 'ab' WHEN 3 THEN 'Merge tag v1' ELSE 'Change ' || o_orderkey END AS subject,
+  CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN ' ' ELSE repeat('é', o_orderkey % 9) || CASE WHEN o_orderkey % 500 = 2 THEN repeat('x', 65536) ELSE '' END END AS body,
+  list_transform(range(o_orderkey % 4), lambda j: CASE WHEN (o_orderkey + j) % 3 = 0 THEN 'src/a' || j || '.py' ELSE 'docs/b' || j || '.md' END) AS paths FROM orders),
+e AS (SELECT *, max(ts) OVER () - 900 * 86400 AS oldest, list_filter(paths, lambda p: starts_with(p, 'src/')) AS own, strlen(subject) + strlen(body) AS bytes FROM w),
+r AS (SELECT *, CASE WHEN ts >= oldest THEN row_number() OVER (PARTITION BY ts >= oldest ORDER BY ts DESC, sha) END AS k FROM e),
+d AS (SELECT *, CASE WHEN ts < oldest THEN 'age' WHEN k > 3000 THEN 'count' WHEN bytes < 12 THEN 'message' WHEN parents > 1 AND trim(body) = '' AND (starts_with(subject, 'Merge branch ') OR starts_with(subject, 'Merge tag ')) THEN 'merge' WHEN len(paths) > 0 AND len(own) = 0 THEN 'scope' END AS drop_ FROM r)"""
+
+
+def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import kept_commits
+
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    subject = F.when(k % 7 == 0, "Merge branch b").when(k % 7 == 1, "Merge the two parsers").when(k % 7 == 2, "ab").when(k % 7 == 3, "Merge tag v1").otherwise(F.concat(F.lit("Change "), k.cast("string")))
+    body = F.when(k % 3 == 0, "").when(k % 3 == 1, " ").otherwise(F.concat(F.repeat(F.lit("é"), (k % 9).cast("int")), F.when(k % 500 == 2, F.repeat(F.lit("x"), F.lit(65536))).otherwise("")))
+    name = lambda j: F.when((k + j) % 3 == 0, F.concat(F.lit("src/a"), j.cast("string"), F.lit(".py"))).otherwise(F.concat(F.lit("docs/b"), j.cast("string"), F.lit(".md")))
+    paths = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda j: j < k % 4), lambda j: F.struct(name(j).alias("path")))
+    c = o.select(k.alias("sha"), F.unix_timestamp("o_orderdate").alias("committed_at"), (F.when(k % 4 == 0, 2).otherwise(1)).alias("parent_count"), subject.alias("subject"), body.alias("body"), paths.alias("paths"))
+    return kept_commits(c, c.agg(F.max("committed_at")).first()[0] or 0, 900, 3000, 12, includes=["src/**"])
+
+
+@query("commit_walk", f"WITH {_WALK} SELECT sha, drop_ AS \"drop\", drop_ IS NULL AND bytes > 65536 AS cut, CASE WHEN drop_ IS NULL THEN own ELSE paths END AS paths FROM d")
+def commit_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which commits of a walk are kept, and with which paths."""
+    return walked(spark, sf_dir).select("sha", "drop", "cut", F.transform("paths", lambda p: p["path"]).alias("paths"))
+
+
+@query("commit_drops", f"WITH {_WALK} SELECT drop_ AS \"drop\", count(*) AS n FROM d GROUP BY 1 UNION ALL SELECT 'cut', count(*) FROM d WHERE drop_ IS NULL AND bytes > 65536 HAVING count(*) > 0")
+def commit_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.readers import drop_counts
+
+    return drop_counts(walked(spark, sf_dir))
+
+
 @query("file_history", f"""WITH {_COMMITS}, t AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem), h AS (SELECT path, sha, committed_at, count(*) OVER (PARTITION BY path) AS total, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, sha DESC) AS rank FROM t JOIN commits USING (sha) WHERE path % 7 = 0)
 SELECT path, sha, committed_at, total, left(sha::VARCHAR, 8) AS short_sha, path % 2 = 0 AS path_indexed FROM h WHERE rank <= 10""")
 def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.globs import in_scope, project_glob
 from ..functions.text import language_of, split_message
 
@@ -133,27 +135,52 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def kept_commits(commits: DataFrame, now: int, days: int, least_bytes: int, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> DataFrame:
-    """Commits with a reason column ``drop`` (null: kept): age, message, merge or scope, in this order."""
-    text = F.concat_ws("\n", "subject", "body")
-    scope = F.exists("paths", lambda p: in_scope(p["path"], includes, excludes))
+#: The beginnings of generated merge subjects, the longest message in bytes, and the mark of a cut one.
+MERGE_SUBJECTS = ("Merge branch ", "Merge pull request ", "Merge remote-tracking branch ", "Merge tag ")
+MAX_MESSAGE_BYTES = 64 * 1024
+CUT_MESSAGE = "\n\n[… commit message truncated …]"
+
+
+def kept_commits(commits: DataFrame, now: int, days: int | None, most: int, least_bytes: int, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> DataFrame:
+    """Commits with a reason ``drop`` (null: kept) and ``cut`` (whether the message is cut to MAX_MESSAGE_BYTES).
+
+    age: committed more than ``days`` before ``now``; count: not among the newest ``most`` of the rest, whatever happens
+    to these; message: subject and body have fewer than ``least_bytes`` bytes; merge: several parents, a blank body and
+    a generated subject; scope: it has paths, and none is in scope. A commit without paths, as merges are, stays. Kept
+    commits keep the paths in scope only.
+    """
+    old = F.col("committed_at") < now - days * 86400 if days is not None else F.lit(False)
+    order = F.struct((-F.col("committed_at")).cast("long").alias("at"), "sha")
+    # the place of the last one within the bound: a row, whatever the number of commits
+    last = commits.where(~old).select(order.alias("_o")).orderBy("_o").limit(most).agg(F.max("_o").alias("o")).first().o
+    beyond = order > F.struct(F.lit(last[0]).cast("long").alias("at"), F.lit(last[1]).cast(commits.schema["sha"].dataType).alias("sha")) if last else F.lit(True)
+    paths = F.coalesce("paths", F.array().cast(commits.schema["paths"].dataType))
+    own = F.filter(paths, lambda p: in_scope(p["path"], includes, excludes))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    size = F.octet_length(blank("subject")) + F.octet_length(blank("body"))
+    generated = reduce(lambda a, b: a | b, (F.ltrim(blank("subject")).startswith(m) for m in MERGE_SUBJECTS))
     drop = (
-        F.when(F.col("committed_at") < now - (days + 1) * 86400, "age")
-        .when(F.octet_length(text) < least_bytes, "message")
-        .when((F.col("parent_count") > 1) & (F.col("body") == "") & F.col("subject").startswith("Merge "), "merge")
-        .when(~scope, "scope")
+        F.when(old, "age")
+        .when(beyond, "count")
+        .when(size < least_bytes, "message")
+        .when((F.col("parent_count") > 1) & (T.stripped(blank("body")) == "") & generated, "merge")
+        .when((F.size(paths) > 0) & (F.size(own) == 0), "scope")
     )
-    return commits.withColumn("drop", drop)
+    out = commits.withColumn("drop", drop)
+    kept = F.col("drop").isNull()
+    out = out.withColumn("cut", kept & (size > MAX_MESSAGE_BYTES)).withColumn("paths", F.when(kept, own).otherwise(F.col("paths")))
+    return out.withColumn("body", F.when(F.col("cut"), T.truncated(blank("subject"), blank("body"), MAX_MESSAGE_BYTES, CUT_MESSAGE)).otherwise(F.col("body")))
 
 
-def newest_commits(kept: DataFrame, most: int) -> DataFrame:
-    """Of the commits without a drop reason, the newest ``most``."""
-    return kept.where("drop is null").orderBy(F.desc("committed_at"), "sha").limit(most)
+def deletion_window(now: int, days: int | None) -> int | None:
+    """From when on a walk of ``days`` may have commits removed: a day earlier than it looked, null for a whole walk."""
+    return None if days is None else now - (days + 1) * 86400
 
 
 def drop_counts(kept: DataFrame) -> DataFrame:
-    """drop, n: what each rule dropped; null is what is left."""
-    return kept.groupBy("drop").agg(F.count(F.lit(1)).alias("n"))
+    """drop, n: what each rule dropped; null is what is left, and cut those of these whose message was cut."""
+    by = kept.groupBy("drop").agg(F.count(F.lit(1)).alias("n"))
+    return by.unionByName(kept.where("cut").groupBy(F.lit("cut").alias("drop")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
@@ -178,22 +205,36 @@ def config_signature(columns: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NA"))) for c in columns])
 
 
+#: The underline of a reST title, and a directive.
+RST_UNDERLINE = r"^([=\-`:'\"~^_*+#<>])\1{1,}\s*$"
+RST_DIRECTIVE = r"^\.\.\s+([a-zA-Z][a-zA-Z0-9_-]*)::\s*(.*)$"
+#: What ends a line.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def rst_sections(docs: DataFrame) -> DataFrame:
     """doc_id, n, level, title, body, context: sections by underlined titles, from level 0; a document's underline
-    characters rank by first use. context: the last module that a directive set before the section's end."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    characters rank by first use. context: the last module that a directive set before the section's end.
+
+    A title begins without a blank and is no longer than what underlines it, two characters or more. An underline is
+    not a title itself, so of lines that each underline the one before every second is a title.
+    """
+    lines = docs.select("doc_id", F.posexplode(F.split("text", LINE_END)).alias("i", "line"))
     w = Window.partitionBy("doc_id").orderBy("i")
     under = F.lead("line").over(w)
-    is_title = (F.trim("line") != "") & under.rlike(r"^([=\-~^\"'#*+`:.])\1{2,}\s*$") & (F.length(F.rtrim(under)) >= F.length(F.rtrim("line")))
-    marked = lines.withColumn("mark", F.when(is_title, F.substring(under, 1, 1)))
-    module = F.nullif(F.regexp_extract("line", r"^\s*\.\.[ ]+(?:py:)?(?:current)?module::[ ]*(\S+)", 1), F.lit(""))
+    may = (T.stripped(F.col("line")) != "") & ~F.col("line").startswith(" ") & under.rlike(RST_UNDERLINE) & (F.length(T.stripped(under)) >= F.length(T.stripped(F.col("line"))))
+    marked = lines.withColumn("_may", F.coalesce(may, F.lit(False))).withColumn("_under", under)
+    before = F.coalesce(F.last(F.when(~F.col("_may"), F.col("i")), ignorenulls=True).over(w), F.lit(-1))
+    marked = marked.withColumn("mark", F.when(F.col("_may") & ((F.col("i") - before) % 2 == 1), F.substring("_under", 1, 1)))
+    plain = T.stripped(F.col("line"))
+    module = F.when(F.regexp_extract(plain, RST_DIRECTIVE, 1).isin("module", "currentmodule"), F.nullif(T.stripped(F.regexp_extract(plain, RST_DIRECTIVE, 2)), F.lit("")))
     marked = marked.withColumn("n", F.count("mark").over(w)).withColumn("_context", F.last(module, ignorenulls=True).over(w)).where("n > 0")
     context = marked.groupBy("doc_id", "n").agg(F.max_by("_context", "i").alias("context"))
     order = marked.where("mark is not null").groupBy("doc_id", "mark").agg(F.min("i").alias("first"))
     order = order.withColumn("level", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1)
-    heads = marked.where("mark is not null").join(order, ["doc_id", "mark"]).select("doc_id", "n", "level", F.trim("line").alias("title"), F.col("i").alias("_at"))
+    heads = marked.where("mark is not null").join(order, ["doc_id", "mark"]).select("doc_id", "n", "level", T.stripped(F.col("line")).alias("title"), F.col("i").alias("_at"))
     body = marked.join(heads.select("doc_id", "n", "_at"), ["doc_id", "n"]).where(F.col("i") > F.col("_at") + 1)
-    text = body.groupBy("doc_id", "n").agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n"), r"^\s+|\s+$", "").alias("body"))
+    text = body.groupBy("doc_id", "n").agg(T.stripped(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")).alias("body"))
     return heads.join(text, ["doc_id", "n"], "left").join(context, ["doc_id", "n"]).select("doc_id", "n", "level", "title", F.coalesce("body", F.lit("")).alias("body"), "context")
 
 

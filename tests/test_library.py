@@ -205,7 +205,7 @@ def test_truncated(spark):
 
 def test_shortened_and_figures(spark):
     a = "This is the first sentence, of forty characters or so."
-    cases = [(a + " And the second one. " + "x" * 300, a + " And the second one."), ("no end here " * 30, None), ("short?", "short?"), ("v1.2 is out " * 10, ("v1.2 is out " * 10).strip())]
+    cases = [(a + " Then A. " + "x" * 300, a), ("This has twenty-five ones. B" + "x" * 300, "This has twenty-five ones."), (a + " And the second one. " + "x" * 300, a + " And the second one."), ("no end here " * 30, None), ("short?", "short?"), ("v1.2 is out " * 10, ("v1.2 is out " * 10).strip())]
     df = spark.createDataFrame(cases, "q string, want string")
     assert [r[0] for r in df.select(text.shortened(F.col("q"))).collect()] == [w for _, w in cases]
     one_row = spark.range(1).select(text.age(F.lit(59)), text.age(F.lit(7300)), text.significant(F.lit(0.012345), 2), text.significant(F.lit(98765.0), 3), text.gold_size(F.lit(4)), text.leakage_stratum(F.lit(False), F.lit(True))).first()
@@ -242,17 +242,46 @@ def test_git_log(spark, tmp_path):
     a = got["sha1"]
     assert (a.subject, a.body, a.parent_count, a.committed_at) == ("Fix the thing", "longer body", 1, 20)
     assert [tuple(p) for p in a.paths] == [("src/a.rs", "modified", None), ("new.rs", "renamed", "old.rs"), ("b.py", "added", None)]
-    drops = {r.sha: r.drop for r in readers.kept_commits(readers.git_log(spark, f"{tmp_path}/log"), 50, 10, 3).collect()}
+    drops = {r.sha: r.drop for r in readers.kept_commits(readers.git_log(spark, f"{tmp_path}/log"), 50, 10, 9, 3).collect()}
     assert drops == {"sha1": None, "sha2": "merge"}
 
 
+def test_rules_of_a_walk(spark):
+    day, now = 86400, 100 * 86400
+    entry = lambda *names: [{"path": n} for n in names]
+    rows = [
+        ("nine", now - 1, 1, "123456789", "", entry("src/a")), ("ten", now - 2, 1, "12345", "12345", entry("src/a")), ("bytes", now - 3, 1, "ééééé", "", entry("src/a")),
+        ("bare", now - 4, 1, "no path at all", "", []), ("null", now - 5, 1, "null paths here", None, None), ("part", now - 6, 1, "some in scope", "", entry("docs/x", "src/a", "docs/y")), ("out", now - 7, 1, "none in scope", "", entry("docs/x")),
+        ("merge", now - 8, 2, " Merge branch 'x' into y", " \n", []), ("prose", now - 9, 2, "Merge the two parsers", "", []), ("squash", now - 10, 2, "Merge pull request 5", "why", []), ("single", now - 11, 1, "Merge tag v1.0", "", []),
+        ("edge", now - 10 * day, 1, "ten days to the second", "", []), ("old", now - 10 * day - 5, 1, "ten days and five seconds", "", []), ("long", now - 12, 1, "subject", "é" * 40_000, []),
+    ]
+    c = spark.createDataFrame(rows, "sha string, committed_at long, parent_count int, subject string, body string, paths array<struct<path: string>>")
+    got = {r.sha: r for r in readers.kept_commits(c, now, 10, 100, 10, includes=["src/**"]).collect()}
+    assert {k: r.drop for k, r in got.items() if r.drop} == {"nine": "message", "out": "scope", "merge": "merge", "old": "age"}
+    assert [p.path for p in got["part"].paths] == ["src/a"] and got["bare"].paths == [] and got["null"].paths == [] and len(got["out"].paths) == 1
+    cut = got["long"]
+    assert cut.cut and len((cut.subject + cut.body).encode()) <= readers.MAX_MESSAGE_BYTES and cut.body.endswith(readers.CUT_MESSAGE) and sum(r.cut for r in got.values()) == 1
+    # the newest are counted before anything but age is dropped
+    few = readers.kept_commits(c, now, 10, 4, 10, includes=["src/**"])
+    assert {r.sha for r in few.where("drop is null").collect()} == {"ten", "bytes", "bare"}
+    assert {r.drop: r.n for r in readers.drop_counts(few).collect()} == {None: 3, "message": 1, "count": 9, "age": 1}
+    assert {r.drop for r in readers.kept_commits(c, now, None, 100, 0).collect()} == {None, "merge"}
+    assert {r.drop for r in readers.kept_commits(c, now, 10, 0, 0).collect()} == {"age", "count"}
+    assert readers.kept_commits(c.limit(0), now, 10, 5, 0).count() == 0
+    assert readers.deletion_window(now, 10) == now - 11 * day and readers.deletion_window(now, None) is None
+
+
 def test_rst_and_diff(spark):
     t = "Title\n=====\nintro\n\nPart\n----\nbody a\nbody b\n\nNext\n====\n"
     got = readers.rst_sections(spark.createDataFrame([(1, t)], "doc_id long, text string")).orderBy("n").collect()
     assert [(r.level, r.title, r.body) for r in got] == [(0, "Title", "intro"), (1, "Part", "body a\nbody b"), (0, "Next", "")]
-    t = "A\n===\n.. currentmodule:: m.a\n\nB\n---\nx\n\nC\n---\n.. py:module:: m.c\nD\n===\ny\n"
+    t = "A\n===\n.. currentmodule:: m.a\n\nB\n---\nx\n\nC\n---\n.. module:: m.c \nD\n===\ny\n.. py:module:: m.d\n"
     got = readers.rst_sections(spark.createDataFrame([(1, t), (2, "E\n==\n"), (3, "Lone\n====\n")], "doc_id long, text string")).orderBy("doc_id", "n").collect()
-    assert [(r.title, r.context) for r in got] == [("A", "m.a"), ("B", "m.a"), ("C", "m.c"), ("D", "m.c"), ("Lone", None)]
+    assert [(r.title, r.context) for r in got] == [("A", "m.a"), ("B", "m.a"), ("C", "m.c"), ("D", "m.c"), ("E", None), ("Lone", None)]
+    # two characters are enough, < and > too; an indented title is none, nor is an underline; other line ends count
+    t = "AB\r\n==\r\nx\r\n  no\n====\nC\n>>>\n<<<\nlonger\n<<\n\tTab\n<<<<<\n"
+    got = readers.rst_sections(spark.createDataFrame([(1, t)], "doc_id long, text string")).orderBy("n").collect()
+    assert [(r.title, r.level, r.body) for r in got] == [("AB", 0, "x\n  no\n===="), ("C", 1, "<<<\nlonger\n<<"), ("Tab", 2, "")]
     p = "--- a/x.py\n+++ b/x.py\n@@\n--- /dev/null\n+++ b/new.py\n"
     assert {(r.path, r.existed) for r in readers.diff_paths(spark.createDataFrame([(1, p)], "id long, patch string")).collect()} == {("x.py", True), ("new.py", False)}
 

@@ -120,10 +120,19 @@ def test_references_resolve(spark):
 
 
 def test_prose_without_pointers(spark):
-    body = "See :class:`~p.a.A` and :func:`go() <p.b.go>`, ``code`` or *this*.\n\n.. class:: p.a.A(x)\n\n   hidden\n   too\n\n.. _label:\n\nExample::\n\n    hidden = 1\n\nback\n>>> hidden\nend"
-    assert corpus.stripped_prose(body) == "See A and go, code or this. Example back end"
+    body = "See :class:`~p.a.A` and :func:`p.b.go (x)`, :ref:`text <x>`, ``code`` or *this*.\n\n.. class:: p.a.A(x)\n\n   hidden\n   too\n\n.. _label:\n\nExample::\n\n    hidden = 1\n\nback\n>>> hidden::\n  shown\n... hidden\n  .. staticmethod:: p.b.B.make\n\tno deeper\n    hidden\nend `link`_"
+    assert corpus.stripped_prose(body) == "See A and go, text <x>, code or this. Example back >>> hidden no deeper hidden end link"
     got = spark.createDataFrame([(body,)], "b string").select(corpus.code_refs(F.col("b"))).first()[0]
-    assert got == ["p.a.A", "p.a.A", "p.b.go"]
+    assert got == ["p.a.A", "p.b.B.make", "p.a.A", "p.b.go"]
+    began = __import__("time").time()
+    assert corpus.stripped_prose(".. x::\n" + "   hidden\n\n" * 100_000 + "seen") == "seen" and __import__("time").time() - began < 20
+    assert corpus.stripped_prose(" " * 300_000 + "a") == "a"
+
+
+def test_tests_define_no_names(spark):
+    files = [("pkg/core.py", "class E: pass\n"), ("pkg/tests/core.py", "class E: pass\n"), ("pkg/test_core.py", "class E: pass\n"), ("pkg/core_test.py", "class E: pass\n"), ("pkg/test/client.py", "class C: pass\n")]
+    modules, names = corpus.python_index(spark.createDataFrame(files, "path string, text string"))
+    assert {r.path for r in modules.collect()} == {"pkg/core.py", "pkg/test/client.py"} and {r.name for r in names.collect()} == {"E", "C"}
 
 
 def test_unknown_names_and_lost_queries_are_errors(spark):
