@@ -127,7 +127,7 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PACKED = "CASE WHEN i % 3 = 0 THEN (i // 3) % 6 + 1 ELSE 0 END"
 
 
-@query("markdown_chunks", rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^a-z \n]', '', 'g'), chr(10)), lambda x: trim(x) <> '') AS l FROM documents WHERE doc_id % 4 = 1),
+@query("markdown_chunks", rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^a-z \n]', '', 'g'), chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
 e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d), z AS (SELECT doc_id, i, len(regexp_extract_all(x, '[a-z]+')) + {_PACKED} AS t, {_PACKED} AS v FROM e),
 p AS (SELECT doc_id, len(list(t)) AS n, list_prepend(0, list(s ORDER BY i)) AS s, list_prepend(0, list(h ORDER BY i)) AS h, list_prepend(0, list(g ORDER BY i)) AS g
   FROM (SELECT *, sum(t) OVER w AS s, sum((v BETWEEN 1 AND 2)::INT) OVER w AS h, sum((v > 2)::INT) OVER w AS g FROM z WINDOW w AS (PARTITION BY doc_id ORDER BY i)) GROUP BY doc_id),
@@ -138,7 +138,7 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of each document's packing: that of an optimum, whichever of several it is."""
     own = F.filter(F.split(F.regexp_replace("text", r"[^a-z \n]", ""), "\n"), lambda x: F.trim(x) != "")
     lines = F.transform(own, lambda x, i: F.concat(F.when(i % 3 == 0, F.concat(F.substring(F.lit("######"), F.lit(1), (F.floor(i / 3) % 6 + 1).cast("int")), F.lit(" "))).otherwise(""), F.trim(x)))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 4 = 1").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
     b = S.markdown_blocks(docs).select("doc_id", F.col("start_line"), "level")
     c = S.slice_markdown(docs, cap=200)
     whole = c.select("doc_id", F.col("start_line").alias("a"), F.col("end_line").alias("z"), "tokens")
@@ -168,11 +168,11 @@ def select_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.select_corpora(c, max_tier=2).unionByName(C.select_corpora(c, names).withColumn("name", F.concat("name", F.lit("!"))))
 
 
-@query("candidate_texts", f"""WITH {CHUNKS_SQL}, c AS (SELECT path, start_line, end_line + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS end_line FROM chunks WHERE n < 2), k AS (SELECT DISTINCT path, start_line, end_line, length(code) AS n FROM chunks)
+@query("candidate_texts", f"""WITH {CHUNKS_SQL}, c AS (SELECT path, start_line, end_line + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS end_line FROM chunks), k AS (SELECT DISTINCT path, start_line, end_line, length(code) AS n FROM chunks)
 SELECT c.path, c.start_line, c.end_line, n AS size, n IS NOT NULL AS found FROM c LEFT JOIN k USING (path, start_line, end_line)""")
 def candidate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    asked = c.where("n < 2").select("path", "start_line", (F.col("end_line") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("end_line"))
+    asked = c.select("path", "start_line", (F.col("end_line") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("end_line"))
     return C.with_texts(asked, c).select("path", "start_line", "end_line", F.length("code").alias("size"), "found")
 
 

@@ -10,11 +10,12 @@ from ..operators import slicing as S
 from ..registry import query, table
 
 
-@query("doc_slices", "SELECT doc_id, strlen(text) AS bytes, length(text) AS chars, true AS within FROM documents")
+@query("doc_slices", "SELECT doc_id, strlen(text) AS bytes, length(text) AS chars, true AS within, sha256(text) AS sha256 FROM documents WHERE text <> ''")
 def doc_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows cover every character once and keep the token bound."""
-    s = D.slice_files(table(spark, sf_dir, "documents"))
-    return s.groupBy("doc_id").agg(F.sum(F.octet_length("code")).alias("bytes"), F.sum(F.length("code")).alias("chars"), (F.max("tokens") <= D.MAX_TOKENS).alias("within"))
+    """Windows in their order are the text, and keep the token bound."""
+    s = D.slice_files(table(spark, sf_dir, "documents")).withColumn("at", F.monotonically_increasing_id())  # a file's windows come in order
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]), "")
+    return s.groupBy("doc_id").agg(F.sum(F.octet_length("code")).alias("bytes"), F.sum(F.length("code")).alias("chars"), (F.max("tokens") <= D.MAX_TOKENS).alias("within"), F.sha2(text, 256).alias("sha256"))
 
 
 @query("doc_windows")
@@ -22,13 +23,14 @@ def doc_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.slice_files(table(spark, sf_dir, "documents")).select("doc_id", "start_line", "end_line", "tokens", F.sha2("code", 256).alias("sha256"))
 
 
-@query("line_windows", r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[^a-z \n]', '', 'g'), chr(10)), lambda x: left(trim(x), 300)), lambda x: x <> '') AS l FROM documents),
+@query("line_windows", r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[^a-z \n]', '', 'g'), '((?:[a-z]+ +){40})', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
 e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d), c AS (SELECT doc_id, i, sum(len(regexp_extract_all(x, '[a-z]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM e),
 w AS (SELECT doc_id, 1 AS a, max(i) AS b, 0::HUGEINT AS s FROM c WHERE s <= 512 GROUP BY doc_id UNION ALL SELECT w.doc_id, w.b + 1, max(c.i), any_value(p.s) FROM w JOIN c p ON p.doc_id = w.doc_id AND p.i = w.b JOIN c ON c.doc_id = w.doc_id AND c.i > w.b AND c.s <= p.s + 512 GROUP BY w.doc_id, w.b)
 SELECT w.doc_id, a::INT AS start_line, b::INT AS end_line, (c.s - w.s)::INT AS tokens FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.b""")
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows over lines of plain words, none blank and none above the bound: as many whole lines as fit."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace("text", r"[^a-z \n]", ""), "\n"), lambda x: F.left(F.trim(x), F.lit(300))), lambda x: x != "")
+    words = F.regexp_replace(F.regexp_replace("text", r"[^a-z \n]", ""), "((?:[a-z]+ +){40})", "$1\n")
+    lines = F.filter(F.transform(F.split(words, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return D.slice_files(table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))).drop("code")
 
 
@@ -56,11 +58,13 @@ def doc_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.symbols(d.select("doc_id", F.array_join(F.array_append(lines, F.lit("1 not Python")), "\n").alias("text")), "python").select("doc_id", "name", "kind", "start_line")
 
 
-@query("hash_embeddings", "SELECT doc_id, 64 AS dim, true AS unit FROM documents")
+@query("hash_embeddings", "SELECT doc_id, 64 AS dim, true AS unit, count(*) OVER (PARTITION BY text) AS alike FROM documents")
 def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "documents").select("doc_id", D.embed(F.col("text")).alias("v"))
+    """Unit vectors that are equal where the texts are, and only there."""
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return v.select("doc_id", F.size("v").alias("dim"), (F.abs(length - 1) < 1e-5).alias("unit"))
+    v = table(spark, sf_dir, "documents").select("doc_id", D.embed(F.col("text")).alias("v"))
+    v = v.select("doc_id", F.size("v").alias("dim"), (F.abs(length - 1) < 1e-5).alias("unit"), F.sha2(F.to_json("v"), 256).alias("h"))
+    return v.join(v.groupBy("h").agg(F.count(F.lit(1)).alias("alike")), "h").drop("h")
 
 
 @query("page_sections", r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[^>]*>', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM s GROUP BY ALL""")

@@ -89,9 +89,9 @@ def histogram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.histogram(table(spark, sf_dir, "events"), "value", 0.5, 2.0, 12)
 
 
-@query("prune_orphans", f"WITH {FILES_SQL}, {CHUNKS_SQL} SELECT project_guid, path FROM files f WHERE status = 'deleted' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.path = f.path AND c.project_guid = f.project_guid AND c.status = 'active' AND c.n < 2)")
+@query("prune_orphans", f"WITH {FILES_SQL}, {CHUNKS_SQL} SELECT project_guid, path FROM files f WHERE status = 'deleted' AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.path = f.path AND c.project_guid = f.project_guid AND c.status = 'active')")
 def prune_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.prune_files(files(spark, sf_dir), chunks(spark, sf_dir).where("status = 'active' and n < 2")).select("project_guid", "path")
+    return L.prune_files(files(spark, sf_dir), chunks(spark, sf_dir).where("status = 'active'")).select("project_guid", "path")
 
 
 @query("gc_phases", f"""WITH {FILES_SQL}, {CHUNKS_SQL}, {_UPD}, gone AS (SELECT path, n FROM chunks WHERE status = 'deleted' AND n % 2 = 0), kept AS (SELECT path FROM chunks ANTI JOIN gone USING (path, n) WHERE n < 2)
@@ -131,10 +131,10 @@ def pin_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.pin(o.withColumn("expires_at", F.col("created_at") + 86400), F.col("o_orderstatus") == "P", True, 86400).select("id", "expires_at")
 
 
-@query("health_fold", "SELECT c_nationkey AS node, CASE max(CASE WHEN c_acctbal > 0 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'ok' END AS verdict FROM customer WHERE c_custkey % 40 < 3 GROUP BY 1")
+@query("health_fold", "SELECT c_custkey // 3 AS node, CASE max(CASE WHEN c_acctbal > 0 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END) WHEN 2 THEN 'unhealthy' WHEN 1 THEN 'degraded' ELSE 'ok' END AS verdict FROM customer GROUP BY 1")
 def health_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 40 < 3")
-    return L.health(c.select(F.col("c_nationkey").alias("node"), (F.col("c_acctbal") > 0).alias("ok"), (F.col("c_mktsegment") == "BUILDING").alias("required")), "node")
+    c = table(spark, sf_dir, "customer")
+    return L.health(c.select(F.expr("c_custkey div 3").alias("node"), (F.col("c_acctbal") > 0).alias("ok"), (F.col("c_mktsegment") == "BUILDING").alias("required")), "node")
 
 
 @query("freshness_probe", f"WITH {FILES_SQL}, a AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE sha256 END AS sha FROM files WHERE doc_id % 3 = 0) SELECT a.path, CASE WHEN f.path IS NULL THEN 'removed' WHEN status = 'indexing' THEN 'in_flight' WHEN f.sha256 <> a.sha THEN 'changed' ELSE 'fresh' END AS state FROM a LEFT JOIN files f ON f.path = a.path AND f.status <> 'deleted'")

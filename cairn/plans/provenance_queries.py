@@ -149,11 +149,11 @@ def offline_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.verification(n.withColumn("verified", F.col("verified") + (F.col("run") % 7 == 0).cast("int")), n.where("run % 5 <> 0"))
 
 
-@query("citation_excerpts", f"""WITH {CHUNKS_SQL}, v AS (SELECT DISTINCT doc_id % 50 AS run, path, 2 AS s, 8 AS e FROM chunks WHERE doc_id % 3 = 0), h AS (SELECT DISTINCT run, c.path, start_line, strlen(code) AS bytes FROM v JOIN chunks c ON c.path = v.path AND start_line <= e AND end_line >= s WHERE status = 'active'),
+@query("citation_excerpts", f"""WITH {CHUNKS_SQL}, v AS (SELECT DISTINCT doc_id % 50 AS run, path, 2 AS s, 8 AS e FROM chunks), h AS (SELECT DISTINCT run, c.path, start_line, strlen(code) AS bytes FROM v JOIN chunks c ON c.path = v.path AND start_line <= e AND end_line >= s WHERE status = 'active'),
 t AS (SELECT *, sum(bytes) OVER (PARTITION BY run ORDER BY path, start_line) AS t FROM h) SELECT run, path, start_line, bytes FROM t WHERE t <= 8000""")
 def citation_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
-    v = c.where("doc_id % 3 = 0").select((F.col("doc_id") % 50).alias("run"), "path", F.lit(2).alias("start"), F.lit(8).alias("end")).distinct()
+    v = c.select((F.col("doc_id") % 50).alias("run"), "path", F.lit(2).alias("start"), F.lit(8).alias("end")).distinct()
     return P.excerpts(v, c, 8000)
 
 

@@ -80,12 +80,12 @@ def commit_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_counts(walked(spark, sf_dir))
 
 
-@query("file_history", f"""WITH {_COMMITS}, t AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem), h AS (SELECT path, sha, committed_at, count(*) OVER (PARTITION BY path) AS total, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, sha DESC) AS rank FROM t JOIN commits USING (sha) WHERE path % 7 = 0)
+@query("file_history", f"""WITH {_COMMITS}, t AS (SELECT DISTINCT l_orderkey AS sha, l_partkey AS path FROM lineitem), h AS (SELECT path, sha, committed_at, count(*) OVER (PARTITION BY path) AS total, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, sha DESC) AS rank FROM t JOIN commits USING (sha))
 SELECT path, sha, committed_at, total, left(sha::VARCHAR, 8) AS short_sha, path % 2 = 0 AS path_indexed FROM h WHERE rank <= 10""")
 def file_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     touched = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.col("l_partkey").alias("path")).distinct()
     paths = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"))
-    return R.file_history(commits(spark, sf_dir).drop("project_guid"), touched.where("path % 7 = 0"), paths.where("path % 2 = 0"), touched.select("path").distinct(), 10)
+    return R.file_history(commits(spark, sf_dir).drop("project_guid"), touched, paths.where("path % 2 = 0"), touched.select("path").distinct(), 10)
 
 
 @query("index_equivalence", f"""WITH {CHUNKS_SQL}, a AS (SELECT path, list((start_line, end_line) ORDER BY start_line, end_line) AS s FROM chunks WHERE doc_id % 10 <> 0 GROUP BY path),

@@ -136,9 +136,14 @@ def rerank_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rerank(bm25_topk(spark, sf_dir).join(d, "doc_id"), 20, -F.col("n")).select("q", "doc_id", "rank", "new_rank")
 
 
-@query("weight_grid", "WITH s AS (SELECT unnest(range(5)) AS a), t AS (SELECT unnest(range(5)) AS b) SELECT a / 4 AS w1, b / 4 AS w2, (4 - a - b) / 4 AS w3 FROM s, t WHERE a + b <= 4")
+@query("weight_grid", """WITH s AS (SELECT unnest(range(5)) AS a), t AS (SELECT unnest(range(5)) AS b), w AS (SELECT a / 4 AS w1, b / 4 AS w2, (4 - a - b) / 4 AS w3 FROM s, t WHERE a + b <= 4)
+SELECT l_returnflag, w1, w2, w3, round(avg(w1 * l_quantity / 50 + w2 * l_discount + w3 * l_tax), 6) AS score FROM lineitem, w GROUP BY ALL""")
 def weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(R.weight_grid(3, 0.25), "w1 double, w2 double, w3 double")
+    """The mean fused score of each group of rows under every weighting of three scores."""
+    legs = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.avg(F.col("l_quantity") / 50).alias("a"), F.avg("l_discount").alias("b"), F.avg("l_tax").alias("c"))
+    grid = F.array(*[F.struct(*[F.lit(x).alias(f"w{i}") for i, x in enumerate(w, 1)]) for w in R.weight_grid(3, 0.25)])
+    each = legs.select("*", F.explode(grid).alias("w")).select("*", "w.*")
+    return each.select("l_returnflag", "w1", "w2", "w3", F.round(F.col("w1") * F.col("a") + F.col("w2") * F.col("b") + F.col("w3") * F.col("c"), 6).alias("score"))
 
 
 _SYMBOLS_SQL = "symbols AS (SELECT concat('p/', p_size % 5, '/', p_brand, '.rs') AS path, split_part(p_name, ' ', 1) AS name, p_type AS kind, p_partkey AS start_line FROM part)"
