@@ -106,8 +106,8 @@ def verdict_cap(verdict: Column, verified: Column, unverified: Column) -> Column
 def keyset_page(rows: DataFrame, limit: int, before: int | None = None, key: str = "seq") -> DataFrame:
     """The page of rows below ``before``, newest first, with the cursor of the next one (null on a short page)."""
     page = (rows.where(F.col(key) < before) if before is not None else rows).orderBy(F.desc(key)).limit(limit)
-    cursor = page.agg(F.when(F.count(F.lit(1)) == limit, F.min(key)).alias("next_before"))  # one row
-    return page.join(F.broadcast(cursor))
+    cursor = page.agg(F.when(F.count(F.lit(1)) == limit, F.min(key)).alias("c")).first().c
+    return page.withColumn("next_before", F.lit(cursor).cast(rows.schema[key].dataType))
 
 
 def corpus_totals(state: DataFrame) -> DataFrame:

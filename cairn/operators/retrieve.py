@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +127,8 @@ def fit_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int
     Only the fit sees a sample; every vector is indexed. The centres are what is kept on the driver: cells x dimension.
     """
     n = vectors.count()
+    if not n:
+        return np.empty((0, 0))
     drawn = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / max(n, 1)))
     x = np.array([r.embedding for r in drawn.orderBy("vec_id").select("embedding").collect()], np.float64)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -153,6 +156,8 @@ def in_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def choose_probes(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, top_k: int, least: float = 0.9) -> int:
     """The fewest cells to probe so that the exact answers of a stated set of queries (q, embedding) are found to a share ``least``."""
+    if not len(centres):
+        return 0
     best = dense_search_batch(indexed, queries, top_k).join(indexed.select("vec_id", "cell"), "vec_id").select("q", "cell").collect()  # top_k rows a query
     place = {r.q: np.argsort(np.argsort(-(centres @ np.asarray(r.embedding, np.float64)), kind="stable")) for r in queries.collect()}
     needed = np.sort([place[r.q][r.cell] + 1 for r in best])
@@ -162,7 +167,7 @@ def choose_probes(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, t
 def approximate_search(indexed: DataFrame, centres: np.ndarray, query: Sequence[float], top_k: int, probes: int, digits: int = 6) -> DataFrame:
     """The ``top_k`` of the ``probes`` cells nearest to a query, by exact cosine: vec_id, score."""
     q = np.asarray(query, np.float64)
-    nearest = np.argsort(-(centres @ q), kind="stable")[:probes]
+    nearest = np.argsort(-(centres @ q), kind="stable")[:probes] if len(centres) else []
     return dense_search(indexed.where(F.col("cell").isin([int(c) for c in nearest])), query, top_k, digits=digits)
 
 
@@ -172,86 +177,95 @@ def terms(text: Column) -> Column:
     return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(STOP))
 
 
-def postings(docs: DataFrame, asked: Sequence[str], substrings: bool) -> DataFrame:
-    """doc_id, dl, terms (places in ``asked``), tfs: what of the asked terms each document has; every document has a row.
+def postings(docs: DataFrame, asked: Sequence[str], words: bool, substrings: bool) -> DataFrame:
+    """What of the asked terms each document has, in one reading of its text; every document has a row.
 
-    Words: dl counts the document's terms. Substrings, as an index of trigrams finds them: a term counts wherever its
-    characters stand, also within words and over itself, and dl counts the document's trigrams.
+    words: wdl counts the document's terms, whits are the asked ones, with repeats. substrings, as an index of trigrams
+    finds them: a term counts wherever its characters stand, also within words and over itself; tdl counts the
+    document's trigrams, thits are places in ``asked``, with repeats.
     """
-    stop, place = frozenset(STOP), {t: i for i, t in enumerate(asked)}
+    rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    if words:
+        rows = rows.withColumn("_t", terms(F.col("text"))).select("doc_id", "text", F.size("_t").alias("wdl"), F.filter("_t", lambda t: t.isin(list(asked))).alias("whits"))
+    if not substrings:
+        return rows.drop("text")
+
+    names = [*rows.drop("text").columns, "tdl", "thits"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(TERM)
         finder = ahocorasick.Automaton()
-        if substrings and place:
-            for t, i in place.items():
-                finder.add_word(t, i)
+        for i, t in enumerate(asked):
+            finder.add_word(t, i)
+        if asked:
             finder.make_automaton()
         for b in batches:
-            dl, found = [], []
-            for text in b.column(1).to_pylist():
-                text, tf = (text or "").lower(), {}
-                if substrings:
-                    dl.append(max(len(text) - 2, 0))
-                    hits = [i for _, i in finder.iter(text)] if place else []
-                else:
-                    own = [w for w in word.findall(text) if len(w) > 2 and w not in stop]
-                    dl.append(len(own))
-                    hits = [place[w] for w in own if w in place]
-                for i in hits:
-                    tf[i] = tf.get(i, 0) + 1
-                found.append(tf)
-            yield pa.record_batch([b.column(0), pa.array(dl, pa.int32()), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "dl", "terms", "tfs"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, dl int, terms array<int>, tfs array<int>")
+            texts = b.column(1).to_pylist()
+            hits = [[i for _, i in finder.iter(t)] if asked else [] for t in texts]
+            rest = [b.column(k) for k in range(2, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *rest, pa.array([max(len(t) - 2, 0) for t in texts], pa.int32()), pa.array(hits, pa.list_(pa.int32()))], names)
 
+    own = "wdl int, whits array<string>, " if words else ""
+    return rows.mapInArrow(read, f"doc_id long, {own}tdl int, thits array<int>")
 
-def bm25(docs: DataFrame, queries: DataFrame, top_k: int, k1: float = K1, b: float = B, digits: int = 6, substrings: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
-    """(q, doc_id, score, rank): Robertson BM25 of the queries' OR-ed distinct terms. docs: doc_id, text; queries: q, text.
 
-    Each document is read once for a block of queries and keeps only the terms that are asked; their document
-    frequencies are counted; then each task scores its documents and keeps its best ``top_k`` of each query.
-    ``substrings``: terms match anywhere, as in a trigram index.
+def bm25_legs(docs: DataFrame, queries: DataFrame, legs: Mapping[str, tuple[int, bool]], k1: float = K1, b: float = B, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """(leg, q, doc_id, score, rank): Robertson BM25 of the queries' OR-ed distinct terms, for several ways to match them.
+
+    docs: doc_id, text; queries: q, text; legs: by name its ``top_k`` and whether terms match anywhere, as in a trigram
+    index, or as whole words. Each document is read once for a block of queries and keeps only the terms that are asked,
+    for all legs; their document frequencies are counted; then each task scores its documents and keeps its best of
+    each query.
     """
-    parts = []
+    parts: dict[str, list[DataFrame]] = {leg: [] for leg in legs}
     for rows in query_blocks(queries.select("q", F.array_distinct(terms(F.col("text"))).alias("t")), block):
         ids, asked = np.array([r.q for r in rows], np.int64), sorted({t for r in rows for t in r.t})
         place = {t: i for i, t in enumerate(asked)}
-        posted = settle(postings(docs, asked, substrings))
-        size = posted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        df = np.zeros(len(asked))
-        for r in posted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # a row per asked term
-            df[r.t] = r.df
-        idf = np.log(1 + (size.n - df + 0.5) / (df + 0.5))
         of = [[] for _ in asked]  # the queries of each term
         for i, r in enumerate(rows):
             for t in r.t:
                 of[place[t]].append(i)
         many = np.array([len(x) for x in of], np.int64)
         first, who = np.r_[0, np.cumsum(many)[:-1]] if len(many) else many, np.array([i for x in of for i in x], np.int64)
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, idf=idf, many=many, first=first, who=who, avgdl=float(size.avgdl or 1)) -> Iterator[pa.RecordBatch]:
-            top = Best(len(ids), top_k)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, SCORED):
-                    part = batch.slice(lo, SCORED)
-                    doc, dl = np.asarray(part.column(0)), np.asarray(part.column(1)).astype(float)
-                    term, tf = np.asarray(part.column(2).flatten()), np.asarray(part.column(3).flatten()).astype(float)
-                    at = np.repeat(np.arange(len(doc)), np.asarray(part.column(2).value_lengths()))
-                    w = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl))
-                    n = many[term]  # a posting counts for every query that asks its term
-                    q = who[np.repeat(first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(n) else np.empty(0, np.int64)
-                    cell, inverse = np.unique(q * len(doc) + np.repeat(at, n), return_inverse=True)
-                    score = np.round(np.bincount(inverse, np.repeat(w, n), len(cell)), digits)
-                    cut = np.searchsorted(cell, np.arange(len(ids) + 1) * len(doc))
-                    for i in np.flatnonzero(cut[1:] > cut[:-1]):
-                        own = slice(cut[i], cut[i + 1])
-                        top.add(int(i), score[own], doc[cell[own] - i * len(doc)])
-            yield top.rows(ids, "doc_id")
-
-        parts.append(posted.mapInArrow(best, "q long, doc_id long, score double"))
+        anywhere = {a for _, a in legs.values()}
+        posted = settle(postings(docs, asked, False in anywhere, True in anywhere))
+        for leg, (top_k, substrings) in legs.items():
+            dl_col, hits = ("tdl", "thits") if substrings else ("wdl", "whits")
+            size = posted.agg(F.count(F.lit(1)).alias("n"), F.avg(dl_col).alias("avgdl")).first()
+            df = np.zeros(len(asked))
+            for r in posted.select(F.explode(F.array_distinct(hits)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # a row per asked term
+                df[r.t if substrings else place[r.t]] = r.df
+            idf = np.log(1 + (size.n - df + 0.5) / (df + 0.5))
+
+            def best(batches: Iterator[pa.RecordBatch], ids=ids, idf=idf, many=many, first=first, who=who, top_k=top_k, avgdl=float(size.avgdl or 1), asked=pa.array(asked, pa.string())) -> Iterator[pa.RecordBatch]:
+                top = Best(len(ids), top_k)
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, SCORED):
+                        part = batch.slice(lo, SCORED)
+                        doc, dl, flat = np.asarray(part.column(0)), np.asarray(part.column(1)).astype(float), part.column(2).flatten()
+                        held = np.asarray(flat if pa.types.is_integer(flat.type) else pc.index_in(flat, asked)).astype(np.int64)
+                        at = np.repeat(np.arange(len(doc)), np.asarray(part.column(2).value_lengths()))
+                        pair, tf = np.unique(at * max(len(asked), 1) + held, return_counts=True)
+                        at, term = pair // max(len(asked), 1), pair % max(len(asked), 1)
+                        w = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl))
+                        n = many[term]  # a posting counts for every query that asks its term
+                        q = who[np.repeat(first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(n) else np.empty(0, np.int64)
+                        cell, inverse = np.unique(q * len(doc) + np.repeat(at, n), return_inverse=True)
+                        score = np.round(np.bincount(inverse, np.repeat(w, n), len(cell)), digits)
+                        cut = np.searchsorted(cell, np.arange(len(ids) + 1) * len(doc))
+                        for i in np.flatnonzero(cut[1:] > cut[:-1]):
+                            own = slice(cut[i], cut[i + 1])
+                            top.add(int(i), score[own], doc[cell[own] - i * len(doc)])
+                yield top.rows(ids, "doc_id")
+
+            parts[leg].append(posted.select("doc_id", dl_col, hits).mapInArrow(best, "q long, doc_id long, score double"))
     empty = docs.select(F.col("doc_id").cast("long").alias("q"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
-    return ranked(parts, empty, top_k, "doc_id")
+    out = [ranked(parts[leg], empty, top_k, "doc_id").select(F.lit(leg).alias("leg"), "q", "doc_id", "score", "rank") for leg, (top_k, _) in legs.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, top_k: int, k1: float = K1, b: float = B, digits: int = 6, substrings: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """(q, doc_id, score, rank) of one leg: of whole words, or with ``substrings`` of terms that match anywhere."""
+    return bm25_legs(docs, queries, {"bm25": (top_k, substrings)}, k1, b, digits, block).drop("leg")
 
 
 def random_ranker(docs: DataFrame, queries: DataFrame, top_k: int, seed: str = "0", block: int = QUERY_BLOCK) -> DataFrame:
@@ -388,8 +402,8 @@ def lookup_symbols(symbols: DataFrame, name: str, anchor: str, limit: int) -> Da
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
     tier = F.when(F.col("path") == anchor, 0).when(folder(F.col("path")) == folder(F.lit(anchor)), 1).otherwise(2)
     found = symbols.where(F.col("name") == name).withColumn("tier", tier)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    return found.orderBy("tier", "path", "start_line").limit(limit).join(F.broadcast(total)).select("path", "start_line", "tier", "total")
+    total = found.count()
+    return found.orderBy("tier", "path", "start_line").limit(limit).select("path", "start_line", "tier", F.lit(total).cast("long").alias("total"))
 
 
 def nearest_container(spans: DataFrame, key: str = "path") -> DataFrame:

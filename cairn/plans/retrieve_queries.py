@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import neighbours as N
 from ..operators import retrieve as R
 from ..registry import query, table
 from .standins import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, chunks, files, queries
@@ -34,6 +35,15 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_search_batch(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding"), 10)
 
 
+@query("approximate_recall", """WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0) SELECT count(*) AS queries, CAST(count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)) AS BIGINT) AS wanted, true AS enough FROM q""")
+def approximate_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of exact answers that the neighbour graphs find, over queries that tuned nothing: nine tenths or more."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    found = N.recall(N.search(N.build(e), q, 10), R.dense_search_batch(e, q, 10))
+    return found.agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("enough"))
+
+
 _BM25_SQL = f"""
 {QUERIES_SQL}, a AS (SELECT DISTINCT q, unnest({_TERMS}) AS term FROM queries),
 c AS (SELECT doc_id, {_TERMS} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM c),
@@ -87,9 +97,7 @@ runs AS (SELECT 'bm25' AS leg, q, doc_id, score, rank FROM bm25 UNION ALL SELECT
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = bm25_topk(spark, sf_dir).select(F.lit("bm25").alias("leg"), "q", "doc_id", "score", "rank")
-    b = trigram_topk(spark, sf_dir).select(F.lit("trigram").alias("leg"), "q", "doc_id", "score", "rank")
-    return a.unionByName(b)
+    return R.bm25_legs(table(spark, sf_dir, "documents"), queries(spark, sf_dir), {"bm25": (100, False), "trigram": (20, True)})
 
 
 @query("fusion_rrf", f"""WITH {_LEGS_SQL}, f AS (SELECT q, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM runs GROUP BY q, doc_id)
