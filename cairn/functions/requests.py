@@ -45,6 +45,21 @@ def list_limit(value: Column, most: int) -> Column:
     return bounded(value, 1, most, "list_limit_out_of_range")
 
 
+def code(value: Column, most_bytes: int) -> Column:
+    return F.when(F.octet_length(F.coalesce(value, F.lit(""))) > most_bytes, "code_too_large")
+
+
+def file_shape(sha: Column, retry_count: Column) -> Column:
+    """What a stored file's row may not be: a hash that is no 64 hexadecimal characters, a negative counter."""
+    return first_of(sha256(sha), F.when(retry_count < 0, "retry_count_negative"))
+
+
+def chunk_shape(text: Column, start_line: Column, end_line: Column, start_column: Column, end_column: Column) -> Column:
+    """A stored chunk has code, and a span of no negative place that does not end before the line it starts in."""
+    empty = F.coalesce(F.length(text), F.lit(0)) == 0
+    return F.when(empty | (F.least(start_line, end_line, start_column, end_column) < 0) | (start_line > end_line), "span_invalid")
+
+
 def query(value: Column, most_bytes: int) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", "query_empty").when(F.octet_length(value) > most_bytes, "query_too_long")
 
@@ -120,10 +135,11 @@ def rejects(rows: DataFrame, key: str, check: Column) -> DataFrame:
     return rows.select(key, check.alias("reason")).where("reason is not null")
 
 
-def rejected_requests(entries_: DataFrame, request: str, check: Column, most: int) -> DataFrame:
-    """request, reason of requests of many entries (files of an index or drift body): too many, else the least complaint.
+def rejected_requests(entries_: DataFrame, request: str, check: Column, most: int, many: str = "too_many_files") -> DataFrame:
+    """request, reason of requests of many entries (files of an index or drift body, commits of a history): ``many`` where
+    there are more than ``most``, else the least complaint.
 
     Entries are counted and their complaints combined within tasks; no request is gathered.
     """
     by = entries_.select(request, check.alias("_why")).groupBy(request).agg(F.count(F.lit(1)).alias("_n"), F.min("_why").alias("_why"))
-    return by.select(request, F.when(F.col("_n") > most, "too_many_files").otherwise(F.col("_why")).alias("reason")).where("reason is not null")
+    return by.select(request, F.when(F.col("_n") > most, many).otherwise(F.col("_why")).alias("reason")).where("reason is not null")

@@ -143,25 +143,6 @@ def patient(model: Callable[[list[str]], np.ndarray], texts: list[str], tries: i
     raise ValueError("tries must be positive")
 
 
-class Metered:
-    """A model whose calls, texts, failures and milliseconds are counted over all tasks."""
-
-    def __init__(self, spark: SparkSession, model: Callable[[list[str]], np.ndarray]) -> None:
-        self.model = model
-        self.calls, self.texts, self.failures, self.millis = (spark.sparkContext.accumulator(0) for _ in range(4))
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        began = time.monotonic()
-        self.calls.add(1), self.texts.add(len(texts))
-        try:
-            return self.model(texts)
-        except Exception:
-            self.failures.add(1)
-            raise
-        finally:
-            self.millis.add(round((time.monotonic() - began) * 1000))
-
-
 def embed(text: Column, dim: int = 64, model: Callable[[list[str]], np.ndarray] | None = None, tries: int = 4, wait_s: float = 0.5, budget_s: float = 60.0) -> Column:
     """Vectors of texts, a batch at a time; every row of the model's answer must have ``dim`` numbers.
 

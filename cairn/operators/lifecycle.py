@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("just_uploaded", "indexing", "indexed", "failed", "cancelled", "deleted")
@@ -42,12 +42,29 @@ def status_pivot(files: DataFrame, key: str = "project_guid") -> DataFrame:
 
 
 def language_inventory(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per project and language: files, indexed files, active and deleted chunks; languages without chunks stay."""
+    """Per project and language: files, indexed files, active and deleted chunks; languages without chunks stay.
+
+    A chunk's language is its file's (project_guid, path); chunks of no file count nowhere.
+    """
     f = files.groupBy("project_guid", "programming_language").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("status") == "indexed").alias("indexed_files"))
-    c = chunks.groupBy("project_guid", "programming_language").agg(F.count_if(F.col("status") == "active").alias("chunks_active"), F.count_if(F.col("status") == "deleted").alias("chunks_deleted"))
+    # by file first: a file's chunks meet its row once
+    by = chunks.groupBy("project_guid", "path").agg(F.count_if(F.col("status") == "active").alias("_a"), F.count_if(F.col("status") == "deleted").alias("_d"))
+    by = files.select("project_guid", "path", "programming_language").join(by, ["project_guid", "path"])
+    c = by.groupBy("project_guid", "programming_language").agg(F.sum("_a").alias("chunks_active"), F.sum("_d").alias("chunks_deleted"))
     return f.join(c, ["project_guid", "programming_language"], "left").na.fill(0)
 
 
+def state_snapshot(files: DataFrame, chunks: DataFrame, max_retries: int = 3) -> DataFrame:
+    """Per project: the last indexing, files failed for good, files in indexing, languages and active chunks."""
+    on = F.col("status")
+    out = files.groupBy("project_guid").agg(
+        F.max(F.when(on == "indexed", F.col("status_updated_at"))).alias("last_indexed"), F.count_if((on == "failed") & (F.col("retry_count") >= max_retries)).alias("permanently_failed"),
+        F.count_if(on == "indexing").alias("indexing"), F.count_distinct("programming_language").alias("languages"),
+    )
+    active = chunks.where("status = 'active'").groupBy("project_guid").agg(F.count(F.lit(1)).alias("active_chunks"))
+    return out.join(active, "project_guid", "left").na.fill(0, ["active_chunks"])
+
+
 def observed_cost(runs: DataFrame, now: int, window_s: int, least_runs: int) -> DataFrame:
     """model, effort, runs, p50_s, p90_s: nearest-rank quantiles of elapsed_ms in the window, seconds rounded up."""
     recent = runs.where((F.col("kind") == "research") & (F.col("created_at") >= now - window_s))
@@ -150,6 +167,23 @@ def load_summary(requests: DataFrame) -> DataFrame:
     return out.withColumn("per_s", F.round(F.col("requests") / F.greatest("wall_s", F.lit(1)), 6))
 
 
+#: HTTP statuses whose errors are told apart.
+TOLD_STATUSES = (429, 499, 500, 503)
+
+
+def load_figures(requests: DataFrame) -> DataFrame:
+    """Per level: requests, files, bytes, chunks, wall_s, chunks_per_s, files_per_s, mb_per_s (2**20 bytes), errors by
+    status and the least number of free connections; requests: level, started, ended (ms), status, files, bytes, chunks,
+    pool. Rates are null where no time passed."""
+    n = lambda on: F.count_if(F.coalesce(on, F.lit(False)))
+    out = requests.groupBy("level").agg(
+        F.count(F.lit(1)).alias("requests"), *[F.sum(c).alias(c) for c in ("files", "bytes", "chunks")], F.round((F.max("ended") - F.min("started")) / 1000, 3).alias("wall_s"),
+        *[n(F.col("status") == s).alias(f"err_{s}") for s in TOLD_STATUSES], n((F.col("status") >= 400) & ~F.col("status").isin(*TOLD_STATUSES)).alias("err_other"), F.min("pool").alias("min_pool"),
+    )
+    rate = lambda c, digits: F.round(c / F.nullif(F.col("wall_s"), F.lit(0.0)), digits)
+    return out.withColumns({"chunks_per_s": rate(F.col("chunks"), 2), "files_per_s": rate(F.col("files"), 2), "mb_per_s": rate(F.col("bytes") / 1048576, 3)})
+
+
 def confirm_writes(files: DataFrame, done: DataFrame, model: str, now: int) -> DataFrame:
     """Files after terminal writes for ``done`` (project_guid, path), and applied: only files still in indexing end.
 
@@ -166,14 +200,21 @@ def confirm_writes(files: DataFrame, done: DataFrame, model: str, now: int) -> D
     return out.drop("_asked")
 
 
-def global_counts(files: DataFrame, log: DataFrame, runs: DataFrame) -> DataFrame:
-    """name, n: projects, status_log, runs, pinned_runs (no expiry) and stale_runs (stale) of the whole database."""
+def stored_bytes(spark: SparkSession, *paths: str) -> DataFrame:
+    """length of every stored file; no contents are read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("length")
+
+
+def global_counts(files: DataFrame, log: DataFrame, runs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """name, n: projects, status_log, runs, pinned_runs (no expiry) and stale_runs (stale) of the whole database, and with
+    ``stored`` (length of each file of it) its bytes."""
     named = lambda df, name, n: df.agg(n.alias("n")).select(F.lit(name).alias("name"), "n")
     each = [
         named(files, "projects", F.count_distinct("project_guid")), named(log, "status_log", F.count(F.lit(1))),
         runs.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("expires_at").isNull()).alias("pinned_runs"), F.count_if("stale").alias("stale_runs")).unpivot([], ["runs", "pinned_runs", "stale_runs"], "name", "n"),
     ]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    out = each[0].unionByName(each[1]).unionByName(each[2])
+    return out.unionByName(named(stored, "bytes", F.coalesce(F.sum("length"), F.lit(0)))) if stored is not None else out
 
 
 def runtime_status(files: DataFrame, claims: DataFrame) -> DataFrame:
@@ -243,6 +284,14 @@ def attribute_search(rows: DataFrame, needle: str, columns: list[str]) -> DataFr
     return rows.where(on)
 
 
+def query_manifest(queries: DataFrame, key: str) -> DataFrame:
+    """Of each set of queries (key, gold_files, overlap_bucket): instances, gold files, and instances by stratum as a map;
+    those without a bucket are unbucketed."""
+    by = queries.groupBy(key, F.coalesce("overlap_bucket", F.lit("unbucketed")).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(F.coalesce(F.array_size("gold_files"), F.lit(0))), F.lit(0)).alias("_g"))
+    strata = F.map_from_entries(F.array_sort(F.collect_list(F.struct("_s", "_n")))).alias("strata")  # an entry per stratum
+    return by.groupBy(key).agg(F.sum("_n").alias("instances"), F.sum("_g").alias("gold_files"), strata)
+
+
 def artifact_manifest(files: DataFrame, key: str) -> DataFrame:
     """instances, chars, contents and the first hash of each group of artifacts."""
     return files.groupBy(key).agg(F.count(F.lit(1)).alias("instances"), F.sum("n_chars").alias("chars"), F.count_distinct("sha256").alias("contents"), F.min("sha256").alias("first_sha"))

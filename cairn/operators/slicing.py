@@ -408,6 +408,15 @@ def python_definitions(text: str) -> list[tuple[str, str, int, int, str | None,
     return out
 
 
+def definition_rows(doc: int, text: str | None, language: str | None) -> Iterator[tuple]:
+    """The rows of DEFINITION for one file."""
+    text = text or ""
+    bounds = [0, *(m.end() for m in re.finditer("\n", text))]
+    for name, kind, start, end, *parent in python_definitions(text) if language == "python" else nesting.definitions(text, language) if language in nesting.SYNTAX else ():
+        a, b = bisect_right(bounds, start) - 1, bisect_right(bounds, max(end - 1, start)) - 1
+        yield (doc, name, kind, a + 1, b + 1, len(text[bounds[a] : start].encode()), len(text[bounds[b] : end].encode()), *parent)
+
+
 def definitions(files: DataFrame) -> DataFrame:
     """The definitions in files (doc_id, text, programming_language), with true ends and the innermost one around each.
 
@@ -418,13 +427,7 @@ def definitions(files: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for doc, text, language in zip(frame["doc_id"], frame["text"], frame["programming_language"]):
-                text = text or ""
-                bounds = [0, *(m.end() for m in re.finditer("\n", text))]
-                for name, kind, start, end, *parent in python_definitions(text) if language == "python" else nesting.definitions(text, language) if language in nesting.SYNTAX else ():
-                    a, b = bisect_right(bounds, start) - 1, bisect_right(bounds, max(end - 1, start)) - 1
-                    rows.append((doc, name, kind, a + 1, b + 1, len(text[bounds[a] : start].encode()), len(text[bounds[b] : end].encode()), *parent))
+            rows = [row for file in zip(frame["doc_id"], frame["text"], frame["programming_language"]) for row in definition_rows(*file)]
             yield pd.DataFrame(rows, columns=["doc_id", "name", "kind", "start_line", "end_line", "start_column", "end_column", "parent_name", "parent_kind"])
 
     return files.select("doc_id", "text", "programming_language").mapInPandas(read, DEFINITION)

@@ -72,6 +72,17 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.slice_code(braced_files(spark, sf_dir), least=40, most=240, fill_gaps=False).select("doc_id", "start_line", "end_line", "tokens")
 
 
+@query("code_chunks_in_sql", f"""WITH {_BODIES}, c AS (SELECT k, any_value(mt) AS mt, any_value(t) + sum(mt + 7 * n) AS t, 3 + sum(n + 2) AS last FROM n JOIN g ON i = k % 8 GROUP BY k)
+SELECT k AS doc_id, (CASE WHEN t + 5 <= 240 THEN 1 ELSE 2 END)::INT AS start_line, last::INT AS end_line, (t + CASE WHEN t + 5 <= 240 THEN 5 ELSE 0 END)::INT AS tokens FROM c WHERE t BETWEEN 40 AND 240
+UNION ALL SELECT k, pos::INT, (pos + n + 1)::INT, (mt + 7 * n)::INT FROM l JOIN c USING (k) WHERE t > 240 AND mt + 7 * n BETWEEN 40 AND 240""")
+def code_chunks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the table function."""
+    from ..operators.tables import register
+
+    register(spark)
+    return spark.sql("SELECT doc_id, start_line, end_line, tokens FROM slice_code(TABLE({files}) PARTITION BY doc_id, least => 40, most => 240, fill_gaps => false)", files=braced_files(spark, sf_dir))
+
+
 @query("symbol_parents", f"""WITH {_BODIES}, c AS (SELECT k, 3 + sum(n + 2) AS last FROM n GROUP BY k)
 SELECT k AS path, 'C' || k AS name, kind, 2::INT AS "start", last::INT AS "end", NULL::VARCHAR AS parent_name, NULL::VARCHAR AS parent_kind FROM c JOIN g ON i = k % 8
 UNION ALL SELECT k, 'm' || j, mkind, pos::INT, (pos + n + 1)::INT, 'C' || k, kind FROM l JOIN g ON i = k % 8""")

@@ -38,11 +38,21 @@ def language_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.language_inventory(files(spark, sf_dir), chunks(spark, sf_dir))
 
 
-@query("state_snapshot", f"""WITH {FILES_SQL} SELECT project_guid, max(status_updated_at) FILTER (status = 'indexed') AS last_indexed, count(*) FILTER (status = 'failed' AND retry_count >= 3) AS permanently_failed,
-count(*) FILTER (status = 'indexing') AS indexing, count(DISTINCT programming_language) AS languages FROM files GROUP BY project_guid""")
+@query("state_snapshot", f"""WITH {FILES_SQL}, {CHUNKS_SQL}, c AS (SELECT project_guid, count(*) AS active_chunks FROM chunks WHERE status = 'active' GROUP BY 1)
+SELECT project_guid, max(status_updated_at) FILTER (status = 'indexed') AS last_indexed, count(*) FILTER (status = 'failed' AND retry_count >= 3) AS permanently_failed,
+count(*) FILTER (status = 'indexing') AS indexing, count(DISTINCT programming_language) AS languages, any_value(coalesce(active_chunks, 0)) AS active_chunks FROM files LEFT JOIN c USING (project_guid) GROUP BY project_guid""")
 def state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, on = files(spark, sf_dir), F.col("status")
-    return f.groupBy("project_guid").agg(F.max(F.when(on == "indexed", F.col("status_updated_at"))).alias("last_indexed"), F.count_if((on == "failed") & (F.col("retry_count") >= 3)).alias("permanently_failed"), F.count_if(on == "indexing").alias("indexing"), F.count_distinct("programming_language").alias("languages"))
+    return L.state_snapshot(files(spark, sf_dir), chunks(spark, sf_dir))
+
+
+@query("load_figures", """WITH r AS (SELECT user_id % 4 AS level, floor(epoch(ts) * 1000)::BIGINT AS started, floor(epoch(ts) * 1000)::BIGINT + event_id % 700 AS ended, CASE event_type WHEN 'error' THEN [429, 499, 500, 503, 404, 418][1 + event_id % 6] ELSE 200 END AS status, event_id % 5 AS files, event_id * 37 % 100000 AS bytes, event_id % 11 AS chunks, event_id % 13 AS pool FROM events),
+g AS (SELECT level, count(*) AS requests, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, sum(chunks)::BIGINT AS chunks, round((max(ended) - min(started)) / 1000, 3) AS wall_s, """ + ", ".join(f"count(*) FILTER (status = {s}) AS err_{s}" for s in L.TOLD_STATUSES) + """, count(*) FILTER (status >= 400 AND status NOT IN (429, 499, 500, 503)) AS err_other, min(pool) AS min_pool FROM r GROUP BY level)
+SELECT *, round(chunks / wall_s, 2) AS chunks_per_s, round(files / wall_s, 2) AS files_per_s, round(bytes / 1048576 / wall_s, 3) AS mb_per_s FROM g""")
+def load_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, at = F.col("event_id"), F.floor(F.unix_micros("ts") / 1000)
+    status = F.when(F.col("event_type") == "error", F.element_at(F.array(*[F.lit(s) for s in (429, 499, 500, 503, 404, 418)]), (k % 6 + 1).cast("int"))).otherwise(200)
+    r = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return L.load_figures(r.select((F.col("user_id") % 4).alias("level"), at.alias("started"), (at + k % 700).alias("ended"), status.alias("status"), (k % 5).alias("files"), (k * 37 % 100000).alias("bytes"), (k % 11).alias("chunks"), (k % 13).alias("pool")))
 
 
 @query("active_projects", f"WITH {CHUNKS_SQL} SELECT DISTINCT project_guid FROM chunks WHERE status = 'active'")

@@ -67,6 +67,29 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few.unionByName(Q.rejected_requests(b.where("request % 3 <> 0"), "request", check, 10**9))
 
 
+@query("request_sizes", f"""WITH {FILES_SQL}, b AS (SELECT f.doc_id % 50 AS request, CASE WHEN strlen(text) > 40000 THEN 'code_too_large' END AS why FROM files f JOIN documents USING (doc_id)) SELECT request, CASE WHEN count(*) > 1000 THEN 'too_many_files' ELSE min(why) END AS reason FROM b GROUP BY request HAVING count(*) > 1000 OR min(why) IS NOT NULL
+UNION ALL SELECT 1000 + o_custkey, 'too_many_commits' FROM orders GROUP BY o_custkey HAVING count(*) > 12""")
+def request_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index bodies with a file of too much code, history bodies of too many commits."""
+    b = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("request"), "text")
+    c = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 1000).alias("request"), F.sha1(F.col("o_orderkey").cast("string").cast("binary")).alias("sha"))
+    return Q.rejected_requests(b, "request", Q.code(F.col("text"), 40000), 1000).unionByName(Q.rejected_requests(c, "request", Q.git_sha(F.col("sha")), 12, "too_many_commits"))
+
+
+@query("shape_faults", f"""WITH {FILES_SQL}, {CHUNKS_SQL}, f AS (SELECT path, CASE WHEN doc_id % 8 = 3 THEN left(sha256, 63) || 'g' WHEN doc_id % 8 = 5 THEN left(sha256, 60) ELSE sha256 END AS sha, CASE WHEN doc_id % 10 = 1 THEN -1 ELSE retry_count END AS retries FROM files),
+c AS (SELECT path, code, CASE WHEN n % 5 = 4 THEN -1 ELSE start_line END AS a, CASE WHEN n % 7 = 5 THEN 0 ELSE end_line END AS b FROM chunks)
+SELECT path, reason, count(*) AS n FROM (SELECT path, CASE WHEN NOT regexp_full_match(sha, '[0-9a-fA-F]{{64}}') THEN 'sha256_invalid' WHEN retries < 0 THEN 'retry_count_negative' END AS reason FROM f
+UNION ALL SELECT path, CASE WHEN code = '' OR a < 0 OR a > b THEN 'span_invalid' END FROM c) WHERE reason IS NOT NULL GROUP BY ALL""")
+def shape_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that no index may hold, whatever wrote them."""
+    f, d, n = files(spark, sf_dir), F.col("doc_id"), F.col("n")
+    sha = F.when(d % 8 == 3, F.concat(F.left("sha256", F.lit(63)), F.lit("g"))).when(d % 8 == 5, F.left("sha256", F.lit(60))).otherwise(F.col("sha256"))
+    of_files = Q.rejects(f, "path", Q.file_shape(sha, F.when(d % 10 == 1, -1).otherwise(F.col("retry_count"))))
+    start, end = F.when(n % 5 == 4, -1).otherwise(F.col("start_line")), F.when(n % 7 == 5, 0).otherwise(F.col("end_line"))
+    of_chunks = Q.rejects(chunks(spark, sf_dir), "path", Q.chunk_shape(F.col("code"), start, end, F.lit(0), F.lit(0)))
+    return of_files.unionByName(of_chunks).groupBy("path", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("request_commits", """WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'xyz' WHEN o_orderkey % 2 = 0 THEN sha256(o_orderkey::VARCHAR) ELSE left(sha256(o_orderkey::VARCHAR), 40) END AS sha,
   CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE o_orderpriority END AS subject, CASE o_orderkey % 4 WHEN 0 THEN 'modified' WHEN 1 THEN 'renamed' WHEN 2 THEN 'copied' ELSE 'deleted' END AS change, CASE WHEN o_orderkey % 3 = 0 THEN 'a/b' WHEN o_orderkey % 13 = 0 THEN '../x' END AS old FROM orders)
 SELECT * FROM (SELECT id, CASE WHEN NOT regexp_full_match(sha, '[0-9a-fA-F]{40}|[0-9a-fA-F]{64}') THEN 'commit_invalid' WHEN trim(subject) = '' THEN 'subject_empty' WHEN strlen(subject) > 10 THEN 'message_too_large'

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import events as E
 from ..functions import globs as G
 from ..functions import text as T
 from ..operators import lifecycle as L
@@ -128,6 +129,15 @@ def eta_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.eta(F.col("event_id") * 7 % 9000).alias("eta"))
 
 
+@query("query_manifest", """WITH q AS (SELECT o_orderpriority AS name, o_orderkey % 4 AS g, CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 < 3 THEN 'obvious' ELSE 'mixed' END AS bucket FROM orders),
+s AS (SELECT name, coalesce(bucket, 'unbucketed') AS bucket, count(*) AS n, sum(g) AS g FROM q GROUP BY ALL) SELECT name, sum(n)::BIGINT AS instances, sum(g)::BIGINT AS gold_files, string_agg(bucket || '=' || n, ',' ORDER BY bucket) AS strata FROM s GROUP BY name""")
+def query_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_custkey") % 5
+    gold = F.filter(F.array(F.lit("a"), F.lit("b"), F.lit("c")), lambda x, i: i < F.col("o_orderkey") % 4)
+    m = L.query_manifest(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), gold.alias("gold_files"), F.when(k == 0, None).when(k < 3, "obvious").otherwise("mixed").alias("overlap_bucket")), "name")
+    return m.withColumn("strata", F.array_join(F.transform(F.map_entries("strata"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
 @query("artifact_manifest", f"WITH {FILES_SQL} SELECT programming_language, count(*) AS instances, sum(n_chars)::BIGINT AS chars, count(DISTINCT sha256) AS contents, min(sha256) AS first_sha FROM files GROUP BY 1")
 def artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.artifact_manifest(files(spark, sf_dir), "programming_language")
@@ -176,3 +186,46 @@ def attribute_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("round_up_steps", "SELECT p_partkey, ceil(p_retailprice / 0.5 - 1e-12) * 0.5::DOUBLE AS price FROM part")
 def round_up_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.round_up(F.col("p_retailprice"), 0.5).alias("price"))
+
+
+#: An event's payload by its number; every 13th is cut off, every 17th has a text for a number or a number for a text.
+_PAYLOADS = {
+    "started": """'{"files": ' || CASE WHEN odd THEN '"7"' ELSE id::VARCHAR END || ', "symbols_only": true, "vectors_only": false}'""",
+    "prepared": """'{"path": "p' || id || '", "language": "rust", "chunks": ' || CASE WHEN odd THEN '"x"' ELSE (id % 9)::VARCHAR END || ', "symbols": 2}'""",
+    "skipped": """'{"path": "p' || id || '", "language": "go", "reason": ' || CASE WHEN odd THEN '5' ELSE '"unchanged"' END || '}'""",
+    "embedded": """'{"batch_chunks": 8, "chunks_done": ' || id || ', "chunks_total": ' || CASE WHEN odd THEN 'null' ELSE '900' END || ', "elapsed_ms": 12}'""",
+    "indexed": """'{"path": "p' || id || '", "language": "c", "count": ' || CASE WHEN odd THEN '1.5' ELSE (id % 7)::VARCHAR END || '}'""",
+    "done": """'{"files": {"rust": {"a": ' || id || '}}, "files_indexed": 3, "chunks": ' || CASE WHEN odd THEN 'true' ELSE '4' END || ', "elapsed_ms": 5}'""",
+    "error": """'{"code": ' || CASE WHEN odd THEN '{}' ELSE '"busy"' END || ', "detail": "d' || id || '"}'""",
+}
+_TYPES = list(E.FIELDS)
+_RAW_SQL = "raw AS (SELECT event_id AS id, event_id % 7 AS t, event_id % 17 = 0 AS odd, event_id % 13 = 0 AS cut FROM events)"
+_ODD = {"started": "files is no bigint", "prepared": "chunks is no bigint", "skipped": "reason is no string", "embedded": "chunks_total is missing", "indexed": "count is no bigint", "done": "chunks is no bigint", "error": "code is no string"}
+_VALUES = {
+    "started": "id AS files, true AS symbols_only, false AS vectors_only", "prepared": "'p' || id AS path, 'rust' AS language, id % 9 AS chunks, 2::BIGINT AS symbols", "skipped": "'p' || id AS path, 'go' AS language, 'unchanged' AS reason",
+    "embedded": "8::BIGINT AS batch_chunks, id AS chunks_done, 900::BIGINT AS chunks_total, 12::BIGINT AS elapsed_ms", "indexed": "'p' || id AS path, 'c' AS language, id % 7 AS count",
+    "done": "'{\"rust\":{\"a\":' || id || '}}' AS files, 3::BIGINT AS files_indexed, 4::BIGINT AS chunks, 5::BIGINT AS elapsed_ms", "error": "'busy' AS code, 'd' || id AS detail",
+}
+
+
+def payload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(k.alias("id"), (k % 17 == 0).alias("odd"), (k % 13 == 0).alias("cut"), (k % 7).alias("t"))
+    body = F.coalesce(*[F.when(F.col("t") == i, F.expr(_PAYLOADS[name].replace("::VARCHAR", "::STRING"))) for i, name in enumerate(_TYPES)])
+    name = F.element_at(F.array(*[F.lit(x) for x in _TYPES]), (F.col("t") + 1).cast("int"))
+    return e.select("id", name.alias("event"), F.when(F.col("cut"), F.left(body, F.length(body) - 1)).otherwise(body).alias("payload"))
+
+
+def _payload(event: str) -> None:
+    @query(f"payload_{event}", f"WITH {_RAW_SQL} SELECT id, {_VALUES[event]} FROM raw WHERE t = {_TYPES.index(event)} AND NOT odd AND NOT cut")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return E.payloads(payload_events(spark, sf_dir), event)
+
+
+for _event in _TYPES:
+    _payload(_event)
+
+
+@query("payload_rejects", f"WITH {_RAW_SQL}, e AS (SELECT [" + ", ".join(f"'{x}'" for x in _TYPES) + "][1 + t] AS event, CASE WHEN cut THEN 'broken' WHEN odd THEN [" + ", ".join(f"'{_ODD[x]}'" for x in _TYPES) + "][1 + t] END AS reason FROM raw) SELECT event, reason, count(*) AS n FROM e WHERE reason IS NOT NULL GROUP BY ALL")
+def payload_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.rejected(payload_events(spark, sf_dir))

@@ -30,7 +30,11 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
 
 
 def _rewrite(df: DataFrame, path: str, partition: str) -> None:
-    """Replace the folders that ``df`` has rows of. The rows are materialised first, as they come from the same files."""
+    """Replace the folders that ``df`` has rows of. The rows are materialised first, as they come from the same files.
+
+    The change is not atomic: a reader may find a folder between its old and its new files, and after a crash there the
+    same change must be applied again, which an upsert or a deletion allows.
+    """
     settle(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, "_bucket").parquet(path)
 
 
@@ -115,10 +119,17 @@ def write_journal(stored: Callable[[str], DataFrame], new: dict[str, DataFrame],
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """One line of the text exposition format per sample (name, labels: map, value), replacing what was there."""
+    """The text exposition format, replacing what was there: the samples (name, labels: map, value) of a metric stand
+    together under a line of its type (column kind; gauge where there is none), and a last line marks the end."""
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), ",")
     line = F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string"))
-    metrics.select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)  # a row per sample
+    kind = F.coalesce("kind", F.lit("gauge")) if "kind" in metrics.columns else F.lit("gauge")
+    samples = metrics.select("name", F.lit(1).alias("_k"), line.alias("value"), kind.alias("_kind"))
+    heads = samples.groupBy("name").agg(F.min("_kind").alias("_kind")).select("name", F.lit(0).alias("_k"), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "_kind").alias("value"))
+    end = metrics.sparkSession.range(1).select(F.lit(None).cast("string").alias("name"), F.lit(2).alias("_k"), F.lit("# EOF").alias("value"))
+    rows = samples.drop("_kind").unionByName(heads).unionByName(end)
+    # a row per sample: one file is what a scrape reads
+    rows.repartition(1).sortWithinPartitions(F.asc_nulls_last("name"), "_k", "value").select("value").write.mode("overwrite").text(path)
 
 
 def append_journal(runs: DataFrame, path: str, retention: int) -> None:
@@ -128,5 +139,17 @@ def append_journal(runs: DataFrame, path: str, retention: int) -> None:
     settle(numbered.select(*[F.col(c).cast(t) for c, t in like.dtypes])).write.mode("append").parquet(path)
 
 
+def write_scores(scores: DataFrame, metrics: list[str], path: str) -> None:
+    """The scores of each query as JSON lines under ``path``/per_query, and their means, with n and the label, as one
+    object under ``path``/summary. Scores of several labels are an error: they are compared, not averaged."""
+    out = scores.agg(F.count_distinct("label").alias("_labels"), F.min("label").alias("label"), F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in sorted(metrics)])
+    row = settle(out)
+    labels = row.first()["_labels"]
+    if labels > 1:
+        raise ValueError(f"results carry {labels} labels; score one configuration at a time")
+    write_json_lines(scores, f"{path}/per_query")
+    row.drop("_labels").coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

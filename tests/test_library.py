@@ -347,7 +347,44 @@ def test_journal_and_metrics(spark, tmp_path):
     m = spark.createDataFrame([("up", {}, 1.0), ("files", {"status": "ok", "a": "b"}, 3.0)], "name string, labels map<string, string>, value double")
     for _ in range(2):
         sinks.write_metrics(m, f"{tmp_path}/m")
-    assert {r.value for r in spark.read.text(f"{tmp_path}/m").collect()} == {"up 1.0", 'files{a="b",status="ok"} 3.0'}
+    assert [r.value for r in spark.read.text(f"{tmp_path}/m").collect()] == ["# TYPE files gauge", 'files{a="b",status="ok"} 3.0', "# TYPE up gauge", "up 1.0", "# EOF"]
+    typed = m.withColumn("kind", F.when(F.col("name") == "up", "counter"))
+    sinks.write_metrics(typed, f"{tmp_path}/m")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/m").collect() if "TYPE" in r.value] == ["# TYPE files gauge", "# TYPE up counter"]
+    sinks.write_metrics(m.limit(0), f"{tmp_path}/m")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/m").collect()] == ["# EOF"]
+
+
+def test_scores_and_their_summary(spark, tmp_path):
+    rows = spark.createDataFrame([("i", "a", 0.5, 1.0), ("j", "a", 0.25, None)], "instance_id string, label string, ndcg double, recall double")
+    for _ in range(2):
+        sinks.write_scores(rows, ["recall", "ndcg"], f"{tmp_path}/s")
+    assert spark.read.json(f"{tmp_path}/s/per_query").count() == 2
+    assert [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/s/summary").collect()] == [{"label": "a", "n": 2, "ndcg": 0.375, "recall": 1.0}]
+    with pytest.raises(ValueError, match="2 labels"):
+        sinks.write_scores(rows.withColumn("label", F.col("instance_id")), ["ndcg"], f"{tmp_path}/t")
+    sinks.write_scores(rows.limit(0), ["ndcg"], f"{tmp_path}/e")
+    assert json.loads(spark.read.text(f"{tmp_path}/e/summary").first().value)["n"] == 0
+
+
+def test_stored_bytes(spark, tmp_path):
+    from cairn.operators import lifecycle
+
+    (tmp_path / "db" / "deep").mkdir(parents=True)
+    (tmp_path / "db" / "a").write_bytes(b"x" * 10), (tmp_path / "db" / "deep" / "b").write_bytes(b"y" * 7)
+    files = spark.createDataFrame([("p",), ("q",)], "project_guid string")
+    runs = spark.createDataFrame([(None, True)], "expires_at long, stale boolean")
+    got = {r.name: r.n for r in lifecycle.global_counts(files, files, runs, lifecycle.stored_bytes(spark, f"{tmp_path}/db")).collect()}
+    assert got == {"projects": 2, "status_log": 2, "runs": 1, "pinned_runs": 1, "stale_runs": 1, "bytes": 17}
+
+
+def test_inventory_takes_languages_from_files(spark):
+    from cairn.operators import lifecycle
+
+    files = spark.createDataFrame([("p", "a", "go", "indexed"), ("p", "b", "rust", "failed"), ("p", "c", "c", "indexed")], "project_guid string, path string, programming_language string, status string")
+    chunks = spark.createDataFrame([("p", "a", "active", "wrong"), ("p", "a", "deleted", "wrong"), ("p", "b", "active", "wrong"), ("p", "gone", "active", "go"), ("q", "a", "active", "go")], "project_guid string, path string, status string, programming_language string")
+    got = {tuple(r) for r in lifecycle.language_inventory(files, chunks).collect()}
+    assert got == {("p", "go", 1, 1, 1, 1), ("p", "rust", 1, 0, 1, 0), ("p", "c", 1, 1, 0, 0)}
 
 
 def test_debounce_batch(spark):
@@ -475,15 +512,6 @@ def test_dense_batch_ties(spark):
     assert got == {(0, d, k + 1) for k, d in enumerate((3, 6, 9, 12))} | {(1, d, k + 1) for k, d in enumerate((4, 7, 10, 13))}
 
 
-def test_metered_model(spark):
-    import numpy as np
-
-    m = derive.Metered(spark, lambda rows: np.ones((len(rows), 2)))
-    df = spark.createDataFrame([(str(i),) for i in range(25)], "t string").repartition(3)
-    assert len(df.select(derive.embed(F.col("t"), 2, m).alias("v")).collect()) == 25
-    assert m.texts.value == 25 and m.calls.value >= 1 and m.failures.value == 0
-
-
 def test_approximate_search_finds_nearly_all(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     centres = retrieve.fit_cells(e, 16)

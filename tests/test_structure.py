@@ -129,6 +129,33 @@ def test_prose_without_pointers(spark):
     assert corpus.stripped_prose(" " * 300_000 + "a") == "a"
 
 
+def test_lines():
+    """Lines by their places, with or without an end, and the tokens between two of them."""
+    for text, want in (("", [""]), ("a", ["a"]), ("a b\n\nc", ["a b\n", "\n", "c"]), ("a\n", ["a\n"]), ("\n\n", ["\n", "\n"])):
+        lines = slicing.Lines(text, slicing.token_starts)
+        assert [lines.line(k) for k in range(lines.n)] == want and lines.bounds[0] == 0 and lines.bounds[-1] == len(text)
+        for a in range(lines.n + 1):
+            for b in range(a, lines.n + 1):
+                assert lines.tokens(a, b) == len(slicing.token_starts("".join(want[a:b])))
+
+
+def test_table_functions_equal_the_frames(spark):
+    from cairn.operators import tables
+
+    tables.register(spark)
+    text = "class C:\n" + "".join(f"    def m{k}(self):\n        return {k} + {k}\n\n" for k in range(30))
+    rust = "/// one\nfn a() {\n" + "    x(1);\n" * 60 + "}\nstruct S { a: u8 }\n"
+    files = spark.createDataFrame([(1, text, "python"), (2, rust, "rust"), (3, None, "go"), (4, "plain words\n" * 400, None), (5, "", "c")], "doc_id long, text string, programming_language string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    one = files.where("doc_id = 1")
+    assert rows(spark.sql("SELECT * FROM slice_code(TABLE({f}) PARTITION BY doc_id)", f=one)) == rows(slicing.slice_python(one))
+    assert rows(spark.sql("SELECT * FROM slice_code(TABLE({f}) PARTITION BY doc_id)", f=files)) == rows(slicing.slice_code(files))
+    assert rows(spark.sql("SELECT * FROM slice_code(TABLE({f}) PARTITION BY programming_language, least => 5, most => 40, fill_gaps => false)", f=files)) == rows(slicing.slice_code(files, least=5, most=40, fill_gaps=False))
+    assert rows(spark.sql("SELECT * FROM definitions_in(TABLE({f}) PARTITION BY doc_id)", f=files)) == rows(slicing.definitions(files))
+    got = spark.sql("SELECT f.doc_id, t.k, t.token FROM {f} f, LATERAL token_spans(f.text) t", f=files).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == {k: len(slicing.token_starts(t)) for k, t in ((1, text), (2, rust), (4, "plain words\n" * 400))}
+
+
 def test_tests_define_no_names(spark):
     files = [("pkg/core.py", "class E: pass\n"), ("pkg/tests/core.py", "class E: pass\n"), ("pkg/test_core.py", "class E: pass\n"), ("pkg/core_test.py", "class E: pass\n"), ("pkg/test/client.py", "class C: pass\n")]
     modules, names = corpus.python_index(spark.createDataFrame(files, "path string, text string"))
