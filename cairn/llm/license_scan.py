@@ -57,20 +57,36 @@ def word_list(text: str) -> list[str]:
 
 
 def spaced(text: Column) -> Column:
-    """The words of a text, each once between single spaces; case is kept."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WORD, " "))
+    """The words of a text, A-Z lower-cased, each once between single spaces.
+
+    Letters beyond ASCII may be lower-cased, too: no word that is looked for has one. Only the Kelvin sign and the I with
+    a dot would turn into ASCII letters; texts with these are translated letter by letter.
+    """
+    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WORD, " "))
+    return F.when(words.contains("\u212a") | words.contains("\u0130"), ascii_lower(words)).otherwise(F.lower(words))
 
 
 def places(words: Column, n_words: Column, phrase: str) -> tuple[Column, Column, Column]:
     """How often the phrase's words stand consecutively, and the first and last start (null without any)."""
-    regex = f"(?i)(?<![^ ]){phrase}(?![^ ])"
-    parts = F.when(words.rlike(regex), F.split(words, regex, -1))
+    regex = f"(?<![^ ]){phrase}(?![^ ])"
+    stands = words.contains(f" {phrase} ") | words.startswith(f"{phrase} ") | words.endswith(f" {phrase}") | (words == phrase)
+    parts = F.when(stands, F.split(words, regex, -1))
     count = lambda part: F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))  # noqa: E731  spaces before or after it
     n = F.coalesce(F.size(parts) - 1, F.lit(0)).cast("long")
     last = n_words - count(F.element_at(parts, -1)) - len(phrase.split())
     return F.greatest(n, F.lit(0)).cast("long"), count(F.element_at(parts, 1)).cast("long"), last.cast("long")
 
 
+def any_of(words: Sequence[str]) -> str:
+    """A pattern of the words in which those that begin alike share their beginning, so that few are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by.setdefault(w[:1], []).append(w[1:])
+    ends = "" in by
+    parts = [c + any_of(rest) if rest != [""] else c for c, rest in by.items() if c]
+    return ("(?:" + "|".join(parts) + ")" if len(parts) > 1 or ends and parts else "".join(parts)) + ("?" if ends and parts else "")
+
+
 def prefix_index(spark: SparkSession, templates: Sequence[tuple[str, str]], order: Mapping[str, int], threshold: float) -> DataFrame:
     """word, label, need, size, length, rarer, t: a row for every template and word of its prefix.
 
@@ -114,7 +130,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, thresh
 
     labels are those of the phrases and of the templates. score is 1 with a phrase, else the largest share of a
     template's words found in one block, 0 without any. Null and empty texts have no words, no labels (empty strings)
-    and score 0. Repeated rows are scanned alike; only the id and the text are read; an empty input gives an empty result.
+    and score 0; very long texts are read whole. Repeated rows are scanned alike; only the id and the text are read; an empty input gives an empty result.
     """
     if len(templates) > MOST_TEMPLATES or any(not word_list(t) for _, t in templates):
         raise ValueError(f"templates have words, and there are {MOST_TEMPLATES} at most")
@@ -125,7 +141,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, thresh
     at = [(label, *places(F.col("words"), F.col("n_words"), p)) for p, label in phrases.items()]
     stands = F.array(*[F.struct(F.lit(label).alias("label"), n.alias("n"), lo.alias("lo"), hi.alias("hi")) for label, n, lo, hi in at])
     vocab = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
-    own = F.array_intersect(F.split(ascii_lower(F.col("words")), " "), vocab)
+    own = F.array_intersect(F.split("words", " "), vocab)
     # the texts are read twice: here for all that needs no order, below only those that have a prefix word
     seen = words.select("doc_id", F.xxhash64("text").alias("h"), n_words.cast("long").alias("n_words"), "words").select("doc_id", "h", "n_words", stands.alias("base"), own.alias("own"))
     seen = settle(seen)
@@ -136,8 +152,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = NOTICES, thresh
         rare = sorted({r.word for r in index.select("word").collect()})  # literals of the plan come back
         hit = lambda w: F.array_intersect(w, F.array(*[F.lit(x) for x in rare]))
         inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-        any_rare = f"(?i)(?<!{inside})(?:{'|'.join(rare)})(?!{inside})"
-        some = text.where(F.regexp_like("text", F.lit(any_rare))).select("doc_id", F.xxhash64("text").alias("h"), F.split(ascii_lower(spaced(F.col("text"))), " ").alias("words"))
+        any_rare = f"(?i)(?<!{inside}){any_of(rare)}(?!{inside})"
+        some = text.where(F.regexp_like("text", F.lit(any_rare))).select("doc_id", F.xxhash64("text").alias("h"), F.split(spaced(F.col("text")), " ").alias("words"))
         one = some.withColumn("hit", hit(F.col("words"))).withColumn("_row", F.struct("doc_id", "h"))
         found = matches(one.select("_row", "words", "hit"), index).select("_row.doc_id", "_row.h", "label", "score")
     by = found.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))

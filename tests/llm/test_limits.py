@@ -113,3 +113,27 @@ def test_stages_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).count() == 40
     repeated = docs.unionByName(docs).withColumn("doc_id", F.lit(None).cast("long"))
     assert corpus_pipeline.decontaminated(spark, repeated, str(tmp_path)).count() == 80
+
+
+def test_any_of_is_the_list_of_its_words():
+    import re
+
+    from cairn.llm.license_scan import NOTICES, any_of, word_list
+
+    words = sorted({w for _, t in NOTICES for w in word_list(t)})
+    pattern, r = re.compile(any_of(words)), random.Random(5)
+    assert all(pattern.fullmatch(w) for w in words) and any_of(["a"]) == "a"
+    for _ in range(20_000):
+        w = r.choice(words)
+        k = r.randrange(len(w) + 1)
+        v = w[:k] + r.choice(["", "a", "s", "e"]) + w[k + r.randrange(2) :]
+        assert bool(pattern.fullmatch(v)) == (v in words)
+
+
+def test_license_words_of_odd_letters(spark):
+    """Only A-Z are lower-cased: the Kelvin sign and the dotted I make no license words."""
+    from cairn.llm import license_scan
+
+    rows = [(1, "MIT LICENSE"), (2, "MİT LİCENSE"), (3, "mıt license"), (4, "ÉtÉ mit license K"), (5, "the booK mit license"), (6, "mit license mit"), (7, "a mit license"), (8, "mit licenses, mit-license")]
+    got = {x.doc_id: (x.n_words, x.n_base, x.first_word) for x in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (2, 1, 0), 2: (2, 0, None), 3: (2, 0, None), 4: (4, 1, 1), 5: (4, 1, 2), 6: (3, 1, 0), 7: (3, 1, 1), 8: (4, 1, 2)}
