@@ -262,13 +262,27 @@ def flush(apply: Callable[[DataFrame, DataFrame], None]) -> Callable[[DataFrame,
 
 
 def rate(samples: DataFrame, seconds: int, key: str = "key") -> DataFrame:
-    """key, t, value, per_second: over the window, from the newest sample older than it where there is one."""
-    order = Window.partitionBy(key).orderBy("t")
-    inside = order.rangeBetween(-seconds, 0)
-    older = order.rangeBetween(Window.unboundedPreceding, -seconds - 1)
-    t0 = F.coalesce(F.max("t").over(older), F.min("t").over(inside))
-    v0 = F.coalesce(F.max_by("value", "t").over(older), F.min_by("value", "t").over(inside))
-    return samples.select(key, "t", "value", F.when(F.col("t") > t0, (F.col("value") - v0) / (F.col("t") - t0)).otherwise(0.0).alias("per_second"))
+    """key, t, value, per_second: over the window, from the newest sample older than it where there is one, else from the
+    key's first. t are whole seconds, each once for a key.
+
+    The older sample is looked up in time buckets as wide as the window: within the one where it must lie, else it is the
+    last of the buckets before. So a key's samples are in as many tasks as it has buckets, and only a row per bucket
+    meets the key's other ones.
+    """
+    width, own = max(1, seconds), F.struct("t", "value")
+    rows = samples.select(key, "t", "value")
+    bucket = lambda c: F.floor(c / width)
+    asks = rows.select(key, bucket(F.col("t") - seconds - 1).alias("_b"), (F.col("t") - seconds - 1).alias("_x"), F.lit(1).alias("_ask"), own.alias("_s"))
+    both = asks.unionByName(rows.select(key, bucket(F.col("t")).alias("_b"), F.col("t").alias("_x"), F.lit(0).alias("_ask"), own.alias("_s")))
+    upto = Window.partitionBy(key, "_b").orderBy("_x", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_near", F.last(F.when(F.col("_ask") == 0, F.col("_s")), ignorenulls=True).over(upto))
+    buckets = both.groupBy(key, "_b").agg(F.max(F.when(F.col("_ask") == 0, F.col("_s"))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = rows.groupBy(key).agg(F.min(own).alias("_first"))
+    j = near.where("_ask = 1").join(buckets.select(key, "_b", before.alias("_before")), [key, "_b"]).join(firsts, key)
+    old = F.coalesce("_near", "_before", "_first")
+    t, v = F.col("_s.t"), F.col("_s.value")
+    return j.select(key, t.alias("t"), v.alias("value"), F.when(t > old["t"], (v - old["value"]) / (t - old["t"])).otherwise(0.0).alias("per_second"))
 
 
 def increase(samples: DataFrame, key: str = "key") -> DataFrame:

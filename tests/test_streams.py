@@ -149,3 +149,19 @@ def test_sticky_probes(spark, tmp_path, rocks):
     assert batch == want
     out = feed(spark, tmp_path, [rows[:30], rows[30:55], rows[55:]], streams.sticky_probe_stream, schema, "probes")
     assert {tuple(x) for x in out.collect()} == want
+
+
+def test_rates_against_brute_force(spark):
+    """The newest sample older than the window, however far back; else the key's first."""
+    r = random.Random(6)
+    rows = [("hot", t, float(t % 97)) for t in range(0, 3000, 3)]
+    rows += [(k, t, r.random()) for k in "abc" for t in r.sample(range(0, 4000), 60)] + [("one", 5, 1.0), ("far", 0, 2.0), ("far", 100_000, 4.0), ("minus", -50, 1.0), ("minus", -10, 3.0)]
+    for seconds in (1, 60, 500):
+        want = {}
+        for k, t, v in rows:
+            older = [(b, w) for j, b, w in rows if j == k and b < t - seconds]
+            t0, v0 = max(older) if older else min((b, w) for j, b, w in rows if j == k)
+            want[k, t] = (v, (v - v0) / (t - t0) if t > t0 else 0.0)
+        got = streams.rate(spark.createDataFrame(rows, "key string, t long, value double"), seconds).collect()
+        assert len(got) == len(rows) and {(x.key, x.t): (x.value, pytest.approx(x.per_second)) for x in got} == want
+    assert streams.rate(spark.createDataFrame([], "key string, t long, value double"), 60).count() == 0
