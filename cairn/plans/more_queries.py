@@ -12,7 +12,7 @@ from ..operators import lifecycle as L
 from ..operators import provenance as P
 from ..operators import reconcile as R
 from ..operators import retrieve as V
-from ..registry import query, table
+from ..registry import only, query, table
 from ..streaming import streams as S
 from .evaluate_queries import _RANKED, gold, results
 from .provenance_queries import _CIT, _states, verdicts
@@ -65,8 +65,8 @@ def accuracy_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("definition_counts", f"WITH {_SYMBOLS_SQL}, n AS (SELECT name, kind FROM symbols WHERE start_line = 3) SELECT count(*) FILTER (path LIKE 'p/1/%') AS total, count(*) FILTER (path NOT LIKE 'p/1/%') AS out_of_scope FROM symbols s JOIN n ON n.name = s.name AND n.kind = s.kind")
 def definition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _symbols(spark, sf_dir)
-    one = s.where("start_line = 3").first()
-    return V.definition_counts(s, one.name, F.col("path").startswith("p/1/"), one.kind)
+    name, kind = only(s.where("start_line = 3"), "name", "kind")
+    return V.definition_counts(s, name or "", F.col("path").startswith("p/1/"), kind or "")
 
 
 @query("best_per_chunk", """WITH r AS (SELECT 'l' || l_linenumber % 2 AS leg, l_orderkey AS q, l_partkey % 3 AS path, 1 AS start_line, 2 AS end_line, max(l_quantity)::DOUBLE AS score FROM lineitem GROUP BY ALL)

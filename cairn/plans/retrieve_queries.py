@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import neighbours as N
 from ..operators import retrieve as R
-from ..registry import query, table
+from ..registry import only, query, table
 from .standins import CHUNKS_SQL, FILES_SQL, QUERIES_SQL, chunks, files, queries
 
 _COS = "round(list_dot_product(a::DOUBLE[], b::DOUBLE[]) / (sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[])) * sqrt(list_dot_product(b::DOUBLE[], b::DOUBLE[]))), 6)"
@@ -21,8 +21,8 @@ SELECT vec_id, {_COS.replace('a::', 'e.embedding::').replace('b::', 'q.b::')} AS
 """)
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").first()
-    return R.dense_search(e, q.embedding, 10, e.where(F.col("label") == q.label))
+    embedding, label = only(e.where("vec_id = 0"), "embedding", "label")
+    return R.dense_search(e, embedding or [0.0], 10, e.where(F.col("label") == label) if embedding else e.limit(0))
 
 
 @query("dense_topk_batch", f"""
@@ -179,8 +179,8 @@ t AS (SELECT s.path, start_line, CASE WHEN s.path = a.path THEN 0 WHEN regexp_ex
 SELECT path, start_line, tier, total FROM t ORDER BY tier, path, start_line LIMIT 20""")
 def rank_symbols_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _symbols(spark, sf_dir)
-    a = s.where("start_line = 1").first()
-    return R.lookup_symbols(s, a.name, a.path, 20)
+    name, path = only(s.where("start_line = 1"), "name", "path")
+    return R.lookup_symbols(s, name or "", path or "", 20)
 
 
 @query("nearest_container", """WITH s AS (SELECT l_orderkey AS path, l_linenumber AS name, l_returnflag AS kind, l_partkey % 50 AS "start", l_partkey % 50 + l_suppkey % 40 + 1 AS "end" FROM lineitem),
@@ -226,7 +226,8 @@ t AS (SELECT vec_id, {_COS.replace('a::', 'e.embedding::').replace('b::', 'q.b::
 SELECT vec_id, score, path, start_line, path IS NULL AS orphaned FROM t LEFT JOIN chunks c ON c.doc_id = t.vec_id AND c.n = 0 AND c.status = 'active'""")
 def search_display_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    top = R.dense_search(e, e.where("vec_id = 0").first().embedding, 20)
+    (embedding,) = only(e.where("vec_id = 0"), "embedding")
+    top = R.dense_search(e, embedding or [0.0], 20, None if embedding else e.limit(0))
     shown = chunks(spark, sf_dir).where("n = 0 and status = 'active'").select(F.col("doc_id").alias("vec_id"), "path", "start_line")
     # the winners are top_k rows, so they are the side to broadcast
     hit = shown.join(F.broadcast(top), "vec_id")

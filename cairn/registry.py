@@ -23,5 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def only(df: DataFrame, *columns: str) -> tuple:
+    """The named values of the one row that a query asks by; nulls where it is absent."""
+    row = df.select(*columns).first()
+    return tuple(row) if row else (None,) * len(columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

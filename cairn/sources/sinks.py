@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.observe import counted
 from ..operators.provenance import insert_runs, run_journal, settle
 
 
@@ -38,6 +40,14 @@ def _rewrite(df: DataFrame, path: str, partition: str) -> None:
     settle(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, "_bucket").parquet(path)
 
 
+def metered(df: DataFrame, write: Callable[[DataFrame], None], **figures: Column) -> dict[str, int]:
+    """Write ``df`` and tell rows, millis and the named aggregates of what was written, from the writing pass itself."""
+    seen, figures_of = counted(df, rows=F.count(F.lit(1)), **figures)
+    began = time.monotonic()
+    write(seen)
+    return figures_of.get | {"millis": round((time.monotonic() - began) * 1000)}
+
+
 def read_vectors(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The stored vectors, in the columns of ``like``; empty where there is no table."""
     schema = like.withColumn("_bucket", F.lit(0))
@@ -49,11 +59,22 @@ def count_vectors(spark: SparkSession, path: str, like: DataFrame, partition: st
     return read_vectors(spark, path, like).groupBy(partition).agg(F.count(F.lit(1)).alias("vectors"))
 
 
-def upsert_vectors(new: DataFrame, path: str, key: str = "chunk_guid", partition: str = "project_guid") -> None:
-    """Insert or replace by project and key; running it twice changes nothing. Of rows that repeat a key one is stored."""
+def upsert_vectors(new: DataFrame, path: str, key: str = "chunk_guid", partition: str = "project_guid") -> dict[str, int]:
+    """Insert or replace by project and key; running it twice changes nothing. Of rows that repeat a key one is stored.
+
+    Tells the rows written, how many of them are new or replaced (``upserted``), and the milliseconds.
+    """
     new = settle(_bucketed(new.dropDuplicates([partition, key]), key))
     old = _stored(new.sparkSession, path, new).join(new.select(partition, "_bucket").distinct(), [partition, "_bucket"], "left_semi")
-    _rewrite(old.join(new.select(partition, key), [partition, key], "left_anti").unionByName(new), path, partition)
+    left, fresh = old.join(new.select(partition, key), [partition, key], "left_anti"), free_column("_fresh", new)
+    both = settle(left.withColumn(fresh, F.lit(False)).unionByName(new.withColumn(fresh, F.lit(True))))
+    write = lambda df: df.drop(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, "_bucket").parquet(path)
+    return metered(both, write, upserted=F.count_if(fresh))
+
+
+def free_column(stem: str, df: DataFrame) -> str:
+    taken = {c.lower() for c in df.columns}
+    return next(name for k in range(len(taken) + 1) if (name := f"{stem}{k or ''}").lower() not in taken)
 
 
 def delete_vectors(gone: DataFrame, path: str, like: DataFrame, key: str = "chunk_guid", partition: str = "project_guid") -> int:
@@ -106,16 +127,18 @@ def embed_and_upsert(chunks: DataFrame, path: str, embed: Callable[[Column], Col
     return done
 
 
-def write_journal(stored: Callable[[str], DataFrame], new: dict[str, DataFrame], path: str, retention: int) -> None:
+def write_journal(stored: Callable[[str], DataFrame], new: dict[str, DataFrame], path: str, retention: int) -> dict[str, dict[str, int]]:
     """Append runs and their children to one folder per table; the replaced challenges' ids to ``superseded``.
 
-    The children come first and the runs last: a run that can be read has all its rows.
+    The children come first and the runs last: a run that can be read has all its rows. Tells rows and milliseconds of
+    each table.
     """
     out = run_journal({"runs": stored("runs")}, new, retention)
-    for name in ("citations", "evidence", "turns", "context"):
-        out[name].write.mode("append").parquet(f"{path}/{name}")
-    out["replaced"].write.mode("append").parquet(f"{path}/superseded")
-    settle(out["runs"]).write.mode("append").parquet(f"{path}/runs")
+    append = lambda name, df: metered(df, lambda x: x.write.mode("append").parquet(f"{path}/{name}"))
+    told = {name: append(name, out[name]) for name in ("citations", "evidence", "turns", "context")}
+    told["superseded"] = append("superseded", out["replaced"])
+    told["runs"] = append("runs", settle(out["runs"]))
+    return told
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -298,7 +298,8 @@ def test_vector_sink(spark, tmp_path):
     v = lambda rows: spark.createDataFrame(rows, "chunk_guid string, embedding array<float>, project_guid string")
     sinks.upsert_vectors(v([("a", [1.0], "p"), ("b", [2.0], "q")]), path)
     for _ in range(2):
-        sinks.upsert_vectors(v([("a", [9.0], "p"), ("c", [3.0], "p"), ("c", [3.0], "p")]), path)
+        told = sinks.upsert_vectors(v([("a", [9.0], "p"), ("c", [3.0], "p"), ("c", [3.0], "p")]), path)
+        assert told["upserted"] == 2 and told["rows"] >= 2 and told["millis"] >= 0
     read = lambda: sorted((r.chunk_guid, r.embedding[0], r.project_guid) for r in sinks.read_vectors(spark, path, v([])).collect())
     assert read() == [("a", 9.0, "p"), ("b", 2.0, "q"), ("c", 3.0, "p")]
     assert {tuple(r) for r in sinks.count_vectors(spark, path, v([])).collect()} == {("p", 2), ("q", 1)}
@@ -338,7 +339,8 @@ def test_journal_and_metrics(spark, tmp_path):
     stored = lambda name: spark.read.parquet(f"{tmp_path}/j/{name}")
     none = lambda name: full([]).withColumn("seq", F.lit(0).cast("long")).withColumn("expires_at", F.lit(0).cast("long"))
     kids = lambda *ids: dict.fromkeys(("citations", "evidence", "turns", "context"), child(*ids))
-    sinks.write_journal(none, {"runs": full([("p", 1, "a", None, None), ("p", 2, "b", "a", "disputed")]), **kids("a", "b")}, f"{tmp_path}/j", 5)
+    told = sinks.write_journal(none, {"runs": full([("p", 1, "a", None, None), ("p", 2, "b", "a", "disputed")]), **kids("a", "b")}, f"{tmp_path}/j", 5)
+    assert {k: v["rows"] for k, v in told.items()} == {"citations": 2, "evidence": 2, "turns": 2, "context": 2, "superseded": 0, "runs": 2}
     sinks.write_journal(stored, {"runs": full([("p", 3, "c", "a", "confirmed"), ("p", 4, "d", "a", None)]), **kids("c")}, f"{tmp_path}/j", 5)
     assert {(r.id, r.seq) for r in stored("runs").collect()} == {("a", 1), ("b", 2), ("c", 3), ("d", 4)}
     assert [r.id for r in stored("superseded").collect()] == ["b"] and stored("turns").count() == 3
@@ -367,6 +369,16 @@ def test_scores_and_their_summary(spark, tmp_path):
     assert json.loads(spark.read.text(f"{tmp_path}/e/summary").first().value)["n"] == 0
 
 
+def test_queries_by_an_absent_row(spark, tmp_path):
+    """Queries that ask by one row's values give nothing where it is absent."""
+    from cairn import catalog
+
+    for name in ("embeddings", "part", "documents"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = {name: catalog.QUERIES[name](spark, str(tmp_path)).collect() for name in ("dense_topk", "search_display_join", "rank_symbols_anchor", "definition_counts")}
+    assert {k: len(v) for k, v in rows.items()} == {"dense_topk": 0, "search_display_join": 0, "rank_symbols_anchor": 0, "definition_counts": 1} and tuple(rows["definition_counts"][0]) == (0, 0)
+
+
 def test_stored_bytes(spark, tmp_path):
     from cairn.operators import lifecycle
 
