@@ -11,13 +11,15 @@ cross-entropy of uniformly drawn letters, which no text of a learned language re
 from __future__ import annotations
 
 import math
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +38,21 @@ KEEP, SLACK = 0.999, 0.35
 #: The uniform distribution weighs as much in the limit as so many held-back texts.
 PRIOR_TEXTS = 20
 UNKNOWN = "und"
-#: Marks belong to their letter, as in Indic and Thai words.
-_SQUEEZE = regex.compile(r"[^\p{L}\p{M}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
+def letters() -> np.ndarray:
+    """By code point, whether it is a letter or a mark: marks belong to their letter, as in Indic and Thai words."""
+    return np.fromiter((unicodedata.category(chr(k))[0] in "LM" for k in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 def codes(text: str) -> np.ndarray:
     """Lower-cased letters, every run of anything else as one space, one space around."""
-    return np.frombuffer(f" {_SQUEEZE.sub(' ', text.lower()).strip()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    c = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    on = letters()[c]
+    words = np.where(on, c, ord(" "))[on | np.r_[False, on[:-1]]]  # the first place after a word stands for all that follows
+    return np.r_[ord(" "), words, [ord(" ")] * (1 if not len(words) or words[-1] != ord(" ") else 0)].astype(np.uint64)
 
 
 def gram_hashes(c: np.ndarray, n: int) -> np.ndarray:
