@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, table
+from .common import broadcast_if_small, settle, table
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Scaled components beyond this would not keep integer distances within 64 bits; such vectors are dropped.
@@ -173,7 +173,9 @@ def compress(df: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds:
 
 
 def label_errors(codes: DataFrame) -> DataFrame:
-    """``codes`` with label_error, the sum of the error over equal labels; null labels are one."""
+    """``codes`` with label_error, the sum of the error over equal labels; null labels are one. The codes are written, so
+    that no vector is encoded again for the sums."""
+    codes = settle(codes)
     sums = codes.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
     return codes.join(broadcast_if_small(sums, sums.count(), 32), F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
 
