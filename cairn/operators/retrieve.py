@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,32 +180,33 @@ def terms(text: Column) -> Column:
 def postings(docs: DataFrame, asked: Sequence[str], words: bool, substrings: bool) -> DataFrame:
     """What of the asked terms each document has, in one reading of its text; every document has a row.
 
-    words: wdl counts the document's terms, whits are the asked ones, with repeats. substrings, as an index of trigrams
-    finds them: a term counts wherever its characters stand, also within words and over itself; tdl counts the
-    document's trigrams, thits are places in ``asked``, with repeats.
+    words: wdl counts the document's terms, whits are the places in ``asked`` of those that are asked, with repeats.
+    substrings, as an index of trigrams finds them: a term counts wherever its characters stand, also within words and
+    over itself; tdl counts the document's trigrams, thits are places, with repeats.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    if words:
-        rows = rows.withColumn("_t", terms(F.col("text"))).select("doc_id", "text", F.size("_t").alias("wdl"), F.filter("_t", lambda t: t.isin(list(asked))).alias("whits"))
-    if not substrings:
-        return rows.drop("text")
-
-    names = [*rows.drop("text").columns, "tdl", "thits"]
+    stop, place = frozenset(STOP), {t: i for i, t in enumerate(asked)}
+    kinds = [("wdl", "whits")] * words + [("tdl", "thits")] * substrings
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = ahocorasick.Automaton()
-        for i, t in enumerate(asked):
+        word, finder = re.compile(TERM), ahocorasick.Automaton()
+        for t, i in place.items():
             finder.add_word(t, i)
-        if asked:
+        if place:
             finder.make_automaton()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            hits = [[i for _, i in finder.iter(t)] if asked else [] for t in texts]
-            rest = [b.column(k) for k in range(2, b.num_columns)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *rest, pa.array([max(len(t) - 2, 0) for t in texts], pa.int32()), pa.array(hits, pa.list_(pa.int32()))], names)
+            sizes, hits = {k: [] for k, _ in kinds}, {h: [] for _, h in kinds}
+            for text in b.column(1).to_pylist():
+                text = (text or "").lower()
+                if words:
+                    own = [w for w in word.findall(text) if len(w) > 2 and w not in stop]
+                    sizes["wdl"].append(len(own)), hits["whits"].append([place[w] for w in own if w in place])
+                if substrings:
+                    sizes["tdl"].append(max(len(text) - 2, 0)), hits["thits"].append([i for _, i in finder.iter(text)] if place else [])
+            cols = [c for k, h in kinds for c in (pa.array(sizes[k], pa.int32()), pa.array(hits[h], pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *(name for kind in kinds for name in kind)])
 
-    own = "wdl int, whits array<string>, " if words else ""
-    return rows.mapInArrow(read, f"doc_id long, {own}tdl int, thits array<int>")
+    schema = ", ".join(["doc_id long", *(f"{k} int, {h} array<int>" for k, h in kinds)])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, schema)
 
 
 def bm25_legs(docs: DataFrame, queries: DataFrame, legs: Mapping[str, tuple[int, bool]], k1: float = K1, b: float = B, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
@@ -233,19 +234,19 @@ def bm25_legs(docs: DataFrame, queries: DataFrame, legs: Mapping[str, tuple[int,
             size = posted.agg(F.count(F.lit(1)).alias("n"), F.avg(dl_col).alias("avgdl")).first()
             df = np.zeros(len(asked))
             for r in posted.select(F.explode(F.array_distinct(hits)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():  # a row per asked term
-                df[r.t if substrings else place[r.t]] = r.df
+                df[r.t] = r.df
             idf = np.log(1 + (size.n - df + 0.5) / (df + 0.5))
 
-            def best(batches: Iterator[pa.RecordBatch], ids=ids, idf=idf, many=many, first=first, who=who, top_k=top_k, avgdl=float(size.avgdl or 1), asked=pa.array(asked, pa.string())) -> Iterator[pa.RecordBatch]:
+            def best(batches: Iterator[pa.RecordBatch], ids=ids, idf=idf, many=many, first=first, who=who, top_k=top_k, avgdl=float(size.avgdl or 1), terms_=max(len(asked), 1)) -> Iterator[pa.RecordBatch]:
                 top = Best(len(ids), top_k)
                 for batch in batches:
                     for lo in range(0, batch.num_rows, SCORED):
                         part = batch.slice(lo, SCORED)
                         doc, dl, flat = np.asarray(part.column(0)), np.asarray(part.column(1)).astype(float), part.column(2).flatten()
-                        held = np.asarray(flat if pa.types.is_integer(flat.type) else pc.index_in(flat, asked)).astype(np.int64)
+                        held = np.asarray(flat).astype(np.int64)
                         at = np.repeat(np.arange(len(doc)), np.asarray(part.column(2).value_lengths()))
-                        pair, tf = np.unique(at * max(len(asked), 1) + held, return_counts=True)
-                        at, term = pair // max(len(asked), 1), pair % max(len(asked), 1)
+                        pair, tf = np.unique(at * terms_ + held, return_counts=True)
+                        at, term = pair // terms_, pair % terms_
                         w = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl))
                         n = many[term]  # a posting counts for every query that asks its term
                         q = who[np.repeat(first[term] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(n) else np.empty(0, np.int64)

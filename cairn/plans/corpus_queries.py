@@ -54,7 +54,8 @@ def braced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     put = lambda c, name, v: F.replace(c, F.lit(name), v.cast("string"))
     method = lambda j: F.concat(put(pick(5), "{j}", j), F.lit("\n"), F.repeat(F.lit('    x("}");\n'), ((k * 3 + j * 11) % 50 + 1).cast("int")), F.lit("  }\n"))
     text = F.concat(F.lit("// part "), k.cast("string"), F.lit(" {\n"), put(pick(1), "{k}", k), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(0), (k % 5).cast("int")), method), ""), pick(4), F.lit("\n"))
-    return table(spark, sf_dir, "part").select(k.alias("doc_id"), pick(0).alias("programming_language"), text.alias("text"))
+    # the few keys are dealt out before they become texts
+    return table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism).select(k.alias("doc_id"), pick(0).alias("programming_language"), text.alias("text"))
 
 
 @query("code_definitions", f"""WITH {_BODIES}, c AS (SELECT k, 3 + sum(n + 2) AS last FROM n GROUP BY k)
