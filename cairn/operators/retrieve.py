@@ -392,8 +392,14 @@ def outline(asked: DataFrame, files: DataFrame, symbols: DataFrame, scope: Colum
 
 
 def rank_files_by_symbols(asked: DataFrame, symbols: DataFrame, top_k: int = 100) -> DataFrame:
-    """(q, path, idents, definitions, rank): files by distinct asked names defined, then definitions, then path."""
-    hit = asked.join(symbols, "name").groupBy("q", "path").agg(F.countDistinct("name").alias("idents"), F.count(F.lit(1)).alias("definitions"))
+    """(q, path, idents, definitions, rank): files by distinct asked names defined, then definitions, then path.
+
+    asked: q, name. A file's definitions of a name are counted before the join, which then has a row for each asked name
+    and file, however often the file defines it.
+    """
+    held = symbols.groupBy("name", "path").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = asked.groupBy("q", "name").agg(F.count(F.lit(1)).alias("_times"))
+    hit = wanted.join(held, "name").groupBy("q", "path").agg(F.count(F.lit(1)).alias("idents"), F.sum(F.col("_n") * F.col("_times")).alias("definitions"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("idents"), F.desc("definitions"), "path"))
     return hit.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
