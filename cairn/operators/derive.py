@@ -9,10 +9,11 @@ from __future__ import annotations
 import re
 import time
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,21 +64,45 @@ def windows(text: str, tokenizer: Tokenizer = token_starts, most: int = MAX_TOKE
     return out
 
 
+#: Files that a task unpacks at once, and rows that it tells at once, whatever the size of an Arrow batch.
+FILES, ROWS = 64, 4096
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def by_file(files: DataFrame, rows_of: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that ``rows_of`` yields for each file (its columns as arguments), a few files and rows at a time."""
+    names, types = zip(*((name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], list(names))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for at in range(0, b.num_rows, FILES):
+                for file in zip(*(c.to_pylist() for c in b.slice(at, FILES).columns)):
+                    for row in rows_of(*file):
+                        rows.append(row)
+                        if len(rows) == ROWS:
+                            yield batch(rows)
+                            rows = []
+        if rows:
+            yield batch(rows)
+
+    return files.mapInArrow(read, schema)
+
+
 def slice_files(files: DataFrame, tokenizer: Tokenizer = token_starts, most: int = MAX_TOKENS) -> DataFrame:
     """doc_id, start_line, end_line, tokens, code for each window of each file (doc_id, text)."""
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                line = 1
-                for a, b in windows(text or "", tokenizer, most):
-                    code = text[a:b]
-                    rows.append((doc, line, line + code.rstrip("\n").count("\n"), len(tokenizer(code)), code))
-                    line += code.count("\n")
-            yield pd.DataFrame(rows, columns=["doc_id", "start_line", "end_line", "tokens", "code"])
+    def cut(doc: int, text: str | None) -> Iterator[tuple]:
+        text, line = text or "", 1
+        for a, b in windows(text, tokenizer, most):
+            code = text[a:b]
+            yield doc, line, line + code.rstrip("\n").count("\n"), len(tokenizer(code)), code
+            line += code.count("\n")
 
-    return files.select("doc_id", "text").mapInPandas(cut, CHUNK)
+    return by_file(files.select("doc_id", "text"), cut, CHUNK)
 
 
 def pack(tokens: list[int], levels: list[int], cap: int = MARKDOWN_CAP) -> list[int]:
@@ -106,17 +131,13 @@ def pack(tokens: list[int], levels: list[int], cap: int = MARKDOWN_CAP) -> list[
 def pack_markdown(blocks: DataFrame, cap: int = MARKDOWN_CAP) -> DataFrame:
     """doc_id, chunk, first, last, tokens from (doc_id, tokens, levels): one row per document with its blocks as arrays."""
 
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc, t, h in zip(frame["doc_id"], frame["tokens"], frame["levels"]):
-                at = 0
-                for k, end in enumerate(pack(list(t), list(h), cap)):
-                    rows.append((doc, k, at, end - 1, int(sum(t[at:end]))))
-                    at = end
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "first", "last", "tokens"])
-
-    return blocks.select("doc_id", "tokens", "levels").mapInPandas(packed, "doc_id long, chunk int, first int, last int, tokens int")
+    def packed(doc: int, t: list[int], h: list[int]) -> Iterator[tuple]:
+        at = 0
+        for k, end in enumerate(pack(t, h, cap)):
+            yield doc, k, at, end - 1, sum(t[at:end])
+            at = end
+
+    return by_file(blocks.select("doc_id", "tokens", "levels"), packed, "doc_id long, chunk int, first int, last int, tokens int")
 
 
 def hash_vector(text: str, dim: int) -> np.ndarray:

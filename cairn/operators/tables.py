@@ -18,15 +18,13 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
 
 from .derive import CHUNK, MAX_TOKENS, MIN_TOKENS, TOKEN, token_starts
-from .slicing import DEFINITION, code_spans, definition_rows
+from .slicing import DEFINITION, chunk_rows, code_spans, definition_rows
 
 
 class SliceCode:
     def eval(self, file: Row, least: int = MIN_TOKENS, most: int = MAX_TOKENS, fill_gaps: bool = True) -> Iterator[tuple]:
         text = file["text"] or ""
-        for a, b in code_spans(text, file["programming_language"], token_starts, least, most, fill_gaps):
-            code, line = text[a:b], text.count("\n", 0, a) + 1
-            yield file["doc_id"], line, line + code.rstrip("\n").count("\n"), len(token_starts(code)), code
+        yield from chunk_rows(file["doc_id"], text, code_spans(text, file["programming_language"], token_starts, least, most, fill_gaps))
 
 
 class DefinitionsIn:

@@ -47,3 +47,12 @@ def test_symbol_ranks_join_counts_not_definitions(spark):
     plan = retrieve.rank_files_by_symbols(asked, symbols)
     assert [tuple(x) for x in plan.where("q = 0").orderBy("rank").collect()] == [(0, "f2", 2, 6667, 1), (0, "f0", 1, 6667, 2), (0, "f1", 1, 6667, 3)]
     assert plan.count() == 60_000
+
+
+def test_made_texts_are_dealt_out(spark, tmp_path, monkeypatch):
+    from cairn.plans import corpus_queries as Q
+
+    spark.range(40).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(Q, "KEYS", 4, raising=False)
+    for files in (Q.python_files, Q.braced_files, Q.markdown_files):
+        assert files(spark, str(tmp_path)).rdd.getNumPartitions() == 10
