@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from cairn.operators import corpus, retrieve, slicing
+from cairn.operators import corpus, nesting, retrieve, slicing
 
 #: Python whose nesting overflows the parser's own stack: a MemoryError, not a SyntaxError.
 DEEP = "def seen():\n    pass\n" + "- " * 20_000 + "1\n"
@@ -56,3 +56,31 @@ def test_made_texts_are_dealt_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Q, "KEYS", 4, raising=False)
     for files in (Q.python_files, Q.braced_files, Q.markdown_files):
         assert files(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+
+
+_PIECES = [
+    "x", "foo(1, 2)", '"a}"', "'c'", "'a", "`t", "`", "(", ")", "{", "}", "[", "]", ";", ";", ",", "\n", "\n", "\n", "\n", "  ", " ", "=", "=>", "->", "<<<A", "A", "//", "/*", "*/", "#", "#[x]", "?>", "<?php", "/a;/g", ":", "::", "public:", "return", "else", "while", "class C", "fn f()", "def m", "end", "do", "if",
+    'R"(', ')"', 'b"', '@"', '"""', '""', "\\\\", '\\"', "$x", "a[i]", "f(a[1], \"(\")", "x(\"}\");\n", "  int a = b(c(d));\n", "  x += 1; \r\n", "typedef struct {", "v = f(a;b);\n", "y = (1\n);\n", "$\"{a}\";\n", "r#\"q\";\n", "++", "1;", "_a.b;\n", "é = 2;\n",
+]
+
+
+@pytest.mark.parametrize("language", sorted(nesting.SYNTAX))
+def test_statements_read_at_once_are_as_those_read_by_parts(language, monkeypatch):
+    r = random.Random(language)
+    texts = ["".join(r.choice(_PIECES) + r.choice(["", "", " "]) for _ in range(r.randrange(60))) for _ in range(1500)]
+    tree = lambda us: [(u.start, u.end, u.head, tree(u.inner)) for u in us]
+    both = lambda t: (lambda u, n: (tree(u), n))(*nesting.scan(t, language))
+    fast = [both(t) for t in texts]
+    seen = sum(kind == "statement" for t in texts for kind, _, _ in nesting.tokens(t, language))
+    monkeypatch.setattr(nesting, "_statement", lambda s: r"(?!)")
+    monkeypatch.setitem(nesting._LEXERS, language, nesting._lexer(nesting.SYNTAX[language]))
+    assert [t for t, f in zip(texts, fast) if f != both(t)] == []
+    assert seen > 500 or language in ("json", "ruby")
+
+
+def test_lines_of_a_long_scan_are_read_once():
+    """Lines that begin as statements do and are none, and one very long line."""
+    began = __import__("time").time()
+    for text in ("a b (c [d] " * 100_000, 'f("x", (y)) + g\n' * 50_000, "(" * 50_000 + "\n" + "x(" * 50_000):
+        nesting.scan(text, "java")
+    assert __import__("time").time() - began < 30
