@@ -154,13 +154,14 @@ def paired_deltas(*legs: DataFrame) -> DataFrame:
 def permutation_p(deltas: DataFrame, rounds: int, digits: int = 6, seed: str = "p") -> DataFrame:
     """stratum, n, mean, p: two-sided sign permutation test with add-one; signs come from a hash of query and round.
 
-    The rounds are summed per query in an array, so a query is one row however many rounds there are.
+    A row meets its rounds as it is read; tasks sum them by stratum and round, so that only a row per round and stratum
+    is shuffled. Round 0 changes no sign.
     """
-    sign = lambda b: F.when(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "q", b.cast("string")).cast("binary")), 1, 1), 16, 10).cast("int") % 2 == 0, F.col("delta")).otherwise(-F.col("delta"))
-    keyed = deltas.select("stratum", "delta", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(rounds)), sign)).alias("b", "v"))
-    sums = keyed.groupBy("stratum", "b").agg(F.sum("v").alias("s"))
-    real = deltas.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("delta").alias("t"))
-    over = sums.join(real, "stratum").groupBy("stratum", "n", "t").agg(F.count_if(F.abs("s") >= F.abs("t") - 1e-9).alias("k"))
+    even = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "q", F.col("b").cast("string")).cast("binary")), 1, 1).isin(*"02468ace")
+    keyed = deltas.where("stratum is not null").select("stratum", "q", "delta", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("b"))
+    sums = keyed.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when((F.col("b") == 0) | even, F.col("delta")).otherwise(-F.col("delta"))).alias("s"))
+    real = F.max(F.when(F.col("b") == 0, F.col("s"))).over(Window.partitionBy("stratum")).alias("t")
+    over = sums.select("stratum", "b", "n", "s", real).groupBy("stratum", "n", "t").agg(F.count_if((F.col("b") > 0) & (F.abs("s") >= F.abs("t") - 1e-9)).alias("k"))
     return over.select("stratum", "n", F.round(F.col("t") / F.col("n"), digits).alias("mean"), F.round((F.col("k") + 1) / F.lit(float(rounds + 1)), digits).alias("p"))
 
 

@@ -84,3 +84,10 @@ def test_lines_of_a_long_scan_are_read_once():
     for text in ("a b (c [d] " * 100_000, 'f("x", (y)) + g\n' * 50_000, "(" * 50_000 + "\n" + "x(" * 50_000):
         nesting.scan(text, "java")
     assert __import__("time").time() - began < 30
+
+
+def test_permutation_reads_its_rows_once(spark, capsys):
+    from cairn.operators import evaluate
+
+    evaluate.permutation_p(spark.range(9).selectExpr("'s' AS stratum", "id AS q", "id - 3.5D AS delta"), 4).explain()
+    assert capsys.readouterr().out.count("Range (") == 1
