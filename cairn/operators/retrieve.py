@@ -28,6 +28,8 @@ TERM = "[A-Za-z_][A-Za-z0-9_]+"
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Queries that go to the tasks at once, and those of them that are scored at once.
 QUERY_BLOCK, SCORED = 4096, 256
+#: Texts that a task unpacks at once, whatever the size of an Arrow batch.
+TEXTS = 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -193,7 +195,7 @@ def postings(docs: DataFrame, asked: Sequence[str], words: bool, substrings: boo
             finder.add_word(t, i)
         if place:
             finder.make_automaton()
-        for b in batches:
+        for b in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             sizes, hits = {k: [] for k, _ in kinds}, {h: [] for _, h in kinds}
             for text in b.column(1).to_pylist():
                 text = (text or "").lower()
