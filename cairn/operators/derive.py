@@ -12,7 +12,6 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -66,6 +65,8 @@ def windows(text: str, tokenizer: Tokenizer = token_starts, most: int = MAX_TOKE
 
 #: Files that a task unpacks at once, and rows that it tells at once, whatever the size of an Arrow batch.
 FILES, ROWS = 64, 4096
+#: Texts that a model is given at once.
+TEXTS = 512
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
@@ -165,18 +166,19 @@ def patient(model: Callable[[list[str]], np.ndarray], texts: list[str], tries: i
 
 
 def embed(text: Column, dim: int = 64, model: Callable[[list[str]], np.ndarray] | None = None, tries: int = 4, wait_s: float = 0.5, budget_s: float = 60.0) -> Column:
-    """Vectors of texts, a batch at a time; every row of the model's answer must have ``dim`` numbers.
+    """Vectors of texts, TEXTS of them at a time; every row of the model's answer must have ``dim`` numbers.
 
     A model that raises Busy is asked again, ``tries`` times at most and for ``budget_s`` seconds of a batch.
     """
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = [t or "" for t in texts]
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in (whole.slice(at, TEXTS) for whole in batches for at in range(0, max(len(whole), 1), TEXTS)):
+            rows = [t or "" for t in texts.to_pylist()]
             got = patient(model, rows, tries, wait_s, budget_s) if model else np.array([hash_vector(t, dim) for t in rows]).reshape(len(rows), dim)
             if got.shape != (len(rows), dim):
                 raise ValueError(f"the model returned {got.shape}, not {(len(rows), dim)}")
-            yield pd.Series(list(got.astype(np.float32)), dtype=object)
+            flat = pa.array(np.ascontiguousarray(got, np.float32).reshape(-1))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim), flat)
 
     return vectors(text)
