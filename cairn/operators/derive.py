@@ -10,6 +10,7 @@ import re
 import time
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,36 @@ Tokenizer = Callable[[str], list[int]]
 CHUNK = "doc_id long, start_line int, end_line int, tokens int, code string"
 
 
+#: Characters that are looked at together.
+PIECE = 1 << 16
+_MARK, _SPACE, _WORD = range(3)
+
+
+@cache
+def _classes() -> np.ndarray:
+    """What each code point is to TOKEN: a part of a word, white space, or a mark, which is a token of its own."""
+    points, out = "".join(map(chr, range(0x110000))), np.full(0x110000, _MARK, np.uint8)
+    for kind, run in ((_WORD, r"\w+"), (_SPACE, r"\s+")):
+        for m in re.finditer(run, points):
+            out[m.start() : m.end()] = kind
+    return out
+
+
 def token_starts(text: str) -> list[int]:
     """Character offsets at which tokens begin; any tokenizer of this signature can take its place."""
-    return [m.start() for m in TOKEN.finditer(text)]
+    out: list[int] = []
+    within = False  # a word goes on from the piece before
+    for at in range(0, len(text), PIECE):
+        piece = text[at : at + PIECE]
+        kinds = _classes()[np.frombuffer(piece.encode() if piece.isascii() else piece.encode("utf-32-le", "surrogatepass"), np.uint8 if piece.isascii() else np.uint32)]
+        word = kinds == _WORD
+        begins = word.copy()
+        begins[0] &= not within
+        begins[1:] &= ~word[:-1]
+        begins |= kinds == _MARK
+        out += (np.flatnonzero(begins) + at).tolist()
+        within = bool(word[-1])
+    return out
 
 
 def windows(text: str, tokenizer: Tokenizer = token_starts, most: int = MAX_TOKENS, least: int = MIN_GAP) -> list[tuple[int, int]]:
@@ -70,27 +98,29 @@ TEXTS = 512
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def by_file(files: DataFrame, rows_of: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
-    """The rows that ``rows_of`` yields for each file (its columns as arguments), a few files and rows at a time."""
+def read_batches(batches: Iterable[pa.RecordBatch], rows_of: Callable[..., Iterable[tuple]], schema: str) -> Iterator[pa.RecordBatch]:
+    """The rows that ``rows_of`` yields for each file of the batches, a few files and rows at a time."""
     names, types = zip(*((name, _ARROW[kind]) for name, kind in (c.split() for c in schema.split(", "))))
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], list(names))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for b in batches:
-            for at in range(0, b.num_rows, FILES):
-                for file in zip(*(c.to_pylist() for c in b.slice(at, FILES).columns)):
-                    for row in rows_of(*file):
-                        rows.append(row)
-                        if len(rows) == ROWS:
-                            yield batch(rows)
-                            rows = []
-        if rows:
-            yield batch(rows)
-
-    return files.mapInArrow(read, schema)
+    rows: list[tuple] = []
+    for b in batches:
+        for at in range(0, b.num_rows, FILES):
+            for file in zip(*(c.to_pylist() for c in b.slice(at, FILES).columns)):
+                for row in rows_of(*file):
+                    rows.append(row)
+                    if len(rows) == ROWS:
+                        yield batch(rows)
+                        rows = []
+    if rows:
+        yield batch(rows)
+
+
+def by_file(files: DataFrame, rows_of: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that ``rows_of`` yields for each file (its columns as arguments)."""
+    return files.mapInArrow(lambda batches: read_batches(batches, rows_of, schema), schema)
 
 
 def slice_files(files: DataFrame, tokenizer: Tokenizer = token_starts, most: int = MAX_TOKENS) -> DataFrame:

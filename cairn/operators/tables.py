@@ -2,12 +2,13 @@
 
 After ``register(spark)``::
 
-    SELECT * FROM slice_code(TABLE(files) PARTITION BY doc_id)
+    SELECT * FROM slice_code(TABLE(files))
     SELECT * FROM slice_code(TABLE(files) PARTITION BY doc_id, least => 40, most => 240, fill_gaps => false)
-    SELECT * FROM definitions_in(TABLE(files) PARTITION BY doc_id)
+    SELECT * FROM definitions_in(TABLE(files))
     SELECT d.doc_id, t.* FROM docs d, LATERAL token_spans(d.text) t
 
 Files have doc_id, text and programming_language; each row is read on its own, so a partition may hold one file or many.
+Without PARTITION BY the files are read where they lie; with it their texts are shuffled and sorted first.
 """
 
 from __future__ import annotations

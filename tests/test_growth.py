@@ -91,3 +91,36 @@ def test_permutation_reads_its_rows_once(spark, capsys):
 
     evaluate.permutation_p(spark.range(9).selectExpr("'s' AS stratum", "id AS q", "id - 3.5D AS delta"), 4).explain()
     assert capsys.readouterr().out.count("Range (") == 1
+
+
+def test_runs_of_statements_are_one_part_until_asked_for(monkeypatch):
+    """2000 lines of plain statements are one part of their method; chunks and definitions are as without runs."""
+    text = "class A {\n  int f() {\n" + "    x(1);\n" * 2000 + "  }\n  int g() {\n    enum B { C }\n    a(1, 2, 3, 4, 5, 6, 7, 8, 9, 10);\n    class D { }\n  }\n}\n"
+    whole = nesting.scan(text, "java")[0][0]
+    assert len(whole.inner[0].parts) == 1 and len(whole.inner[0].inner) == 2000 and len(whole.inner[0].wide(30)) == 0
+    files = [(text, "java"), ("fn f() {\n" + "  pub fn g();\n  x();\n" * 3 + "}\n", "rust"), ("class A {\n  m() {\n" + "    const f = (a) => a;\n    g();\n" * 9 + "  }\n}\n", "javascript")]
+    read = lambda: [(nesting.definitions(t, lang), [slicing.code_spans(t, lang, slicing.token_starts, k, 3 * k, False) for k in (1, 5, 15, 40)]) for t, lang in files]
+    fast = read()
+    monkeypatch.setattr(nesting, "_statement", lambda s: r"(?!)")
+    for lang in ("java", "rust", "javascript"):
+        monkeypatch.setitem(nesting._LEXERS, lang, nesting._lexer(nesting.SYNTAX[lang]))
+    monkeypatch.setattr(nesting, "defining", lambda text, unit, language, around: unit.inner)
+    assert fast == read() and [len(f[0]) for f in fast] == [5, 4, 11]
+
+
+def test_token_starts_are_those_of_the_pattern(monkeypatch):
+    from cairn.operators import derive
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab_1 \t\n.;(\x1c\x85\xa0é漢🙂\u0301\ud800") for _ in range(r.randrange(90))) for _ in range(400)] + ["", "word" * 40_000, "plain, ascii"]
+    for piece in (7, 1 << 16):
+        monkeypatch.setattr(derive, "PIECE", piece, raising=False)
+        assert [derive.token_starts(t) for t in texts] == [[m.start() for m in derive.TOKEN.finditer(t)] for t in texts]
+
+
+def test_table_functions_read_files_where_they_lie(spark, tmp_path, capsys):
+    from cairn.plans import corpus_queries as Q
+
+    spark.range(40).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    Q.code_chunks_in_sql(spark, str(tmp_path)).explain()
+    assert "hashpartitioning" not in capsys.readouterr().out
