@@ -34,7 +34,9 @@ def debounced(events: DataFrame, seconds: float, by: Sequence[str] = ()) -> Data
 
     No task sees all events: times fall into buckets as wide as the window, so the next window's opening is found in the
     two buckets that follow. An event after a quiet window opens one whatever was before; from these the openings are
-    followed by pointers that double their reach in each round.
+    followed by pointers that double their reach in each round. A pointer of twice the reach is kept only where one of the
+    reach before leads, or a window opens for sure: windows that begin at different events soon fall together, so that
+    there are ever fewer. Going back from the longest to the shortest, each round finds the openings between those known.
     """
     width, by = max(1, round(seconds * 1_000_000)), list(by)
     bucket = lambda c: F.floor(c / width)
@@ -51,15 +53,15 @@ def debounced(events: DataFrame, seconds: float, by: Sequence[str] = ()) -> Data
     before = F.coalesce(F.lag("_t").over(Window.partitionBy(*by, "_b").orderBy("_t")), F.col("_prev"))
     quiet = times.join(at(1, _prev="_last"), [*by, "_b"], "left").withColumn("_before", before)
     opens = settle(quiet.where(F.col("_before").isNull() | (F.col("_t") - F.col("_before") >= width)).select(*by, "_t"))
-    n = opens.count()
-    while True:
-        more = opens.join(step, [*by, "_t"]).select(*by, F.col("_next").alias("_t"))
-        opens = settle(opens.unionByName(more).distinct())
-        before_n, n = n, opens.count()
-        if n == before_n:
-            break
+    # no pointer passes a sure opening, so those that lead to one are not needed
+    steps = [settle(step.join(opens.withColumnRenamed("_t", "_next"), [*by, "_next"], "left_anti").select(*by, "_t", "_next"))]
+    while not steps[-1].isEmpty():
+        step = steps[-1]
+        led = step.select(*by, F.col("_next").alias("_t")).unionByName(opens).distinct()
         far = step.select(*by, F.col("_t").alias("_next"), F.col("_next").alias("_far"))
-        step = settle(step.join(far, [*by, "_next"]).select(*by, "_t", F.col("_far").alias("_next")))
+        steps.append(settle(step.join(led, [*by, "_t"]).join(far, [*by, "_next"]).select(*by, "_t", F.col("_far").alias("_next"))))
+    for step in reversed(steps[:-1]):
+        opens = settle(opens.unionByName(opens.join(step, [*by, "_t"]).select(*by, F.col("_next").alias("_t"))))
     # a bucket has one opening at most; an event lies in the window of its own bucket's or the one before
     own = opens.withColumn("_b", bucket(F.col("_t")))
     placed = rows.withColumn("_b", bucket(F.col("_t")))

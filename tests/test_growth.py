@@ -144,3 +144,21 @@ def test_markdown_chunks_reads_documents_once(spark, tmp_path, capsys):
     spans = slicing.packed(rows, bs, 200)
     big = sum(-(-n // 200) - 1 for n in (rows.tokens(b.first, b.last) for b in bs) if n > 200)
     assert got[1] == (round(0.35 * (len(spans) + big) + 0.25 * sum(b.level >= 3 for i, j in spans for b in bs[i + 1 : j]), 6), len(rows.starts))
+
+
+def test_debounce_keeps_ever_fewer_pointers(spark, monkeypatch):
+    """500 windows in a row: what is written is a few times the events, not a copy of them for each doubling."""
+    from cairn.streaming import streams
+
+    settle, written = streams.settle, []
+    monkeypatch.setattr(streams, "settle", lambda df: (lambda out: (written.append(out.count()), out)[1])(settle(df)))
+    r = random.Random(5)
+    at = sorted(r.randrange(1_000_000) for _ in range(4000))
+    events = spark.createDataFrame([("p", t / 1e6, k, "upsert") for k, t in enumerate(at)], "path string, ts double, seq long, op string")
+    want, opened = set(), None
+    for t in at:
+        if opened is None or t - opened >= 2000:
+            opened = t
+            want.add(t)
+    assert {round(x.open * 1e6) for x in streams.debounced(events, 0.002).collect()} == want and len(want) > 400
+    assert sum(written) < 8 * len(set(at))
