@@ -162,3 +162,44 @@ def test_debounce_keeps_ever_fewer_pointers(spark, monkeypatch):
             want.add(t)
     assert {round(x.open * 1e6) for x in streams.debounced(events, 0.002).collect()} == want and len(want) > 400
     assert sum(written) < 8 * len(set(at))
+
+
+_HEADS = [
+    "{\n", "}\n", "  }\n", "    }  \n", "  fn m(a: u8) {\n", "class C {\n", "else {\n", "} else {\n", "  m(a) {\n", "a(function (b, c) {\n", "});\n", "public class D extends B<T> {\n", "x = y\n", "x =\n", "m(): void {\n", "struct S {\n", " s {\n", ": B {", "while (f(a[1], (2))) {\r\n", "case 1: {\n",
+    "b\"\\\n", "def f(a: Int) = {\n", "namespace A::B {\n", "private: int f() {\n", "@A(\"x\") class E {\n", "g(\"{\") {\n", "e \"s\"{\n", "enum E { A, B }\n", "\t}\n", "_x {\n", "$y {\n", "é {\n",
+]
+
+
+@pytest.mark.parametrize("language", sorted(nesting.SYNTAX))
+def test_heads_read_at_once_are_as_those_read_by_parts(language, monkeypatch):
+    r = random.Random(language)
+    texts = ["".join(r.choice(_PIECES + _HEADS) + r.choice(["", "", "", " "]) for _ in range(r.randrange(40))) for _ in range(1500)]
+    tree = lambda us: [(u.start, u.end, u.head, tree(u.inner)) for u in us]
+    both = lambda t: (lambda u, n: (tree(u), n, nesting.definitions(t, language)))(*nesting.scan(t, language))
+    fast = [both(t) for t in texts]
+    seen = sum(kind in ("head", "tail") for t in texts for kind, _, _ in nesting.tokens(t, language))
+    for name in ("_statement", "_head", "_tail"):
+        monkeypatch.setattr(nesting, name, lambda s: r"(?!)")
+    monkeypatch.setitem(nesting._LEXERS, language, nesting._lexer(nesting.SYNTAX[language]))
+    assert [t for t, f in zip(texts, fast) if f != both(t)] == []
+    assert seen > 500 or language in ("json", "ruby")
+
+
+def test_heads_of_bodies_are_one_part():
+    """A method is its head, its statements and its end, whatever words and lines they have."""
+    text = "public class C {\n" + "".join(f"  public static int m{k}(int a, String b) {{\n" + "    x(1);\n" * 30 + "  }\n" for k in range(10)) + "}\n"
+    assert [kind for kind, _, _ in nesting._lexed(text, "java")] == ["head"] + ["head", "statement", "tail"] * 10 + ["tail"]
+    assert [d[0] for d in nesting.definitions(text, "java")] == ["C"] + [f"m{k}" for k in range(10)]
+
+
+def test_places_of_definitions_on_one_long_line():
+    """A line is passed once, not once for each definition on it; columns are bytes."""
+    n = 100_000
+    began = __import__("time").time()
+    rows = list(slicing.definition_rows(1, "/* é */ " + "fn a() {" * n + "}" * n, "rust"))
+    assert __import__("time").time() - began < 15
+    assert rows[2] == (1, "a", "function", 1, 1, 9 + 16, 9 + 9 * n - 2, "a", "function") and len(rows) == n
+    r = random.Random(3)
+    text = "".join(r.choice("ab\n é漢🙂") for _ in range(300))
+    want = lambda at: (text.count("\n", 0, at) + 1, len(text[text.rfind("\n", 0, at) + 1 : at].encode()))
+    assert slicing.places(text, [*range(301), 7]) == {at: want(at) for at in range(301)}
